@@ -31,7 +31,7 @@ CACHE_WORDS = 200_000
 BATCH_CHARS = 1_500_000
 
 # Fixed values of the file format: Unicode White_Space, and the bytes that byte-level BPE shows as themselves.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SHOWN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
 

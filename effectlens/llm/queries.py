@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effectlens.llm import quality
+from effectlens.llm.bpe import encode_documents
+from effectlens.llm.langid import fit, fold, identify
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,9 +22,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from effectlens.llm.bpe import encode_documents
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(documents(spark, sf_dir))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "failed_bits")
 
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(documents(spark, sf_dir), tokenizer_path())
     return coded.select(
         "doc_id",
@@ -30,7 +37,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    found = identify(docs, fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrase_rate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op10_language_id": op10_language_id,
+}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE,
 }
-ORACLES: dict[str, str] = {}
