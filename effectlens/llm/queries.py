@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.llm import lines, quality
+from effectlens.llm import lines, neardup, quality
 from effectlens.llm.bpe import encode_documents
 from effectlens.llm.langid import fit, fold, identify
 from effectlens.llm.shards import shard
@@ -38,6 +38,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
@@ -57,11 +61,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op6_minhash": op6_minhash,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op6_minhash": neardup.ORACLE,
     "op9_line_dedup": lines.ORACLE,
 }
