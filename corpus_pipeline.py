@@ -1,12 +1,70 @@
-"""The corpus pipeline: stages applied in order, each on all that its predecessor kept."""
+"""The corpus pipeline: five stages, each on all that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
+next one's docs.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from effectlens.llm.bpe import encode_documents
+from effectlens.llm.decontaminate import contaminated
+from effectlens.llm.langid import UNKNOWN, fit, fold, identify
+from effectlens.llm.lines import dedup_lines
+from effectlens.llm.neardup import near_duplicates
+from effectlens.llm.queries import tokenizer_path
+from effectlens.llm.shared import stored
+
+#: Phrases per letter from which a text is in none of the learned languages: hardly two letters match.
+FOREIGN = 0.55
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labelled ones are in."""
+    model = fit(docs.filter(F.coalesce(fold("doc_id", 4) != 2, F.lit(False))))
+    named = identify(docs, model, carry=docs.columns)
+    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= FOREIGN)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a document of smaller id holds."""
+    return dedup_lines(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, and of its decoding."""
+    coded = encode_documents(docs, tokenizer_path())
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("bpe", tokenize),
+]
 
-STAGES: list = []
+#: The first stage, a trained model, has no SQL form; the tests compare the stages with plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from effectlens.llm import lines, neardup, quality
 from effectlens.llm.bpe import encode_documents
+from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import fit, fold, identify
 from effectlens.llm.shards import shard
 
@@ -38,6 +39,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -61,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op4_decontamination": op4_decontamination,
     "op6_minhash": op6_minhash,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
