@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(classes, "classes")
     bucket = classes.select("rep", F.explode("bands").alias("h"))
     lead = bucket.groupBy("h").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("h", "lead")
-    clusters = components(bucket.join(lead, "h").filter("rep > lead").select("rep", "lead"), "rep", "lead")
+    # Merge joins at every size: a broadcast that only small tables get would hide what large ones move.
+    clusters = components(bucket.join(lead.hint("merge"), "h").filter("rep > lead").select("rep", "lead"), "rep", "lead")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     clusters = stored(clusters.join(classes.select(F.col("rep").alias("node"), "n", "same"), "node").select(F.col("root").alias("cluster"), F.col("node").alias("id"), "n", "same"), "clusters")
     # Blocks of about `block` classes of like size; a size that many share is cut by a hash.
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = low.join(high, "cluster").filter(f"low <= high AND 100 * low_most >= {percent} * high_least AND 100 * high_most >= {percent} * low_least")
     pairs = pairs.select("cluster", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = with_sets(clusters.join(texts, "id").select("cluster", "id", "same", "text"), width)
+    sets = with_sets(clusters.hint("merge").join(texts, "id").select("cluster", "id", "same", "text"), width)
     tasks = sets.dropDuplicates(["id"]).join(placed.select("id", "block"), "id").join(pairs, ["cluster", "block"])
     groups = components(confirmed(tasks, percent), "a", "b")
     out = marks.select("id", "n_shingles", "same").join(classes.select("same", "rep"), "same", "left").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left")
