@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from effectlens.plans import cleaning, importance, scoring  # noqa: F401  importing registers
+from effectlens.plans import cleaning, importance, modelling, scoring  # noqa: F401  importing registers
 from effectlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
