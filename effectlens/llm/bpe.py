@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effectlens.llm.shared import slices
+
 NONE = np.int64(1 << 40)
 LONG_WORD = 400
-CACHE_WORDS = 200_000
-BATCH_CHARS = 1_500_000
+CACHE_WORDS = 120_000
+BATCH_BYTES = 1_500_000
 
 # Fixed values of the file format: Unicode White_Space, and the bytes that byte-level BPE shows as themselves.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -70,7 +72,6 @@ class WordBPE:
         self.keys, self.merged = keys[order], np.array(made, np.int64)[order]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.white = regex.compile(f"[{WHITE}]+")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE)
         self.pieces = regex.compile(pattern).findall
         self.alphabet = {b: c for b, c in byte_alphabet().items()}
@@ -89,6 +90,10 @@ class WordBPE:
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
+    def forget(self) -> None:
+        """Drop the words seen: a worker that lives on holds only the tokenizer."""
+        self.young, self.old = {}, {}
+
     def letters(self, token: str) -> list[int]:
         body = token.removesuffix(self.suffix)
         ids = [self.first[c] for c in body]
@@ -208,8 +213,8 @@ class WordBPE:
         return out
 
     def words(self, text: str) -> list[str]:
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return self.pieces(text)
+        # Runs of white space need not be made one: no piece has any.
+        return self.pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
@@ -252,19 +257,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                got = bpe.encode(texts[at:end])
-                ids = pa.array([g[0] for g in got], pa.binary())
-                decoded = pa.array([g[1] for g in got], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), ids, decoded], ["id", "ids", "decoded"])
-                at = end
+        try:
+            for batch in batches:
+                for at, end in slices(batch.column(1), BATCH_BYTES):
+                    got = bpe.encode([t or "" for t in batch.column(1).slice(at, end - at).to_pylist()])
+                    ids = pa.array([g[0] for g in got], pa.binary())
+                    decoded = pa.array([g[1] for g in got], pa.string())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), ids, decoded], ["id", "ids", "decoded"])
+        finally:
+            bpe.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, ids binary, decoded string").withColumnRenamed("id", id_col)

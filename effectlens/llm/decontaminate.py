@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectlens.llm.shared import stored
+from effectlens.llm.shared import slices, stored
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 WIDTH = 5
 BLOCK = 16
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 1_500_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -183,13 +183,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index: Index = shared.value
             for batch in batches:
-                texts, at = batch.column(1).to_pylist(), 0
-                while at < len(texts):
-                    end, chars = at, 0
-                    while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
-                        chars += len(texts[end] or "")
-                        end += 1
-                    hits = list(index.hits([words_of(t) for t in texts[at:end]], overlap, part_overlap).items())
+                for at, end in slices(batch.column(1), BATCH_BYTES):
+                    hits = list(index.hits([words_of(t) for t in batch.column(1).slice(at, end - at).to_pylist()], overlap, part_overlap).items())
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array([at + d for (d, _), _ in hits], pa.int64())),
@@ -200,7 +195,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                         ],
                         ["id", "item", "score", "overlap", "question_overlap", "answer_overlap", "first_word"],
                     )
-                    at = end
 
         found = found.unionByName(rows.mapInArrow(run, schema))
     return found.distinct().withColumnsRenamed({"id": id_col, "item": item_col})

@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from effectlens.llm.shared import slices
+
 SEGMENT = 256
 MOST_LETTERS = 120
 MOST_LANGS = 200
-BATCH_CHARS = 1_500_000
+BATCH_BYTES = 1_500_000
 UNKNOWN = "und"
 NEW_PHRASE = 1 << 30
 
@@ -190,16 +192,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts, at = batch.column(len(carry)).to_pylist(), 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
-                lang, score, rate = own.predict(texts[at:end])
+            for at, end in slices(batch.column(len(carry)), BATCH_BYTES):
+                lang, score, rate = own.predict(batch.column(len(carry)).slice(at, end - at).to_pylist())
                 part = [batch.column(i).slice(at, end - at) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(lang), pa.array(score), pa.array(rate, from_pandas=True)], names)
-                at = end
 
     kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1])
     out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, phrase_rate double")

@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from effectlens.llm.components import components
-from effectlens.llm.shared import stored
+from effectlens.llm.shared import slices, stored
 
-BATCH_WORDS = 150_000
-KNOWN_WORDS = 500_000
+BATCH_BYTES = 1_000_000
+KNOWN_WORDS = 150_000
 COLUMNS = 4096
 
 
@@ -103,18 +103,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                sets, total, start = [], 0, at
-                while at < len(texts) and total < BATCH_WORDS:
-                    sets.append(shingles(texts[at], width, known))
-                    total += len(sets[-1])
-                    at += 1
+            for at, end in slices(batch.column(1), BATCH_BYTES):
+                sets = [shingles(t, width, known) for t in batch.column(1).slice(at, end - at).to_pylist()]
                 full = [s for s in sets if len(s)]
                 found = iter(signatures(full, bands, rows).view(np.int64).tolist() if full else [])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, at - start),
+                        batch.column(0).slice(at, end - at),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64())),
@@ -132,9 +127,9 @@ def with_sets(members: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            same, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for at in range(0, len(texts), 500):
-                sets = [shingles(t, width, known) for t in texts[at : at + 500]]
+            same = batch.column(2).to_pylist()
+            for at, end in slices(batch.column(3), BATCH_BYTES):
+                sets = [shingles(t, width, known) for t in batch.column(3).slice(at, end - at).to_pylist()]
                 fit = [i for i, s in enumerate(sets) if digest(s) == same[at + i]]
                 take = pa.array([at + i for i in fit], pa.int64())
                 yield pa.RecordBatch.from_arrays(

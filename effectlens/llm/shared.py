@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from effectlens.sources.scratch import scratch as new_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, in local mode only, a temporary folder."""
-    context = spark.sparkContext
-    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not at:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        at = tempfile.mkdtemp(prefix="effectlens-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(at)
-    return at
 
-
-def new_table(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of pieces of a column of at most `most` bytes of text, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
 
 
 def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
@@ -31,9 +28,3 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     schema = df.schema
     df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint, which goes when it is no longer used."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
