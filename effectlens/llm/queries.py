@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.llm import lines, neardup, pii, quality
+from effectlens.llm import lines, lm, neardup, pii, quality
 from effectlens.llm.bpe import encode_documents
 from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import fit, fold, identify
@@ -39,6 +39,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -72,6 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op6_minhash": op6_minhash,
     "op7_pii": op7_pii,
