@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.llm import lines, lm, neardup, pii, quality
+from effectlens.llm import lines, lm, mil, neardup, pii, quality
 from effectlens.llm.bpe import encode_documents
 from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import fit, fold, identify
@@ -47,6 +47,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    scored = mil.judge(docs, mil.fit(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash": op6_minhash,
     "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
