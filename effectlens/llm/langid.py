@@ -115,7 +115,7 @@ class LanguageModel:
         grid[row, np.repeat(np.arange(len(text_of)), size)] = sym
         out = np.zeros((len(counts), len(self.langs)), np.int64)
         for k, step in enumerate(self.steps):
-            at, made = np.zeros(len(text_of), np.int32), np.ones(len(text_of), np.int32)
+            at, made = np.zeros(len(text_of), np.int32), np.zeros(len(text_of), np.int32)
             for j in range(SEGMENT):
                 to = step.take(at + grid[j])
                 made += to >> 30
@@ -158,6 +158,7 @@ def build(samples: dict[str, list[str]], train_chars: int) -> LanguageModel:
         trans = suffix_automaton(sym[:train_chars].tolist(), width)
         root = np.where(trans[0] >= 0, trans[0], 0)
         step = np.where(trans >= 0, trans * width, root * width + NEW_PHRASE)
+        step[0] = root * width + NEW_PHRASE  # the first state stands between phrases
         step[:, -1] = np.arange(len(trans)) * width
         steps.append(step.astype(np.int32).ravel())
     return LanguageModel(langs, table, steps, width)

@@ -90,15 +90,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         repeats = runs.add(lines.filter(F.col("batch") == b)).withColumn("batch", F.lit(b))
         found = repeats if found is None else found.unionByName(repeats)
     drops = lines.join(found, [*KEY, "batch"]).filter("id > first").groupBy("id", "of").agg(F.collect_set("pos").alias("drop"))
-    # The texts are dealt out by id once; what meets them is a list of positions for each.
-    own = [f"_{c}" for c in ("id", "of", "lines", "drop")]
-    rows = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(row, ("id", "of"), strict=True)])
-    rows = rows.join(drops.select(F.col("id").alias("_id"), F.col("of").alias("_of"), F.col("drop").alias("_drop")), ["_id", "_of"], "left")
-    rows = rows.select("*", F.split(text, "\n").alias("_lines"))
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")), lambda i: F.get("_lines", i))
-    kept = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    counts = {"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
-    return rows.withColumns({text_col: kept} | counts).drop(*own).select(*[c for c in docs.columns if c not in counts], *counts)
+    # The texts are dealt out by id once; what meets them is a list of positions for each.  A row travels
+    # as one column, so that its names clash with none here.
+    rows = docs.select(F.struct("*").alias("row"), *row, F.split(text, "\n").alias("lines"))
+    rows = rows.join(drops, ["id", "of"], "left")
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop")), lambda i: F.get("lines", i))
+    kept = F.when(F.col("drop").isNull(), F.col("row")[text_col]).otherwise(F.array_join(stay, "\n"))
+    counts = [F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")]
+    return rows.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], *counts)
 
 
 ORACLE = r"""

@@ -205,8 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
     grain = 1 << 40
     chosen = known.filter(F.pmod(F.xxhash64("k"), F.lit(grain)) < min(grain, sample * grain // many))
     # About `sample` rows of two numbers: what is broadcast has a bound.
-    rows = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars).join(F.broadcast(chosen), F.col(id_col) == F.col("k"))
-    got = described(rows.select("k", "y", F.col(text_col).cast("string").alias("text")), {"k": dict(known.dtypes)["k"], "y": "double"}).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("k"))
+    got = described(rows.select("k", "y", "text"), {"k": dict(known.dtypes)["k"], "y": "double"}).collect()
     got = sorted(got, key=lambda r: (r.k, r.x))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]) if got else np.zeros((0, FEATURES))
     return learn(x, np.array([r.passages for r in got], np.int64), np.array([r.y for r in got]))

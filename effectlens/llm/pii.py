@@ -172,10 +172,12 @@ def redact(text: Column, spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with their texts redacted; a null text stays null."""
-    found = find(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), F.col("of").alias("_of"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_of"])
+    found = find(docs, id_col, text_col, **how).select(F.col(id_col).alias("id"), "of", "spans").dropDuplicates(["id", "of"])
     of = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    out = docs.withColumn("_h", of).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")))
-    return out.withColumn(text_col, redact(F.col(text_col).cast("string"), F.col("_spans"))).select(*docs.columns)
+    # A row travels as one column, so that its names clash with none here.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), of.alias("own_of"))
+    out = rows.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_of") == F.col("of")))
+    return out.select(*[(redact(F.col("row")[c].cast("string"), F.col("spans")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def as_text(spans: Column) -> Column:

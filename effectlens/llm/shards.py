@@ -99,8 +99,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         (F.col("rows_before") + F.row_number().over(order) - 1).alias("nth"),
     )
     put = stored(put, "shard-places")
+    # One row per shard: its size is bounded by their number.
     firsts = put.groupBy("shard").agg(F.min("nth").alias("first"))
-    out = put.join(firsts, "shard").select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("nth") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = put.join(F.broadcast(firsts), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("nth") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     return out
 
 
