@@ -310,16 +310,18 @@ def expectation(model: Model) -> np.ndarray:
     return np.array(model.base) + model.learning_rate * sum((expectations(t, set())[0] for t in model.trees), np.zeros(len(model.base)))
 
 
-def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None) -> DataFrame:
-    """(fold, trial, score, model): a model per fold and trial, fitted on the rows of the other folds.
+def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None, own_trial: bool = False) -> DataFrame:
+    """(fold, trial, score, best_iteration, model): a model per fold and trial, or of each fold with the trial of its number.
 
-    Rows are dealt to the fits that use them; each fit is one task, so a fit's rows must fit in a
+    A fold's model is fitted on the rows of the other folds.  Rows are dealt to the fits that use them; each fit is one task, so a fit's rows must fit in a
     worker.  score is the validation loss on the fold itself, negated.
     """
     spark = rows.sparkSession
     trials = trials or [{}]
     folds = rows.select(F.col(fold).alias("_fit")).distinct()
     tasks = folds.crossJoin(spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trials)], "trial int, overrides string"))
+    if own_trial:
+        tasks = tasks.filter(F.col("_fit") == F.col("trial"))
     dealt = rows.crossJoin(F.broadcast(tasks))  # one row per fold and trial: a few hundred at most
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

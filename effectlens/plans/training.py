@@ -127,11 +127,8 @@ def tune(rows: DataFrame, c: Contract) -> dict[int, dict]:
 
 def fit_all(rows: DataFrame, c: Contract, trials: dict[int, dict], features: list[str], categorical: list[str], stretch: int = 1, stop: int = 0) -> DataFrame:
     """(fold, model): of each outer fold with its own parameters."""
-    parts = None
     listed = [t | {"iterations": t["iterations"] * stretch} for _, t in sorted(trials.items())]
-    fits = B.fit_folds(rows, "fold", features, categorical, c.targets, c.params({"early_stopping_rounds": stop}), listed)
-    parts = fits.filter(F.col("fold") == F.col("trial"))
-    return parts.select("fold", "model")
+    return B.fit_folds(rows, "fold", features, categorical, c.targets, c.params({"early_stopping_rounds": stop}), listed, own_trial=True).select("fold", "model")
 
 
 def with_shadows(rows: DataFrame, c: Contract, salt: int = 0) -> DataFrame:
