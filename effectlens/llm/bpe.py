@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectlens.llm.shared import slices
+from effectlens.llm.shared import frugal, slices, small_batches
 
 NONE = np.int64(1 << 40)
 LONG_WORD = 400
@@ -254,7 +254,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     The tokenizer's file must be on every executor under the same path, as a library's file is.
     """
     id_type = dict(docs.dtypes)[id_col]
+    small_batches(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
         try:

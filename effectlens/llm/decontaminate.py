@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectlens.llm.shared import slices, stored
+from effectlens.llm.shared import frugal, slices, small_batches, stored
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -157,6 +157,7 @@ class Index:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5, shard_items: int = 20_000, shard_bytes: int = 16 << 20) -> DataFrame:
     """(id, item, score, overlap, question_overlap, answer_overlap, first_word): what each document holds of the items."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +181,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         df = {r.term: r.df for r in part.select(F.explode("terms").alias("term")).distinct().join(counted, "term").collect()}
         shared = spark.sparkContext.broadcast(Index.build(texts, df, many, mean, share))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index: Index = shared.value
             for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effectlens.llm.shared import slices
+from effectlens.llm.shared import frugal, slices, small_batches
 
 SEGMENT = 256
 MOST_LETTERS = 120
@@ -184,12 +184,14 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(id, lang_pred, score, phrase_rate), after the columns to carry along."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MOST_LANGS automata of train_chars symbols
     carry = carry or [id_col]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("t"))
 
     names = [*rows.columns[:-1], "lang_pred", "score", "phrase_rate"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

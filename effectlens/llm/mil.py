@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectlens.llm.neardup import WordHashes, mixed
-from effectlens.llm.shared import slices
+from effectlens.llm.shared import frugal, slices, small_batches
 
 PASSAGE = 64
 BUCKETS = 32
@@ -182,7 +182,9 @@ def learn(x: np.ndarray, pieces: np.ndarray, y: np.ndarray, hidden: int = 24, at
 
 def described(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(columns, passages, x): the packed descriptions of each row's text; columns are names and types before the text."""
+    small_batches(rows.sparkSession)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -215,8 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, passages): score is the chance of label 1."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = shared.value, WordHashes()
         for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from effectlens.llm.components import components
-from effectlens.llm.shared import slices, stored
+from effectlens.llm.shared import frugal, slices, small_batches, stored
 
 BATCH_BYTES = 1_000_000
 KNOWN_WORDS = 150_000
@@ -100,6 +100,7 @@ def digest(s: np.ndarray) -> bytes:
 def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     """(id, n_shingles, same, bands): same is a digest of the set, null for an empty one."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -124,6 +125,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
 def with_sets(members: DataFrame, width: int) -> DataFrame:
     """(cluster, id, same, text) to (cluster, id, n, packed): the set of each text that has the digest asked for."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -187,6 +189,7 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
             links &= side[:, None] != side[None, :]
         return [(ids[i], ids[j]) for i, j in forest(links)]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
@@ -208,6 +211,7 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 32, rows: int = 8, block: int = 1024) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row per row of docs."""
+    small_batches(docs.sparkSession)
     marks = stored(signed(docs, id_col, text_col, width, bands, rows), "signatures")
     classes = marks.filter("id IS NOT NULL AND same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
