@@ -1,4 +1,4 @@
-"""Command line: train, predict, infer, check-env."""
+"""Command line: train, predict, infer, report, run (train, predict and report in turn), check-env."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def check_env() -> int:
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="effectlens")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("train", "predict"):
+    for name in ("train", "predict", "report", "run"):
         commands.add_parser(name).add_argument("--config", required=True)
     infer = commands.add_parser("infer")
     for name in ("--config", "--data", "--output-subdir"):
@@ -30,16 +30,19 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from effectlens.plans import training
+    from effectlens.plans.report import report
     from effectlens.sources.files import load_config
 
     config = load_config(given.config)
     out = config["paths"]["output_dir"]
     spark = SparkSession.builder.appName("effectlens").getOrCreate()
-    if given.command == "train":
+    if given.command in ("train", "run"):
         training.train(spark, config["paths"]["input_data"], config, out)
-    elif given.command == "predict":
+    if given.command in ("predict", "run"):
         training.predict(spark, out)
-    else:
+    if given.command in ("report", "run"):
+        report(spark, out)
+    if given.command == "infer":
         training.infer(spark, out, given.data, f"{out}/{given.output_subdir}")
     return 0
 

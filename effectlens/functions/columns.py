@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def hash_index(n: Column, *parts) -> Column:
     return F.pmod(F.conv(F.substring(hashed(*parts), 1, 8), 16, 10).cast("long"), n)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(c: Column) -> Column:
     """The letters, digits and underscores of a name."""
     return F.regexp_replace(c, "[^a-zA-Z0-9_]", "")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from effectlens.sources.scratch import stored
+
 
 def pairs_of(features: DataFrame, name: str = "feature") -> DataFrame:
     """(i, j) of all feature pairs, i before j: features, not rows, so the product is small."""
@@ -73,13 +75,21 @@ def fold_average(effects: DataFrame, folds: int, zero_filled: bool) -> DataFrame
     return effects.groupBy("row", "eff").agg((total / folds if zero_filled else total / F.count("phi")).alias("phi"))
 
 
-def summary(boots: DataFrame, value: str, by: list[str], alpha: float = 0.05, prefix: str | None = None) -> DataFrame:
-    """(by, mean, ci_low, ci_high, stability) of one statistic; nulls are passed over."""
-    p = prefix or value
-    q = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2)))
-    out = boots.groupBy(*by).agg(F.avg(value).alias(f"{p}_value"), q.alias("q"))
-    width = F.get("q", 2) - F.get("q", 0)
-    return out.select(*by, f"{p}_value", F.get("q", 0).alias(f"{p}_ci_low"), F.get("q", 2).alias(f"{p}_ci_high"), F.when(width > 1e-12, F.get("q", 1) / F.when(width > 1e-12, width)).otherwise(0.0).alias(f"{p}_stab"))
+def spread(value: str, alpha: float = 0.05) -> list[Column]:
+    """Aggregates that a statistic's summary needs; nulls are passed over."""
+    return [F.avg(value).alias(f"{value}_value"), F.percentile(value, F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2))).alias(f"{value}_q3")]
+
+
+def described(value: str) -> list[Column]:
+    """Mean, interval and stability (median by width, 0 where there is none) from these aggregates."""
+    low, mid, high = (F.get(f"{value}_q3", i) for i in range(3))
+    stable = F.when(high - low > 1e-12, mid / F.when(high - low > 1e-12, high - low)).otherwise(0.0)
+    return [F.col(f"{value}_value"), low.alias(f"{value}_ci_low"), high.alias(f"{value}_ci_high"), stable.alias(f"{value}_stab")]
+
+
+def summary(boots: DataFrame, value: str, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """(by, value, ci_low, ci_high, stab) of one statistic."""
+    return boots.groupBy(*by).agg(*spread(value, alpha)).select(*by, *described(value))
 
 
 STATISTICS = ("m", "v", "gii")
@@ -113,17 +123,18 @@ def bh(df: DataFrame, p: str, q: str, tie: str) -> DataFrame:
 
 def statistics(boots: DataFrame, shadows: DataFrame, n_boot: int, alpha: float = 0.05, stab_thresh: float = 2.0, fdr: bool = True) -> DataFrame:
     """The final table: value, interval, p, q, stability and significance of each statistic, and failures of V."""
+    # A few rows for each resample: written down once, for all that follows.
+    boots, shadows = stored(boots, "boots"), stored(shadows, "shadow-boots")
     if not shadows.take(1):
         raise ValueError("no shadow effects: nothing to calibrate against")
     held = with_noise(boots, shadows)
-    keys = ["eff", "stratum"]
-    out = held.groupBy(*keys).agg(
+    out = held.groupBy("eff", "stratum").agg(
         *[exceedance(s, n_boot).alias(f"{s}_p") for s in STATISTICS],
         F.avg(F.col("v").isNull().cast("int")).alias("v_failure_rate"),
         F.every(F.col("v").isNull()).alias("calc_failed"),
+        *[x for s in STATISTICS for x in spread(s, alpha)],
     )
-    for s in STATISTICS:
-        out = out.join(summary(boots, s, keys, alpha), keys)
+    out = stored(out.select("eff", "stratum", *[f"{s}_p" for s in STATISTICS], "v_failure_rate", "calc_failed", *[x for s in STATISTICS for x in described(s)]), "statistics")
     for s in STATISTICS:
         out = bh(out, f"{s}_p", f"{s}_q", "eff") if fdr else out.withColumn(f"{s}_q", F.col(f"{s}_p"))
         out = out.withColumn(f"{s}_sig", F.coalesce((F.col(f"{s}_q") < alpha) & (F.col(f"{s}_stab") >= stab_thresh), F.lit(False)))

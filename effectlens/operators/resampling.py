@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from effectlens.functions.columns import hash_index, hashed
+from effectlens.functions.columns import hash_index, hashed, let
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "k", lead: Column | None = None, parts: int = 64) -> DataFrame:
@@ -21,7 +21,7 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "k", lead: Colum
     cuts = marked.agg(F.percentile_approx("_lead", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
     bounds = F.array(*[F.lit(c) for c in cuts])
-    part = F.size(F.filter(bounds, lambda b: b < F.col("_lead"))) if cuts else F.lit(0)
+    part = let(F.col("_lead"), lambda x: F.size(F.filter(bounds, lambda b: b < x))) if cuts else F.lit(0)
     marked = marked.withColumn("_part", part)
     counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
@@ -79,6 +79,25 @@ def shadow(df: DataFrame, key: str, columns: list[str], seed: int, fold: int = 0
     return out.drop("k")
 
 
+def shadow_by_fold(df: DataFrame, key: str, columns: list[str], fold: str, seed: int) -> DataFrame:
+    """(key, shadow_<c>...): values permuted within each fold, all folds at once.
+
+    Both orders start with the fold, so equal places lie in one fold.
+    """
+
+    def order(salt: str) -> tuple[DataFrame, list[Column], Column]:
+        marked = df.withColumn("_h", hashed(seed, salt, F.col(fold), F.col(key)))
+        return marked, [F.col(fold), F.col("_h"), F.col(key)], F.col(fold).cast("long") * F.lit(1 << 48) + hash_lead(F.col("_h"))
+
+    marked, by, lead = order("place")
+    out = dense_index(marked.select(key, fold, "_h"), by, "k", lead).select(key, "k")
+    for c in columns:
+        marked, by, lead = order(c)
+        moved = dense_index(marked.select(key, fold, "_h", F.col(c).alias("_c")), by, "k", lead)
+        out = out.join(moved.select("k", F.col("_c").alias(f"shadow_{c}")), "k")
+    return out.drop("k")
+
+
 def bootstrap_indices(spark, n: int, n_boot: int, seed: int) -> DataFrame:
     """(b, slot, k): the place k drawn for each slot of each resample."""
     slots = spark.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))

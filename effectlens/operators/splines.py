@@ -186,3 +186,26 @@ def variability_by(df: DataFrame, by: list[str], n_knots: int = 4, degree: int =
         return pd.DataFrame([out | {"m": m, "v": v, "gii": None if v is None else float(np.sqrt(m * v))}])
 
     return df.groupBy(*by).applyInPandas(one, schema)
+
+
+def trend(df: DataFrame, by: list[str], x: str, y: str, points: int = 100, n_knots: int = 4, degree: int = 3) -> DataFrame:
+    """(by, x, fit) of the spline through each group's points, on an even grid: for display."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", x double, fit double"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf.dropna(subset=[x, y]).sort_values(x, kind="stable")
+        xs, ys = known[x].to_numpy(float), known[y].to_numpy(float)
+        if not len(xs):
+            return pd.DataFrame({c: [] for c in [*by, "x", "fit"]})
+        grid = np.linspace(xs[0], xs[-1], points)
+        knots = interior_knots(xs, n_knots)
+        k = degree_for(knots, degree)
+        if xs[0] == xs[-1]:
+            fitted = np.full(points, ys.mean())
+        else:
+            b, _ = basis(xs, knots, k, xs[0], xs[-1])
+            fitted = basis(grid, knots, k, xs[0], xs[-1])[0] @ np.linalg.lstsq(b, ys, rcond=None)[0]
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * points for c in by} | {"x": grid, "fit": fitted})
+
+    return df.groupBy(*by).applyInPandas(one, schema)

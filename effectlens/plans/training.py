@@ -6,9 +6,10 @@ contract between the three: the resolved configuration, roles, levels, classes,
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlens.functions.columns import stratum
@@ -90,7 +91,9 @@ def prepare(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, Co
         raise ValueError("no row has all outcomes")
     selector = FeatureSelector(config["features"]).fit([c for c in raw.columns if c != ROW], outcomes, [id_col] if id_col else [])
     resolved, _ = C.resolve(config, n)
-    missing = E.missingness(raw, [*selector.roles, outcomes[0]])
+    missing = stored(E.missingness(raw, [*selector.roles, outcomes[0]]), "missingness")
+    for r in missing.filter("missing_rate > 0.1").collect():
+        warnings.warn(f"{r.feature}: {r.missing_rate:.0%} missing")
     roles = {f: r for f, r in selector.roles.items() if f not in E.all_missing(raw, list(selector.roles))}
     task = resolved["modeling"]["task_type"]
     for f, r in roles.items():
@@ -133,13 +136,7 @@ def fit_all(rows: DataFrame, c: Contract, trials: dict[int, dict], features: lis
 
 def with_shadows(rows: DataFrame, c: Contract, salt: int = 0) -> DataFrame:
     """rows with each feature's values permuted within every fold beside it."""
-    seed = c.config["execution"]["random_seed"]
-    out = None
-    for k in range(c.config["modeling"]["cv_folds"]):
-        part = rows.filter(F.col("fold") == k)
-        moved = part.join(R.shadow(part, ROW, c.features, seed + salt, k), ROW)
-        out = moved if out is None else out.unionByName(moved)
-    return out
+    return rows.join(R.shadow_by_fold(rows, ROW, c.features, "fold", c.config["execution"]["random_seed"] + salt), ROW)
 
 
 def train(spark: SparkSession, path: str, config: dict, out: str) -> Contract:
@@ -209,28 +206,30 @@ def performance(rows: DataFrame, preds: DataFrame, c: Contract) -> tuple[DataFra
     return scores, tests
 
 
-def resampled_effects(effects: DataFrame, values: DataFrame, roles: dict[str, str], n_boot: int, seed: int, n_knots: int, degree: int, threshold: int) -> DataFrame:
+def resampled_effects(effects: DataFrame, values: DataFrame, roles: dict[str, str], n_boot: int, seed: int, n_knots: int, degree: int, threshold: int, unit: Column | None = None) -> DataFrame:
     """(b, slice, eff, stratum, m, v, gii) of effects (row, slice, eff, i, j, phi) and values (row, feature, x).
 
     Rows, not effects, are drawn: all effects of a resample, real or shadow, see the same rows.
     Effects of discrete features take the two-step aggregation; the others go to the spline kernel,
-    a (resample, effect) to a task.  Rows where an effect is absent count as 0.
+    a (resample, effect) to a task.  Rows where an effect is absent count as 0.  unit, of a row's name,
+    tells what is drawn: rows of one unit come along together.
     """
-    spark = effects.sparkSession
-    rows = stored(R.dense_index(values.select("row").distinct().withColumn("_h", F.md5("row")), [F.col("_h"), F.col("row")], "k", R.hash_lead(F.col("_h"))).select("row", "k"), "row-places")
-    drawn = R.bootstrap_counts(spark, rows.count(), n_boot, seed).join(rows, "k").select("b", "row", "times")
+    spark, unit = effects.sparkSession, F.col("row") if unit is None else unit
+    units = values.select(unit.alias("unit")).distinct().withColumn("_h", F.md5("unit"))
+    units = stored(R.dense_index(units, [F.col("_h"), F.col("unit")], "k", R.hash_lead(F.col("_h"))).select("unit", "k"), "places")
+    drawn = R.bootstrap_counts(spark, units.count(), n_boot, seed).join(units, "k").select("b", "unit", "times")
     kinds = spark.createDataFrame(sorted(roles.items()), "feature string, role string")
     nature = values.groupBy("feature").agg(F.count_distinct("x").alias("n")).join(kinds, "feature").select("feature", (F.col("role") == "nominal").alias("nominal"), "role", (X.nature(F.col("n"), F.col("role"), threshold) == "discrete").alias("discrete"))
     side = lambda k: nature.select(F.col("feature").alias(k), F.col("nominal").alias(f"nominal_{k}"), F.col("role").alias(f"role_{k}"), F.col("discrete").alias(f"discrete_{k}"))
     listed = effects.select("slice", "eff", "i", "j").distinct().join(side("i"), "i").join(side("j"), "j", "left")
     listed = listed.withColumn("stratum", stratum(F.col("role_i"), F.when(F.col("j").isNotNull(), F.coalesce("role_j", F.lit("continuous")))))
     listed = listed.withColumn("plain", F.col("discrete_i") & F.coalesce("discrete_j", F.lit(True)))
-    grid = F.broadcast(listed).join(values.select("row", F.col("feature").alias("i"), F.col("x").alias("x1")), "i")
+    grid = listed.join(values.select("row", F.col("feature").alias("i"), F.col("x").alias("x1")), "i")
     grid = grid.join(values.select("row", F.col("feature").alias("j"), F.col("x").alias("x2")), ["row", "j"], "left")
     full = grid.join(effects.select("row", "slice", "eff", "phi"), ["row", "slice", "eff"], "left").withColumn("phi", F.coalesce("phi", F.lit(0.0)))
-    full = stored(full.select("row", "slice", "eff", "stratum", "plain", "x1", "x2", F.col("nominal_i").alias("nominal1"), F.coalesce("nominal_j", F.lit(False)).alias("nominal2"), F.col("j").isNotNull().alias("paired"), "phi"), "effect-rows")
+    full = stored(full.select(unit.alias("unit"), "slice", "eff", "stratum", "plain", "x1", "x2", F.col("nominal_i").alias("nominal1"), F.coalesce("nominal_j", F.lit(False)).alias("nominal2"), F.col("j").isNotNull().alias("paired"), "phi"), "effect-rows")
     by = ["b", "slice", "eff", "stratum"]
-    sampled = drawn.join(full, "row")
+    sampled = drawn.join(full, "unit")
     plain = sampled.filter("plain AND (NOT paired OR (x1 IS NOT NULL AND x2 IS NOT NULL))")
     smooth = sampled.filter("NOT plain").select(*by, "x1", "x2", "nominal1", "nominal2", "paired", "phi", "times")
     return X.variability(plain, by, ["x1", "x2"], times="times").unionByName(S.variability_by(smooth, by, n_knots, degree, threshold))
@@ -248,7 +247,17 @@ def numeric_values(rows: DataFrame, c: Contract, names: list[str]) -> DataFrame:
     return out
 
 
-def importance(rows: DataFrame, models: DataFrame, c: Contract) -> tuple[DataFrame, DataFrame]:
+def every_fold(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """rows once for each model, their names marked with its fold."""
+    folds = models.select("fold").distinct()
+    return rows.drop("fold").crossJoin(F.broadcast(folds)).withColumn(ROW, F.concat_ws("|", ROW, F.col("fold").cast("string")))
+
+
+def without_fold(row: str = "row") -> Column:
+    return F.regexp_replace(row, r"\|\d+$", "")
+
+
+def importance(rows: DataFrame, models: DataFrame, c: Contract, unit: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(stats, real effects) from models of features and shadows; every fold's shadows are drawn anew."""
     doubled = stored(with_shadows(rows, c, salt=1000), "shadowed")
     names = [*c.features, *[f"shadow_{f}" for f in c.features]]
@@ -259,7 +268,7 @@ def importance(rows: DataFrame, models: DataFrame, c: Contract) -> tuple[DataFra
     roles = {f: c.roles[f.removeprefix("shadow_")] for f in names}
     values = stored(numeric_values(doubled, c, names), "values")
     shape = (boot["n_boot"], seed, spline["n_knots"], spline["degree"], spline["discrete_threshold"])
-    all_boots = stored(resampled_effects(found.filter(is_real | is_shadow), values, roles, *shape), "boots")
+    all_boots = stored(resampled_effects(found.filter(is_real | is_shadow), values, roles, *shape, unit), "boots")
     shadow_eff = F.col("eff").startswith("shadow_")
     out = None
     for s in [r[0] for r in all_boots.select("slice").distinct().orderBy("slice").collect()]:
@@ -295,12 +304,14 @@ def predict(spark: SparkSession, run: str) -> None:
 
 def infer(spark: SparkSession, run: str, path: str, out: str) -> None:
     """Ensemble predictions for new rows; scores where their outcomes are known."""
-    c, models, _ = load(spark, run)
+    c, models, shadow_models = load(spark, run)
     raw = E.clean_strings(read_table(spark, path))
     if missing := [f for f in c.features if f not in raw.columns]:
         raise KeyError(f"missing columns: {', '.join(missing)}")
     known = [o for o in c.outcomes if o in raw.columns]
     raw = with_row_id(raw.withColumns({o: F.lit(None).cast("double") for o in c.outcomes if o not in known}), c.id_col if c.id_col in raw.columns else None)
+    for r in E.missingness(raw, c.features).filter("missing_rate > 0.5").collect():
+        warnings.warn(f"{r.feature}: {r.missing_rate:.0%} missing in the new data")
     rows = stored(E.supervised(with_targets(E.encode(raw, c.roles, c.levels, keep=[ROW, *c.outcomes]), c), c.outcomes), "new-rows")
     each = stored(B.predict_folds(rows, models, "fold", ROW, c.categorical, every=True), "each-model")
     size = len(c.targets)
@@ -320,4 +331,10 @@ def infer(spark: SparkSession, run: str, path: str, out: str) -> None:
                 one = df.agg(M.scorer(name)(y, p, t).alias("score")).select(F.lit(k).alias("fold"), F.lit(f"{name} {target}").alias("metric"), "score")
                 parts = one if parts is None else parts.unionByName(one)
         write_csv(M.with_mean_and_std(parts, "fold", "metric", "score"), f"{out}/performance_per_model")
+    expanded = stored(every_fold(rows, shadow_models), "rows-by-model")
+    R.require_equal_clusters(expanded.select(without_fold(ROW).alias("unit")), "unit")
+    stats, real = importance(expanded, shadow_models, c, without_fold())
+    write_csv(stats.orderBy("slice", *X.final_order()), f"{out}/shap_stats_global")
+    averaged = X.fold_average(real.filter("slice = 0").withColumn("row", without_fold()), models.count(), zero_filled=True)
+    write_parquet(averaged, f"{out}/effects")
     save_json({"run": run, "data": path, "supervised": bool(known)}, f"{out}/inference_metadata.json")

@@ -40,8 +40,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Strings become long or double where every value allows it: one aggregation over all columns."""
-    tests = {"long": r"^[+-]?\d{1,18}$", "double": r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"}
+    """Strings become boolean, long or double where every value allows it: one aggregation over all columns."""
+    tests = {"boolean": r"^(true|True|TRUE|false|False|FALSE)$", "long": r"^[+-]?\d{1,18}$", "double": r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"}
     one = df.agg(*[F.coalesce(F.every(F.col(f"`{c}`").rlike(t)), F.lit(False)).alias(f"{i}|{kind}") for i, c in enumerate(df.columns) for kind, t in tests.items()]).first()
     kind = [next((k for k in tests if one[f"{i}|{k}"]), "string") for i in range(len(df.columns))]
     return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in zip(df.columns, kind, strict=True)])

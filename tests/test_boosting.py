@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from effectlens.operators import boosting as B
 from effectlens.plans import modelling, training
 from effectlens.plans.catalogue import QUERIES
+from effectlens.plans.report import report
 from tests.against import SF
 
 
@@ -95,7 +96,7 @@ def test_train_predict_infer(spark, tmp_path, outcome, task):
     df["y"] = df.age * 0.5 + (df.level == "high") * 10 + rng.normal(0, 3, n)
     df["z"], df["k"], df["c"] = -df.y, (df.y > df.y.median()).astype(int), pd.cut(df.y, 3, labels=["p", "q", "r"]).astype(str)
     df.to_csv(tmp_path / "train.csv", index=False)
-    df.drop(columns=["z"]).assign(extra=1).to_csv(tmp_path / "new.csv", index=False)
+    df.assign(extra=1).to_csv(tmp_path / "new.csv", index=False)
     config = {
         "data": {"id": "rid"},
         "features": {"continuous": [{"pattern": "age"}], "ordinal": [{"pattern": "level", "levels": ["low", "mid", "high"]}], "nominal": [{"pattern": "group"}]},
@@ -114,8 +115,14 @@ def test_train_predict_infer(spark, tmp_path, outcome, task):
         stats = spark.read.csv(f"{run}/shap_stats_global", header=True)
         assert stats.filter(F.col("eff") == "age").count() == (3 if outcome == "c" else 1)
         assert spark.read.csv(f"{run}/performance", header=True).count() >= 3
-    training.infer(spark, run, str(tmp_path / "new.csv"), f"{run}/new")
-    assert spark.read.csv(f"{run}/new/predictions", header=True).count() == n
+        report(spark, run)
+        assert spark.read.csv(f"{run}/report/performance", header=True).count() >= 3
+        assert spark.read.csv(f"{run}/report/trends", header=True).count() > 0
+    if outcome == "y":
+        training.infer(spark, run, str(tmp_path / "new.csv"), f"{run}/new")
+        assert spark.read.csv(f"{run}/new/predictions", header=True).count() == n
+        assert spark.read.parquet(f"{run}/new/effects").groupBy("eff").count().filter(F.col("count") > n).count() == 0
+        assert spark.read.csv(f"{run}/new/shap_stats_global", header=True).count() >= 3
 
 
 def test_rare_class_is_an_error(spark, tmp_path):
