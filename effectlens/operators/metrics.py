@@ -64,9 +64,14 @@ def scorer(name: str):
     return SCORERS[name]
 
 
-def auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = ()) -> DataFrame:
+def weight(times: str | None) -> Column:
+    return F.col(times) if times else F.lit(1)
+
+
+def auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = (), times: str | None = None) -> DataFrame:
     """(by, auc) by average ranks.  Rows are first counted per distinct score, and the ranks run over those."""
-    counts = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
+    t = weight(times)
+    counts = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, t).otherwise(0)).alias("pos"), F.sum(t).alias("n"))
     below = F.sum("n").over(W.partitionBy(*by).orderBy(p)) - F.col("n")
     ranked = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
     n1, n = F.sum("pos"), F.sum("n")
@@ -74,33 +79,34 @@ def auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = ()) -> DataFr
     return ranked.groupBy(*by).agg(value.alias("auc"))
 
 
-def confusion(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    return df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = (), times: str | None = None) -> DataFrame:
+    return df.groupBy(*by, F.col(y).alias("y"), F.col(p).alias("p")).agg(F.sum(weight(times)).alias("n"))
 
 
-def per_class(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """(class, support, predicted, hits) from the confusion counts."""
-    c = confusion(df, y, p)
-    sides = c.select(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).alias("predicted"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hits"))
-    sides = sides.unionByName(c.select(F.col("p").alias("class"), F.lit(0).alias("support"), F.col("n").alias("predicted"), F.lit(0).alias("hits")))
-    return sides.groupBy("class").agg(*[F.sum(x).cast("long").alias(x) for x in ("support", "predicted", "hits")])
+def per_class(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = (), times: str | None = None) -> DataFrame:
+    """(by, class, support, predicted, hits) from the confusion counts."""
+    c = confusion(df, y, p, by, times)
+    sides = c.select(*by, F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).alias("predicted"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hits"))
+    sides = sides.unionByName(c.select(*by, F.col("p").alias("class"), F.lit(0).alias("support"), F.col("n").alias("predicted"), F.lit(0).alias("hits")))
+    return sides.groupBy(*by, "class").agg(*[F.sum(x).cast("long").alias(x) for x in ("support", "predicted", "hits")])
 
 
-def balanced_accuracy(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    return per_class(df, y, p).filter("support > 0").agg(F.avg(F.col("hits") / F.col("support")).alias("balanced_accuracy"))
+def balanced_accuracy(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = (), times: str | None = None) -> DataFrame:
+    return per_class(df, y, p, by, times).filter("support > 0").groupBy(*by).agg(F.avg(F.col("hits") / F.col("support")).alias("balanced_accuracy"))
 
 
-def f1_weighted(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def f1_weighted(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = (), times: str | None = None) -> DataFrame:
     each = F.coalesce(F.try_divide(2 * F.col("hits"), F.col("support") + F.col("predicted")), F.lit(0.0))
-    return per_class(df, y, p).agg((F.sum(F.col("support") * each) / F.sum("support")).alias("f1_weighted"))
+    return per_class(df, y, p, by, times).groupBy(*by).agg((F.sum(F.col("support") * each) / F.sum("support")).alias("f1_weighted"))
 
 
-def auc_ovr(df: DataFrame, y: str = "y", probs: str = "probs", classes: int = 2) -> DataFrame:
-    """One row auc_ovr: the AUC of each class against the rest, weighted by how common it is."""
-    long = df.select(F.col(y).alias("cls"), F.posexplode(probs).alias("c", "p")).filter(F.col("c") < classes)
-    long = long.select("c", (F.col("cls") == F.col("c")).cast("int").alias("y"), "p")
-    share = long.groupBy("c").agg(F.avg("y").alias("w"))
-    return auc(long, by=["c"]).join(share, "c").agg((F.sum(F.col("auc") * F.col("w")) / F.sum("w")).alias("auc_ovr"))
+def auc_ovr(df: DataFrame, y: str = "y", probs: str = "probs", classes: int = 2, by: list[str] = (), times: str | None = None) -> DataFrame:
+    """(by, auc_ovr): the AUC of each class against the rest, weighted by how common it is; absent classes don't count."""
+    long = df.select(*by, weight(times).alias("t"), F.col(y).alias("cls"), F.posexplode(probs).alias("c", "p")).filter(F.col("c") < classes)
+    long = long.select(*by, "c", "t", (F.col("cls") == F.col("c")).cast("int").alias("y"), "p")
+    share = long.groupBy(*by, "c").agg((F.sum(F.col("y") * F.col("t")) / F.sum("t")).alias("w"))
+    each = auc(long, by=[*by, "c"], times="t").join(share, [*by, "c"]).filter("auc IS NOT NULL")
+    return each.groupBy(*by).agg((F.sum(F.col("auc") * F.col("w")) / F.sum("w")).alias("auc_ovr"))
 
 
 def argmax(probs: str | Column):

@@ -125,32 +125,70 @@ def require_equal_clusters(rows: DataFrame, cluster: str) -> int:
     return low
 
 
+def by_aggregate(metric):
+    """A metric that is one aggregate of (y, p, times), as a function of tables."""
+
+    def of(df: DataFrame, by: list[str] = (), times: str | None = None) -> DataFrame:
+        return df.groupBy(*by).agg(metric(F.col("y"), F.col("p"), F.col(times) if times else F.lit(1)).alias("value"))
+
+    return of
+
+
 def bootstrap_ci(pairs: DataFrame, key: str, metric, n_boot: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """One row (score, ci_low, ci_high, n_used) of a metric of (y, p); resamples of a single y are left out."""
-    placed = dense_index(pairs.select(key, "y", "p"), [F.col(key)], "k").cache()
+    return bootstrap_ci_of_table(pairs.select(key, "y", "p"), key, metric, n_boot, seed, alpha, aggregate=True)
+
+
+def bootstrap_ci_of_table(pairs: DataFrame, key: str, metric, n_boot: int, seed: int, alpha: float = 0.05, aggregate: bool = False) -> DataFrame:
+    """The same of a metric that takes (table, by, times) and returns (by, value), value by any name.
+
+    An aggregate metric shares its pass over the draws with the search for resamples of a single y.
+    """
+    placed = dense_index(pairs, [F.col(key)], "k", None if dict(pairs.dtypes)[key] != "string" else hash_free_lead(key)).cache()
     drawn = bootstrap_counts(pairs.sparkSession, placed.count(), n_boot, seed).join(placed, "k")
-    by = drawn.groupBy("b").agg(metric(F.col("y"), F.col("p"), F.col("times")).alias("m"), F.min("y").alias("lo"), F.max("y").alias("hi")).filter("lo <> hi")
-    spread = by.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.count("m").alias("n_used"))
-    base = placed.agg(metric(F.col("y"), F.col("p"), F.lit(1)).alias("score"))
+    ends = [F.min("y").alias("lo"), F.max("y").alias("hi")]
+    if aggregate:
+        by = drawn.groupBy("b").agg(metric(F.col("y"), F.col("p"), F.col("times")).alias("value"), *ends).filter("lo <> hi")
+        metric = by_aggregate(metric)
+    else:
+        varied = drawn.groupBy("b").agg(*ends).filter("lo <> hi").select("b")
+        by = metric(drawn, ["b"], "times").toDF("b", "value").join(varied, "b")
+    spread = by.agg(F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.count("value").alias("n_used"))
+    base = metric(placed).toDF("score")
     low, high = (F.coalesce(F.get("q", i), F.col("score")) for i in (0, 1))
     return base.crossJoin(spread).select("score", low.alias("ci_low"), high.alias("ci_high"), "n_used")
 
 
-def permutation_null(pairs: DataFrame, key: str, metric, n_perm: int, seed: int) -> DataFrame:
-    """(b, null): the metric with y permuted against p, once for each b."""
+def hash_free_lead(key: str) -> Column:
+    """A number that never falls along the order of a string: its first six bytes."""
+    head = F.rpad(F.substring(F.hex(F.encode(key, "UTF-8")), 1, 12), 12, "0")
+    return F.conv(head, 16, 10).cast("long")
+
+
+def permuted(pairs: DataFrame, key: str, n_perm: int, seed: int) -> DataFrame:
+    """(b, y, *rest): y permuted against everything else, once for each b."""
+    rest = [c for c in pairs.columns if c not in (key, "y")]
     runs = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("b")
-    expanded = pairs.select(key, "y", "p", runs).withColumn("h", hashed(seed, "perm", F.col("b"), F.col(key)))
-    by_key = W.partitionBy("b").orderBy(key)
-    by_hash = W.partitionBy("b").orderBy("h", key)
-    left = expanded.select("b", "p", F.row_number().over(by_key).alias("r"))
-    right = expanded.select("b", "y", F.row_number().over(by_hash).alias("r"))
-    return left.join(right, ["b", "r"]).groupBy("b").agg(metric(F.col("y"), F.col("p"), F.lit(1)).alias("null"))
+    expanded = pairs.select(key, "y", *rest, runs).withColumn("_h", hashed(seed, "perm", F.col("b"), F.col(key)))
+    left = expanded.select("b", *rest, F.row_number().over(W.partitionBy("b").orderBy(key)).alias("_r"))
+    right = expanded.select("b", "y", F.row_number().over(W.partitionBy("b").orderBy("_h", key)).alias("_r"))
+    return left.join(right, ["b", "_r"]).drop("_r")
+
+
+def permutation_null(pairs: DataFrame, key: str, metric, n_perm: int, seed: int) -> DataFrame:
+    """(b, null): a metric that takes (table, by), of each permutation."""
+    return metric(permuted(pairs, key, n_perm, seed), ["b"]).toDF("b", "null")
 
 
 def permutation_test(pairs: DataFrame, key: str, metric, name: str, n_perm: int, seed: int) -> DataFrame:
-    """One row (metric, observed, null_mean, null_std, p_value)."""
-    observed = pairs.agg(metric(F.col("y"), F.col("p"), F.lit(1)).alias("observed"))
-    null = permutation_null(pairs, key, metric, n_perm, seed).crossJoin(F.broadcast(observed))
+    """One row (metric, observed, null_mean, null_std, p_value) of a metric of (y, p)."""
+    return permutation_test_of_table(pairs, key, by_aggregate(metric), name, n_perm, seed)
+
+
+def permutation_test_of_table(pairs: DataFrame, key: str, metric, name: str, n_perm: int, seed: int) -> DataFrame:
+    """The same of a metric that takes (table, by) and returns (by, value)."""
+    observed = metric(pairs).toDF("observed")
+    null = permutation_null(pairs, key, metric, n_perm, seed).crossJoin(F.broadcast(observed))  # one row
     return null.groupBy("observed").agg(
         F.avg("null").alias("null_mean"),
         F.stddev_pop("null").alias("null_std"),

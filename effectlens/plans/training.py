@@ -186,26 +186,34 @@ def pairs(rows: DataFrame, preds: DataFrame, c: Contract) -> dict[str, DataFrame
 def performance(rows: DataFrame, preds: DataFrame, c: Contract) -> tuple[DataFrame, DataFrame]:
     """(target, metric, score, ci_low, ci_high) and (target, metric, observed, null_mean, null_std, p_value)."""
     boot, seed = c.config["shap"]["bootstrapping"], c.config["execution"]["random_seed"]
-    names = ["accuracy"] if c.task in C.CLASSIFICATION else ["neg_rmse", "neg_mae", "r2"]
-    scores, tests = None, None
+    parts: list[tuple[DataFrame, DataFrame]] = []
     for target, df in pairs(rows, preds, c).items():
-        judged = df.withColumn("p", (F.col("p") > 0.5).cast("int")) if c.task == "binary_classification" else df
-        for name in names:
-            f = M.scorer(name)
-            label, score, low, high = M.displayed(name)
-            s = R.bootstrap_ci(judged, ROW, f, boot["n_boot"], seed, boot["alpha"]).select(F.lit(target).alias("target"), F.lit(label).alias("metric"), score.alias("score"), low.alias("ci_low"), high.alias("ci_high"))
-            t = R.permutation_test(judged, ROW, f, label, max(boot["n_boot"], 1000), seed).withColumn("target", F.lit(target))
-            scores, tests = (s, t) if scores is None else (scores.unionByName(s), tests.unionByName(t))
-        if c.task == "binary_classification":
-            one = M.auc(df).select(F.lit(target).alias("target"), F.lit("ROC_AUC").alias("metric"), F.col("auc").alias("score"), F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"))
-            scores = scores.unionByName(one)
-        if c.task == "multiclass_classification":
-            for one in (M.balanced_accuracy(df), M.f1_weighted(df), M.auc_ovr(df.withColumn("y", F.col("y") - 1), probs="pred", classes=len(c.classes))):
-                metric = one.columns[0]
-                scores = scores.unionByName(one.select(F.lit(target).alias("target"), F.lit(metric.upper()).alias("metric"), F.col(metric).alias("score"), F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high")))
+        df = stored(df, "pairs")
+        for label, metric, judged in metrics_for(df, c):
+            name, score, low, high = M.displayed(label)
+            s = R.bootstrap_ci_of_table(judged, ROW, metric, boot["n_boot"], seed, boot["alpha"])
+            t = R.permutation_test_of_table(judged, ROW, metric, name, max(boot["n_boot"], 1000), seed)
+            parts.append((s.select(F.lit(target).alias("target"), F.lit(name).alias("metric"), score.alias("score"), low.alias("ci_low"), high.alias("ci_high")), t.withColumn("target", F.lit(target))))
+    scores, tests = parts[0]
+    for s, t in parts[1:]:
+        scores, tests = scores.unionByName(s), tests.unionByName(t)
     return scores, tests
 
 
+def metrics_for(df: DataFrame, c: Contract) -> list[tuple[str, object, DataFrame]]:
+    """(name, metric of a table, the table that it judges) of each reported metric."""
+    if c.task == "multiclass_classification":
+        ranked = df.withColumn("y", F.col("y") - 1).drop("p")
+        ovr = lambda t, by=(), times=None: M.auc_ovr(t, probs="pred", classes=len(c.classes), by=by, times=times)
+        plain = lambda f: lambda t, by=(), times=None: f(t, by=by, times=times)
+        return [("balanced_accuracy", plain(M.balanced_accuracy), df.drop("pred")), ("f1_weighted", plain(M.f1_weighted), df.drop("pred")), ("roc_auc_ovr", ovr, ranked)]
+    if c.task == "binary_classification":
+        labels = df.withColumn("p", (F.col("p") > 0.5).cast("int"))
+        area = lambda t, by=(), times=None: M.auc(t, by=by, times=times)
+        return [("roc_auc", area, df), ("accuracy", R.by_aggregate(M.scorer("accuracy")), labels)]
+    return [(n, R.by_aggregate(M.scorer(n)), df) for n in ("neg_rmse", "neg_mae", "r2")]
+
+
 def resampled_effects(effects: DataFrame, values: DataFrame, roles: dict[str, str], n_boot: int, seed: int, n_knots: int, degree: int, threshold: int, unit: Column | None = None) -> DataFrame:
     """(b, slice, eff, stratum, m, v, gii) of effects (row, slice, eff, i, j, phi) and values (row, feature, x).
 

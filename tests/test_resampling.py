@@ -83,3 +83,22 @@ def test_metrics_on_corner_cases(spark):
         M.scorer("nope")
     assert M.auc(spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9)], "y int, p double")).first().auc == 0.75
     assert M.displayed("neg_rmse")[0] == "RMSE" and M.displayed("r2")[0] == "R2"
+
+
+def test_table_metrics_weigh_repeats(spark):
+    rows = [(0, 1, 0.9, 2), (0, 0, 0.4, 1), (0, 1, 0.4, 1), (1, 1, 0.1, 1), (1, 0, 0.3, 3)]
+    df = spark.createDataFrame(rows, "b int, y int, p double, t int")
+    flat = spark.createDataFrame([r[:3] for r in rows for _ in range(r[3])], "b int, y int, p double")
+    assert sorted(map(tuple, M.auc(df, by=["b"], times="t").collect())) == sorted(map(tuple, M.auc(flat, by=["b"]).collect())) == [(0, 5 / 6), (1, 0.0)]
+    hard = lambda d: d.withColumn("p", (F.col("p") > 0.35).cast("int"))
+    for f in (M.balanced_accuracy, M.f1_weighted):
+        a, b = f(hard(df), by=["b"], times="t").collect(), f(hard(flat), by=["b"]).collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_interval_and_test_of_an_area(spark):
+    df = spark.range(80).select(F.col("id").cast("string").alias("key"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.col("id") % 7 / 4).alias("p"))
+    area = lambda t, by=(), times=None: M.auc(t, by=by, times=times)
+    got = R.bootstrap_ci_of_table(df, "key", area, 30, 1).first()
+    assert 0.5 < got.ci_low <= got.score <= got.ci_high <= 1 and got.n_used == 30
+    assert R.permutation_test_of_table(df, "key", area, "AUC", 40, 1).first().p_value < 0.1
