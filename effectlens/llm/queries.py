@@ -40,7 +40,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(documents(spark, sf_dir))
+    scored = lm.score(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", "n_seen", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op3_lm_scoring": lm.ORACLE,
     "op6_minhash": neardup.ORACLE,
     "op9_line_dedup": lines.ORACLE,
 }
