@@ -14,7 +14,7 @@ from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import UNKNOWN, fit, fold, identify
 from effectlens.llm.lines import dedup_lines
 from effectlens.llm.neardup import near_duplicates
-from effectlens.llm.queries import tokenizer_path
+from effectlens.llm.queries import token_digests, tokenizer_path
 from effectlens.llm.shared import stored
 
 #: Phrases per letter from which a text is in none of the learned languages: hardly two letters match.
@@ -47,8 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, and of its decoding."""
-    coded = encode_documents(docs, tokenizer_path())
-    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return token_digests(encode_documents(docs, tokenizer_path()))
 
 
 STAGES = [

@@ -24,13 +24,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(documents(spark, sf_dir))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "failed_bits")
-
-
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_documents(documents(spark, sf_dir), tokenizer_path())
+def token_digests(coded: DataFrame) -> DataFrame:
+    """Counts and digests of encoded documents."""
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -39,6 +34,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(documents(spark, sf_dir))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "failed_bits")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_documents(documents(spark, sf_dir), tokenizer_path()))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(documents(spark, sf_dir))
     return scored.select("doc_id", "n_words", "n_seen", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
