@@ -13,6 +13,7 @@ from effectlens.operators import splines as S
 from effectlens.plans.cleaning import LEVELS_SQL, PRIORITIES
 from effectlens.plans.registry import SEED, query, rounded, table
 from effectlens.plans.scoring import DRAW, RUNS, SHADOW, order_rows
+from effectlens.sources.scratch import stored
 
 N_BOOT = 30
 A, B = "o_orderpriority", "o_orderstatus"
@@ -44,15 +45,31 @@ def shadow_rows(spark, sf_dir) -> DataFrame:
     return order_rows(spark, sf_dir).select("o_orderkey", "o_totalprice").join(moved, "o_orderkey")
 
 
-def boots(spark, sf_dir, shadowed: bool = False) -> DataFrame:
-    """(b, eff, stratum, m, v, gii).  Draws are counted per cell before any effect is looked at; real and shadow draw alike."""
-    rows = shadow_rows(spark, sf_dir) if shadowed else order_rows(spark, sf_dir)
+def boots(spark, sf_dir) -> DataFrame:
+    """(b, eff, stratum, m, v, gii).  Draws are counted per cell before any effect is looked at."""
+    rows = order_rows(spark, sf_dir)
     placed = R.dense_index(rows, [F.col("o_orderkey")])
     drawn = R.bootstrap_indices(spark, rows.count(), N_BOOT, SEED).join(placed, "k").groupBy("b", A, B).agg(F.count("*").alias("times"))
+    return of_draws(drawn, rows)
+
+
+def of_draws(drawn: DataFrame, rows: DataFrame) -> DataFrame:
     long = in_long_form(drawn.join(cells(rows).drop("n"), [A, B]), ["b", "times"])
     return X.variability(long, ["b", "eff", "stratum"], ["x"], times="times")
 
 
+def both_boots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Of the features and of their shadows.  Rows are drawn once, and both sides count the same draws."""
+    rows, fake = order_rows(spark, sf_dir), shadow_rows(spark, sf_dir)
+    names = {A: "fake_a", B: "fake_b"}
+    placed = R.dense_index(rows.join(fake.select("o_orderkey", *[F.col(c).alias(n) for c, n in names.items()]), "o_orderkey"), [F.col("o_orderkey")])
+    drawn = R.bootstrap_indices(spark, rows.count(), N_BOOT, SEED).join(placed, "k")
+    drawn = stored(drawn.groupBy("b", A, B, *names.values()).agg(F.count("*").alias("times")), "draws")
+    real = drawn.groupBy("b", A, B).agg(F.sum("times").alias("times"))
+    shadows = drawn.groupBy("b", *[F.col(n).alias(c) for c, n in names.items()]).agg(F.sum("times").alias("times"))
+    return of_draws(real, rows), of_draws(shadows, fake)
+
+
 CELL = """{t}_ab AS (SELECT o_orderpriority AS a, o_orderstatus AS s, avg(o_totalprice) AS v FROM {t} GROUP BY 1, 2),
 {t}_a AS (SELECT o_orderpriority AS a, avg(o_totalprice) AS va FROM {t} GROUP BY 1), {t}_s AS (SELECT o_orderstatus AS s, avg(o_totalprice) AS vs FROM {t} GROUP BY 1),
 {t}_0 AS (SELECT avg(o_totalprice) AS v0 FROM {t}),
@@ -86,7 +103,7 @@ STATS = WITH_BOTH + NOISE + HELD + PVALS + QVALS + SUMS + ", stats AS (SELECT *,
 
 
 def stats(spark, sf_dir) -> DataFrame:
-    return X.statistics(boots(spark, sf_dir), boots(spark, sf_dir, shadowed=True), N_BOOT)
+    return X.statistics(*both_boots(spark, sf_dir), N_BOOT)
 
 
 @query(f"{WITH_REAL} SELECT a AS level, round(any_value(phi_a), 4) AS phi, (SELECT count(*) FROM orders WHERE o_orderpriority = a) AS n FROM real_cell GROUP BY a")
@@ -155,26 +172,27 @@ def gii_stability(spark, sf_dir):
 
 @query(f"{WITH_BOTH}{NOISE} SELECT b::INTEGER AS b, stratum, round(m, 3) AS m, round(v, 3) AS v, round(gii, 3) AS gii FROM noise")
 def noise_stratified_max(spark, sf_dir):
-    return rounded(X.noise(boots(spark, sf_dir, shadowed=True)), 3)
+    return rounded(X.noise(both_boots(spark, sf_dir)[1]), 3)
 
 
 @query(f"""{WITH_BOTH}, few AS (SELECT * FROM fake_boot WHERE stratum <> 'singleton_nominal'), own AS (SELECT b, stratum, max(gii) AS gii FROM few GROUP BY ALL), whole AS (SELECT b, max(gii) AS gii FROM few GROUP BY b)
 SELECT r.b::INTEGER AS b, r.eff, round(coalesce(own.gii, whole.gii), 3) AS noise_gii FROM real_boot r LEFT JOIN own ON own.b = r.b AND own.stratum = r.stratum JOIN whole ON whole.b = r.b""")
 def noise_global_fallback(spark, sf_dir):
-    shadows = boots(spark, sf_dir, shadowed=True).filter("stratum <> 'singleton_nominal'")
-    return rounded(X.with_noise(boots(spark, sf_dir), shadows).select("b", "eff", "noise_gii"), 3)
+    real, shadows = both_boots(spark, sf_dir)
+    return rounded(X.with_noise(real, shadows.filter("stratum <> 'singleton_nominal'")).select("b", "eff", "noise_gii"), 3)
 
 
 @query(f"""{WITH_BOTH}, u AS (SELECT eff, stratum, false AS is_shadow FROM real_boot UNION SELECT eff, stratum, true FROM fake_boot)
 SELECT stratum, count(*) FILTER (NOT is_shadow) AS n_real, count(*) FILTER (is_shadow) AS n_shadow FROM u GROUP BY stratum""")
 def real_shadow_split(spark, sf_dir):
-    both = boots(spark, sf_dir).select("eff", "stratum", F.lit(False).alias("is_shadow")).unionByName(boots(spark, sf_dir, shadowed=True).select("eff", "stratum", F.lit(True).alias("is_shadow"))).distinct()
+    real, shadows = both_boots(spark, sf_dir)
+    both = real.select("eff", "stratum", F.lit(False).alias("is_shadow")).unionByName(shadows.select("eff", "stratum", F.lit(True).alias("is_shadow"))).distinct()
     return both.groupBy("stratum").agg(F.count_if(~F.col("is_shadow")).alias("n_real"), F.count_if("is_shadow").alias("n_shadow"))
 
 
 @query(f"{WITH_BOTH}{NOISE}{HELD}{PVALS} SELECT eff, round(m_p, 6) AS m_p, round(v_p, 6) AS v_p, round(gii_p, 6) AS gii_p FROM p")
 def exceedance_p(spark, sf_dir):
-    held = X.with_noise(boots(spark, sf_dir), boots(spark, sf_dir, shadowed=True))
+    held = X.with_noise(*both_boots(spark, sf_dir))
     return rounded(held.groupBy("eff").agg(*[X.exceedance(s, N_BOOT).alias(f"{s}_p") for s in X.STATISTICS]), 6)
 
 
@@ -292,7 +310,7 @@ def shap_rescale(spark, sf_dir):
 
 @query(f"{WITH_BOTH}{NOISE}{HELD} SELECT round(greatest(max(m), max(noise_m)) * 1.05, 3) AS axis_limit FROM held")
 def axis_limit(spark, sf_dir):
-    return rounded(P.axis_limit(X.with_noise(boots(spark, sf_dir), boots(spark, sf_dir, shadowed=True)), "m", "noise_m"), 3)
+    return rounded(P.axis_limit(X.with_noise(*both_boots(spark, sf_dir)), "m", "noise_m"), 3)
 
 
 @query("""WITH x AS (SELECT label AS slice, (embedding[1] > 0)::INT AS a, (embedding[2] > 0)::INT AS b, embedding[3]::DOUBLE AS y FROM embeddings)
