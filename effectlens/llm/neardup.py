@@ -18,7 +18,7 @@ once in 20,000 times, and then only matters where no other path joins the two.
 
 Edge cases: a null or blank text has an empty set and is its own group, never tied to another.  A
 text of fewer words than a shingle is one shingle as a whole.  Repeated rows are copies of each
-other.  A row without an id stays alone, with no group.  An empty table gives an empty result.
+other; rows of one id and different texts are one document that links through each of them.  A row without an id stays alone, with no group.  An empty table gives an empty result.
 Further columns are ignored.
 """
 
@@ -123,7 +123,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
 
 
 def with_sets(members: DataFrame, width: int) -> DataFrame:
-    """(cluster, id, same, text) to (cluster, id, n, packed): the set of each text that has the digest asked for."""
+    """(cluster, id, same, text) to (cluster, id, mark, n, packed): the set of each text that has the digest asked for."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +134,13 @@ def with_sets(members: DataFrame, width: int) -> DataFrame:
                 sets = [shingles(t, width, known) for t in batch.column(3).slice(at, end - at).to_pylist()]
                 fit = [i for i, s in enumerate(sets) if digest(s) == same[at + i]]
                 take = pa.array([at + i for i in fit], pa.int64())
+                mark = pa.array([int.from_bytes(same[at + i][:8], "little", signed=True) for i in fit], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array([len(sets[i]) for i in fit], pa.int64()), pa.array([sets[i].tobytes() for i in fit], pa.binary())],
-                    ["cluster", "id", "n", "packed"],
+                    [batch.column(0).take(take), batch.column(1).take(take), mark, pa.array([len(sets[i]) for i in fit], pa.int64()), pa.array([sets[i].tobytes() for i in fit], pa.binary())],
+                    ["cluster", "id", "mark", "n", "packed"],
                 )
 
-    return members.mapInArrow(run, "cluster long, id long, n long, packed binary")
+    return members.mapInArrow(run, "cluster long, id long, mark long, n long, packed binary")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -234,8 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.select("cluster", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = with_sets(clusters.hint("merge").join(texts, "id").select("cluster", "id", "same", "text"), width)
-    tasks = sets.dropDuplicates(["id"]).join(placed.select("id", "block"), "id").join(pairs, ["cluster", "block"])
-    groups = components(confirmed(tasks, percent), "a", "b")
+    tasks = sets.dropDuplicates(["id", "mark"]).join(placed.select("id", "n", "block").distinct(), ["id", "n"]).join(pairs, ["cluster", "block"])
+    groups = components(confirmed(tasks, percent).filter("a <> b"), "a", "b")
     out = marks.select("id", "n_shingles", "same").join(classes.select("same", "rep"), "same", "left").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

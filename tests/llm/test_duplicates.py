@@ -76,6 +76,13 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert all(r.n_shingles == 0 and r.component_id == r.doc_id for r in got if r.doc_id in (3, 4, 5))
 
 
+def test_one_id_with_two_texts_links_through_both(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "something else altogether in five words")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a, b = (np.unique(rng.integers(0, 1 << 62, 1000, np.uint64)) for _ in range(2))
