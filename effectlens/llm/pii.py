@@ -3,9 +3,11 @@
 Protected entities are e-mail addresses, IP addresses, card and phone numbers found by pattern.
 Words near an entity are candidates.  How strongly a word t reveals an entity e is their pointwise
 mutual information over all documents, PMI = log2(c(e,t) N / (n(e) n(t))), against the information
-that the entity itself carries, IC = log2(N / n(e)).  A word with PMI >= ``disclosure`` * IC that stands
-near the entity in at least ``support`` different texts is a span of its own, of kind ``term``, wherever
-it stands near that entity.  Spans are removed from a text by putting the name of their kind in place.
+that the entity itself carries, IC = log2(N / n(e)).  A word with PMI >= ``disclosure`` * IC reveals the
+entity if it stands near it in at least ``support`` different texts or, as most entities stand in one text
+only, if the word's own information log2(N / n(t)) is at least ``disclosure`` times log2(N), that of what
+stands in one document.  It is a span of its own, of kind ``term``, wherever it stands near that entity.
+Spans are removed from a text by putting the name of their kind in place.
 
 Only DataFrame functions are used.  All document counts are exact and over the whole table; they are
 pre-aggregated before they are dealt out, so that a word of every document is one row for each task.
@@ -132,13 +134,14 @@ def context(text: Column, spans: Column, window: int) -> Column:
 def disclosing(near: DataFrame, words: DataFrame, documents: int, disclosure: float, support: int) -> DataFrame:
     """(e, t) of words that reveal an entity; near has (row, text hash, e, t), words the texts' distinct words."""
     held = near.groupBy("e", "t", "of").agg(F.count_distinct("id").alias("docs"))
-    pairs = held.groupBy("e", "t").agg(F.sum("docs").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    pairs = held.groupBy("e", "t").agg(F.sum("docs").alias("both"), F.count("*").alias("texts"))
     entities = near.groupBy("e", "of", "id").agg(F.lit(1).alias("one")).groupBy("e").agg(F.count("*").alias("n_e"))
     counts = words.groupBy("t").agg(F.count("*").alias("n_t"))
     both = pairs.join(entities, "e").join(counts.hint("merge"), "t", "left")
     n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("both"))
     pmi = F.log2(F.col("both") * F.lit(float(documents)) / (F.col("n_e") * n_t))
-    return both.filter(pmi >= disclosure * F.log2(F.lit(float(documents)) / F.col("n_e"))).filter(F.col("n_e") < documents).select("e", "t")
+    rare = F.log2(F.lit(float(documents)) / n_t) >= disclosure * F.log2(F.lit(float(documents)))
+    return both.filter(pmi >= disclosure * F.log2(F.lit(float(documents)) / F.col("n_e"))).filter((F.col("n_e") < documents) & ((F.col("texts") >= support) | rare)).select("e", "t")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, disclosure: float = 0.8, support: int = 2) -> DataFrame:

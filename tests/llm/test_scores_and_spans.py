@@ -107,6 +107,17 @@ def test_one_text_is_no_support_however_often_it_stands(spark):
     assert pii.find(df).filter(F.exists("spans", lambda s: s["kind"] == "term")).count() == 0
 
 
+def test_rare_words_reveal_an_entity_of_one_text(spark):
+    rows = [(i, f"the agent wrote from home about some text of number {i % 5}") for i in range(40)] + [(50, "the agent zorbax wrote from zed@mail.example.com about some text")]
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {50: "the agent [TERM] wrote from [EMAIL] about some text"}
+
+
+def test_the_table_has_terms(spark):
+    spans = [r.spans for r in op7_pii(spark, SF).collect()]
+    assert sum("term:" in s for s in spans) > 0 and all(re.search("(email|ip|card|phone):", s) for s in spans if "term:" in s)
+
+
 def test_spans_of_odd_rows(odd, none):
     got = pii.find(odd).collect()
     assert len(got) == 13 and all(r.spans == [] for r in got) and pii.find(none).count() == 0
