@@ -1,13 +1,14 @@
 """Personal data and what gives it away: information-theoretic sanitisation.
 
 Protected entities are e-mail addresses, IP addresses, card and phone numbers found by pattern.
-Words near an entity are candidates.  How strongly a word t reveals an entity e is their pointwise
-mutual information over all documents, PMI = log2(c(e,t) N / (n(e) n(t))), against the information
-that the entity itself carries, IC = log2(N / n(e)).  A word with PMI >= ``disclosure`` * IC reveals the
-entity if it stands near it in at least ``support`` different texts or, as most entities stand in one text
-only, if the word's own information log2(N / n(t)) is at least ``disclosure`` times log2(N), that of what
-stands in one document.  It is a span of its own, of kind ``term``, wherever it stands near that entity.
-Spans are removed from a text by putting the name of their kind in place.
+Words of a text that holds an entity are candidates, but for those that an entity overlaps.  How strongly
+a word t reveals an entity e is their pointwise mutual information over all documents,
+PMI = log2(c(e,t) N / (n(e) n(t))), against the information that the entity itself carries,
+IC = log2(N / n(e)).  A word with PMI >= ``disclosure`` * IC reveals the entity if at least ``support``
+different texts hold both or, as most entities stand in one text only, if the word's own information
+log2(N / n(t)) is at least ``disclosure`` times log2(N), that of what stands in one document.  It is a
+span of its own, of kind ``term``, wherever a text that holds the entity has it.  Spans are removed from
+a text by putting the name of their kind in place.
 
 Only DataFrame functions are used.  All document counts are exact and over the whole table; they are
 pre-aggregated before they are dealt out, so that a word of every document is one row for each task.
@@ -46,8 +47,8 @@ FAST = {
 }
 MUST_HOLD = {"email": "@", "phone": "+", "ip": "."}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-TOKEN = r"[\p{L}\p{N}_]{3,}"
-WINDOW = 120
+TOKEN = r"[\p{L}\p{N}_]+"
+MARK = "\ue000"
 SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -117,48 +118,59 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of_kind(rank, kind) for rank, kind in enumerate(KINDS[:4])]))
 
 
-def context(text: Column, spans: Column, window: int) -> Column:
-    """Words within the window of each entity that no entity overlaps: (e, t, start, end)."""
-
-    def side(s: Column, start: Column, end: Column) -> Column:
-        part = F.substr(text, start + 1, end - start)
-        words = F.transform(located(part, TOKEN), lambda w: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("e"), F.xxhash64(F.lower(w["value"])).alias("t"), (start + w["start"]).alias("start"), (start + w["end"]).alias("end")))
-        # Words that the window cuts are left out.
-        cut = lambda w: ((w["start"] == start) & (start > 0) & (start != s["end"])) | ((w["end"] == end) & (end < F.length(text)) & (end != s["start"]))
-        return F.filter(words, lambda w: ~cut(w) & ~F.exists(spans, lambda x: (w["start"] < x["end"]) & (w["end"] > x["start"])))
-
-    near = lambda s: F.concat(side(s, F.greatest(s["start"] - window, F.lit(0)), s["start"]), side(s, s["end"], F.least(s["end"] + window, F.length(text))))
-    return F.flatten(F.transform(spans, near))
-
-
-def disclosing(near: DataFrame, words: DataFrame, documents: int, disclosure: float, support: int) -> DataFrame:
-    """(e, t) of words that reveal an entity; near has (row, text hash, e, t), words the texts' distinct words."""
-    held = near.groupBy("e", "t", "of").agg(F.count_distinct("id").alias("docs"))
-    pairs = held.groupBy("e", "t").agg(F.sum("docs").alias("both"), F.count("*").alias("texts"))
-    entities = near.groupBy("e", "of", "id").agg(F.lit(1).alias("one")).groupBy("e").agg(F.count("*").alias("n_e"))
-    counts = words.groupBy("t").agg(F.count("*").alias("n_t"))
-    both = pairs.join(entities, "e").join(counts.hint("merge"), "t", "left")
-    n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("both"))
-    pmi = F.log2(F.col("both") * F.lit(float(documents)) / (F.col("n_e") * n_t))
-    rare = F.log2(F.lit(float(documents)) / n_t) >= disclosure * F.log2(F.lit(float(documents)))
-    return both.filter(pmi >= disclosure * F.log2(F.lit(float(documents)) / F.col("n_e"))).filter((F.col("n_e") < documents) & ((F.col("texts") >= support) | rare)).select("e", "t")
-
+def free_words(text: Column, spans: Column) -> Column:
+    """Words that no entity overlaps, of the whole text: (t, start, end)."""
+    plain = F.translate(text, MARK, " ")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, disclosure: float = 0.8, support: int = 2) -> DataFrame:
+    def step(acc: Column, s: Column) -> Column:
+        ends = F.greatest(acc["at"], s["end"])
+        more = F.concat(acc["done"], F.substr(plain, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(MARK), ends - F.greatest(acc["at"], s["start"])))
+        return F.struct(ends.alias("at"), more.alias("done"))
+
+    # Entities become letters of their own, which a word that they overlap then holds.
+    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substr(plain, acc["at"] + 1, F.length(plain))))
+    words = F.filter(located(masked, f"[{MARK}{TOKEN[1:]}"), lambda w: ~F.contains(w["value"], F.lit(MARK)))
+    return F.transform(words, lambda w: F.struct(F.xxhash64(F.lower(w["value"])).alias("t"), w["start"].alias("start"), w["end"].alias("end")))
+
+
+def disclosing(texts: DataFrame, words: DataFrame, documents: int, disclosure: float, support: int) -> DataFrame:
+    """(of, t) of words that reveal an entity of a text; texts has (of, m documents, spans, words) of each text with entities, words every document's distinct words."""
+    total = F.lit(float(documents))
+    named = texts.select("of", "m", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("e"))
+    entities = named.groupBy("e").agg(F.sum("m").alias("n_e"), F.count("*").alias("texts_e")).filter(F.col("n_e") < documents)
+    named = stored(named.join(entities, "e"), "named")
+    # A word in more documents than this reaches no PMI that reveals the entity, even if each document of the entity holds it.
+    most = F.pow(F.col("n_e").cast("double"), F.lit(disclosure)) * F.pow(total, F.lit(1 - disclosure)) * (1 + 1e-9)
+    bound = named.agg(F.max(most)).first()[0] or 0.0
+    counts = words.groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= bound)
+    held = texts.select("of", F.explode(F.array_distinct(F.transform("words", lambda w: w["t"]))).alias("t"))
+    held = stored(held.join(counts.hint("merge"), "t"), "held")
+    rare = F.log2(total / F.col("n_t")) >= disclosure * F.log2(total)
+    # The PMI of an entity of one text is all its words' own information, so its pairs needn't be made.
+    alone = (F.col("texts_e") == 1) & F.lit(support > 1)
+    own = held.filter(rare).join(named.filter(alone).select("of").distinct(), "of").select("of", "t")
+    pairs = named.filter(~alone).join(held, "of").filter(F.col("n_t") <= most)
+    judged = pairs.groupBy("e", "t", "n_e", "n_t").agg(F.sum("m").alias("both"), F.count("*").alias("texts"))
+    pmi = F.log2(F.col("both") * total / (F.col("n_e") * F.col("n_t")))
+    judged = judged.filter((pmi >= disclosure * F.log2(total / F.col("n_e"))) & ((F.col("texts") >= support) | rare)).select("e", "t")
+    return own.union(pairs.select("of", "e", "t").join(judged, ["e", "t"]).select("of", "t")).distinct()
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, support: int = 2) -> DataFrame:
     """(id, of, base, spans): spans are (start, rank, end, kind) in order; base has the entities alone, of is the text's hash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("of"))
     found = rows.select("id", "of", "text", base_spans(F.col("text")).alias("spans"))
-    found = found.select("id", "of", "spans", F.when(F.size("spans") > 0, context(F.col("text"), F.col("spans"), window)).alias("near"))
-    found = stored(found, "entities")
-    near = found.filter("size(near) > 0").select("id", "of", F.explode("near").alias("n")).select("id", "of", "n.*")
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("w")).select(F.xxhash64("w").alias("t"))
-    revealing = disclosing(near, words, found.count(), disclosure, support)
-    terms = near.join(revealing, ["e", "t"]).groupBy("id", "of").agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"))
+    found = stored(found.select("id", "of", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "entities")
+    texts = found.filter("size(spans) > 0").groupBy("of").agg(F.count("*").alias("m"), F.first("spans").alias("spans"), F.first("text").alias("text"))
+    texts = stored(texts.select("of", "m", "spans", free_words(F.col("text"), F.col("spans")).alias("words")), "texts")
+    words = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.lower))).alias("w")).select(F.xxhash64("w").alias("t"))
+    revealing = disclosing(texts, words, found.count(), disclosure, support)
+    places = texts.select("of", F.explode("words").alias("w")).select("of", "w.*").join(revealing, ["of", "t"])
+    terms = places.groupBy("of").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"))
     entity = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    terms = stored(terms, "terms").withColumnsRenamed({"id": "_id", "of": "_of"})
-    join = lambda df: df.join(terms, df["id"].eqNullSafe(terms["_id"]) & (df["of"] == terms["_of"]), "left").drop("_id", "_of")
-    out = join(found.select("id", "of", entity.alias("base")))
+    out = found.select("id", "of", entity.alias("base")).join(stored(terms, "terms"), "of", "left")
     return out.select(F.col("id").alias(id_col), "of", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))).alias("spans"))
 
 

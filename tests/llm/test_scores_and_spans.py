@@ -118,6 +118,62 @@ def test_the_table_has_terms(spark):
     assert sum("term:" in s for s in spans) > 0 and all(re.search("(email|ip|card|phone):", s) for s in spans if "term:" in s)
 
 
+def terms_by_brute_force(texts, disclosure=0.8, support=2):
+    """Spans of terms of each text, texts being all documents."""
+    n, ents, words = len(texts), [], []
+    for t in texts:
+        spans = entities(t)
+        found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", t)]
+        ents.append({(k, t[a:b].lower()) for k, a, b in spans})
+        words.append([(w, a, b) for w, a, b in found if not any(a < y and b > x for _, x, y in spans)])
+        words[-1].append({w for w, _, _ in found})
+    n_t = collections.Counter(w for held in words for w in held[-1])
+    n_e = collections.Counter(e for held in ents for e in held)
+    both, in_texts = collections.Counter(), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for pair in {(e, w[0]) for e in ents[i] for w in words[i][:-1]}:
+            both[pair] += 1
+            in_texts[pair].add(t)
+
+    def reveals(e, w):
+        rare = math.log2(n / n_t[w]) >= disclosure * math.log2(n)
+        return n_e[e] < n and (len(in_texts[e, w]) >= support or rare) and math.log2(both[e, w] * n / (n_e[e] * n_t[w])) >= disclosure * math.log2(n / n_e[e])
+
+    return [sorted((a, b) for w, a, b in words[i][:-1] if any(reveals(e, w) for e in ents[i])) for i in range(n)]
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(7)
+    people = [f"u{i}@mail.example.com" for i in range(6)] + ["1.2.3.4", "+1 (234) 567-8901"]
+    texts = []
+    for i in range(150):
+        words = [rng.choice(["the", "Li", "x", "case", "Zorbax", "né", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 80))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.randrange(len(people))
+            words[rng.randint(0, len(words)) :] += [f"name{k}", *["so"] * rng.randint(0, 60), people[k]]
+        texts.append(" ".join(words))
+    texts += texts[:10]
+    ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]
+    got = pii.find(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id int, text string")).collect()
+    key = lambda i, spans: (str(i), str(spans))
+    expected = terms_by_brute_force(texts)
+    assert sum(map(len, expected)) > 50
+    assert sorted(key(r.doc_id, [(s.start, s.end) for s in r.spans if s.kind == "term"]) for r in got) == sorted(map(key, ids, expected))
+
+
+def test_terms_of_the_query_equal_brute_force(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    expected = {i: [f"term:{a}:{b}" for a, b in spans] for (i, _), spans in zip(rows, terms_by_brute_force([t for _, t in rows]), strict=True)}
+    assert {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term:")] for r in op7_pii(spark, SF).collect()} == expected
+
+
+def test_words_far_from_their_entity_are_terms(spark):
+    rows = [(i, f"Li {'so ' * 90}wrote from zed@mail.example.com \ue000 {'so ' * 90}{i % 2} Li\ue000") for i in range(3)]
+    rows += [(10 + i, f"so wrote from {i % 2}") for i in range(40)]
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t.replace("Li", "[TERM]").replace("zed@mail.example.com", "[EMAIL]") for i, t in rows}
+
+
 def test_spans_of_odd_rows(odd, none):
     got = pii.find(odd).collect()
     assert len(got) == 13 and all(r.spans == [] for r in got) and pii.find(none).count() == 0
