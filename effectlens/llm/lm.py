@@ -176,3 +176,23 @@ SELECT any_value(t.doc_id) AS doc_id, count(s.rid) AS n_words, count(s.rid) FILT
   round(coalesce(sum(s.s), 0), 4) AS score, round(avg(s.s), 6) AS mean_score
 FROM t LEFT JOIN s ON s.rid = t.rid GROUP BY t.rid
 """
+
+TRIGRAM_ORACLE = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+p AS (SELECT *, lag(x) OVER (PARTITION BY rid ORDER BY i) AS before, lag(x, 2) OVER (PARTITION BY rid ORDER BY i) AS first FROM e),
+u AS (SELECT x, count(*) AS c FROM e GROUP BY x),
+b AS (SELECT before, x, count(*) AS c FROM p WHERE before IS NOT NULL GROUP BY ALL),
+g AS (SELECT first, before, x, count(*) AS c FROM p WHERE first IS NOT NULL GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM e),
+s AS (
+  SELECT p.rid, CASE WHEN p.first IS NOT NULL THEN g.c >= 2 ELSE false END AS hit,
+    CASE WHEN g.c >= 2 THEN ln(g.c::DOUBLE / d.c) ELSE CASE WHEN p.first IS NOT NULL THEN ln(0.4) ELSE 0 END
+      + CASE WHEN b.c >= 2 THEN ln(b.c::DOUBLE / v.c) WHEN p.before IS NOT NULL THEN ln(0.4) + ln(u.c::DOUBLE / n) ELSE ln(u.c::DOUBLE / n) END END AS s
+  FROM p JOIN u ON u.x = p.x LEFT JOIN b ON b.before = p.before AND b.x = p.x LEFT JOIN u v ON v.x = p.before
+  LEFT JOIN g ON g.first = p.first AND g.before = p.before AND g.x = p.x LEFT JOIN b d ON d.before = p.first AND d.x = p.before, n)
+SELECT any_value(t.doc_id) AS doc_id, count(s.rid) AS n_words, count(s.rid) FILTER (s.hit) AS n_seen,
+  round(coalesce(sum(s.s), 0), 4) AS score, round(avg(s.s), 6) AS mean_score
+FROM t LEFT JOIN s ON s.rid = t.rid GROUP BY t.rid
+"""

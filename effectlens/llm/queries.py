@@ -43,8 +43,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_documents(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op3_lm_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_scores(lm.score(documents(spark, sf_dir), order=3))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(documents(spark, sf_dir))
+    return log_scores(lm.score(documents(spark, sf_dir)))
+
+
+def log_scores(scored: DataFrame) -> DataFrame:
+    """Rounded scores, as SQL gives them."""
     return scored.select("doc_id", "n_words", "n_seen", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
@@ -88,6 +96,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op3_lm_trigrams": op3_lm_trigrams,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
@@ -99,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op3_lm_trigrams": lm.TRIGRAM_ORACLE,
     "op3_lm_scoring": lm.ORACLE,
     "op6_minhash": neardup.ORACLE,
     "op9_line_dedup": lines.ORACLE,

@@ -7,10 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from effectlens.llm import lm, pii
 from effectlens.llm.queries import op7_pii, op8_sharding
 from effectlens.llm.shards import shard
-from tests.against import SF
+from tests.against import SF, assert_same, duck
 
 
 @pytest.mark.parametrize("order", [2, 3])
@@ -42,6 +43,12 @@ def test_backoff_of_odd_rows(odd, none):
     assert all(r.score == 0 and r.n_words == 0 and r.mean_score is None for r in got if r.doc_id in (3, 4, 5))
 
 
+def test_trigram_query_equals_sql(spark):
+    name = "op3_lm_trigrams"
+    assert_same(entry.queries()[name](spark, SF).toPandas(), duck().execute(entry.oracle_sql()[name]).df())
+    assert [q for q in entry.queries() if q.startswith("op3_")][0] == name
+
+
 def test_packing():
     import numpy as np
 
