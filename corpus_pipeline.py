@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    """One document of each group of near copies, linked at 0.8 of five-word shingles; 34 bands of 6 values miss one pair at 0.8 in 30,000."""
+    copies = near_duplicates(docs, percent=80, bands=34, rows=6).filter(~F.col("kept")).select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

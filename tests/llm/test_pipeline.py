@@ -29,6 +29,17 @@ def test_stages_on_the_whole_table(spark, tmp_path):
     assert left["bpe"] == left["decontamination"] == P.run(spark, SF).count()
 
 
+def test_near_copies_at_four_fifths_go(spark):
+    rows = []
+    for i in range(50):
+        words = [f"w{i}x{k}" for k in range(54)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join([*words[:25], "other", *words[26:]])))  # 45 of 55 shingles
+    rows += [(1000, " ".join(f"v{k}" for k in range(44))), (1001, " ".join("other" if k == 20 else f"v{k}" for k in range(44)))]  # 35 of 45
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, SF).collect()) == [*range(0, 100, 2), 1000, 1001]
+
+
 def test_stages_on_odd_rows(spark, odd, none, tmp_path):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for k, df in enumerate((odd, none)):
