@@ -6,6 +6,11 @@ time in the pair's merge history would a merge across their border have come fir
 over all adjacent pairs of a batch in numpy.  Only the words with an incompatible pair go through
 exact merging, itself done for all such words at once.
 
+A batch of texts is cut at white space, equal chunks are made one, and only chunks not seen before are
+normalised, cut into pieces and encoded; the ids of the texts are then gathered from those of their
+chunks.  Decoding starts from ids alone: the names of all tokens of a batch are gathered into one
+buffer, in which each text is a range.
+
 Edge cases: a null or empty text has no token and decodes to the empty string; a text without any
 piece that the pre-tokenizer keeps likewise.  Rows are independent, so repeated rows give repeated
 results, and columns besides id and text are passed through untouched when asked for.  A word of
@@ -19,6 +24,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +35,17 @@ from effectlens.llm.shared import frugal, slices, small_batches
 
 NONE = np.int64(1 << 40)
 LONG_WORD = 400
-CACHE_WORDS = 120_000
+CACHE_LETTERS = 16_000_000
+LENGTH_BITS = 20  # of a token's length, beside its id
 BATCH_BYTES = 1_500_000
 
 # Fixed values of the file format: Unicode White_Space, and the bytes that byte-level BPE shows as themselves.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SHOWN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
+BREAK = "\n"
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split parts words at these too, the file format does not
+
 
 def byte_alphabet() -> dict[int, str]:
     """The character that stands for each byte; bytes that aren't shown get characters from U+0100 on."""
@@ -43,6 +53,49 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Seen(dict):
+    """Strings numbered in the order they are first asked for, with the ids that each stands for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.letters = 0
+        self.flat, self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def fresh(self) -> list[str]:
+        """Strings that have no ids yet; ``extend`` gives them."""
+        out, self.new = self.new, []
+        self.letters += sum(map(len, out)) + 10 * len(out)
+        return out
+
+    def extend(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.first = np.r_[self.first, len(self.flat) + np.cumsum(size) - size]
+        self.flat, self.size = np.r_[self.flat, flat], np.r_[self.size, size]
+
+    def gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the strings at these places, in a row."""
+        size = self.size[places]
+        skip = np.cumsum(size) - size
+        return self.flat[np.arange(int(size.sum())) + np.repeat(self.first[places] - skip, size)]
+
+
+def in_order(tok: list[np.ndarray], word: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of several lists by their word; those of one word are in one list, in order."""
+    if not tok:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    one, of = np.concatenate(tok), np.concatenate(word)
+    order = np.argsort(of, kind="stable")
+    return one[order], of[order]
+
+
 class WordBPE:
     """A tokenizer file of the ``tokenizers`` library: word-level BPE with an end-of-word suffix."""
 
@@ -55,7 +108,6 @@ class WordBPE:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.shown = {i: t for t, i in self.vocab.items()}
         size = max(self.vocab.values()) + 1
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         self.pair: dict[tuple[int, int], int] = {}
@@ -67,45 +119,83 @@ class WordBPE:
         if made != sorted(made) or any(max(k) >= v for k, v in self.pair.items() if self.left[max(k)] >= 0):
             raise ValueError(f"{path}: token ids must follow the order of the merges")
         self.size = size
-        keys = np.array([a * size + b for a, b in self.pair], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.merged = keys[order], np.array(made, np.int64)[order]
+        self.place_pairs(np.array([a * size + b for a, b in self.pair], np.int64), np.array(made, np.int64))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE)
-        self.pieces = regex.compile(pattern).findall
-        self.alphabet = {b: c for b, c in byte_alphabet().items()}
-        self.first = {c: self.vocab[c] for c in self.alphabet.values()}
-        self.last = {c: self.vocab[c + self.suffix] for c in self.alphabet.values()}
-        self.by_byte = str.maketrans({chr(b): c for b, c in self.alphabet.items()})
+        self.pieces = regex.compile(f"{pattern}|{BREAK}").findall
+        self.cut = regex.compile(f"[^{WHITE}]+").findall
+        alphabet = byte_alphabet()
+        self.first, self.last = (np.full(max(map(ord, alphabet.values())) + 1, -1, np.int64) for _ in range(2))
+        for c in alphabet.values():
+            self.first[ord(c)], self.last[ord(c)] = self.vocab[c], self.vocab[c + self.suffix]
+        self.by_byte = str.maketrans({chr(b): c for b, c in alphabet.items()})
         # A token that BPE never makes of its own letters isn't proposed.
         names = [t for t in self.vocab if t not in self.special]
-        own = self.merge([self.letters(t) for t in names])
+        bare = [t.removesuffix(self.suffix) for t in names]
+        tok, word = self.letters(bare, np.array([len(b) < len(t) for b, t in zip(bare, names, strict=True)]))
+        tok, word = self.merge(tok, word)
+        alone = np.bincount(word, minlength=len(names)) == 1
+        made_of = np.full(len(names), -1, np.int64)
+        made_of[word] = tok
         self.longest = ahocorasick.Automaton()
-        for t, got in zip(names, own, strict=True):
-            if len(got) == 1 and got[0] == self.vocab[t]:
-                key = t.removesuffix(self.suffix) + "\n" if t.endswith(self.suffix) else t
-                self.longest.add_word(key, (self.vocab[t], len(key)))
+        for k, t in enumerate(names):
+            if alone[k] and made_of[k] == self.vocab[t]:
+                key = bare[k] + BREAK if len(bare[k]) < len(t) else t
+                self.longest.add_word(key, self.vocab[t] << LENGTH_BITS | len(key))
         self.longest.make_automaton()
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        # Names as decoding puts them: each with a space after it, then each as the last of a text.
+        known = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        names = [known.get(i, "") for i in range(max(known) + 1)]
+        self.names = pa.array([f"{t} " for t in names] + names, pa.string())
+        self.forget()
 
     def forget(self) -> None:
-        """Drop the words seen: a worker that lives on holds only the tokenizer."""
-        self.young, self.old = {}, {}
-
-    def letters(self, token: str) -> list[int]:
-        body = token.removesuffix(self.suffix)
-        ids = [self.first[c] for c in body]
-        if body != token:
-            ids[-1] = self.last[body[-1]]
-        return ids
+        """Drop the chunks and pieces seen: a worker that lives on holds only the tokenizer."""
+        self.chunks, self.parts = Seen(), Seen()
+        self.parts.places([BREAK, *self.special])
+        self.parts.fresh()
+        self.parts.extend(np.array([*self.special.values()], np.int64), np.array([0] + [1] * len(self.special), np.int64))
+
+    def letters(self, words: list[str], ended: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of all words in a row, in the byte-level alphabet, and the word of each; the last one of a word that has ended is of its own kind."""
+        at = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        size = np.array(list(map(len, words)), np.int64)
+        tok, last = self.first[at], np.cumsum(size) - 1
+        if ended is not None:
+            last = last[ended]
+        tok[last] = self.last[at[last]]
+        return tok, np.repeat(np.arange(len(words)), size)
+
+    def place_pairs(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """A hash table of the merges, a pair in the first free slot from its own on."""
+        self.bits = int(16 * len(keys)).bit_length()
+        self.slot_key, self.slot_made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE)
+        at = self.slot_of(keys)
+        while len(keys):
+            free = self.slot_key[at] < 0
+            self.slot_key[at[free]] = keys[free]  # of several for one slot the last stays
+            mine = self.slot_key[at] == keys
+            self.slot_made[at[mine]] = made[mine]
+            keys, made, at = keys[~mine], made[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def slot_of(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def look_up(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The token that each pair merges into, NONE where there is no such merge."""
         key = x * self.size + y
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], NONE)
+        at = self.slot_of(key)
+        there = self.slot_key[at]
+        out = np.where(there == key, self.slot_made[at], NONE)
+        on = np.flatnonzero((there != key) & (there >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & ((1 << self.bits) - 1)
+            there = self.slot_key[at[on]]
+            hit = there == key[on]
+            out[on[hit]] = self.slot_made[at[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
 
     def compatible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether BPE leaves the border between tokens x and y standing.
@@ -130,31 +220,28 @@ class WordBPE:
             at, x, y, used_x, used_y = at[on], x[on], y[on], used_x[on], used_y[on]
         return fine
 
-    def merge(self, words: list[list[int]]) -> list[list[int]]:
-        """Exact BPE of words given as letters: in each round every word does its earliest merge."""
-        out: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self.merge_long(w)
-        if not short:
-            return out
-        sizes = np.array([len(words[i]) for i in short], np.int64)
-        tok = np.fromiter((t for i in short for t in words[i]), np.int64, int(sizes.sum()))
-        word = np.repeat(np.arange(len(short)), sizes)
+    def merge(self, tok: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact BPE of words given as letters and the word of each: in each round every word does its earliest merge."""
+        done_tok, done_word = [], []
+        size = np.bincount(word)
+        for w in np.flatnonzero(size > LONG_WORD).tolist():
+            low, high = np.searchsorted(word, [w, w + 1])
+            got = self.merge_long(tok[low:high].tolist())
+            done_tok.append(np.array(got, np.int64))
+            done_word.append(np.full(len(got), w))
+        short = size[word] <= LONG_WORD
+        tok, word = tok[short], word[short]
         while len(tok):
             new = np.full(len(tok), NONE)
             inside = np.flatnonzero(word[1:] == word[:-1])
             new[inside] = self.look_up(tok[inside], tok[inside + 1])
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            least = np.minimum.reduceat(new, starts)
-            lengths = np.diff(np.r_[starts, len(tok)])
-            ended = np.repeat(least == NONE, lengths)
-            for s, n in zip(starts[least == NONE], lengths[least == NONE], strict=True):
-                out[short[word[s]]] = tok[s : s + n].tolist()
-            hit = (new == np.repeat(least, lengths)) & ~ended
+            least = np.repeat(np.minimum.reduceat(new, starts), np.diff(np.r_[starts, len(tok)]))
+            ended = least == NONE
+            done_tok.append(tok[ended])
+            done_word.append(word[ended])
             # Of overlapping equal merges ("aaa") every second one from the left happens.
-            pos = np.flatnonzero(hit)
+            pos = np.flatnonzero((new == least) & ~ended)
             run = np.flatnonzero(np.r_[True, np.diff(pos) != 1]) if len(pos) else pos
             offset = np.arange(len(pos)) - np.repeat(run, np.diff(np.r_[run, len(pos)]))
             pos = pos[offset % 2 == 0]
@@ -162,7 +249,7 @@ class WordBPE:
             keep = ~ended
             keep[pos + 1] = False
             tok, word = tok[keep], word[keep]
-        return out
+        return in_order(done_tok, done_word)
 
     def merge_long(self, tok: list[int]) -> list[int]:
         tok, after = list(tok), list(range(1, len(tok) + 1))
@@ -182,65 +269,76 @@ class WordBPE:
                     heapq.heappush(heap, (self.pair[p], k, *p))
         return [t for t in tok if t >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of words in the byte-level alphabet: propose, verify, and merge what fails."""
-        joined = "\n".join(words) + "\n"
-        ends = np.cumsum([len(w) + 1 for w in words])
-        found = list(self.longest.iter_long(joined))
-        n = len(found)
-        stop = np.fromiter((e for e, _ in found), np.int64, n) + 1
-        ids = np.fromiter((v[0] for _, v in found), np.int64, n)
-        size = np.fromiter((v[1] for _, v in found), np.int64, n)
-        word = np.searchsorted(ends, stop, "left")
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words in the byte-level alphabet, in a row, and how many each has: propose, verify, and merge what fails."""
+        joined = BREAK.join([*words, ""])
+        ends = np.cumsum(list(map(len, words))) + np.arange(1, len(words) + 1)
+        found = np.fromiter(chain.from_iterable(self.longest.iter_long(joined)), np.int64).reshape(-1, 2)
+        ids, size = found[:, 1] >> LENGTH_BITS, found[:, 1] & ((1 << LENGTH_BITS) - 1)
+        word = np.searchsorted(ends, found[:, 0] + 1, "left")
         good = np.bincount(word, size, len(words)) == np.diff(np.r_[0, ends])  # covered to the end
         inside = np.flatnonzero(word[1:] == word[:-1])
         good[word[inside[~self.compatible(ids[inside], ids[inside + 1])]]] = False
-        first = np.searchsorted(word, np.arange(len(words) + 1))
-        listed = ids.tolist()
-        out = [listed[first[i] : first[i + 1]] for i in range(len(words))]
-        failed = np.flatnonzero(~good).tolist()
-        for i, got in zip(failed, self.merge([self.letters(words[i] + self.suffix) for i in failed]), strict=True):
-            out[i] = got
-        return out
-
-    def split(self, text: str) -> list[tuple[str, bool]]:
-        """Pieces of a text in order, and whether each is a special token."""
-        if self.at_special is None or not any(s in text for s in self.special):
-            return [(p, False) for p in self.words(text)]
-        out = []
-        for k, part in enumerate(self.at_special.split(text)):
-            out += [(part, True)] if k % 2 else [(p, False) for p in self.words(part)]
-        return out
+        failed = np.flatnonzero(~good)
+        fine = good[word]
+        tok, of = self.merge(*self.letters([words[i] for i in failed.tolist()]))
+        out, word = in_order([ids[fine], tok], [word[fine], failed[of]])
+        return out, np.bincount(word, minlength=len(words))
+
+    def pieces_of(self, chunks: list[str]) -> list[str]:
+        """Pieces of each chunk in order, with BREAK after each chunk; special tokens are pieces."""
+        if self.at_special is not None and any(s in c for s in self.special for c in chunks):
+            out = []
+            for c in chunks:
+                for k, part in enumerate(self.at_special.split(c)):
+                    out += [part] if k % 2 else self.pieces(self.normal(part))
+                out.append(BREAK)
+            return out
+        return self.pieces(self.normal(BREAK.join([*chunks, ""])))
 
-    def words(self, text: str) -> list[str]:
+    @staticmethod
+    def normal(text: str) -> str:
         # Runs of white space need not be made one: no piece has any.
-        return self.pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        plain = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
-        mixed = {i: self.split(texts[i]) for i, p in enumerate(plain) if p is None}
-        need = set().union(*(p for p in plain if p)) | {w for m in mixed.values() for w, special in m if not special}
-        if len(self.young) + len(need) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        known = {}
-        fresh = []
-        for w in need:
-            if (got := self.young.get(w) or self.old.get(w)) is None:
-                fresh.append(w)
-            else:
-                known[w] = got
-        if fresh:
-            coded = self.encode_words([w.encode().decode("latin-1").translate(self.by_byte) for w in fresh])
-            for w, ids in zip(fresh, coded, strict=True):
-                known[w] = np.array(ids, "<u4").tobytes(), " ".join([self.shown[i] for i in ids])
-        self.young.update(known)
-        special = {s: (np.array([i], "<u4").tobytes(), s) for s, i in self.special.items()}
-        out = []
-        for i, p in enumerate(plain):
-            got = [known[w] for w in p] if p is not None else [special[w] if s else known[w] for w, s in mixed[i]]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
-        return out
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def by_bytes(self, words: list[str]) -> list[str]:
+        return BREAK.join(words).encode().decode("latin-1").translate(self.by_byte).split(self.by_byte[ord(BREAK)])
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks that weren't seen before, by their pieces that weren't."""
+        pieces = self.pieces_of(chunks)
+        part = self.parts.places(pieces)
+        if fresh := self.parts.fresh():
+            self.parts.extend(*self.encode_words(self.by_bytes(fresh)))
+        size = np.bincount(np.cumsum(part == 0) - (part == 0), self.parts.size[part], len(chunks)).astype(np.int64)
+        self.chunks.extend(self.parts.gather(part), size)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        if self.chunks.letters + self.parts.letters > CACHE_LETTERS:
+            self.forget()
+        split = [self.cut(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
+        chunk = self.chunks.places(list(chain.from_iterable(split)))
+        if fresh := self.chunks.fresh():
+            self.learn(fresh)
+        text_of = np.repeat(np.arange(len(texts)), list(map(len, split)))
+        return self.chunks.gather(chunk), np.bincount(text_of, self.chunks.size[chunk], len(texts)).astype(np.int64)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts that ids in a row stand for, special tokens included; counts says how many ids each text has."""
+        last = np.cumsum(counts)
+        at = ids.astype(np.int64)
+        at[last[counts > 0] - 1] += len(self.names) // 2
+        shown = self.names.take(pa.array(at))
+        offsets = np.frombuffer(shown.buffers()[1], np.int32, len(at) + 1, shown.offset * 4) if len(at) else np.zeros(1, np.int32)
+        ends = np.ascontiguousarray(offsets[np.r_[0, last]])
+        return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(ends), shown.buffers()[2] or pa.py_buffer(b"")])
+
+
+def packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Ids of each text as little-endian unsigned 32-bit integers."""
+    ends = (4 * np.r_[0, np.cumsum(counts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4").tobytes())])
 
 
 @lru_cache(maxsize=2)
@@ -262,10 +360,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         try:
             for batch in batches:
                 for at, end in slices(batch.column(1), BATCH_BYTES):
-                    got = bpe.encode([t or "" for t in batch.column(1).slice(at, end - at).to_pylist()])
-                    ids = pa.array([g[0] for g in got], pa.binary())
-                    decoded = pa.array([g[1] for g in got], pa.string())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), ids, decoded], ["id", "ids", "decoded"])
+                    ids, counts = bpe.encode([t or "" for t in batch.column(1).slice(at, end - at).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), packed(ids, counts), bpe.decode(ids, counts)], ["id", "ids", "decoded"])
         finally:
             bpe.forget()
 
@@ -273,8 +369,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     return rows.mapInArrow(run, f"id {id_type}, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
-def decode_ids(packed: bytes, tokenizer_path: str) -> str:
-    """The text that packed ids stand for, special tokens included."""
-    bpe = tokenizer(tokenizer_path)
-    special = {i: s for s, i in bpe.special.items()}
-    return " ".join(bpe.shown.get(i) or special[i] for i in np.frombuffer(packed, "<u4").tolist())
+def decode_documents(coded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, decoded) of packed ids; null ids decode to the empty string."""
+    id_type = dict(coded.dtypes)[id_col]
+    small_batches(coded.sparkSession)
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(tokenizer_path)
+        for batch in batches:
+            listed = [b or b"" for b in batch.column(1).to_pylist()]
+            ids = np.frombuffer(b"".join(listed), "<u4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), bpe.decode(ids, np.array([len(b) // 4 for b in listed], np.int64))], ["id", "decoded"])
+
+    rows = coded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("binary").alias("ids"))
+    return rows.mapInArrow(run, f"id {id_type}, decoded string").withColumnRenamed("id", id_col)
