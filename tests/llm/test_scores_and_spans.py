@@ -14,8 +14,8 @@ from effectlens.llm.shards import shard
 from tests.against import SF, assert_same, duck
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_backoff_equals_brute_force(spark, order):
+@pytest.mark.parametrize(("order", "shape"), [(1, {}), (2, {}), (3, {}), (4, {}), (3, {"part_words": 10, "fan": 3}), (3, {"part_words": 10, "fan": 2}), (3, {"min_count": 3})])
+def test_backoff_equals_brute_force(spark, order, shape):
     rng = random.Random(order)
     rows = [(i, " ".join(rng.choice(["a", "B", "c", "dd", "é"]) for _ in range(rng.randint(0, 30)))) for i in range(80)]
     words = {i: t.encode().lower().split() for i, t in rows}
@@ -28,9 +28,9 @@ def test_backoff_equals_brute_force(spark, order):
     def chance(g):
         if len(g) == 1:
             return count[g] / n
-        return count[g] / count[g[:-1]] if count[g] >= 2 else 0.4 * chance(g[1:])
+        return count[g] / count[g[:-1]] if count[g] >= shape.get("min_count", 2) else 0.4 * chance(g[1:])
 
-    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id int, text string"), order=order, block_bytes=300).collect()}
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id int, text string"), order=order, block_bytes=300, **shape).collect()}
     for i, w in words.items():
         s = sum(math.log(chance(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(len(w)))
         assert got[i].score == pytest.approx(s) and got[i].n_words == len(w)
@@ -43,18 +43,25 @@ def test_backoff_of_odd_rows(odd, none):
     assert all(r.score == 0 and r.n_words == 0 and r.mean_score is None for r in got if r.doc_id in (3, 4, 5))
 
 
-def test_trigram_query_equals_sql(spark):
-    name = "op3_lm_trigrams"
+def test_repeated_rows_count_as_often_as_they_stand(spark):
+    df = spark.createDataFrame([(1, "a b c d")] * 50 + [(2, "a b c e")], "doc_id long, text string").repartition(3)
+    got = lm.score(df, block_bytes=20).collect()
+    assert len(got) == 51 and {round(r.score, 9) for r in got if r.doc_id == 1} == {round(math.log(51 / 204) + math.log(50 / 51), 9)}
+
+
+def test_backoff_query_equals_sql(spark):
+    name = "op3_lm_scoring"
     assert_same(entry.queries()[name](spark, SF).toPandas(), duck().execute(entry.oracle_sql()[name]).df())
-    assert [q for q in entry.queries() if q.startswith("op3_")][0] == name
+    assert [q for q in entry.queries() if q.startswith("op3_")] == [name]
 
 
 def test_packing():
     import numpy as np
 
-    for s in ([], [5], [0, 1, 2**40, 2**63], [1, 2, 3], [2**64 - 2, 2**64 - 1]):
+    for s in ([], [5], [254, 255, 256], [0, 1, 2**40, 2**63], [1, 2, 3], [2**64 - 2, 2**64 - 1]):
         a = np.array(s, np.uint64)
         assert lm.unpacked(lm.packed(a)).tolist() == s
+        assert lm.counts_of(lm.small(a)).tolist() == s
 
 
 def luhn(digits):
