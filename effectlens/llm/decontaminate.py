@@ -12,12 +12,15 @@ An item's question is what stands up to its last question mark, its answer what
 question mark the last sentence is the answer, and of a single sentence the last quarter.
 
 Document frequencies are of all items.  The index is built and sent out in shards of at most
-``shard_items`` items and ``shard_bytes`` bytes of text, one pass over the documents for each, so
+``shard_items`` items and ``shard_bytes`` bytes of text, one pass over the documents for each.  With
+more than one shard the result of a pass is stored and its index dropped before the next is built, so
 that what is broadcast stays bounded however many items there are.
 
 Edge cases: null or empty documents hold nothing; null or empty items are never found.  Items of
-fewer than five words are one shingle as a whole.  Equal items are each reported.  Repeated rows are
-reported once.  Empty tables give an empty result.  Further columns are ignored.
+fewer than five words are one shingle as a whole.  Equal items are each reported; texts of one item id
+are an item each, and the best of them is reported.  Repeated rows are reported once; ``decontaminated``
+takes or leaves each row by its own text, ids or none.  Ids of items are taken as integers.  Empty tables
+give an empty result.  Further columns are ignored, or kept as they are by ``decontaminated``.
 """
 
 from __future__ import annotations
@@ -86,6 +89,7 @@ class Index:
     impact: np.ndarray
     need: np.ndarray  # of each item, the score that is enough
     block_need: np.ndarray
+    key: np.ndarray  # of each entry, its term and block as one number
     span: int  # words that the longest item has
 
     @staticmethod
@@ -105,21 +109,50 @@ class Index:
         need = np.array([share * sum(whole[i].values()) for i in order])
         return Index(
             np.array([rows[i][0] for i in order], np.int64), [split[i] for i in order], terms, np.maximum.reduceat(impact, np.searchsorted(term, np.arange(len(terms)))), first, item[head] // BLOCK,
-            np.maximum.reduceat(impact, head), np.r_[head, len(item)], item, impact, need, np.minimum.reduceat(need, np.arange(0, len(need), BLOCK)), max(len(w[0]) for w in split),
+            np.maximum.reduceat(impact, head), np.r_[head, len(item)], item, impact, need, np.minimum.reduceat(need, np.arange(0, len(need), BLOCK)), term[head] * -(-len(need) // BLOCK) + item[head] // BLOCK, max(len(w[0]) for w in split),
         )
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items (by place) whose score against distinct terms is enough."""
-        if self.most[terms].sum() < self.need.min():
+        """Items (by place) whose score against distinct terms is enough.
+
+        Terms go by how much they can add, least first.  Those that together stay under the least score
+        that any block asks for can't lift an item on their own: blocks that only they are in are skipped
+        unseen.  Of the blocks that the others reach, the bound is completed term by term, and only those
+        whose bound is enough have their postings read.
+        """
+        most = self.most[terms]
+        if most.sum() < self.need.min():
             return []
-        size = self.first[terms + 1] - self.first[terms]
-        entry = np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        order = np.argsort(most, kind="stable")
+        pivot = int(np.searchsorted(np.cumsum(most[order]), self.need.min() - 1e-9))
+        lead, rest = terms[order[pivot:]], terms[order[:pivot]]
+        entry = self.entries(lead)
         bound = np.bincount(self.block[entry], self.block_most[entry], len(self.block_need))
-        entry = entry[(bound >= self.block_need - 1e-9)[self.block[entry]]]
+        alive = np.flatnonzero((bound > 0) & (bound + most[order[:pivot]].sum() >= self.block_need - 1e-9))
+        if not len(alive):
+            return []
+        more = self.looked_up(rest, alive)
+        np.add.at(bound, self.block[more], self.block_most[more])
+        fit = np.zeros(len(self.block_need), bool)
+        fit[alive] = bound[alive] >= self.block_need[alive] - 1e-9
+        entry = np.r_[entry[fit[self.block[entry]]], more[fit[self.block[more]]]]
         size = self.posting[entry + 1] - self.posting[entry]
         post = np.repeat(self.posting[entry] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        score = np.bincount(self.item[post], self.impact[post], len(self.need))
-        return [(i, float(score[i])) for i in np.flatnonzero(score >= self.need - 1e-9).tolist()]
+        items, at = np.unique(self.item[post], return_inverse=True)
+        score = np.bincount(at, self.impact[post], len(items))
+        good = score >= self.need[items] - 1e-9
+        return list(zip(items[good].tolist(), score[good].tolist(), strict=True))
+
+    def entries(self, terms: np.ndarray) -> np.ndarray:
+        size = self.first[terms + 1] - self.first[terms]
+        return np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    def looked_up(self, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Entries of these terms in these blocks, found by search in each term's sorted blocks."""
+        blocks_n = len(self.block_need)
+        asked = (terms[:, None] * blocks_n + blocks[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.key, asked), len(self.key) - 1)
+        return at[self.key[at] == asked]
 
     def hits(self, docs: list[list[str]], overlap: float, part_overlap: float) -> dict[tuple[int, int], tuple]:
         """(doc, item): best (overlap, score ratio, question, answer, first word)."""
@@ -154,32 +187,50 @@ class Index:
         return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5, shard_items: int = 20_000, shard_bytes: int = 16 << 20) -> DataFrame:
-    """(id, item, score, overlap, question_overlap, answer_overlap, first_word): what each document holds of the items."""
-    spark = docs.sparkSession
-    small_batches(spark)
+@dataclass
+class Items:
+    """Test items split into words and counted, and how many shards their index takes."""
+
+    split: DataFrame
+    many: int
+    mean: float
+    shards: int
+    share: float
 
+    def index(self, k: int) -> Index | None:
+        part = self.split.filter(F.pmod(F.xxhash64("item", "text"), F.lit(self.shards)) == k)
+        texts = [(r.item, r.text) for r in part.select("item", "text").collect()]
+        if not texts:
+            return None
+        counted = self.split.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        df = {r.term: r.df for r in part.select(F.explode("terms").alias("term")).distinct().join(counted, "term").collect()}
+        return Index.build(texts, df, self.many, self.mean, self.share)
+
+
+def prepared(items: DataFrame, item_col: str, item_text: str, share: float, shard_items: int, shard_bytes: int) -> Items:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [words_of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"item": batch.column(0), "words": pa.array([len(w) for w in own], pa.int64()), "terms": pa.array([sorted(set(w)) for w in own], pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pydict({"item": batch.column(0), "text": batch.column(1), "words": pa.array([len(w) for w in own], pa.int64()), "terms": pa.array([sorted(set(w)) for w in own], pa.list_(pa.string()))})
 
     asked = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL").distinct()
-    split = stored(asked.mapInArrow(terms, "item long, words long, terms array<string>").filter("words > 0").join(asked.withColumnRenamed("item", "of"), F.col("item") == F.col("of")).drop("of"), "items")
+    split = stored(asked.mapInArrow(terms, "item long, text string, words long, terms array<string>").filter("words > 0"), "items")
     many, mean, size = split.agg(F.count("*"), F.avg("words"), F.sum(F.octet_length("text"))).first()
+    return Items(split, many, mean, max(-(-many // shard_items), -(-(size or 0) // shard_bytes)) if many else 0, share)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5, shard_items: int = 20_000, shard_bytes: int = 16 << 20) -> DataFrame:
+    """(id, item, score, overlap, question_overlap, answer_overlap, first_word): what each document holds of the items."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, item long, score double, overlap double, question_overlap double, answer_overlap double, first_word long"
+    schema = f"id {dict(rows.dtypes)['id']}, item long, score double, overlap double, question_overlap double, answer_overlap double, first_word long"
     found = spark.createDataFrame([], schema)
-    shards = max(-(-many // shard_items), -(-(size or 0) // shard_bytes)) if many else 0
-    counted = split.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")) if many else None
-    for k in range(shards):
-        part = split.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)
-        texts = [(r.item, r.text) for r in part.select("item", "text").collect()]
-        if not texts:
+    known = prepared(items, item_col, item_text, share, shard_items, shard_bytes)
+    for k in range(known.shards):
+        if (built := known.index(k)) is None:
             continue
-        df = {r.term: r.df for r in part.select(F.explode("terms").alias("term")).distinct().join(counted, "term").collect()}
-        shared = spark.sparkContext.broadcast(Index.build(texts, df, many, mean, share))
+        shared = spark.sparkContext.broadcast(built)
 
         @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -198,5 +249,39 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                         ["id", "item", "score", "overlap", "question_overlap", "answer_overlap", "first_word"],
                     )
 
-        found = found.unionByName(rows.mapInArrow(run, schema))
-    return found.distinct().withColumnsRenamed({"id": id_col, "item": item_col})
+        part = rows.mapInArrow(run, schema)
+        if known.shards > 1:
+            part = stored(part, "hits")
+            shared.unpersist()
+        found = found.unionByName(part)
+    best = found.groupBy("id", "item").agg(F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", "first_word")).alias("m"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), *[f"m.{c}" for c in ("score", "overlap", "question_overlap", "answer_overlap", "first_word")])
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5, shard_items: int = 20_000, shard_bytes: int = 16 << 20) -> DataFrame:
+    """docs without the rows whose text holds an item: a filter, without a join or shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    out = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = out.schema
+    known = prepared(items, item_col, item_text, share, shard_items, shard_bytes)
+    for k in range(known.shards):
+        if (built := known.index(k)) is None:
+            continue
+        shared = spark.sparkContext.broadcast(built)
+
+        @frugal
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index: Index = shared.value
+            for batch in batches:
+                for at, end in slices(batch.column(0), BATCH_BYTES):
+                    part = batch.slice(at, end - at)
+                    clean = np.ones(end - at, bool)
+                    clean[[d for d, _ in index.hits([words_of(t) for t in part.column(0).to_pylist()], overlap, part_overlap)]] = False
+                    yield part.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, schema)
+        if known.shards > 1:
+            out = stored(out, "clean")
+            shared.unpersist()
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -2,26 +2,30 @@
 
 Labelled text of each language becomes a suffix automaton.  A document is parsed greedily into the
 longest phrases that occur in that text; the language that needs the fewest phrases for the
-document wins.  Documents are cut into segments of ``SEGMENT`` symbols (a phrase ends with its
-segment), so that numpy steps through all segments of a batch at once: one table look-up per symbol
-and language.
+document wins.
 
-Symbols are lower-cased letters; every run of other characters counts as one space.
+Symbols are the UTF-8 bytes of lower-cased letters, so that no letter of any script is merged with
+another; every run of other characters counts as one space.  Documents are cut into segments of
+``SEGMENT`` symbols and numpy steps through all segments of a batch at once: first each from between
+two phrases, then again from the state in which the segment before it ended, as far as that differs
+from the first pass, until no state changes.  The phrases are those of a parse from start to end.
 
 Fitting takes whole labelled texts, at most ``docs_per_lang`` (expected) of at most
 ``max_doc_chars`` characters from each language and at most ``train_chars`` symbols in all of each:
-the only bounds, and they hold for fitting alone.  Prediction covers every symbol of every text.
+the only bounds, and they hold for fitting alone.  A language of which all texts are longer learns from
+their first ``max_doc_chars`` characters.  What is chosen beyond ``train_chars`` tells how many phrases
+unseen text of the language needs; a text that needs many more is ``foreign``.  Prediction covers every
+symbol of every text.  Automata are sent out for ``SHARD`` languages at a time, one pass for each.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0, and so does every text if
 no labelled row exists.  Ties go to the language that sorts first.  Rows are independent; repeated
-rows give repeated results.  Further columns are ignored.
+rows give repeated results.  Further columns are ignored, those named to be carried along may have any name.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effectlens.llm.shared import frugal, slices, small_batches
+from effectlens.llm.shared import frugal, slices, small_batches, stored
 
 SEGMENT = 256
-MOST_LETTERS = 120
-MOST_LANGS = 200
+SHARD = 64
 BATCH_BYTES = 1_500_000
+SLACK = 6  # phrases that a text may need beyond its language's rate
 UNKNOWN = "und"
 NEW_PHRASE = 1 << 30
 
@@ -48,18 +52,21 @@ def letters() -> np.ndarray:
 
 
 def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row, runs of spaces made one, and how many each text has."""
+    """Symbols of all texts in a row, runs of spaces made one, and how many each text has; table has the symbol of each byte of a letter, 0 is the space."""
     lowered = [t.lower() for t in texts]
-    sym = table[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) for t in lowered])
     starts = np.r_[0, ends[:-1]]
-    keep = sym > 0
-    space_after = np.flatnonzero(~keep[1:] & keep[:-1]) + 1
+    spoken = letters()[points]
+    keep = spoken.copy()
+    space_after = np.flatnonzero(~spoken[1:] & spoken[:-1]) + 1
     keep[space_after] = True
-    inner = starts[(starts > 0) & (starts < len(sym))]
-    keep[inner] = sym[inner] > 0  # a text doesn't start with the space that ends another
-    total = np.r_[0, np.cumsum(keep)]
-    return sym[keep], total[ends] - total[starts]
+    inner = starts[(starts > 0) & (starts < len(points))]
+    keep[inner] = spoken[inner]  # a text doesn't start with the space that ends another
+    width = np.where(spoken, 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF), 1) * keep
+    total = np.r_[0, np.cumsum(width)]
+    raw = np.frombuffer(np.where(spoken, points, 32)[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    return table[raw], total[ends] - total[starts]
 
 
 def suffix_automaton(text: list[int], width: int) -> np.ndarray:
@@ -99,9 +106,14 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
 @dataclass
 class LanguageModel:
     langs: list[str]
-    table: np.ndarray  # symbol of each code point
+    table: np.ndarray  # symbol of each byte
     steps: list[np.ndarray]  # of each language: next row's offset for (row, symbol), NEW_PHRASE added where a phrase ends
     width: int
+    limit: list[float]  # of each language: phrases per symbol that its own unseen text stays under
+
+    def shard(self, k: int) -> LanguageModel:
+        at = slice(k * SHARD, (k + 1) * SHARD)
+        return LanguageModel(self.langs[at], self.table, self.steps[at], self.width, self.limit[at])
 
     def phrases(self, sym: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(texts, languages): phrases that each text needs."""
@@ -113,69 +125,92 @@ class LanguageModel:
         grid = np.full((SEGMENT, len(text_of)), self.width - 1, np.int32)  # the last symbol leaves all as it is
         row = np.arange(len(sym)) - np.repeat(start, size)
         grid[row, np.repeat(np.arange(len(text_of)), size)] = sym
+        later = np.flatnonzero(nth > 0)
         out = np.zeros((len(counts), len(self.langs)), np.int64)
         for k, step in enumerate(self.steps):
-            at, made = np.zeros(len(text_of), np.int32), np.zeros(len(text_of), np.int32)
+            at = np.zeros(len(text_of), np.int32)
+            # Of each symbol: the state after it, and whether a phrase began with it.
+            trail, began = np.empty(grid.shape, np.int32), np.empty(grid.shape, bool)
             for j in range(SEGMENT):
                 to = step.take(at + grid[j])
-                made += to >> 30
-                at = to & (NEW_PHRASE - 1)
-            out[:, k] = np.bincount(text_of, made, len(counts))
+                began[j] = to >> 30
+                trail[j] = at = to & (NEW_PHRASE - 1)
+            entered = np.zeros(len(text_of), np.int32)
+            while True:
+                change = later[trail[-1, later - 1] != entered[later]]
+                if not len(change):
+                    break
+                at = entered[change] = trail[-1, change - 1]
+                for j in range(SEGMENT):
+                    to = step.take(at + grid[j, change])
+                    at = to & (NEW_PHRASE - 1)
+                    began[j, change] = to >> 30
+                    differs = at != trail[j, change]
+                    trail[j, change] = at
+                    if not differs.all():
+                        change, at = change[differs], at[differs]
+                        if not len(change):
+                            break
+            out[:, k] = np.bincount(text_of, began.sum(0), len(counts))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and phrases per symbol of each text."""
+    def predict(self, texts: list[str | None]) -> dict[str, np.ndarray]:
+        """Of each text: its symbols (0 where it has no letter), the place of the best language, the phrases that this and the next best need, and whether the best one's limit is passed."""
         sym, counts = symbols([t or "" for t in texts], self.table)
         spoken = np.add.reduceat(np.r_[sym > 0, False].astype(np.int64), np.minimum(np.cumsum(counts) - counts, len(sym))) * (counts > 0) > 0
-        names, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        n = np.where(spoken, counts, 0)
         if not self.langs or not len(sym):
-            return names, score, rate
+            return {"n": n, "best": np.zeros(len(n), np.int64), "least": n, "next": n, "foreign": np.zeros(len(n), bool)}
         need = self.phrases(sym, counts)
         best = need.argmin(1)
         ordered = np.sort(need, 1)
-        rate = np.where(spoken, ordered[:, 0] / np.maximum(counts, 1), np.nan)
-        second = ordered[:, 1] if len(self.langs) > 1 else np.maximum(counts, ordered[:, 0])
-        score = np.where(spoken, 1 - ordered[:, 0] / np.maximum(second, 1), 0.0)
-        return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), spoken.tolist(), strict=True)], score, rate
+        following = ordered[:, 1] if len(self.langs) > 1 else np.maximum(counts, ordered[:, 0])
+        return {"n": n, "best": best, "least": ordered[:, 0], "next": following, "foreign": ordered[:, 0] > np.array(self.limit)[best] * counts + SLACK}
 
 
-def build(samples: dict[str, list[str]], train_chars: int) -> LanguageModel:
-    """The model of the texts given for each language."""
+def build(samples: dict[str, list[str]], train_chars: int, margin: float = 2.25, unknown: float = 0.55) -> LanguageModel:
+    """The model of the texts given for each language.  margin times the rate that 95 of 100 of its unseen texts stay under is its limit, but at most unknown."""
     langs = sorted(samples)
-    seen: Counter[str] = Counter()
+    used = np.zeros(256, bool)
     for texts in samples.values():
         for t in texts:
-            seen.update(t.lower())
-    known = letters()
-    alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if known[ord(c)]][:MOST_LETTERS]
-    width = len(alphabet) + 3  # space first; then the alphabet, all other letters, what fills a segment
-    table = np.where(known, width - 2, 0).astype(np.uint8)
-    for i, c in enumerate(alphabet):
-        table[ord(c)] = i + 1
-    steps = []
+            used[np.frombuffer("".join(c for c in t.lower() if letters()[ord(c)]).encode("utf-8", "surrogatepass"), np.uint8)] = True
+    alphabet = np.flatnonzero(used)
+    width = len(alphabet) + 3  # space first; then the bytes of known letters, all other bytes, what fills a segment
+    table = np.full(256, width - 2, np.int32)
+    table[alphabet] = np.arange(1, len(alphabet) + 1)
+    table[32] = 0
+    steps, limit = [], []
     for lang in langs:
-        sym, _ = symbols(samples[lang], table)
+        sym, counts = symbols(samples[lang], table)
         trans = suffix_automaton(sym[:train_chars].tolist(), width)
         root = np.where(trans[0] >= 0, trans[0], 0)
         step = np.where(trans >= 0, trans * width, root * width + NEW_PHRASE)
         step[0] = root * width + NEW_PHRASE  # the first state stands between phrases
         step[:, -1] = np.arange(len(trans)) * width
         steps.append(step.astype(np.int32).ravel())
-    return LanguageModel(langs, table, steps, width)
+        own = LanguageModel([lang], table, steps[-1:], width, [])
+        unseen = np.cumsum(counts) - counts >= train_chars
+        if unseen.any():
+            rest = sym[int(counts[~unseen].sum()) :]
+            rate = np.maximum(own.phrases(rest, counts[unseen])[:, 0] - SLACK, 0) / np.maximum(counts[unseen], 1)
+            limit.append(float(min(unknown, margin * np.quantile(rate, 0.95))))
+        else:
+            limit.append(unknown)
+    return LanguageModel(langs, table, steps, width, limit)
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", docs_per_lang: int = 60, max_doc_chars: int = 8_000, train_chars: int = 30_000) -> LanguageModel:
     """Learn from rows with a language: an expected ``docs_per_lang`` of each, chosen by a hash of their key."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(key_col).alias("h"))
-    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) <= %d" % max_doc_chars)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(key_col).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    short = F.length("text") <= max_doc_chars
+    counts = {r.lang: (r.n, r.short) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()}  # one row a language
     if not counts:
         return build({}, train_chars)
     grain = 1 << 40
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(grain, docs_per_lang * grain // n))])
-    chosen = rows.filter(F.pmod("h", F.lit(grain)) < share[F.col("lang")]).collect()
+    share = F.create_map(*[F.lit(x) for lang, (n, few) in counts.items() for x in (lang, min(grain, docs_per_lang * grain // (few or n)))])
+    only_long = [lang for lang, (_, few) in counts.items() if not few]
+    chosen = rows.filter((short | F.col("lang").isin(only_long)) & (F.pmod("h", F.lit(grain)) < share[F.col("lang")])).withColumn("text", F.substring("text", 1, max_doc_chars)).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(chosen, key=lambda r: (r.h, r.text)):
         samples.setdefault(r.lang, []).append(r.text)
@@ -183,26 +218,47 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id, lang_pred, score, phrase_rate), after the columns to carry along."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MOST_LANGS automata of train_chars symbols
+    """(id, lang_pred, score, phrase_rate, foreign), after the columns to carry along."""
+    spark = docs.sparkSession
+    small_batches(spark)
     carry = carry or [id_col]
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("t"))
-
-    names = [*rows.columns[:-1], "lang_pred", "score", "phrase_rate"]
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for at, end in slices(batch.column(len(carry)), BATCH_BYTES):
-                lang, score, rate = own.predict(batch.column(len(carry)).slice(at, end - at).to_pylist())
-                part = [batch.column(i).slice(at, end - at) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(lang), pa.array(score), pa.array(rate, from_pandas=True)], names)
-
-    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1])
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, phrase_rate double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score", "phrase_rate")
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("t"))
+    names = out.columns
+    kinds = ", ".join(f"{n} {t}" for n, t in out.dtypes)
+    found = "n long, lang string, least long, next long, foreign boolean"
+    shards = max(1, -(-len(model.langs) // SHARD))
+    for k in range(shards):
+        shared = spark.sparkContext.broadcast(model.shard(k))  # bounded: SHARD automata of train_chars symbols
+
+        @frugal
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = not k) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                for at, end in slices(batch.column(len(carry)), BATCH_BYTES):
+                    part = batch.slice(at, end - at)
+                    got = own.predict(part.column(len(carry)).to_pylist())
+                    lang = np.array(own.langs or [UNKNOWN], object)[got["best"]]
+                    if not first:
+                        old = {c: part.column(len(names) + i).to_numpy(zero_copy_only=False) for i, c in enumerate(("n", "lang", "least", "next", "foreign"))}
+                        won = got["least"] < old["least"]
+                        lang, foreign = np.where(won, lang, old["lang"]), np.where(won, got["foreign"], old["foreign"])
+                        following = np.where(won, np.minimum(got["next"], old["least"]), np.minimum(old["next"], got["least"]))
+                        got |= {"least": np.minimum(got["least"], old["least"]), "next": following, "foreign": foreign}
+                    columns = [pa.array(got["n"], pa.int64()), pa.array(lang, pa.string()), *[pa.array(got[c], pa.int64()) for c in ("least", "next")], pa.array(got["foreign"].astype(bool))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], [*names, "n", "lang", "least", "next", "foreign"])
+
+        out = out.mapInArrow(run, f"{kinds}, {found}")
+        if shards > 1:  # one shard's automata at a time
+            out = stored(out, "languages")
+            shared.unpersist()
+    some = (F.col("n") > 0) & F.lit(bool(model.langs))
+    return out.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
+        F.when(some, F.col("lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(some, 1 - F.col("least") / F.greatest("next", F.lit(1))).otherwise(0.0).alias("score"),
+        F.when(some, F.col("least") / F.col("n")).alias("phrase_rate"),
+        (some & F.col("foreign")).alias("foreign"),
+    )
 
 
 def fold(key_col: str, parts: int) -> Column:

@@ -82,7 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     found = identify(docs, fit(docs.filter(~held_out)))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrase_rate")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrase_rate", "foreign")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

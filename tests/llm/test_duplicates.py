@@ -217,3 +217,21 @@ def test_hot_keys_stay_whole(spark):
     got = neardup.near_duplicates(df)
     assert got.filter("component_id = 0").count() == 1000 and got.filter("kept").count() == 2001
     assert lines.dedup_lines(df).filter("n_dropped = 1").count() == 999
+
+
+def test_decontaminated_keeps_rows_and_columns(spark, odd, none):
+    bank = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (1, "several words, twice here"), (2, None)], "item_id long, text string")
+    for shard_items in (20_000, 1):
+        left = decontaminate.decontaminated(odd, bank, shard_items=shard_items)
+        assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [3, 4, 5, 6, 7, 8, None, 9]))
+    assert decontaminate.decontaminated(none, bank).count() == 0 and decontaminate.decontaminated(odd, bank.limit(0)).count() == 13
+
+
+def test_query_equals_brute_force(spark):
+    from effectlens.llm.queries import op4_decontamination
+
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    whole = lambda words: f" {' '.join(words)} "
+    expected = {(r.doc_id, i) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for i, w in items if w and whole(w) in whole(decontaminate.words_of(r.text))}
+    got = op4_decontamination(spark, SF).collect()
+    assert expected and {(r.doc_id, r.item_id) for r in got if r.overlap == 1} >= expected and len({(r.doc_id, r.item_id) for r in got}) == len(got)

@@ -16,45 +16,88 @@ def model():
     return langid.build({"en": [EN * 3], "de": [DE * 3]}, 5000)
 
 
-def brute(text, corpus, segment=langid.SEGMENT):
+def brute(part, corpus):
     """Phrases by search in the text itself."""
-    n = 0
-    for at in range(0, len(text), segment):
-        part, i = text[at : at + segment], 0
-        while i < len(part):
-            k = 1
-            while i + k <= len(part) and part[i : i + k] in corpus:
-                k += 1
-            i, n = i + max(1, k - 1), n + 1
+    i = n = 0
+    while i < len(part):
+        k = 1
+        while i + k <= len(part) and part[i : i + k] in corpus:
+            k += 1
+        i, n = i + max(1, k - 1), n + 1
     return n
 
 
+def plain(model, t):
+    return "".join(chr(97 + s) for s in langid.symbols([t], model.table)[0])
+
+
 def test_phrases_equal_brute_force(model):
-    texts = ["the fox and the hund", DE[5:80] * 5, "zzzz the qqqq", EN * 9, "a"]
+    rng = np.random.default_rng(8)
+    letters = list("the foxundläß ")
+    texts = ["the fox and the hund", DE[5:80] * 5, "zzzz the qqqq", EN * 9, "a", "x" * 1000, "日本語 " * 300, (EN + DE) * 20] + ["".join(rng.choice(letters, n)) for n in (255, 256, 257, 5000)]
     sym, counts = langid.symbols(texts, model.table)
     got = model.phrases(sym, counts)
-    clean = lambda t: "".join(chr(97 + s) for s in langid.symbols([t], model.table)[0])
     for i, t in enumerate(texts):
         for k, corpus in enumerate((DE * 3, EN * 3)):
-            assert got[i, k] == brute(clean(t), clean(corpus)), (t[:20], k)
+            assert got[i, k] == brute(plain(model, t), plain(model, corpus)), (t[:20], k)
+
+
+def test_phrases_run_on_over_segments():
+    once = "".join(np.random.default_rng(9).choice(list("abcdefghij"), 2000))
+    m = langid.build({"xx": [once]}, 5000)
+    assert m.phrases(*langid.symbols([once, once[3:]], m.table)).tolist() == [[1], [1]]
+
+
+def test_languages_of_odd_texts(spark, model):
+    texts = [None, "", "12 !?", EN, DE, "x"]
+    named = lambda m, some: [(r.lang_pred, r.score, r.phrase_rate) for r in langid.identify(spark.createDataFrame(list(enumerate(some)), "doc_id int, text string"), m).orderBy("doc_id").collect()]
+    got = named(model, texts)
+    assert [g[0] for g in got[:5]] == ["und"] * 3 + ["en", "de"] and all(0 <= g[1] <= 1 for g in got) and [g[2] for g in got[:3]] == [None] * 3
+    assert named(langid.build({}, 10), [EN])[0][0] == "und"
+    alone = named(langid.build({"en": [EN]}, 500), [EN, "zzz"])
+    assert [a[0] for a in alone] == ["en", "en"] and all(0 <= a[1] <= 1 for a in alone)
+
 
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    m = langid.build({"b": [EN], "a": [EN], "c": [EN]}, 500)
+    got = langid.identify(spark.createDataFrame([(1, EN), (2, "zzz")], "doc_id int, text string"), m).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("a", 0.0)}
 
-def test_languages_of_odd_texts(model):
-    names, score, rate = model.predict([None, "", "12 !?", EN, DE, "x"])
-    assert names[:3] == ["und"] * 3 and names[3:5] == ["en", "de"] and (score >= 0).all() and (score <= 1).all()
-    assert langid.build({}, 10).predict([EN])[0] == ["und"]
-    alone = langid.build({"en": [EN]}, 500).predict([EN, "zzz"])
-    assert alone[0] == ["en", "en"] and 0 <= alone[1].min() <= alone[1].max() <= 1
+
+def test_more_languages_than_a_shard(spark, model, monkeypatch):
+    rng = np.random.default_rng(10)
+    samples = {f"l{k}": ["".join(rng.choice(list("abcdefgh"), 400, p=rng.dirichlet(np.ones(8) / 3)))] for k in range(7)}
+    m = langid.build(samples, 500)
+    df = spark.createDataFrame([(i, s[0][40:200]) for i, s in enumerate(samples.values())] + [(8, None), (9, "")], "doc_id int, text string")
+    whole = sorted(map(str, langid.identify(df, m).collect()))
+    monkeypatch.setattr(langid, "SHARD", 3)
+    assert sorted(map(str, langid.identify(df, m).collect())) == whole
+
+
+def test_scripts_of_many_letters(spark):
+    rng = np.random.default_rng(11)
+    han = [[chr(0x4E00 + i) for i in rng.choice(3000, 800, replace=False)] for _ in range(2)]
+    write = lambda k, n: "".join(rng.choice(han[k], n))
+    rows = [(i, write(i % 2, 200), f"h{i % 2}") for i in range(200)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    fresh = spark.createDataFrame([(i, write(i % 2, 60)) for i in range(60)], "doc_id int, text string")
+    assert all(r.lang_pred == f"h{r.doc_id % 2}" for r in langid.identify(fresh, m).collect())
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, EN * 2, "en") for i in range(5)] + [(10 + i, DE * 200, "de") for i in range(5)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    assert m.langs == ["de", "en"]
 
 
 def test_a_text_does_not_borrow_from_its_neighbours(model):
-    alone = model.predict(["  the fox ", "der hund"])[2]
-    assert np.allclose(alone, [model.predict([t])[2][0] for t in ("  the fox ", "der hund")])
+    least = lambda texts: model.predict(texts)["least"].tolist()
+    assert least(["  the fox ", "der hund"]) == [least([t])[0] for t in ("  the fox ", "der hund")]
 
 
 def test_identify_keeps_rows_and_columns(spark, odd, none, model):
     got = langid.identify(odd, model, carry=odd.columns)
-    assert got.columns == [*odd.columns, "lang_pred", "score", "phrase_rate"] and got.count() == 13
+    assert got.columns == [*odd.columns, "lang_pred", "score", "phrase_rate", "foreign"] and got.count() == 13
     assert langid.identify(none, model).count() == 0
     assert langid.fit(none).langs == [] and langid.fit(odd).langs == ["en"]
 
@@ -115,6 +158,23 @@ def test_quality_of_held_out_rows(spark):
     assert got.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    m = mil.fit(docs, labels, ~held_out)
+    w = m.weights
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    expected = {}
+    for r in docs.collect():
+        x, _ = mil.describe([r.text], WordHashes())
+        hidden = [np.maximum((row - m.mean) / m.spread @ w["encode"] + w["encode_bias"], 0) for row in x]
+        weight = [np.exp(float((np.tanh(h @ w["attend"]) * sigmoid(h @ w["gate"])) @ w["weigh"])) for h in hidden]
+        bag = sum(a * h for a, h in zip(weight, hidden, strict=True)) / sum(weight)
+        expected[r.doc_id] = float(sigmoid(bag @ w["judge"] + w["judge_bias"][0]))
+    for r in op5_quality_classifier(spark, SF).collect():
+        assert r.score == pytest.approx(expected[r.doc_id], abs=1e-6) and r.predicted == int(r.score >= 0.3)
+
+
 def test_judging_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 1), (6, 0), (7, None), (None, 1)], "doc_id long, quality int")
     m = mil.fit(odd, labels, F.lit(True))

@@ -40,6 +40,32 @@ def test_near_copies_at_four_fifths_go(spark):
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, SF).collect()) == [*range(0, 100, 2), 1000, 1001]
 
 
+FINNISH = """vaka vanha vainamoinen tietaja ian ikuinen lahti tuosta astumahan soutamahan laulamahan kuuluvana kulkemahan
+puhuvana polttelemaan mieleni minun tekevi aivoni ajattelevi lahteani laulamahan saa'ani sanelemahan sukuvirtta suoltamahan
+lajivirtta laulamahan sanat suussani sulavat puhe'et putoelevat kielelleni kerkiavat hampahilleni hajoovat"""
+FOREIGN = [FINNISH, "qzxv wkjq pvvx zqjk xwqv kkzj qqvw xzkp " * 2, "съешь же ещё этих мягких французских булок да выпей чаю"]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(None, t, None, None, 1) for t in FOREIGN] + [(9_000_000, None, None, None, 0), (None, "12 -", None, None, 4)], docs.schema)
+    kept = P.language(spark, docs.unionByName(more), SF).collect()
+    assert not any(r.text in FOREIGN or r.text in (None, "12 -") for r in kept) and len(kept) == P.language(spark, docs, SF).count()
+
+
+def test_rows_without_an_id_are_judged_like_others(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(None, f"so {item} so", 1), (2, item, 2), (3, "a clean text", 3), (None, "a clean text", 4), (None, None, 5), (5, "", 6), (2, item, 2)], "doc_id long, text string, k long")
+    assert sorted(r.k for r in P.decontaminate(spark, docs, SF).collect()) == [3, 4, 5, 6]
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(7, one, 1), (7, one, 1), (3, one, 2), (None, one, 3), (None, two, 4), (None, two, 4), (9, "", 5), (9, "", 5), (None, None, 6), (8, one + " end", 7), (3, two + " x", 8)]
+    kept = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, at long"), SF).collect()
+    assert sorted(r["at"] for r in kept) == [2, 5, 5, 6, 8] and kept[0].__fields__ == ["doc_id", "text", "at"]
+
+
 def test_stages_on_odd_rows(spark, odd, none, tmp_path):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for k, df in enumerate((odd, none)):
