@@ -10,8 +10,14 @@ log2(N / n(t)) is at least ``disclosure`` times log2(N), that of what stands in
 span of its own, of kind ``term``, wherever a text that holds the entity has it.  Spans are removed from
 a text by putting the name of their kind in place.
 
+Credentials are protected too: a value after the name of one (``token = "..."``), or one that starts as
+issued keys do, of 16 characters or more with letters and digits.  They are spans of kind ``secret``; as they
+name nobody, no word reveals them.
+
 Only DataFrame functions are used.  All document counts are exact and over the whole table; they are
 pre-aggregated before they are dealt out, so that a word of every document is one row for each task.
+Words are numbered, located and held against entities as rows in order, so a text of n words and e entities
+takes n log n + e^1.5 steps.
 
 Patterns are matched by Java: possessive quantifiers and look-behinds keep every search linear and off
 the stack in texts of any length, and find the same matches as the plain forms in ``PLAIN``.
@@ -26,10 +32,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from effectlens.llm.shared import stored
 
-KINDS = ["email", "ip", "card", "phone", "term"]
+KINDS = ["email", "ip", "card", "phone", "secret", "term"]
+TERM = KINDS.index("term")
 # The patterns as they are defined.
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -45,10 +53,14 @@ FAST = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Names that credentials are given, and how issued keys start.
+NAMES = "token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key"
+STARTS = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|xoxb-|xoxp-|AIza|eyJ"
+FAST["secret"] = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{16}})(?:(?={STARTS})|(?<=(?i:{NAMES})[\"']{{0,1}}[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']{{0,1}}))[A-Za-z0-9+/_-]++={{0,2}}"
 MUST_HOLD = {"email": "@", "phone": "+", "ip": "."}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 TOKEN = r"[\p{L}\p{N}_]+"
-MARK = "\ue000"
+PIECE = 4096
 SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -57,21 +69,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of the first 1, 2, ... values, in blocks of sqrt(n): n^1.5 steps."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+def running(values: Column, total: Callable[[Column], Column]) -> Column:
+    """Totals of the first 1, 2, ... values, in blocks of sqrt(n): n^1.5 steps."""
 
     def with_blocks(v: Column, step: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int"))
+        joined = lambda a, b: total(F.filter(F.array(a, b), F.isnotnull))
         return let(
             F.transform(starts, lambda k: total(F.slice(v, k * step + 1, step))),
             lambda sums: let(
-                F.transform(starts, lambda k: total(F.slice(sums, F.lit(1), k))),
-                lambda before: F.transform(v, lambda _, i: F.get(before, F.floor(i / step).cast("int")) + total(F.slice(v, F.floor(i / step).cast("int") * step + 1, i % step + 1))),
+                F.transform(starts, lambda k: F.when(k > 0, total(F.slice(sums, F.lit(1), k)))),
+                lambda before: F.transform(v, lambda _, i: joined(F.get(before, F.floor(i / step).cast("int")), total(F.slice(v, F.floor(i / step).cast("int") * step + 1, i % step + 1)))),
             ),
         )
 
-    return let(values, lambda v: let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda step: with_blocks(v, step)))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda step: with_blocks(v, step))).otherwise(v))
+
+
+def summed(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda x, y: x + y)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -81,7 +97,7 @@ def located(text: Column, pattern: str) -> Column:
     def place(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), F.length)
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: g + F.length(m))
-        ends = running_sums(steps)
+        ends = running(steps, summed)
         return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(place(found)))
@@ -104,38 +120,40 @@ def fits(kind: str, value: Column) -> Column:
         return value.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$")
     if kind == "card":
         return luhn(digits)
+    if kind == "secret":
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
 def base_spans(text: Column) -> Column:
-    """Entities as (start, rank of the kind, end, kind, value), in order."""
+    """Entities and secrets as (start, rank of the kind, end, kind, value), in order."""
+
     def of_kind(rank: int, kind: str) -> Column:
         found = F.filter(located(text, FAST[kind]), lambda s: fits(kind, s["value"]))
         if kind in MUST_HOLD:
             found = F.when(F.contains(text, F.lit(MUST_HOLD[kind])), found).otherwise(F.array().cast(f"array<{SPAN}>"))
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
-    return F.array_sort(F.concat(*[of_kind(rank, kind) for rank, kind in enumerate(KINDS[:4])]))
-
+    return F.array_sort(F.concat(*[of_kind(rank, kind) for rank, kind in enumerate(KINDS[:TERM])]))
 
-def free_words(text: Column, spans: Column) -> Column:
-    """Words that no entity overlaps, of the whole text: (t, start, end)."""
-    plain = F.translate(text, MARK, " ")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-    def step(acc: Column, s: Column) -> Column:
-        ends = F.greatest(acc["at"], s["end"])
-        more = F.concat(acc["done"], F.substr(plain, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(MARK), ends - F.greatest(acc["at"], s["start"])))
-        return F.struct(ends.alias("at"), more.alias("done"))
+def free_words(texts: DataFrame) -> DataFrame:
+    """(of, t, start, end) of the words of (of, text, spans) that no span overlaps; t is the word's hash."""
+    pieces = F.arrays_zip(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("word"), F.transform(F.split("text", TOKEN, -1), F.length).alias("gap"))
+    word = texts.select("of", F.posexplode(pieces).alias("pos", "w")).select("of", "pos", F.col("w.word").alias("word"), "w.gap").filter("word IS NOT NULL")
+    ends = F.sum(F.col("gap") + F.length("word")).over(W.partitionBy("of").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    word = word.select("of", F.xxhash64(F.lower("word")).alias("t"), (ends - F.length("word")).alias("start"), ends.alias("end"), F.lit(0).alias("span"))
+    span = texts.select("of", F.explode("spans").alias("s")).select("of", F.lit(None).cast("long").alias("t"), "s.start", "s.end", F.lit(1).alias("span"))
+    # Of the spans that start up to a word's own start the furthest end, of those that start later the first.
+    earlier = W.partitionBy("of").orderBy("start", F.desc("span")).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("of").orderBy(F.desc("start"), "span").rowsBetween(W.unboundedPreceding, 0)
+    own = word.unionByName(span).withColumn("reach", F.max(F.when(F.col("span") == 1, F.col("end"))).over(earlier)).withColumn("next", F.min(F.when(F.col("span") == 1, F.col("start"))).over(later))
+    over = (F.coalesce("reach", F.lit(0)) > F.col("start")) | ((F.col("next") > F.col("start")) & (F.col("next") < F.col("end")))
+    return own.filter((F.col("span") == 0) & ~F.coalesce(over, F.lit(False))).select("of", "t", "start", "end")
 
-    # Entities become letters of their own, which a word that they overlap then holds.
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substr(plain, acc["at"] + 1, F.length(plain))))
-    words = F.filter(located(masked, f"[{MARK}{TOKEN[1:]}"), lambda w: ~F.contains(w["value"], F.lit(MARK)))
-    return F.transform(words, lambda w: F.struct(F.xxhash64(F.lower(w["value"])).alias("t"), w["start"].alias("start"), w["end"].alias("end")))
 
-
-def disclosing(texts: DataFrame, words: DataFrame, documents: int, disclosure: float, support: int) -> DataFrame:
-    """(of, t) of words that reveal an entity of a text; texts has (of, m documents, spans, words) of each text with entities, words every document's distinct words."""
+def disclosing(texts: DataFrame, free: DataFrame, words: DataFrame, documents: int, disclosure: float, support: int) -> DataFrame:
+    """(of, t) of words that reveal an entity of a text; texts has (of, m documents, spans) of each text with entities, free their words, words every document's distinct words."""
     total = F.lit(float(documents))
     named = texts.select("of", "m", F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("e"))
     entities = named.groupBy("e").agg(F.sum("m").alias("n_e"), F.count("*").alias("texts_e")).filter(F.col("n_e") < documents)
@@ -144,7 +162,7 @@ def disclosing(texts: DataFrame, words: DataFrame, documents: int, disclosure: f
     most = F.pow(F.col("n_e").cast("double"), F.lit(disclosure)) * F.pow(total, F.lit(1 - disclosure)) * (1 + 1e-9)
     bound = named.agg(F.max(most)).first()[0] or 0.0
     counts = words.groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= bound)
-    held = texts.select("of", F.explode(F.array_distinct(F.transform("words", lambda w: w["t"]))).alias("t"))
+    held = free.select("of", "t").distinct()
     held = stored(held.join(counts.hint("merge"), "t"), "held")
     rare = F.log2(total / F.col("n_t")) >= disclosure * F.log2(total)
     # The PMI of an entity of one text is all its words' own information, so its pairs needn't be made.
@@ -162,37 +180,54 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("of"))
     found = rows.select("id", "of", "text", base_spans(F.col("text")).alias("spans"))
-    found = stored(found.select("id", "of", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "entities")
-    texts = found.filter("size(spans) > 0").groupBy("of").agg(F.count("*").alias("m"), F.first("spans").alias("spans"), F.first("text").alias("text"))
-    texts = stored(texts.select("of", "m", "spans", free_words(F.col("text"), F.col("spans")).alias("words")), "texts")
+    found = stored(found.select("id", "of", "spans", F.when(F.exists("spans", lambda s: s["kind"] != "secret"), F.col("text")).alias("text")), "entities")
+    named = F.filter("spans", lambda s: s["kind"] != "secret")
+    texts = found.filter("text IS NOT NULL").groupBy("of").agg(F.count("*").alias("m"), F.first("spans").alias("spans"), F.first("text").alias("text"))
+    texts = stored(texts, "texts")
+    free = stored(free_words(texts), "free-words")
     words = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.lower))).alias("w")).select(F.xxhash64("w").alias("t"))
-    revealing = disclosing(texts, words, found.count(), disclosure, support)
-    places = texts.select("of", F.explode("words").alias("w")).select("of", "w.*").join(revealing, ["of", "t"])
-    terms = places.groupBy("of").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"))
-    entity = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    out = found.select("id", "of", entity.alias("base")).join(stored(terms, "terms"), "of", "left")
-    return out.select(F.col("id").alias(id_col), "of", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))).alias("spans"))
+    revealing = disclosing(texts.select("of", "m", named.alias("spans")), free, words, found.count(), disclosure, support)
+    terms = free.join(revealing, ["of", "t"]).groupBy("of").agg(F.collect_list(F.struct("start", F.lit(TERM).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"))
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    out = found.select("id", "of", bare(named).alias("base"), bare(F.col("spans")).alias("found")).join(stored(terms, "terms"), "of", "left")
+    return out.select(F.col("id").alias(id_col), "of", "base", F.array_sort(F.concat("found", F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))).alias("spans"))
+
+
+def redact(text: Column, spans: Column, generalise: bool = False) -> Column:
+    """The text with each span replaced by the name of its kind in brackets; of spans that overlap the first.
+
+    generalise puts a wider class in place of a term, [NUMBER] or [NAME] of words in capitals, where it has one.
+    """
 
+    def with_pieces(pieces: Column, ends: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            inside = lambda k: F.substr(F.get(pieces, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+            return F.when(b > a, F.array_join(F.transform(F.sequence(first, F.floor((b - 1) / PIECE).cast("int")), inside), "")).otherwise("")
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by the name of its kind in brackets; of spans that overlap the first."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+        def name(s: Column) -> Column:
+            if not generalise:
+                return F.upper(s["kind"])
+            word = cut(s["start"], s["end"])
+            return F.when(s["kind"] != "term", F.upper(s["kind"])).when(word.rlike("^[0-9]+$"), "NUMBER").when(word.rlike(r"^\p{Lu}"), "NAME").otherwise("TERM")
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["done"]).alias("done"))
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        shown = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(before(i), s["start"]), F.lit("["), name(s), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(shown, ""), cut(before(F.size(spans)), F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1, F.length(text))))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda k: F.substr(text, k * PIECE + 1, F.lit(PIECE)))
+    reach = running(F.transform(spans, lambda s: s["end"]), F.array_max)
+    return F.when(F.size(spans) == 0, text).otherwise(let(pieces, lambda p: let(reach, lambda ends: with_pieces(p, ends))))
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: bool = False, **how) -> DataFrame:
     """docs with their texts redacted; a null text stays null."""
     found = find(docs, id_col, text_col, **how).select(F.col(id_col).alias("id"), "of", "spans").dropDuplicates(["id", "of"])
     of = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     # A row travels as one column, so that its names clash with none here.
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), of.alias("own_of"))
     out = rows.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_of") == F.col("of")))
-    return out.select(*[(redact(F.col("row")[c].cast("string"), F.col("spans")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.select(*[(redact(F.col("row")[c].cast("string"), F.col("spans"), generalise) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def as_text(spans: Column) -> Column:

@@ -65,8 +65,9 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
-    many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[many(k) for k in pii.KINDS[:4]], F.sha2(F.encode(pii.as_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+    many = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    private = F.size(F.filter("spans", lambda s: s["kind"] != "term")).cast("long").alias("n_private")
+    return found.select("doc_id", *[many(k) for k in pii.KINDS], private, F.sha2(F.encode(pii.as_text(F.col("base")), "UTF-8"), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

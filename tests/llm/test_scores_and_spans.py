@@ -116,6 +116,43 @@ def test_revealing_words_are_found_and_removed(spark):
     assert clean[1] == "case 1: the agent [TERM] wrote from [EMAIL] about text 1" and clean[10] == text[10] and clean[60] is None
 
 
+def test_secrets_are_spans_but_not_entities(spark):
+    key = "9abc9ff9ca9fb9e9c999a9eb99999999a999bdde"
+    rows = [(1, f'so token = "{key}" rare'), (2, f"api_key:{key}=="), (3, f"PASSWORD= {'a' * 40}"), (4, f"token {key}"), (5, "ghp_0123456789abcdefghij x"), (6, f"a secret is {key}")]
+    text = dict(rows)
+    got = {r.doc_id: (len(r.base), [(s.kind, text[r.doc_id][s.start : s.end]) for s in r.spans]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, [("secret", key)]), 2: (0, [("secret", key + "==")]), 3: (0, []), 4: (0, []), 5: (0, [("secret", "ghp_0123456789abcdefghij")]), 6: (0, [])}
+
+
+def test_a_text_of_very_many_entities(spark):
+    rng = random.Random(12)
+    text = " ".join(f"Name{rng.randrange(10**6)} u{i}@mail.example.com, 日本 " for i in range(20_000))
+    rows = [(1, text), (2, "plain text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert len(got[1].base) == 20_000 and [text[s.start : s.end] for s in got[1].base[::997]] == [f"u{i}@mail.example.com" for i in range(0, 20_000, 997)]
+    clean = {r.doc_id: r.text for r in pii.sanitised(df, generalise=True).collect()}
+    assert clean[1].count("[EMAIL]") == 20_000 and "@" not in clean[1] and clean[2] == "plain text"
+
+
+def test_redaction_equals_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        t = "".join(rng.choice("abc日🙂 ") for _ in range(rng.choice([0, 5, 100, 9000])))
+        spans = sorted((a, 0, min(len(t), a + rng.randint(1, 50)), "ip") for a in (rng.randrange(len(t)) for _ in range(rng.randint(0, 60) if t else 0)))
+        rows.append((i, t, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,rank:int,end:int,kind:string>>")
+    for r in df.select("i", pii.redact(F.col("text"), F.col("spans")).alias("got")).collect():
+        _, t, spans = rows[r.i]
+        at, out = 0, ""
+        for a, _, b, _ in spans:
+            if a >= at:
+                out += t[at:a] + "[IP]"
+            at = max(at, b)
+        assert r.got == out + t[at:]
+
+
 def test_one_text_is_no_support_however_often_it_stands(spark):
     df = spark.range(30).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, "agent zorbax is zed@mail.example.com").otherwise(F.concat(F.lit("other "), F.col("id").cast("string"))).alias("text"))
     assert pii.find(df).filter(F.exists("spans", lambda s: s["kind"] == "term")).count() == 0
