@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.llm import lines, lm, mil, neardup, pii, quality
+from effectlens.llm import lines, lm, mil, neardup, pii, quality, shards
 from effectlens.llm.bpe import encode_documents
 from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import fit, fold, identify
-from effectlens.llm.shards import shard
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +70,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(documents(spark, sf_dir))
+    return shards.shard(documents(spark, sf_dir))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +101,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op3_lm_scoring": lm.ORACLE,
     "op6_minhash": neardup.ORACLE,
+    "op8_sharding": shards.ORACLE,
     "op9_line_dedup": lines.ORACLE,
 }

@@ -269,3 +269,20 @@ def test_shards_of_odd_rows(spark, odd, none):
     assert len(got) == 13 and shard(none, 4).count() == 0
     assert set(got[got.doc_id.isin([3, 4])]["size"]) == {16} and set(got[got.doc_id.isin([3, 4])].text_crc32) == {0}
     assert op8_sharding(spark, SF).filter("grown_shard IS NOT NULL").count() == 0
+
+
+def test_ranges_are_split_until_none_is_overfull(spark):
+    rows = [(1, "the same row")] * 3000 + [(i, f"text {i}") for i in range(500)] + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shape in ({}, {"range_rows": 40, "fan": 4}, {"range_rows": 40, "fan": 4, "most_broadcast": 0}):
+        got = shard(df, 7, **shape).toPandas()
+        assert len(got) == 3550 and abs(got.groupby("shard")["size"].sum() - got["size"].sum() / 7).max() <= 2 * got["size"].max()
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert shard(df.limit(0), 7).count() == 0
+
+
+def test_shard_query_equals_sql(spark):
+    name = "op8_sharding"
+    got, want = entry.queries()[name](spark, SF).toPandas(), duck().execute(entry.oracle_sql()[name]).df()
+    assert_same(got.drop(columns="grown_shard"), want.drop(columns="grown_shard"))
+    assert got.grown_shard.isna().all() and want.grown_shard.isna().all()
