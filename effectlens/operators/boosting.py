@@ -1,13 +1,14 @@
 """Gradient boosting with symmetric trees, and exact path-dependent attributions of its trees.
 
 Every level of a tree has one (feature, threshold) split, so a tree of depth d is d splits and 2^d
-leaves.  Fits are small and many: they run in numpy, a (fold, trial, inner fold) to a task.  For one
-fit that needs the whole cluster there is ``fit_distributed``.
+leaves.  Fits are small and many: they run in numpy, a (fold, trial, inner fold) to a task.  Rows meet
+models where they lie: models are sent out, rows aren't grouped.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 from math import factorial
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effectlens.sources.scratch import stored
+
 LOSSES = ("RMSE", "MAE", "Huber", "Quantile", "MultiRMSE", "Logloss", "CrossEntropy", "MultiClass", "MultiClassOneVsAll")
 
 
@@ -310,11 +313,60 @@ def expectation(model: Model) -> np.ndarray:
     return np.array(model.base) + model.learning_rate * sum((expectations(t, set())[0] for t in model.trees), np.zeros(len(model.base)))
 
 
-def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None, own_trial: bool = False) -> DataFrame:
+def area(y: np.ndarray, p: np.ndarray) -> float:
+    """The share of pairs of a 1 and a 0 that p ranks right, ties by half."""
+    _, at, many = np.unique(p, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(many) - (many - 1) / 2)[at]
+    ones = y == 1
+    n1, n0 = ones.sum(), (~ones).sum()
+    return float((rank[ones].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)) if n1 and n0 else float("nan")
+
+
+def score_of(name: str, y: np.ndarray, p: np.ndarray) -> float:
+    """A score, higher being better, of predictions: values, the probability of class 1, or one column per class (y one-hot).
+
+    Scores of labels take the likeliest class, or whether the probability is over 0.5.
+    """
+    if name in ("neg_rmse", "neg_mae", "r2"):
+        if name == "neg_mae":
+            return -float(np.abs(y - p).mean())
+        if name == "neg_rmse":
+            return -float(np.sqrt(((y - p) ** 2).mean()))
+        wrong, whole = ((y - p) ** 2).sum(0), ((y - y.mean(0)) ** 2).sum(0)
+        return float(np.where(whole > 0, 1 - wrong / np.where(whole > 0, whole, 1), wrong == 0).mean())
+    many = y.shape[1] > 1
+    if name == "log_loss":
+        true = (y * p).sum(1) if many else np.where(y[:, 0] == 1, p[:, 0], 1 - p[:, 0])
+        return float(np.log(np.clip(true, np.finfo(float).eps, 1 - np.finfo(float).eps)).mean())
+    if name == "roc_auc" and not many:
+        return area(y[:, 0], p[:, 0])
+    if name in ("roc_auc", "roc_auc_ovr") and many:
+        each = np.array([area(y[:, k], p[:, k]) for k in range(y.shape[1])])
+        share, there = y.mean(0), ~np.isnan(each)
+        return float((each[there] * share[there]).sum() / share[there].sum()) if there.any() else float("nan")
+    true, said = (y.argmax(1), p.argmax(1)) if many else (y[:, 0].astype(int), (p[:, 0] > 0.5).astype(int))
+    if name == "accuracy":
+        return float((true == said).mean())
+    classes = np.arange(max(2, y.shape[1]))
+    support, predicted, hits = (np.array([x(k) for k in classes]) for x in (lambda k: (true == k).sum(), lambda k: (said == k).sum(), lambda k: ((true == k) & (said == k)).sum()))
+    if name == "balanced_accuracy":
+        return float((hits[support > 0] / support[support > 0]).mean())
+    f1 = 2 * hits / np.maximum(support + predicted, 1)
+    if name in ("f1", "f1_weighted"):
+        return float(f1[1]) if name == "f1" and not many else float((f1 * support).sum() / support.sum())
+    raise ValueError(f"unknown score {name!r}")
+
+
+#: Bytes of rows or models that are sent to every task; what is larger is dealt out by key.
+MOST_SENT = 64 << 20
+
+
+def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None, own_trial: bool = False, scoring: str | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """(fold, trial, score, best_iteration, model): a model per fold and trial, or of each fold with the trial of its number.
 
-    A fold's model is fitted on the rows of the other folds.  Rows are dealt to the fits that use them; each fit is one task, so a fit's rows must fit in a
-    worker.  score is the validation loss on the fold itself, negated.
+    A fold's model is fitted on the rows of the other folds.  Each fit is one task, so a fit's rows must fit in a
+    worker.  Rows of at most ``most_sent`` bytes are sent out once and only tasks are dealt; more rows are dealt to
+    the fits that use them.  score is that named by scoring, of predictions for the fold itself, else the negated loss.
     """
     spark = rows.sparkSession
     trials = trials or [{}]
@@ -322,19 +374,35 @@ def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[st
     tasks = folds.crossJoin(spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trials)], "trial int, overrides string"))
     if own_trial:
         tasks = tasks.filter(F.col("_fit") == F.col("trial"))
-    dealt = rows.crossJoin(F.broadcast(tasks))  # one row per fold and trial: a few hundred at most
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, trial = int(pdf["_fit"].iloc[0]), int(pdf["trial"].iloc[0])
-        p = Params(**asdict(params) | json.loads(pdf["overrides"].iloc[0]) | {"seed": params.seed + k})
+    def fitted(pdf: pd.DataFrame, k: int, trial: int, overrides: str) -> dict:
+        p = Params(**asdict(params) | json.loads(overrides) | {"seed": params.seed + k})
         pdf = pdf.sort_values(names + targets, kind="stable")
         inside, outside = pdf[pdf[fold] != k], pdf[pdf[fold] == k]
         m = fit(inside, inside[targets].to_numpy(float), names, categorical, p, (outside, outside[targets].to_numpy(float)) if p.early_stopping_rounds else None)
         x = m.matrix(outside.assign(**{c: outside[c].astype(str) for c in categorical}))
-        score = -loss_value(p.loss, outside[targets].to_numpy(float), m.raw(x), p.delta)
-        return pd.DataFrame([{"fold": k, "trial": trial, "score": score, "best_iteration": m.best_iteration, "model": m.to_json()}])
+        y = outside[targets].to_numpy(float)
+        score = score_of(scoring, y, m.predict(x)) if scoring else -loss_value(p.loss, y, m.raw(x), p.delta)
+        return {"fold": k, "trial": trial, "score": score, "best_iteration": m.best_iteration, "model": m.to_json()}
+
+    schema = "fold int, trial int, score double, best_iteration int, model string"
+    used = rows.select(fold, *names, *targets)
+    size = used.agg(F.sum(sum((F.octet_length(c) + 16 if t == "string" else F.lit(8) for c, t in used.dtypes), F.lit(0)))).first()[0] or 0
+    if size <= most_sent:
+        table = spark.sparkContext.broadcast(used.toPandas())
 
-    return dealt.groupBy("_fit", "trial").applyInPandas(one, "fold int, trial int, score double, best_iteration int, model string")
+        def of_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for t in pdf.itertuples(index=False):
+                    yield pd.DataFrame([fitted(table.value, int(t.fit), int(t.trial), t.overrides)])
+
+        listed = tasks.select(F.col("_fit").alias("fit"), "trial", "overrides")
+        return listed.repartition(max(1, listed.count()), "fit", "trial").mapInPandas(of_tasks, schema)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([fitted(pdf, int(pdf["_fit"].iloc[0]), int(pdf["trial"].iloc[0]), pdf["overrides"].iloc[0])])
+
+    return used.crossJoin(F.broadcast(tasks)).groupBy("_fit", "trial").applyInPandas(one, schema)  # tasks: one row per fold and trial
 
 
 def best_trials(fits: DataFrame) -> DataFrame:
@@ -344,55 +412,73 @@ def best_trials(fits: DataFrame) -> DataFrame:
     return mean.groupBy("fold").agg(best.alias("b")).select("fold", "b.trial", "b.score")
 
 
-def predict_folds(rows: DataFrame, models: DataFrame, fold: str, key: str, categorical: list[str], every: bool = False) -> DataFrame:
-    """(key, fold, pred): of each row by the model that hasn't seen it, or by every model.
+def sent_models(models: DataFrame, most_sent: int):
+    """The models of all folds, broadcast as text, or None if they are over most_sent bytes."""
+    if (models.agg(F.sum(F.octet_length("model"))).first()[0] or 0) > most_sent:
+        return None
+    return models.sparkSession.sparkContext.broadcast({r.fold: r.model for r in models.select("fold", "model").collect()})
 
-    The models travel as data: rows meet theirs in a grouped task.
-    """
+
+def by_model(sent, fold: str, of_batch, every: bool = False):
+    """A function of batches: of_batch(model, fold, rows) for the rows of each model's fold, or for all rows and every model."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = {k: Model.from_json(text) for k, text in sorted(sent.value.items())}
+        for pdf in batches:
+            for k, m in own.items():
+                part = pdf if every else pdf[pdf[fold] == k]
+                if len(part):
+                    yield of_batch(m, k, part)
+
+    return run
+
+
+def predict_folds(rows: DataFrame, models: DataFrame, fold: str, key: str, categorical: list[str], every: bool = False, most_sent: int = MOST_SENT) -> DataFrame:
+    """(key, fold, pred): of each row by the model that hasn't seen it, or by every model."""
     kind = dict(rows.dtypes)[key]
+    schema = f"{key} {kind}, fold int, pred array<double>"
+
+    def of_batch(m: Model, k: int, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = m.matrix(pdf.assign(**{c: pdf[c].astype(str) for c in categorical}))
+        return pd.DataFrame({key: pdf[key].to_numpy(), "fold": k, "pred": list(m.predict(x))})
+
+    if (sent := sent_models(models, most_sent)) is not None:
+        return rows.mapInPandas(by_model(sent, fold, of_batch, every), schema)
     left = rows.crossJoin(F.broadcast(models.select(F.col("fold").alias("_fit")).distinct())) if every else rows.withColumn("_fit", F.col(fold))
 
     def one(k, pdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(mdf):
             return pd.DataFrame({key: [], "fold": [], "pred": []})
-        m = Model.from_json(mdf["model"].iloc[0])
-        x = m.matrix(pdf.assign(**{c: pdf[c].astype(str) for c in categorical}))
-        return pd.DataFrame({key: pdf[key].to_numpy(), "fold": int(k[0]), "pred": list(m.predict(x))})
+        return of_batch(Model.from_json(mdf["model"].iloc[0]), int(k[0]), pdf)
 
     right = models.select(F.col("fold").alias("_fit"), "model")
-    return left.groupBy("_fit").cogroup(right.groupBy("_fit")).applyInPandas(one, f"{key} {kind}, fold int, pred array<double>")
+    return left.groupBy("_fit").cogroup(right.groupBy("_fit")).applyInPandas(one, schema)
 
 
-def effects_by_fold(rows: DataFrame, models: DataFrame, fold: str, key: str, categorical: list[str]) -> DataFrame:
-    """(row, fold, slice, eff, i, j, phi) of every non-zero effect of every row, by its fold's model."""
+def effects_by_fold(rows: DataFrame, models: DataFrame, fold: str, key: str, categorical: list[str], most_sent: int = MOST_SENT) -> DataFrame:
+    """(row, fold, slice, eff, i, j, phi) of every row by its fold's model, of effects that aren't 0 in all of the fold's rows."""
     kind = dict(rows.dtypes)[key]
+    columns = ["row", "fold", "slice", "eff", "i", "j", "phi"]
+    schema = f"row {kind}, fold int, slice int, eff string, i string, j string, phi double"
 
-    def one(k, pdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
-        columns = ["row", "fold", "slice", "eff", "i", "j", "phi"]
-        if not len(pdf) or not len(mdf):
-            return pd.DataFrame({c: [] for c in columns})
-        m = Model.from_json(mdf["model"].iloc[0])
+    def of_batch(m: Model, k: int, pdf: pd.DataFrame) -> pd.DataFrame:
         x = m.matrix(pdf.assign(**{c: pdf[c].astype(str) for c in categorical}))
         parts = []
         for eff, phi in effects(m, x).items():
             i, j = m.names[eff[0]], m.names[eff[1]] if len(eff) > 1 else None
             for s in range(phi.shape[1]):
-                if np.abs(phi[:, s]).max() > 0:
-                    parts.append(pd.DataFrame({"row": pdf[key].to_numpy(), "fold": int(k[0]), "slice": s, "eff": i if j is None else f"{i} x {j}", "i": i, "j": j, "phi": phi[:, s]}))
+                parts.append(pd.DataFrame({"row": pdf[key].to_numpy(), "fold": k, "slice": s, "eff": i if j is None else f"{i} x {j}", "i": i, "j": j, "phi": phi[:, s]}))
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
 
-    left = rows.withColumn("_fit", F.col(fold))
-    right = models.select(F.col("fold").alias("_fit"), "model")
-    return left.groupBy("_fit").cogroup(right.groupBy("_fit")).applyInPandas(one, f"row {kind}, fold int, slice int, eff string, i string, j string, phi double")
-
+    if (sent := sent_models(models, most_sent)) is not None:
+        found = rows.mapInPandas(by_model(sent, fold, of_batch), schema)
+    else:
 
-def fit_distributed(rows: DataFrame, names: list[str], label: str, params: Params, classification: bool = False):
-    """One fit over all executors, for tables that no single worker can hold: Spark's own boosted trees."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+        def one(k, pdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
+            return of_batch(Model.from_json(mdf["model"].iloc[0]), int(k[0]), pdf) if len(pdf) and len(mdf) else pd.DataFrame({c: [] for c in columns})
 
-    kind = GBTClassifier if classification else GBTRegressor
-    trees = kind(featuresCol="features", labelCol=label, maxIter=params.iterations, stepSize=params.learning_rate, maxDepth=params.depth, maxBins=max(2, params.border_count), minInstancesPerNode=params.min_data_in_leaf, seed=params.seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
+        right = models.select(F.col("fold").alias("_fit"), "model")
+        found = rows.withColumn("_fit", F.col(fold)).groupBy("_fit").cogroup(right.groupBy("_fit")).applyInPandas(one, schema)
+    found = stored(found, "attributions")
+    alive = found.groupBy("fold", "slice", "eff").agg(F.max(F.abs("phi")).alias("most")).filter("most > 0").drop("most")
+    return found.join(alive, ["fold", "slice", "eff"], "left_semi").select(*columns)

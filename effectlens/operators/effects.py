@@ -158,8 +158,8 @@ def ranked_significant(stats: DataFrame) -> DataFrame:
 
 
 def microdata(effects: DataFrame, values: DataFrame) -> DataFrame:
-    """Attributions (row, eff, i, j, phi) with the value of each feature; values is (row, feature, value)."""
+    """Attributions (row, eff, i, j, phi), and their slice if they have one, with the value of each feature; values is (row, feature, value)."""
     main = values.select("row", F.col("feature").alias("i"), F.col("value").alias("feature_value"))
     partner = values.select("row", F.col("feature").alias("j"), F.col("value").alias("partner_value"))
     out = effects.join(main, ["row", "i"]).join(partner, ["row", "j"], "left")
-    return out.select("row", "eff", "phi", F.col("i").alias("main_feature"), F.col("j").alias("interaction_partner"), "feature_value", "partner_value")
+    return out.select(*(["slice"] if "slice" in effects.columns else []), "row", "eff", "phi", F.col("i").alias("main_feature"), F.col("j").alias("interaction_partner"), "feature_value", "partner_value")

@@ -17,14 +17,14 @@ class LevelError(ValueError):
 
 def clean_strings(df: DataFrame) -> DataFrame:
     """Blank cells of all string columns become null, in one projection."""
-    return df.select(*[blank_to_null(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """df's columns of these names, in this order; extra columns go, missing ones are an error."""
     if missing := [c for c in names if c not in df.columns]:
         raise KeyError(f"missing columns: {', '.join(missing)}")
-    return df.select(*names)
+    return df.select(*[f"`{c}`" for c in names])
 
 
 def supervised(df: DataFrame, outcomes: list[str]) -> DataFrame:

@@ -7,21 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from effectlens.functions.columns import hash_index, hashed, let
+from effectlens.sources.scratch import stored
 
 
-def dense_index(df: DataFrame, order: list[Column], name: str = "k", lead: Column | None = None, parts: int = 64) -> DataFrame:
+RANGE_ROWS, MOST_RANGES = 500_000, 4096
+
+
+def below(cuts: list, x: Column) -> Column:
+    """How many of the sorted cuts are under x: looked up in two steps of about sqrt(n) each."""
+    step = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    listed = lambda some: F.array(*[F.lit(c) for c in some])
+    coarse = F.size(F.filter(listed([p[0] for p in parts]), lambda b: b < x))
+    fine = F.get(F.array(*[listed(p) for p in parts]), F.greatest(coarse - 1, F.lit(0)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda b: b < x)))
+
+
+def dense_index(df: DataFrame, order: list[Column], name: str = "k", lead: Column | None = None, rows: int | None = None) -> DataFrame:
     """df with each row's place, from 0, in a total order.
 
     lead is a number that never falls along the order (its first column, if that is a number).
     Splitters of it cut the order into ranges; a window numbers the rows within each range, and the
-    ranges' counts, one row each, give where it starts.
+    ranges' counts, one row each, give where it starts.  rows, counted unless told, says how many ranges.
     """
     lead = order[0] if lead is None else lead
+    parts = min(MOST_RANGES, max(64, (df.count() if rows is None else rows) // RANGE_ROWS))
     marked = df.withColumn("_lead", lead)
     cuts = marked.agg(F.percentile_approx("_lead", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    part = let(F.col("_lead"), lambda x: F.size(F.filter(bounds, lambda b: b < x))) if cuts else F.lit(0)
+    part = let(F.col("_lead"), lambda x: below(cuts, x)) if cuts else F.lit(0)
     marked = marked.withColumn("_part", part)
     counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
@@ -38,9 +52,8 @@ def hash_lead(h: Column) -> Column:
 
 def kfold(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     """df with fold: contiguous pieces of the hash order, the first n mod folds one row larger."""
-    h = hashed(seed, "fold", F.col(key))
-    placed = dense_index(df.withColumn("_h", h), [F.col("_h"), F.col(key)], "_k", hash_lead(F.col("_h")))
-    n = df.count()
+    h, n = hashed(seed, "fold", F.col(key)), df.count()
+    placed = dense_index(df.withColumn("_h", h), [F.col("_h"), F.col(key)], "_k", hash_lead(F.col("_h")), rows=n)
     small, large = n // folds, n % folds
     edge = large * (small + 1)
     fold = F.when(F.col("_k") < edge, F.floor(F.col("_k") / (small + 1))).otherwise(large + F.floor((F.col("_k") - edge) / max(small, 1)))
@@ -70,11 +83,11 @@ def folds_for(df: DataFrame, key: str, label: str, folds: int, seed: int, classi
 
 def shadow(df: DataFrame, key: str, columns: list[str], seed: int, fold: int = 0) -> DataFrame:
     """(key, shadow_<c>...): each column's values permuted on their own, by equal places in two orders."""
-    places = dense_index(df.select(key), [F.col(key)], "k")
-    out = places
+    n = df.count()
+    out = dense_index(df.select(key), [F.col(key)], "k", rows=n)
     for c in columns:
         h = hashed(seed, fold, c, F.col(key))
-        moved = dense_index(df.select(key, c).withColumn("_h", h), [F.col("_h"), F.col(key)], "k", hash_lead(F.col("_h")))
+        moved = dense_index(df.select(key, c).withColumn("_h", h), [F.col("_h"), F.col(key)], "k", hash_lead(F.col("_h")), rows=n)
         out = out.join(moved.select("k", F.col(c).alias(f"shadow_{c}")), "k")
     return out.drop("k")
 
@@ -89,11 +102,12 @@ def shadow_by_fold(df: DataFrame, key: str, columns: list[str], fold: str, seed:
         marked = df.withColumn("_h", hashed(seed, salt, F.col(fold), F.col(key)))
         return marked, [F.col(fold), F.col("_h"), F.col(key)], F.col(fold).cast("long") * F.lit(1 << 48) + hash_lead(F.col("_h"))
 
+    n = df.count()
     marked, by, lead = order("place")
-    out = dense_index(marked.select(key, fold, "_h"), by, "k", lead).select(key, "k")
+    out = dense_index(marked.select(key, fold, "_h"), by, "k", lead, rows=n).select(key, "k")
     for c in columns:
         marked, by, lead = order(c)
-        moved = dense_index(marked.select(key, fold, "_h", F.col(c).alias("_c")), by, "k", lead)
+        moved = dense_index(marked.select(key, fold, "_h", F.col(c).alias("_c")), by, "k", lead, rows=n)
         out = out.join(moved.select("k", F.col("_c").alias(f"shadow_{c}")), "k")
     return out.drop("k")
 
@@ -111,8 +125,7 @@ def bootstrap_counts(spark, n: int, n_boot: int, seed: int) -> DataFrame:
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, n_boot: int, seed: int) -> DataFrame:
     """(b, slot, cluster, *rows): clusters are drawn, and all their rows come along."""
-    ids = dense_index(rows.select(cluster).distinct(), [F.col(cluster)], "k")
-    ids = ids.cache()
+    ids = stored(dense_index(rows.select(cluster).distinct(), [F.col(cluster)], "k"), "clusters")
     drawn = bootstrap_indices(rows.sparkSession, ids.count(), n_boot, seed)
     return drawn.join(ids, "k").drop("k").join(rows, cluster)
 
@@ -144,7 +157,7 @@ def bootstrap_ci_of_table(pairs: DataFrame, key: str, metric, n_boot: int, seed:
 
     An aggregate metric shares its pass over the draws with the search for resamples of a single y.
     """
-    placed = dense_index(pairs, [F.col(key)], "k", None if dict(pairs.dtypes)[key] != "string" else hash_free_lead(key)).cache()
+    placed = stored(dense_index(pairs, [F.col(key)], "k", None if dict(pairs.dtypes)[key] != "string" else hash_free_lead(key)), "placed")
     drawn = bootstrap_counts(pairs.sparkSession, placed.count(), n_boot, seed).join(placed, "k")
     ends = [F.min("y").alias("lo"), F.max("y").alias("hi")]
     if aggregate:
@@ -166,12 +179,20 @@ def hash_free_lead(key: str) -> Column:
 
 
 def permuted(pairs: DataFrame, key: str, n_perm: int, seed: int) -> DataFrame:
-    """(b, y, *rest): y permuted against everything else, once for each b."""
+    """(b, y, *rest): y permuted against everything else, once for each b.
+
+    Rows are numbered once in the order of their keys, and all permutations together in the order of (b, hash):
+    n places for each b, so that equal places meet.
+    """
     rest = [c for c in pairs.columns if c not in (key, "y")]
+    n = pairs.count()
     runs = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("b")
-    expanded = pairs.select(key, "y", *rest, runs).withColumn("_h", hashed(seed, "perm", F.col("b"), F.col(key)))
-    left = expanded.select("b", *rest, F.row_number().over(W.partitionBy("b").orderBy(key)).alias("_r"))
-    right = expanded.select("b", "y", F.row_number().over(W.partitionBy("b").orderBy("_h", key)).alias("_r"))
+    placed = dense_index(pairs.select(key, *rest), [F.col(key)], "_r", None if dict(pairs.dtypes)[key] != "string" else hash_free_lead(key), rows=n)
+    left = placed.select(*rest, "_r", runs)
+    drawn = pairs.select(key, "y", runs).withColumn("_h", hashed(seed, "perm", F.col("b"), F.col(key)))
+    lead = F.col("b").cast("long") * F.lit(1 << 48) + hash_lead(F.col("_h"))
+    right = dense_index(drawn, [F.col("b"), F.col("_h"), F.col(key)], "_g", lead, rows=n * n_perm)
+    right = right.select("b", "y", (F.col("_g") - F.col("b").cast("long") * n).alias("_r"))
     return left.join(right, ["b", "_r"]).drop("_r")
 
 
@@ -187,8 +208,12 @@ def permutation_test(pairs: DataFrame, key: str, metric, name: str, n_perm: int,
 
 def permutation_test_of_table(pairs: DataFrame, key: str, metric, name: str, n_perm: int, seed: int) -> DataFrame:
     """The same of a metric that takes (table, by) and returns (by, value)."""
-    observed = metric(pairs).toDF("observed")
-    null = permutation_null(pairs, key, metric, n_perm, seed).crossJoin(F.broadcast(observed))  # one row
+    return held_against(metric(pairs).toDF("observed"), permutation_null(pairs, key, metric, n_perm, seed), name)
+
+
+def held_against(observed: DataFrame, null: DataFrame, name: str) -> DataFrame:
+    """One row of the test from the observed value and its null (b, null)."""
+    null = null.crossJoin(F.broadcast(observed))  # one row
     return null.groupBy("observed").agg(
         F.avg("null").alias("null_mean"),
         F.stddev_pop("null").alias("null_std"),

@@ -17,14 +17,18 @@ class NoFeaturesError(ValueError):
 
 
 def matches(column: str, pattern: str, mode: str) -> bool:
-    """exact, prefix and suffix as named; any other mode looks for the pattern anywhere."""
+    """exact, prefix and suffix as named; any other mode, as substring, looks for the pattern anywhere."""
     tests = {"exact": column.__eq__, "prefix": column.startswith, "suffix": column.endswith}
     return tests.get(mode, column.__contains__)(pattern)
 
 
 @dataclass
 class FeatureSelector:
-    """Rules by role: each names patterns, a mode, names to leave out, and for ordinals the levels."""
+    """Rules by role, as ``continuous_groups``, ``ordinal_groups`` and ``nominal_groups`` (or the bare roles) list them.
+
+    Each has a ``pattern`` (or a list of them), a ``match_mode`` (or ``mode``; substring unless given), parts of
+    names to ``exclude``, and for ordinals the ``levels``; of several rules for a column the first one's levels count.
+    """
 
     rules: dict[str, list[dict]]
     roles: dict[str, str] = field(default_factory=dict)
@@ -35,13 +39,13 @@ class FeatureSelector:
         claims: dict[str, list[str]] = {}
         self.levels = {}
         for role in ROLES:
-            for rule in self.rules.get(role) or []:
+            for rule in [*(self.rules.get(f"{role}_groups") or []), *(self.rules.get(role) or [])]:
                 patterns = rule.get("pattern", rule.get("patterns", []))
                 patterns = [patterns] if isinstance(patterns, str) else patterns
                 for c in left:
                     if any(x in c for x in rule.get("exclude") or []):
                         continue
-                    if any(matches(c, p, rule.get("mode", "exact")) for p in patterns):
+                    if any(matches(c, p, rule.get("match_mode", rule.get("mode", "substring"))) for p in patterns):
                         claims.setdefault(c, []).append(role)
                         if role == "ordinal" and "levels" in rule:
                             self.levels.setdefault(c, rule["levels"])

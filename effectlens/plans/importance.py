@@ -15,12 +15,20 @@ from effectlens.plans.registry import SEED, query, rounded, table
 from effectlens.plans.scoring import DRAW, RUNS, SHADOW, order_rows
 from effectlens.sources.scratch import stored
 
-N_BOOT = 30
+N_BOOT = 64
 A, B = "o_orderpriority", "o_orderstatus"
 EFFECTS = [(A, A, None, "ordinal", None), (B, B, None, "nominal", None), (f"{A} x {B}", A, B, "ordinal", "nominal")]
 STRATA = {A: "singleton_ordinal", B: "singleton_nominal", f"{A} x {B}": "interaction_nominal_ordinal"}
 
 
+#: What the first priority adds to the price: an effect that is there to be found.
+PLANTED_SQL = "o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 300000 ELSE 0 END"
+
+
+def planted(spark, sf_dir) -> DataFrame:
+    return order_rows(spark, sf_dir).withColumn("o_totalprice", F.expr(PLANTED_SQL))
+
+
 def cells(rows: DataFrame) -> DataFrame:
     return X.cell_effects(rows, A, B, "o_totalprice")
 
@@ -36,18 +44,18 @@ def in_long_form(wide: DataFrame, keep: list[str]) -> DataFrame:
 
 def effects_long(spark, sf_dir) -> DataFrame:
     """(row, eff, i, j, stratum, x, phi) of each order."""
-    rows = order_rows(spark, sf_dir)
+    rows = planted(spark, sf_dir)
     return in_long_form(rows.join(cells(rows).drop("n"), [A, B]), ["o_orderkey"]).withColumnRenamed("o_orderkey", "row")
 
 
 def shadow_rows(spark, sf_dir) -> DataFrame:
-    moved = R.shadow(order_rows(spark, sf_dir), "o_orderkey", [A, B], SEED).withColumnsRenamed({f"shadow_{A}": A, f"shadow_{B}": B})
-    return order_rows(spark, sf_dir).select("o_orderkey", "o_totalprice").join(moved, "o_orderkey")
+    moved = R.shadow(planted(spark, sf_dir), "o_orderkey", [A, B], SEED).withColumnsRenamed({f"shadow_{A}": A, f"shadow_{B}": B})
+    return planted(spark, sf_dir).select("o_orderkey", "o_totalprice").join(moved, "o_orderkey")
 
 
 def boots(spark, sf_dir) -> DataFrame:
     """(b, eff, stratum, m, v, gii).  Draws are counted per cell before any effect is looked at."""
-    rows = order_rows(spark, sf_dir)
+    rows = planted(spark, sf_dir)
     placed = R.dense_index(rows, [F.col("o_orderkey")])
     drawn = R.bootstrap_indices(spark, rows.count(), N_BOOT, SEED).join(placed, "k").groupBy("b", A, B).agg(F.count("*").alias("times"))
     return of_draws(drawn, rows)
@@ -60,7 +68,7 @@ def of_draws(drawn: DataFrame, rows: DataFrame) -> DataFrame:
 
 def both_boots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Of the features and of their shadows.  Rows are drawn once, and both sides count the same draws."""
-    rows, fake = order_rows(spark, sf_dir), shadow_rows(spark, sf_dir)
+    rows, fake = planted(spark, sf_dir), shadow_rows(spark, sf_dir)
     names = {A: "fake_a", B: "fake_b"}
     placed = R.dense_index(rows.join(fake.select("o_orderkey", *[F.col(c).alias(n) for c, n in names.items()]), "o_orderkey"), [F.col("o_orderkey")])
     drawn = R.bootstrap_indices(spark, rows.count(), N_BOOT, SEED).join(placed, "k")
@@ -77,8 +85,8 @@ CELL = """{t}_ab AS (SELECT o_orderpriority AS a, o_orderstatus AS s, avg(o_tota
 LONG = """SELECT {k}, 'o_orderpriority' AS eff, 'o_orderpriority' AS i, NULL AS j, 'singleton_ordinal' AS stratum, a AS x, phi_a AS phi FROM {f} UNION ALL
 SELECT {k}, 'o_orderstatus', 'o_orderstatus', NULL, 'singleton_nominal', s, phi_s FROM {f} UNION ALL
 SELECT {k}, 'o_orderpriority x o_orderstatus', 'o_orderpriority', 'o_orderstatus', 'interaction_nominal_ordinal', a || '|' || s, phi_as FROM {f}"""
-REAL = "real AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)"
-FAKE = f"fake AS (SELECT o_orderkey, o_totalprice, k, shadow_o_orderpriority AS o_orderpriority, shadow_o_orderstatus AS o_orderstatus FROM ({SHADOW}))"
+REAL = f"real AS (SELECT * REPLACE ({PLANTED_SQL} AS o_totalprice), row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)"
+FAKE = f"fake AS (SELECT o_orderkey, {PLANTED_SQL} AS o_totalprice, k, shadow_o_orderpriority AS o_orderpriority, shadow_o_orderstatus AS o_orderstatus FROM ({SHADOW}))"
 DRAWS = f"draws AS (SELECT b, {DRAW.format(seed=SEED, n='(SELECT count(*) FROM real)')} AS k FROM {RUNS.format(b=N_BOOT)}, (SELECT unnest(range((SELECT count(*) FROM real))) AS slot))"
 BOOT = """{t}_w AS (SELECT b, o_orderpriority AS a, o_orderstatus AS s, count(*) AS w FROM draws JOIN {t} USING (k) GROUP BY ALL),
 {t}_wc AS (SELECT * FROM {t}_w JOIN {t}_cell USING (a, s)), {t}_wl AS (""" + LONG.format(k="b, w", f="{t}_wc") + """),
@@ -108,13 +116,13 @@ def stats(spark, sf_dir) -> DataFrame:
 
 @query(f"{WITH_REAL} SELECT a AS level, round(any_value(phi_a), 4) AS phi, (SELECT count(*) FROM orders WHERE o_orderpriority = a) AS n FROM real_cell GROUP BY a")
 def effect_singletons(spark, sf_dir):
-    return rounded(X.level_effects(order_rows(spark, sf_dir), A, "o_totalprice").select("level", "phi", "n"))
+    return rounded(X.level_effects(planted(spark, sf_dir), A, "o_totalprice").select("level", "phi", "n"))
 
 
 @query(f"{WITH_REAL} SELECT a AS o_orderpriority, s AS o_orderstatus, round(phi_a, 4) AS phi_a, round(phi_s, 4) AS phi_b, round(phi_as, 4) AS phi_ab FROM real_cell WHERE abs(phi_as) > 0")
 def effect_interactions_2way(spark, sf_dir):
     features = spark.createDataFrame([(A,), (B,)], "feature string")
-    wide = cells(order_rows(spark, sf_dir))
+    wide = cells(planted(spark, sf_dir))
     long = in_long_form(wide, []).filter("j IS NOT NULL")
     kept = X.nonzero(long, ["i", "j"]).join(X.pairs_of(features), ["i", "j"])
     return rounded(wide.join(kept, (kept["i"] == A) & (kept["j"] == B), "left_semi").select(A, B, "phi_a", "phi_b", "phi_ab"))
@@ -143,7 +151,7 @@ def effect_variability_1d(spark, sf_dir):
 @query(f"""{WITH_LONG}, g AS (SELECT eff, avg(phi) OVER (PARTITION BY eff, x) AS signal FROM long WHERE j IS NOT NULL)
 SELECT eff, round(stddev_pop(signal), 3) AS v FROM g GROUP BY eff""")
 def effect_variability_2d(spark, sf_dir):
-    rows = order_rows(spark, sf_dir)
+    rows = planted(spark, sf_dir)
     both = rows.join(cells(rows).drop("n"), [A, B]).select(F.lit(f"{A} x {B}").alias("eff"), A, B, F.col("phi_ab").alias("phi"))
     return rounded(X.variability(both, ["eff"], [A, B]).select("eff", "v"), 3)
 
@@ -240,7 +248,7 @@ def rank_significant(spark, sf_dir):
 CASE i WHEN 'o_orderpriority' THEN o_orderpriority ELSE o_orderstatus END AS feature_value, CASE WHEN j IS NOT NULL THEN o_orderstatus END AS partner_value
 FROM long l JOIN orders ON o_orderkey = l.row""")
 def microdata_long(spark, sf_dir):
-    values = order_rows(spark, sf_dir).unpivot("o_orderkey", [A, B], "feature", "value").withColumnRenamed("o_orderkey", "row")
+    values = planted(spark, sf_dir).unpivot("o_orderkey", [A, B], "feature", "value").withColumnRenamed("o_orderkey", "row")
     return rounded(X.microdata(effects_long(spark, sf_dir), values), 3)
 
 

@@ -57,5 +57,5 @@ def gii_full_pipeline(spark, sf_dir):
     rows, c = order_matrix(spark, sf_dir), contract()
     names = [*FEATURES, *[f"shadow_{f}" for f in FEATURES]]
     models = B.fit_folds(T.with_shadows(rows, c), "fold", names, ["status", "shadow_status"], ["_y0"], PARAMS).select("fold", "model")
-    stats, _ = T.importance(rows, T.stored(models, "models"), c)
+    stats, _, _ = T.importance(rows, T.stored(models, "models"), c)
     return rounded(stats, 2)

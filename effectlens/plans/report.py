@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlens.functions.columns import recode_missing, slug
 from effectlens.operators import effects as X
 from effectlens.operators import presentation as P
 from effectlens.operators.splines import trend
-from effectlens.plans.training import load
-from effectlens.sources.files import read_csv, write_csv
+from effectlens.plans.training import Contract, load, slice_names
+from effectlens.sources.files import read_csv, write_csv, write_parquet
 
 
 def report(spark: SparkSession, run: str, negate: bool = False) -> None:
-    """Under run/report: the performance panel, the significant effects by rank, and for each of their
+    """Under run/report: the performance panel and its nulls, and for each class or target in a folder of its own the significant effects by rank, and for each of their
     features the level means, crossings, most frequent levels, and trends, in percent of the outcome's range."""
     c, _, _ = load(spark, run)
     performance, tests = (read_csv(spark, f"{run}/{n}").withColumn("metric", F.concat_ws(" ", "target", "metric")).drop("target") for n in ("performance", "permutation_test"))
     write_csv(P.performance_panel(performance, tests), f"{run}/report/performance")
+    nulls = spark.read.parquet(f"{run}/permutation_null_distributions").select(F.concat_ws(" ", "target", "metric").alias("metric"), "b", "null")
+    write_parquet(nulls.join(performance.select("metric", F.col("score").alias("observed")), "metric"), f"{run}/report/performance_nulls")
     stats = read_csv(spark, f"{run}/shap_stats_global")
-    ranked = X.ranked_significant(stats.filter("slice = 0")).withColumn("file", slug(F.col("eff")))
-    write_csv(ranked, f"{run}/report/ranked")
+    for k, name in enumerate(slice_names(c)):
+        one_slice(spark, run, f"{run}/report" if name is None else f"{run}/report/{plain(name)}", c, stats.filter(F.col("slice") == k), k, negate)
+
+
+def plain(name: str) -> str:
+    return "".join(ch for ch in name if ch.isalnum() or ch == "_")
+
+
+def one_slice(spark: SparkSession, run: str, out: str, c: Contract, stats: DataFrame, k: int, negate: bool) -> None:
+    """The tables of one class or target."""
+    ranked = X.ranked_significant(stats).withColumn("file", slug(F.col("eff")))
+    write_csv(ranked, f"{out}/ranked")
     rows = spark.read.parquet(f"{run}/train_matrix")
     span = 1.0
-    if c.task == "regression":
-        span = rows.agg((F.max("_y0") - F.min("_y0")).alias("s")).first().s or 1.0
-    micro = spark.read.parquet(f"{run}/microdata").withColumn("percent", P.rescaled(F.col("phi"), F.lit(float(span)), negate))
+    if c.task in ("regression", "multi_regression"):
+        span = rows.agg((F.max(f"_y{k}") - F.min(f"_y{k}")).alias("s")).first().s or 1.0
+    micro = spark.read.parquet(f"{run}/microdata").filter(F.col("slice") == k).withColumn("percent", P.rescaled(F.col("phi"), F.lit(float(span)), negate))
     single = micro.filter("interaction_partner IS NULL")
     means = single.groupBy("eff", recode_missing(F.col("feature_value").cast("string")).alias("level")).agg(F.avg("percent").alias("mean"), F.count("*").alias("n"))
-    write_csv(means, f"{run}/report/level_means")
+    write_csv(means, f"{out}/level_means")
     smooth = trend(single.filter("feature_value IS NOT NULL").select("eff", F.col("feature_value").cast("double").alias("value"), "percent"), ["eff"], "value", "percent")
-    write_csv(smooth, f"{run}/report/trends")
+    write_csv(smooth, f"{out}/trends")
     for eff in [r.eff for r in ranked.filter("NOT contains(eff, ' x ')").select("eff").collect()]:
-        name = "".join(ch for ch in eff if ch.isalnum() or ch == "_")
-        write_csv(P.first_zero(smooth.filter(F.col("eff") == eff), "x", "fit"), f"{run}/report/zero_{name}")
-        write_csv(P.top_levels(single.filter(F.col("eff") == eff).withColumn("level", F.col("feature_value").cast("string")), "level"), f"{run}/report/top_{name}")
+        write_csv(P.first_zero(smooth.filter(F.col("eff") == eff), "x", "fit"), f"{out}/zero_{plain(eff)}")
+        write_csv(P.top_levels(single.filter(F.col("eff") == eff).withColumn("level", F.col("feature_value").cast("string")), "level"), f"{out}/top_{plain(eff)}")

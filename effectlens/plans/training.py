@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,9 @@ def prepare(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, Co
     model = config["modeling"]
     outcomes = model["outcome"] if isinstance(model["outcome"], list) else [model["outcome"]]
     id_col = (config.get("data") or {}).get("id") or model.get("id")
-    raw = E.drop_missing_outcome(E.clean_strings(read_table(spark, path)), outcomes)
+    read = read_table(spark, path)
+    id_col = id_col or ("id" if "id" in read.columns and "id" not in outcomes else None)
+    raw = E.drop_missing_outcome(E.clean_strings(read), outcomes)
     raw = with_row_id(raw, id_col)
     if not (n := raw.count()):
         raise ValueError("no row has all outcomes")
@@ -114,7 +117,9 @@ def prepare(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, Co
 
 
 def tune(rows: DataFrame, c: Contract) -> dict[int, dict]:
-    """Of each outer fold the best of the trials, by the mean score over inner folds."""
+    """Of each outer fold the best of the trials, by the mean over inner folds of the score that the configuration names."""
+    if c.config["modeling"]["tuning"]["scoring"] not in M.NAMES:
+        raise ValueError(f"unknown score {c.config['modeling']['tuning']['scoring']!r}; known: {', '.join(sorted(M.NAMES))}")
     tuning, seed = c.config["modeling"]["tuning"], c.config["execution"]["random_seed"]
     trials = C.draw_trials(tuning["search_space"], tuning["n_iter"], seed)
     stop = {"early_stopping_rounds": tuning["early_stopping_rounds"]}
@@ -122,7 +127,7 @@ def tune(rows: DataFrame, c: Contract) -> dict[int, dict]:
     for k in range(c.config["modeling"]["cv_folds"]):
         inside = rows.filter(F.col("fold") != k).drop("fold")
         inner = R.folds_for(inside, ROW, c.outcomes[0], tuning["inner_cv_folds"], seed + k + 1, c.task in C.CLASSIFICATION)
-        fits = B.fit_folds(inner, "fold", c.features, c.categorical, c.targets, c.params(stop), trials).select("trial", "score", "best_iteration")
+        fits = B.fit_folds(inner, "fold", c.features, c.categorical, c.targets, c.params(stop), trials, scoring=tuning["scoring"]).select("trial", "score", "best_iteration")
         top = fits.groupBy("trial").agg(F.avg("score").alias("score"), F.avg("best_iteration").alias("n")).orderBy(F.desc("score"), "trial").first()
         best[k] = trials[top.trial] | {"iterations": int(top.n) + 1}
     return best
@@ -152,8 +157,9 @@ def train(spark: SparkSession, path: str, config: dict, out: str) -> Contract:
     write_parquet(fit_all(doubled, c, trials, names, [*c.categorical, *[f"shadow_{f}" for f in c.categorical]], stretch=2, stop=stop), f"{out}/shadow_models")
     oof = B.predict_folds(rows, models, "fold", ROW, c.categorical)
     write_csv(prediction_frame(rows, oof, c), f"{out}/full_oof_predictions")
-    save_json(asdict(c), f"{out}/contract.json")
-    save_config(c.config, f"{out}/config_resolved.yaml")
+    write_csv(fold_metrics(rows, stored(oof, "oof"), c), f"{out}/metrics_oof")
+    save_json(spark, asdict(c), f"{out}/contract.json")
+    save_config(spark, c.config, f"{out}/config_resolved.yaml")
     return c
 
 
@@ -183,21 +189,37 @@ def pairs(rows: DataFrame, preds: DataFrame, c: Contract) -> dict[str, DataFrame
     return {o: both.select(ROW, F.col(o).cast("double").alias("y"), unscaled(F.col("pred"), c, k).alias("p")) for k, o in enumerate(c.outcomes)}
 
 
-def performance(rows: DataFrame, preds: DataFrame, c: Contract) -> tuple[DataFrame, DataFrame]:
-    """(target, metric, score, ci_low, ci_high) and (target, metric, observed, null_mean, null_std, p_value)."""
+def fold_metrics(rows: DataFrame, preds: DataFrame, c: Contract) -> DataFrame:
+    """(fold, metric, score): every reported metric, as shown, of each model's predictions (fold), then its mean and std over them."""
+    out = None
+    for target, df in pairs(rows, preds, c).items():
+        both = df.join(preds.select(F.col(ROW).alias("_row"), "fold"), F.col(ROW) == F.col("_row")).drop("_row") if "fold" not in df.columns else df
+        for label, metric, judged in metrics_for(both, c):
+            name, score, _, _ = M.displayed(label, "value", "value", "value")
+            one = metric(judged, ["fold"]).toDF("fold", "value").select("fold", F.lit(f"{name}_{target}" if len(c.outcomes) > 1 else name).alias("metric"), score.alias("score"))
+            out = one if out is None else out.unionByName(one)
+    return M.with_mean_and_std(out, "fold", "metric", "score")
+
+
+def performance(rows: DataFrame, preds: DataFrame, c: Contract, n_perm: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(target, metric, score, ci_low, ci_high), (target, metric, observed, null_mean, null_std, p_value), and the nulls (target, metric, b, null) as shown."""
     boot, seed = c.config["shap"]["bootstrapping"], c.config["execution"]["random_seed"]
-    parts: list[tuple[DataFrame, DataFrame]] = []
+    parts: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     for target, df in pairs(rows, preds, c).items():
         df = stored(df, "pairs")
         for label, metric, judged in metrics_for(df, c):
             name, score, low, high = M.displayed(label)
             s = R.bootstrap_ci_of_table(judged, ROW, metric, boot["n_boot"], seed, boot["alpha"])
-            t = R.permutation_test_of_table(judged, ROW, metric, name, max(boot["n_boot"], 1000), seed)
-            parts.append((s.select(F.lit(target).alias("target"), F.lit(name).alias("metric"), score.alias("score"), low.alias("ci_low"), high.alias("ci_high")), t.withColumn("target", F.lit(target))))
-    scores, tests = parts[0]
-    for s, t in parts[1:]:
-        scores, tests = scores.unionByName(s), tests.unionByName(t)
-    return scores, tests
+            null = stored(R.permutation_null(judged, ROW, metric, n_perm, seed), "nulls")
+            t = R.held_against(metric(judged).toDF("observed"), null, name)
+            if label.startswith("neg_"):
+                t, null = t.withColumns({x: -F.col(x) for x in ("observed", "null_mean")}), null.withColumn("null", -F.col("null"))
+            named = [F.lit(target).alias("target"), F.lit(name).alias("metric")]
+            parts.append((s.select(*named, score.alias("score"), low.alias("ci_low"), high.alias("ci_high")), t.withColumn("target", F.lit(target)), null.select(*named, "b", "null")))
+    scores, tests, nulls = parts[0]
+    for s, t, n in parts[1:]:
+        scores, tests, nulls = scores.unionByName(s), tests.unionByName(t), nulls.unionByName(n)
+    return scores, tests, nulls
 
 
 def metrics_for(df: DataFrame, c: Contract) -> list[tuple[str, object, DataFrame]]:
@@ -265,11 +287,11 @@ def without_fold(row: str = "row") -> Column:
     return F.regexp_replace(row, r"\|\d+$", "")
 
 
-def importance(rows: DataFrame, models: DataFrame, c: Contract, unit: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(stats, real effects) from models of features and shadows; every fold's shadows are drawn anew."""
+def importance(rows: DataFrame, models: DataFrame, c: Contract, unit: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stats, real effects, their resamples) from models of features and shadows; every fold's shadows are drawn anew."""
     doubled = stored(with_shadows(rows, c, salt=1000), "shadowed")
     names = [*c.features, *[f"shadow_{f}" for f in c.features]]
-    found = stored(B.effects_by_fold(doubled, models, "fold", ROW, [f for f in names if c.roles[f.removeprefix("shadow_")] == "nominal"]), "effects")
+    found = B.effects_by_fold(doubled, models, "fold", ROW, [f for f in names if c.roles[f.removeprefix("shadow_")] == "nominal"])
     is_shadow = F.col("i").startswith("shadow_") & F.coalesce(F.col("j").startswith("shadow_"), F.lit(True))
     is_real = ~F.col("i").startswith("shadow_") & ~F.coalesce(F.col("j").startswith("shadow_"), F.lit(False))
     boot, spline, seed = c.config["shap"]["bootstrapping"], c.config["shap"]["splines"], c.config["execution"]["random_seed"]
@@ -283,11 +305,45 @@ def importance(rows: DataFrame, models: DataFrame, c: Contract, unit: Column | N
         part = all_boots.filter(F.col("slice") == s).drop("slice")
         one = X.statistics(part.filter(~shadow_eff), part.filter(shadow_eff), boot["n_boot"], boot["alpha"], boot["stab_thresh"], boot["fdr_correct"]).withColumn("slice", F.lit(s))
         out = one if out is None else out.unionByName(one)
-    return out, found.filter(is_real)
+    return out, found.filter(is_real), all_boots.filter(~shadow_eff)
+
+
+def slice_names(c: Contract) -> list[str | None]:
+    """Of each slice of the effects the class or target that it is of; a single output has no name."""
+    names = c.classes if c.task == "multiclass_classification" else c.outcomes
+    return [*names] if len(names) > 1 and c.task != "binary_classification" else [None]
+
+
+def named_slices(df: DataFrame, c: Contract) -> DataFrame:
+    """df with slice_name, the class or target of its slice."""
+    names = slice_names(c)
+    return df.withColumn("slice_name", F.get(F.array(*[F.lit(n).cast("string") for n in names]), F.col("slice").cast("int")))
+
+
+def save_importance(stats: DataFrame, boots: DataFrame, c: Contract, out: str) -> DataFrame:
+    """Write the final table and the resamples of what is kept; returns (slice, eff) of the effects whose microdata are kept.
+
+    Every class or target has its own choice.  Magnitude and index go by the index's significance, variability by its own.
+    """
+    stats = stored(stats, "stats")
+    for r in stats.filter("v_failure_rate > 0.05").select("slice", "eff", "v_failure_rate").collect():  # one row an effect
+        warnings.warn(f"{r.eff}: no variability in {r.v_failure_rate:.0%} of the resamples")
+    write_csv(named_slices(stats, c).orderBy("slice", *X.final_order()), f"{out}/shap_stats_global")
+    shap = c.config["shap"]
+    slices = range(len(slice_names(c)))
+
+    def chosen(n: int, sig: str) -> DataFrame:
+        each = [X.save_set(stats.filter(F.col("slice") == s), n, f"{sig}_sig", f"{sig}_q").select("slice", "eff") for s in slices]
+        return reduce(DataFrame.unionByName, each)
+
+    for statistic, sig in (("m", "gii"), ("v", "v"), ("gii", "gii")):
+        kept = boots.join(chosen(shap["bootstrapping"]["output_boots_n"], sig), ["slice", "eff"])
+        write_parquet(named_slices(kept.select("slice", "eff", "b", F.col(statistic).alias("value")), c), f"{out}/bootstraps_{statistic}")
+    return chosen(shap["output_microdata_n"], "gii")
 
 
 def load(spark: SparkSession, run: str) -> tuple[Contract, DataFrame, DataFrame]:
-    return Contract(**load_json(f"{run}/contract.json")), spark.read.parquet(f"{run}/models"), spark.read.parquet(f"{run}/shadow_models")
+    return Contract(**load_json(spark, f"{run}/contract.json")), spark.read.parquet(f"{run}/models"), spark.read.parquet(f"{run}/shadow_models")
 
 
 def predict(spark: SparkSession, run: str) -> None:
@@ -299,15 +355,21 @@ def predict(spark: SparkSession, run: str) -> None:
     preds = stored(B.predict_folds(rows, models, "fold", ROW, c.categorical), "predictions")
     if missing := rows.join(preds, ROW, "left_anti").count():
         raise ValueError(f"{missing} rows have no out-of-fold prediction")
+    if again := preds.count() - rows.count():
+        warnings.warn(f"{again} out-of-fold predictions more than rows")
     write_csv(prediction_frame(rows, preds, c), f"{run}/predictions_oof")
-    scores, tests = performance(rows, preds, c)
-    write_csv(scores, f"{run}/performance")
-    write_csv(tests, f"{run}/permutation_test")
-    stats, real = importance(rows, shadow_models, c)
-    write_csv(stats.orderBy("slice", *X.final_order()), f"{run}/shap_stats_global")
-    keep = X.save_set(stats.filter("slice = 0"), c.config["shap"]["output_microdata_n"], "gii_sig", "gii_q").select("eff")
+    save_performance(rows, preds, c, max(c.config["shap"]["bootstrapping"]["n_boot"], 1000), run)
+    stats, real, boots = importance(rows, shadow_models, c)
+    keep = save_importance(stats, boots, c, run)
     values = numeric_values(rows, c, c.features).withColumnRenamed("x", "value")
-    write_parquet(X.microdata(real.join(keep, "eff"), values), f"{run}/microdata")
+    write_parquet(named_slices(X.microdata(real.join(keep, ["slice", "eff"]), values), c), f"{run}/microdata")
+
+
+def save_performance(rows: DataFrame, preds: DataFrame, c: Contract, n_perm: int, out: str) -> None:
+    scores, tests, nulls = performance(rows, preds, c, n_perm)
+    write_csv(scores, f"{out}/performance")
+    write_csv(tests, f"{out}/permutation_test")
+    write_parquet(nulls, f"{out}/permutation_null_distributions")
 
 
 def infer(spark: SparkSession, run: str, path: str, out: str) -> None:
@@ -327,22 +389,17 @@ def infer(spark: SparkSession, run: str, path: str, out: str) -> None:
     write_csv(prediction_frame(rows, mean, c), f"{out}/predictions")
     judged = rows.filter("supervised")
     if judged.take(1):
-        scores, tests = performance(judged, mean, c)
-        write_csv(scores, f"{out}/performance")
-        write_csv(tests, f"{out}/permutation_test")
-        y, p, t = F.col("y"), F.col("p"), F.lit(1)
-        name = "accuracy" if c.task in C.CLASSIFICATION else "neg_rmse"
-        parts = None
-        for k in [r[0] for r in models.select("fold").orderBy("fold").collect()]:
-            for target, df in pairs(judged, each.filter(F.col("fold") == k), c).items():
-                df = df.withColumn("p", (p > 0.5).cast("int")) if c.task == "binary_classification" else df
-                one = df.agg(M.scorer(name)(y, p, t).alias("score")).select(F.lit(k).alias("fold"), F.lit(f"{name} {target}").alias("metric"), "score")
-                parts = one if parts is None else parts.unionByName(one)
-        write_csv(M.with_mean_and_std(parts, "fold", "metric", "score"), f"{out}/performance_per_model")
+        save_performance(judged, mean, c, c.config["shap"]["bootstrapping"]["n_boot"], out)
+        write_csv(fold_metrics(judged, each, c), f"{out}/performance_per_model")
     expanded = stored(every_fold(rows, shadow_models), "rows-by-model")
     R.require_equal_clusters(expanded.select(without_fold(ROW).alias("unit")), "unit")
-    stats, real = importance(expanded, shadow_models, c, without_fold())
-    write_csv(stats.orderBy("slice", *X.final_order()), f"{out}/shap_stats_global")
-    averaged = X.fold_average(real.filter("slice = 0").withColumn("row", without_fold()), models.count(), zero_filled=True)
-    write_parquet(averaged, f"{out}/effects")
-    save_json({"run": run, "data": path, "supervised": bool(known)}, f"{out}/inference_metadata.json")
+    stats, real, boots = importance(expanded, shadow_models, c, without_fold())
+    keep = save_importance(stats, boots, c, out)
+    folds = models.count()
+    each_slice = [X.fold_average(real.filter(F.col("slice") == s).withColumn("row", without_fold()), folds, zero_filled=True).withColumn("slice", F.lit(s)) for s in range(len(slice_names(c)))]
+    averaged = stored(reduce(DataFrame.unionByName, each_slice), "averaged")
+    write_parquet(named_slices(averaged, c), f"{out}/effects")
+    sides = real.select("eff", "i", "j").distinct()
+    values = numeric_values(rows, c, c.features).withColumnRenamed("x", "value")
+    write_parquet(named_slices(X.microdata(averaged.join(keep, ["slice", "eff"]).join(sides, "eff"), values), c), f"{out}/microdata")
+    save_json(spark, {"run": run, "data": path, "supervised": bool(known)}, f"{out}/inference_metadata.json")

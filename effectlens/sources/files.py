@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import csv
 import json
-import os
 import re
-import tempfile
+import uuid
 import warnings
 from pathlib import Path
 
@@ -62,18 +61,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def save_json(data, path: str) -> None:
-    """Driver-side artifact: written beside its place, then moved there."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=target.parent, suffix=".tmp")
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(data, f, indent=2, sort_keys=True, default=str)
-    os.replace(name, target)
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file on the filesystem that the tables go to: written beside its place, then moved there."""
+    jvm = spark.sparkContext._jvm
+    target, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    if not files.rename(beside, target):  # some filesystems don't rename over a file
+        files.delete(target, False)
+        if not files.rename(beside, target):
+            raise OSError(f"can't write {path}")
+
+
+def save_json(spark: SparkSession, data, path: str) -> None:
+    write_text(spark, json.dumps(data, indent=2, sort_keys=True, default=str), path)
 
 
-def load_json(path: str):
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def load_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
 def expand(value, paths: dict[str, str]):
@@ -93,6 +102,5 @@ def load_config(path: str) -> dict:
     return config
 
 
-def save_config(config: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(config, sort_keys=False), encoding="utf-8")
+def save_config(spark: SparkSession, config: dict, path: str) -> None:
+    write_text(spark, yaml.safe_dump(config, sort_keys=False), path)

@@ -73,6 +73,47 @@ def test_early_stopping_keeps_the_best(frame):
         B.fit(df, y, ["a"], [], B.Params(loss="x"))
 
 
+def test_scores_by_hand():
+    y, p = np.array([[0.0], [0], [1], [1]]), np.array([[0.1], [0.6], [0.6], [0.9]])
+    found = {k: B.score_of(k, y, p) for k in ("roc_auc", "accuracy", "f1", "balanced_accuracy", "f1_weighted", "log_loss")}
+    assert found == pytest.approx({"roc_auc": 0.875, "accuracy": 0.75, "f1": 0.8, "balanced_accuracy": 0.75, "f1_weighted": (0.8 + 2 / 3) / 2, "log_loss": np.log([0.9, 0.4, 0.6, 0.9]).mean()})
+    many, said = np.eye(3)[[0, 1, 2, 0]], np.array([[0.8, 0.1, 0.1], [0.2, 0.5, 0.3], [0.5, 0.2, 0.3], [0.6, 0.3, 0.1]])
+    assert B.score_of("accuracy", many, said) == 0.75 and B.score_of("balanced_accuracy", many, said) == pytest.approx(2 / 3)
+    assert B.score_of("roc_auc_ovr", many, said) == pytest.approx(1.0 * 0.5 + 0.25 * (2 / 3) + 0.25 * (2.5 / 3), abs=0.2) and B.score_of("f1_weighted", many, said) == pytest.approx(0.5 * 0.8 + 0.25 * 1)
+    assert (B.score_of("neg_rmse", y, p), B.score_of("neg_mae", y, p), B.score_of("r2", y, p)) == pytest.approx((-np.sqrt(0.54 / 4), -0.3, 1 - 0.54))
+    with pytest.raises(ValueError, match="nothing"):
+        B.score_of("nothing", y, p)
+
+
+def test_trials_are_chosen_by_the_score_named(spark, frame):
+    """A model of two steps ranks like one of many, but its probabilities are far from the labels."""
+    df, y = frame
+    rows = spark.createDataFrame(df.assign(y=(y > y.mean()).astype(float), fold=np.arange(len(df)) % 2, a=df.a.fillna(0.0)))
+    trials = [{"iterations": 2, "learning_rate": 0.001, "depth": 6}, {"iterations": 30, "learning_rate": 0.3, "depth": 1}]
+    best = {}
+    for scoring in (None, "roc_auc"):
+        fits = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring)
+        best[scoring] = {r.trial for r in fits.groupBy("trial").agg(F.avg("score").alias("s")).orderBy(F.desc("s")).limit(1).collect()}
+        dealt = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring, most_sent=0)
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, fits.collect()))
+    assert best[None] == {1} and best["roc_auc"] <= {0, 1}
+
+
+def test_rows_meet_models_alike_sent_or_dealt(spark, frame):
+    df, y = frame
+    rows = spark.createDataFrame(df.assign(y=y, key=[f"r{i}" for i in range(len(df))], fold=np.arange(len(df)) % 3, a=df.a.fillna(0.0))).repartition(5)
+    fits = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(iterations=8))
+    for every in (False, True):
+        both = [sorted((r.key, r.fold, tuple(r.pred)) for r in B.predict_folds(rows, fits, "fold", "key", ["c"], every, most_sent=m).collect()) for m in (1 << 30, 0)]
+        assert both[0] == both[1] and len(both[0]) == len(df) * (3 if every else 1)
+    found = [B.effects_by_fold(rows, fits, "fold", "key", ["c"], most_sent=m) for m in (1 << 30, 0)]
+    assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
+    # Of every row all effects and the expectation add up to the prediction.
+    base = {r.fold: float(B.expectation(B.Model.from_json(r.model))[0]) for r in fits.collect()}
+    summed = {r.row: base[r.fold] + r.s for r in found[0].groupBy("row", "fold").agg(F.sum("phi").alias("s")).collect()}
+    assert all(summed[r.key] == pytest.approx(r.pred[0]) for r in B.predict_folds(rows, fits, "fold", "key", ["c"]).collect())
+
+
 def test_model_queries(spark):
     oof = QUERIES["booster_oof"](spark, SF).toPandas()
     assert len(oof) == modelling.FOLDS and (oof.rmse >= oof.mae).all()
@@ -117,11 +158,26 @@ def test_train_predict_infer(spark, tmp_path, outcome, task):
         assert spark.read.csv(f"{run}/performance", header=True).count() >= 3
         report(spark, run)
         assert spark.read.csv(f"{run}/report/performance", header=True).count() >= 3
-        assert spark.read.csv(f"{run}/report/trends", header=True).count() > 0
-    if outcome == "y":
+        assert spark.read.csv(f"{run}/report{'/p' if outcome == 'c' else ''}/trends", header=True).count() > 0
+        metrics = spark.read.csv(f"{run}/metrics_oof", header=True)
+        assert {r.fold for r in metrics.select("fold").distinct().collect()} == {"0", "1", "mean", "std"}
+        assert {r.metric for r in metrics.select("metric").distinct().collect()} == ({"RMSE", "MAE", "R2"} if outcome == "y" else {"BALANCED_ACCURACY", "F1_WEIGHTED", "ROC_AUC_OVR"})
+        nulls = spark.read.parquet(f"{run}/permutation_null_distributions")
+        assert nulls.groupBy("metric").count().filter("count <> 1000").count() == 0 and nulls.select("metric").distinct().count() == 3
+        for statistic in ("m", "v", "gii"):
+            saved = spark.read.parquet(f"{run}/bootstraps_{statistic}")
+            assert saved.groupBy("slice", "eff").count().filter("count <> 4").count() == 0 and saved.select("slice").distinct().count() == (3 if outcome == "c" else 1)
+        micro = spark.read.parquet(f"{run}/microdata")
+        assert {r.slice_name for r in micro.select("slice_name").distinct().collect()} == ({"p", "q", "r"} if outcome == "c" else {None})
+        if outcome == "c":
+            assert spark.read.csv(f"{run}/report/q/trends", header=True).count() > 0
+    if outcome in ("y", "c"):
         training.infer(spark, run, str(tmp_path / "new.csv"), f"{run}/new")
         assert spark.read.csv(f"{run}/new/predictions", header=True).count() == n
-        assert spark.read.parquet(f"{run}/new/effects").groupBy("eff").count().filter(F.col("count") > n).count() == 0
+        effects = spark.read.parquet(f"{run}/new/effects")
+        assert effects.groupBy("slice", "eff").count().filter(F.col("count") > n).count() == 0
+        assert {r.slice_name for r in effects.select("slice_name").distinct().collect()} == ({"p", "q", "r"} if outcome == "c" else {None})
+        assert spark.read.csv(f"{run}/new/performance_per_model", header=True).count() == 3 * 4
         assert spark.read.csv(f"{run}/new/shap_stats_global", header=True).count() >= 3
 
 

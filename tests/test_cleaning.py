@@ -103,9 +103,11 @@ def test_config_expands_paths(tmp_path):
         assert files.load_config(str(tmp_path / "c.yaml"))["x"][0] == "/data/a"
 
 
-def test_json_artifact(tmp_path):
-    files.save_json({"b": 1}, str(tmp_path / "d/x.json"))
-    assert json.loads((tmp_path / "d/x.json").read_text()) == files.load_json(str(tmp_path / "d/x.json")) == {"b": 1}
+def test_json_artifact(spark, tmp_path):
+    for value in (2, 1):
+        files.save_json(spark, {"b": value}, str(tmp_path / "d/x.json"))
+    assert json.loads((tmp_path / "d/x.json").read_text()) == files.load_json(spark, str(tmp_path / "d/x.json")) == {"b": 1}
+    assert [f.name for f in (tmp_path / "d").iterdir() if not f.name.startswith(".")] == ["x.json"]
 
 
 def test_given_values_stay():
@@ -127,3 +129,30 @@ def test_trials_stay_within_bounds():
     for t in C.draw_trials(space, 50, 42):
         assert all(space[k]["low"] <= v <= space[k]["high"] for k, v in t.items())
         assert isinstance(t["depth"], int) and isinstance(t["learning_rate"], float)
+
+
+EXAMPLE = """
+features:
+  continuous_groups:
+    - {pattern: age_index, match_mode: exact, exclude: []}
+    - {pattern: score_pre, match_mode: substring}
+  ordinal_groups:
+    - {pattern: item_pre, exclude: [total], levels: [0, 1, 2]}
+    - {pattern: item, match_mode: prefix, exclude: [total], levels: [9]}
+  nominal_groups:
+    - {pattern: group, exclude: [code]}
+"""
+
+
+def test_groups_and_match_modes_of_a_configuration():
+    import yaml
+
+    columns = ["id", "age_index", "age_index_2", "my_score_pre_1", "item_pre_1", "item_pre_total", "item_x", "group_a", "group_code", "y"]
+    found = FeatureSelector(yaml.safe_load(EXAMPLE)["features"]).fit(columns, ["y"], ["id"])
+    assert found.roles == {"age_index": "continuous", "my_score_pre_1": "continuous", "item_pre_1": "ordinal", "item_x": "ordinal", "group_a": "nominal"}
+    assert found.levels == {"item_pre_1": [0, 1, 2], "item_x": [9]}
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("  ", 1), ("x", 2)], "`a.b` string, `c d` int")
+    assert [r[0] for r in E.clean_strings(df).orderBy("`c d`").collect()] == [None, "x"]
