@@ -43,6 +43,7 @@ K1, B = 1.2, 0.75
 WIDTH = 5
 BLOCK = 16
 BATCH_BYTES = 1_500_000
+TOGETHER = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -73,6 +74,13 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
+def spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges in a row, and the range of each."""
+    size = stop - start
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (start - np.cumsum(size) + size)[of], of
+
+
 @dataclass
 class Index:
     """Items in blocks, and for each term the blocks that have it with its largest impact there."""
@@ -112,47 +120,56 @@ class Index:
             np.maximum.reduceat(impact, head), np.r_[head, len(item)], item, impact, need, np.minimum.reduceat(need, np.arange(0, len(need), BLOCK)), term[head] * -(-len(need) // BLOCK) + item[head] // BLOCK, max(len(w[0]) for w in split),
         )
 
-    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items (by place) whose score against distinct terms is enough.
+    def search(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item by place, score) of the items whose score is enough, of n passages given as distinct (passage, term) pairs.
 
-        Terms go by how much they can add, least first.  Those that together stay under the least score
-        that any block asks for can't lift an item on their own: blocks that only they are in are skipped
-        unseen.  Of the blocks that the others reach, the bound is completed term by term, and only those
-        whose bound is enough have their postings read.
+        Terms of a passage go by how much they can add, least first.  Those that together stay under the least
+        score that any block asks for can't lift an item on their own: blocks that only they are in are skipped
+        unseen.  Of the blocks that the others reach, the bound is completed, and only those whose bound is
+        enough have their postings read.  Passages are taken together, about ``TOGETHER`` entries at a time.
         """
-        most = self.most[terms]
-        if most.sum() < self.need.min():
-            return []
-        order = np.argsort(most, kind="stable")
-        pivot = int(np.searchsorted(np.cumsum(most[order]), self.need.min() - 1e-9))
-        lead, rest = terms[order[pivot:]], terms[order[:pivot]]
-        entry = self.entries(lead)
-        bound = np.bincount(self.block[entry], self.block_most[entry], len(self.block_need))
-        alive = np.flatnonzero((bound > 0) & (bound + most[order[:pivot]].sum() >= self.block_need - 1e-9))
-        if not len(alive):
-            return []
-        more = self.looked_up(rest, alive)
-        np.add.at(bound, self.block[more], self.block_most[more])
-        fit = np.zeros(len(self.block_need), bool)
-        fit[alive] = bound[alive] >= self.block_need[alive] - 1e-9
-        entry = np.r_[entry[fit[self.block[entry]]], more[fit[self.block[more]]]]
-        size = self.posting[entry + 1] - self.posting[entry]
-        post = np.repeat(self.posting[entry] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        items, at = np.unique(self.item[post], return_inverse=True)
-        score = np.bincount(at, self.impact[post], len(items))
-        good = score >= self.need[items] - 1e-9
-        return list(zip(items[good].tolist(), score[good].tolist(), strict=True))
-
-    def entries(self, terms: np.ndarray) -> np.ndarray:
-        size = self.first[terms + 1] - self.first[terms]
-        return np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-    def looked_up(self, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Entries of these terms in these blocks, found by search in each term's sorted blocks."""
-        blocks_n = len(self.block_need)
-        asked = (terms[:, None] * blocks_n + blocks[None, :]).ravel()
-        at = np.minimum(np.searchsorted(self.key, asked), len(self.key) - 1)
-        return at[self.key[at] == asked]
+        blocks, least = len(self.block_need), self.need.min() - 1e-9
+        order = np.lexsort((self.most[term], passage))
+        passage, term = passage[order], term[order]
+        ends = np.searchsorted(passage, np.arange(n), "right")
+        cost = np.cumsum(np.bincount(passage, self.first[term + 1] - self.first[term], n) + blocks)
+        out, at = [], 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + TOGETHER, "right")))
+            low, high = (ends[at - 1] if at else 0), ends[to - 1]
+            got = self.search_some(passage[low:high] - at, term[low:high], to - at, least)
+            out.append((got[0] + at, *got[1:]))
+            at = to
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(3)) if out else (np.empty(0, np.int64),) * 3
+
+    def search_some(self, passage: np.ndarray, term: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blocks, most = len(self.block_need), self.most[term]
+        seen = np.cumsum(most)
+        start = np.searchsorted(passage, np.arange(n))
+        rest = seen - (seen - most)[np.minimum(start, len(seen) - 1)][passage] < least if len(seen) else np.empty(0, bool)
+        slack = np.bincount(passage[rest], most[rest], n)
+        # Entries of the terms that count, and the (passage, block) of each.
+        entry, of = spread(self.first[term[~rest]], self.first[term[~rest] + 1])
+        cell = passage[~rest][of] * blocks + self.block[entry]
+        bound = np.bincount(cell, self.block_most[entry], n * blocks)
+        alive = np.flatnonzero((bound > 0) & (bound + np.repeat(slack, blocks) >= np.tile(self.block_need, n) - 1e-9))
+        # Entries of the other terms in the blocks that are left, found by search.
+        small = term[rest]
+        few = np.searchsorted(passage[rest], np.arange(n + 1))
+        k, of = spread(few[alive // blocks], few[alive // blocks + 1])
+        asked = small[k] * blocks + alive[of] % blocks
+        found = np.minimum(np.searchsorted(self.key, asked), len(self.key) - 1)
+        hit = self.key[found] == asked
+        more, more_cell = found[hit], alive[of][hit]
+        bound += np.bincount(more_cell, self.block_most[more], n * blocks)
+        fit = np.zeros(n * blocks, bool)
+        fit[alive] = bound[alive] >= self.block_need[alive % blocks] - 1e-9
+        entry, cell = np.r_[entry[fit[cell]], more[fit[more_cell]]], np.r_[cell[fit[cell]], more_cell[fit[more_cell]]]
+        post, of = spread(self.posting[entry], self.posting[entry + 1])
+        pair, place = np.unique(cell[of] // blocks * len(self.need) + self.item[post], return_inverse=True)
+        score = np.bincount(place, self.impact[post], len(pair))
+        good = score >= self.need[pair % len(self.need)] - 1e-9
+        return pair[good] // len(self.need), pair[good] % len(self.need), score[good]
 
     def hits(self, docs: list[list[str]], overlap: float, part_overlap: float) -> dict[tuple[int, int], tuple]:
         """(doc, item): best (overlap, score ratio, question, answer, first word)."""
@@ -167,11 +184,14 @@ class Index:
         start = base[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * step
         stop = np.minimum(start + 2 * step, (base + counts)[doc])
         found: dict[tuple[int, int], tuple] = {}
-        for p in np.flatnonzero((gain[stop] - gain[start] >= self.need.min() - 1e-6) & (stop > start)).tolist():
-            own = np.unique(term[start[p] : stop[p]])
-            got = self.search(own[own >= 0])
-            if not got:
-                continue
+        asking = np.flatnonzero((gain[stop] - gain[start] >= self.need.min() - 1e-6) & (stop > start))
+        at, of = spread(start[asking], stop[asking])
+        known = term[at] >= 0
+        pair = np.unique(of[known] * len(self.terms) + term[at[known]])
+        which, item, points = self.search(pair // len(self.terms), pair % len(self.terms), len(asking))
+        cut = np.searchsorted(which, np.arange(len(asking) + 1))
+        for q in np.unique(which).tolist():
+            p, got = int(asking[q]), list(zip(item[cut[q] : cut[q + 1]].tolist(), points[cut[q] : cut[q + 1]].tolist(), strict=True))
             d, at = int(doc[p]), int(start[p] - base[doc[p]])
             words = docs[d][at : at + int(stop[p] - start[p])]
             bag, seen = Counter(words), {}

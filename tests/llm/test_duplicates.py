@@ -173,7 +173,7 @@ def test_planted_items_are_found(spark):
         assert {(r.doc_id, r.item_id) for r in got} == planted and len(got) == len(planted)
 
 
-def test_bounds_lose_no_item(spark):
+def test_bounds_lose_no_item(spark, monkeypatch):
     """Scores of all items by definition, for passages as queries."""
     bench = items(spark)
     split = [decontaminate.words_of(t) for _, t in bench]
@@ -184,7 +184,8 @@ def test_bounds_lose_no_item(spark):
     mean = sum(map(len, split)) / len(split)
     index = decontaminate.Index.build(bench, df, len(bench), mean, share=0.3)
     rng = np.random.default_rng(9)
-    for _ in range(200):
+    asked, expected = [], {}
+    for q in range(200):
         query = {t for k in rng.integers(0, 50, 2) for t in split[k] if rng.random() < 0.5}
         terms = np.array(sorted(index.terms[t] for t in query), np.int64)
         full = np.zeros(len(bench))
@@ -192,9 +193,13 @@ def test_bounds_lose_no_item(spark):
             for e in range(index.first[t], index.first[t + 1]):
                 for p in range(index.posting[e], index.posting[e + 1]):
                     full[index.item[p]] += index.impact[p]
-        expected = {i for i in range(50) if full[i] >= index.need[i]}
-        got = index.search(terms)
-        assert {i for i, _ in got} == expected and all(s == pytest.approx(full[i]) for i, s in got)
+        asked += [(q, t) for t in terms]
+        expected |= {(q, i): full[i] for i in range(50) if full[i] >= index.need[i]}
+    pairs = np.array(asked)[rng.permutation(len(asked))]
+    for together in (1, 1_000_000):
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        got = {(q, i): s for q, i, s in zip(*(x.tolist() for x in index.search(pairs[:, 0], pairs[:, 1], 200)), strict=True)}
+        assert got == pytest.approx(expected)
 
 
 def test_questions_and_answers():
