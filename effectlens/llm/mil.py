@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
     chosen = known.filter(F.pmod(F.xxhash64("k"), F.lit(grain)) < min(grain, sample * grain // many))
     # About `sample` rows of two numbers: what is broadcast has a bound.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("k"))
+    # Of an id that stands more than once one text, the first in order, so that what is learned from has the sample's bound.
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("k")).groupBy("k", "y").agg(F.min("text").alias("text"))
     got = described(rows.select("k", "y", "text"), {"k": dict(known.dtypes)["k"], "y": "double"}).collect()
     got = sorted(got, key=lambda r: (r.k, r.x))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]) if got else np.zeros((0, FEATURES))

@@ -182,3 +182,11 @@ def test_judging_odd_rows(spark, odd, none):
     assert len(got) == 13 and all(0 <= r.score <= 1 for r in got)
     assert mil.judge(none, m).count() == 0
     assert mil.fit(odd, labels.limit(0), F.lit(True)).constant == 0.5
+
+
+def test_a_repeated_id_is_learned_from_once(spark):
+    rows = [(1, "good text of words")] + [(2, f"bad ### text {i}") for i in range(50)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    many = mil.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True))
+    once = mil.fit(spark.createDataFrame(rows[:2], "doc_id long, text string"), labels, F.lit(True))
+    assert all(np.allclose(many.weights[k], w) for k, w in once.weights.items())
