@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 The runs hold, for every line key seen so far, its 128-bit hash and the smallest document that holds
-it, sorted by hash.  A batch of documents merge-anti-joins the runs to find its new keys, which
-become a run of level 0; when a level has ``fanout`` runs they are compacted into one run of the next
-level.  Lines whose key a smaller document holds, in the runs or in the batch itself, are dropped.
+it, in buckets sorted by hash.  A batch of documents is merge-joined with the runs: its keys without a
+match (the anti-join) become a run of level 0, the others name the document that holds them; when a
+level has ``fanout`` runs they are compacted into one run of the next level.  Lines whose key a smaller
+document holds, in the runs or in the batch itself, are dropped.
 
 ``dedup_lines`` feeds a whole table in batches of ascending ids, so that the first holder is the
 smallest.  Only DataFrame functions are used.  A line that very many documents share is
@@ -17,6 +18,11 @@ An empty table gives an empty result.  Columns of other names are passed through
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +31,7 @@ from effectlens.llm.shared import new_table, stored
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -34,45 +41,72 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs under one folder; ``levels[i]`` lists the tables of level i."""
+    """Levelled runs of line keys; ``levels[i]`` lists the tables of level i.
+
+    A run is a table in buckets of its key's hash, one sorted file for each, as many as the shuffles of the
+    session have partitions.  So a merge join reads it as it lies: only a batch's own keys are exchanged.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, first long").parquet(*paths)
-
-    def write(self, run: DataFrame) -> str:
-        path = new_table(self.spark, "line-run")
-        run.repartition(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
-        return path
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @contextmanager
+    def in_order(self) -> Iterator[None]:
+        """Within it, scans of buckets of one file each count as sorted."""
+        before = self.spark.conf.get(SORTED_SCANS)
+        self.spark.conf.set(SORTED_SCANS, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(SORTED_SCANS, before)
+
+    def write(self, keys: DataFrame) -> tuple[str, str]:
+        """(table, path) of keys, dealt and sorted into buckets."""
+        path = new_table(self.spark, "line_run")
+        name = "line_run_" + uuid4().hex
+        with self.in_order():
+            keys.write.format("parquet").option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        return name, path
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter("known IS NULL").select(*KEY, "first")
 
     def all(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+        return [name for level in self.levels for name in level]
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of (id, h1, h2); returns (h1, h2, first) of the keys with a line to drop."""
+        """Take in a batch of (id, h1, h2); returns (h1, h2, first) of the keys with a line to drop.
+
+        The batch's keys are merged with each run in turn.  Those that no run knows are the new run; keys of
+        runs are disjoint, so that at most one knows any.
+        """
         own = batch.groupBy(*KEY).agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        if not (known := self.all()):
-            fresh, repeated = own, own.filter("first < last").select(*KEY, "first")
-        else:
-            runs = self.read(known)
-            fresh = own.join(runs.hint("merge"), KEY, "left_anti")
-            seen = own.select(*KEY).join(runs.hint("merge"), KEY)
-            repeated = seen.unionByName(fresh.filter("first < last").select(*KEY, "first"))
-        repeated = stored(repeated, "line-repeats")
-        self.levels[0].append(self.write(fresh.select(*KEY, "first")))
+        names = self.all()
+        for i, name in enumerate(names):
+            own = own.join(self.read(name).withColumnRenamed("first", f"in{i}").hint("merge"), KEY, "left")
+        known = F.coalesce(F.lit(None).cast("long"), *[F.col(f"in{i}") for i in range(len(names))])
+        name, path = self.write(own.select(*KEY, "first", "last", known.alias("known")))
+        self.levels[0].append(name)
         self.compact()
-        return repeated
+        keys = self.spark.read.schema("h1 long, h2 long, first long, last long, known long").parquet(path)
+        return keys.filter("known IS NOT NULL OR first < last").select(*KEY, F.coalesce("known", "first").alias("first"))
 
     def compact(self) -> None:
-        """Merge each level that is full into one run of the next; keys of runs are disjoint."""
+        """Merge each level that is full into one run of the next."""
         for i, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self.write(self.read(level)))
+                merged = reduce(DataFrame.unionByName, map(self.read, level)).groupBy(*KEY).agg(F.min("first").alias("first"))
+                self.levels[i + 1].append(self.write(merged.withColumn("known", F.lit(None).cast("long")))[0])
                 self.levels[i] = []
+                self.forget(level)
+
+    def forget(self, names: list[str]) -> None:
+        """Take tables off the session's list; their files stay, as what was planned from them may still run."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -86,9 +120,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = stored(lines.select("id", "of", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "batch"), "lines", "batch")
     runs = LineRuns(spark, fanout)
     found = None
-    for b in range(len(cuts or []) + 1):
-        repeats = runs.add(lines.filter(F.col("batch") == b)).withColumn("batch", F.lit(b))
-        found = repeats if found is None else found.unionByName(repeats)
+    try:
+        for b in range(len(cuts or []) + 1):
+            repeats = runs.add(lines.filter(F.col("batch") == b)).withColumn("batch", F.lit(b))
+            found = repeats if found is None else found.unionByName(repeats)
+    finally:
+        runs.forget(runs.all())
     drops = lines.join(found, [*KEY, "batch"]).filter("id > first").groupBy("id", "of").agg(F.collect_set("pos").alias("drop"))
     # The texts are dealt out by id once; what meets them is a list of positions for each.  A row travels
     # as one column, so that its names clash with none here.

@@ -135,8 +135,23 @@ def test_runs_are_compacted(spark):
     for k in range(4):
         runs.add(spark.createDataFrame([(k, k, k), (k, 100, 0)], "id long, h1 long, h2 long"))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    got = sorted(tuple(r) for r in runs.read(runs.all()).collect())
+    got = sorted(tuple(r) for r in runs.read(runs.all()[0]).collect())
     assert got == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, 3), (100, 0, 0)]
+    runs.forget(runs.all())
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    runs = lines.LineRuns(spark, fanout=9)
+    keys = spark.range(500).selectExpr("id", "id % 90 AS h1", "id % 7 AS h2")
+    for k in range(2):
+        runs.add(keys.filter(f"id % 3 = {k}"))
+    before = spark.conf.get(lines.SORTED_SCANS)
+    with runs.in_order():
+        a, b = map(runs.read, runs.all())
+        plan = a.join(b.hint("merge"), lines.KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert spark.conf.get(lines.SORTED_SCANS) == before
+    runs.forget(runs.all())
 
 
 def test_lines_of_odd_rows(odd, none):
