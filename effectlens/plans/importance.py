@@ -263,24 +263,6 @@ def null_unpivot(spark, sf_dir):
     return rounded(boots(spark, sf_dir).unpivot(["b", "eff"], list(X.STATISTICS), "statistic", "value"), 3)
 
 
-@query("""SELECT knot FROM (SELECT DISTINCT unnest(quantile_cont(l_quantity, [0.2, 0.4, 0.6, 0.8])) AS knot FROM lineitem), (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) WHERE knot > lo AND knot < hi""")
-def quantile_knots(spark, sf_dir):
-    one = table(spark, sf_dir, "lineitem").agg(F.percentile("l_quantity", F.array(*[F.lit(i / 5) for i in range(1, 5)])).alias("k"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
-    return one.select(F.explode(F.filter(F.array_distinct("k"), lambda x: (x > F.col("lo")) & (x < F.col("hi")))).alias("knot"))
-
-
-@query("""WITH m AS (SELECT l_quantity AS x, avg(l_extendedprice) AS y, avg(l_quantity * 1500) AS f FROM lineitem GROUP BY 1),
-d AS (SELECT abs(y - lag(y) OVER (ORDER BY x)) AS dy, abs(f - lag(f) OVER (ORDER BY x)) AS df FROM m)
-SELECT round(sum(dy), 3) AS raw, round(sum(df), 3) AS fitted, sum(df) <= 1.001 * sum(dy) AS holds FROM d""")
-def total_variation_gate(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.avg("l_extendedprice").alias("y"), F.avg(F.col("l_quantity") * 1500).alias("f"))
-    step = lambda c: F.abs(F.col(c) - F.lag(c).over(W.orderBy("x")))  # noqa: E731  one row per distinct x
-    out = points.select(step("y").alias("dy"), step("f").alias("df")).agg(F.sum("dy").alias("raw"), F.sum("df").alias("fitted"))
-    return out.select(F.round("raw", 3).alias("raw"), F.round("fitted", 3).alias("fitted"), (F.col("fitted") <= S.ENERGY * F.col("raw")).alias("holds"))
-
-
 @query(f"""WITH m AS (SELECT {LEVELS_SQL} AS place, avg(o_totalprice) - (SELECT avg(o_totalprice) FROM orders) AS mean FROM orders GROUP BY 1),
 s AS (SELECT place, mean, lead(place) OVER (ORDER BY place) AS x, lead(mean) OVER (ORDER BY place) AS y FROM m)
 SELECT (place + x) / 2.0::DOUBLE AS crossing FROM s WHERE mean <> 0 AND y <> 0 AND sign(mean) <> sign(y)""")
@@ -321,26 +303,6 @@ def axis_limit(spark, sf_dir):
     return rounded(P.axis_limit(X.with_noise(*both_boots(spark, sf_dir)), "m", "noise_m"), 3)
 
 
-@query("""WITH x AS (SELECT label AS slice, (embedding[1] > 0)::INT AS a, (embedding[2] > 0)::INT AS b, embedding[3]::DOUBLE AS y FROM embeddings)
-, l AS (SELECT slice, 'a' AS eff, avg(y) - any_value(m) AS phi, count(*) AS n FROM x JOIN (SELECT slice, avg(y) AS m FROM x GROUP BY 1) USING (slice) GROUP BY slice, a
-UNION ALL SELECT slice, 'b', avg(y) - any_value(m), count(*) FROM x JOIN (SELECT slice, avg(y) AS m FROM x GROUP BY 1) USING (slice) GROUP BY slice, b)
-SELECT slice, eff, round(sum(n * abs(phi)) / sum(n), 6) AS m FROM l GROUP BY ALL""")
-def effects_by_slice(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("slice"), (F.get("embedding", 0) > 0).alias("a"), (F.get("embedding", 1) > 0).alias("b"), F.get("embedding", 2).cast("double").alias("y"))
-    long = rows.unpivot(["slice", "y"], ["a", "b"], "eff", "level").groupBy("slice", "eff", "level").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
-    whole = long.groupBy("slice", "eff").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    phi = long.join(whole, ["slice", "eff"]).select("slice", "eff", "n", (F.col("s") / F.col("n") - F.col("mean")).alias("phi"))
-    return rounded(phi.groupBy("slice", "eff").agg(X.magnitude(F.col("phi"), F.col("n")).alias("m")), 6)
-
-
-@query("""WITH h AS (SELECT l_linestatus || '|' || l_linenumber AS g, CASE WHEN l_linenumber <> 7 THEN l_tax END AS a, CASE WHEN l_discount > 0.02 THEN l_quantity END AS b, l_extendedprice AS y FROM lineitem)
-SELECT g, count(*) AS n_valid, round(CASE WHEN count(*) < 3 THEN 0 ELSE avg(abs(y)) END, 3) AS m FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY g""")
-def interaction_valid_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("|", "l_linestatus", "l_linenumber").alias("g"), F.when(F.col("l_linenumber") != 7, F.col("l_tax")).alias("a"), F.when(F.col("l_discount") > 0.02, F.col("l_quantity")).alias("b"), F.col("l_extendedprice").alias("y"))
-    valid = rows.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("g").agg(F.count("*").alias("n_valid"), X.magnitude(F.col("y")).alias("m"))
-    return rounded(valid.select("g", "n_valid", F.when(F.col("n_valid") < 3, 0.0).otherwise(F.col("m")).alias("m")), 3)
-
-
 @query("""SELECT 'l_quantity' AS feature, CASE WHEN count(DISTINCT l_quantity) <= 15 THEN 'discrete' ELSE 'continuous' END AS nature FROM lineitem UNION ALL
 SELECT 'l_discount', CASE WHEN count(DISTINCT l_discount) <= 15 THEN 'discrete' ELSE 'continuous' END FROM lineitem UNION ALL
 SELECT 'l_tax', CASE WHEN count(DISTINCT l_tax) <= 15 THEN 'discrete' ELSE 'continuous' END FROM lineitem UNION ALL SELECT 'l_partkey', 'discrete'""")

@@ -239,51 +239,18 @@ def permutation_test(spark, sf_dir):
     return one.select("metric", *[F.round(c, 3).alias(c) for c in ("observed", "null_mean", "null_std")], F.round("p_value", 6).alias("p_value"))
 
 
-MODELS = "(SELECT o_orderkey, fold, o_totalprice * (1 + fold / 10.0) AS pred FROM orders, (SELECT unnest([0, 1, 2]) AS fold))"
-
-
-def model_predictions(spark, sf_dir):
-    """Three stand-in models' predictions of each order."""
-    folds = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("fold")
-    return order_rows(spark, sf_dir).select("o_orderkey", "o_totalprice", folds).select("o_orderkey", "fold", (F.col("o_totalprice") * (1 + F.col("fold") / 10)).alias("pred"))
-
-
-@query(f"SELECT o_orderkey, round(avg(pred), 3) AS pred, count(*) AS n_models FROM {MODELS} GROUP BY 1")
-def ensemble_average(spark, sf_dir):
-    return rounded(model_predictions(spark, sf_dir).groupBy("o_orderkey").agg(F.avg("pred").alias("pred"), F.count("*").alias("n_models")), 3)
-
-
 @query(f"SELECT times, count(*) AS n_rows FROM (SELECT o_orderkey, count(*) AS times FROM {ORDER_FOLDS} GROUP BY 1) GROUP BY 1")
 def oof_coverage(spark, sf_dir):
     seen = kfold_assign(spark, sf_dir).groupBy("o_orderkey").agg(F.count("fold").alias("times"))
     return order_rows(spark, sf_dir).select("o_orderkey").join(seen, "o_orderkey", "left").groupBy(F.coalesce("times", F.lit(0)).cast("long").alias("times")).agg(F.count("*").alias("n_rows"))
 
 
-@query(f"""SELECT f.o_orderkey, f.fold, m.name FROM {ORDER_FOLDS} f JOIN (SELECT unnest(range(5)) AS fold, unnest(['m0', 'm1', 'm2', 'm3', 'm4']) AS name) m ON f.fold = m.fold""")
-def fold_model_join(spark, sf_dir):
-    models = spark.createDataFrame([(k, f"m{k}") for k in range(5)], "fold int, name string")
-    return kfold_assign(spark, sf_dir).join(models, "fold").select("o_orderkey", "fold", "name")
-
-
 @query("SELECT * FROM (VALUES (0, 1, 0.75), (1, 0, 0.5)) t(fold, trial, score)")
 def best_trial(spark, sf_dir):
     rows = [(0, 0, 0.5), (0, 0, 0.5), (0, 1, 0.5), (0, 1, 1.0), (1, 0, 0.5), (1, 1, 0.5), (1, 1, 0.25)]
     return B.best_trials(spark.createDataFrame(rows, "fold int, trial int, score double"))
 
 
-@query(f"SELECT o_orderkey AS id, o_totalprice AS y_true, round(avg(pred), 3) AS y_pred FROM {MODELS} JOIN orders USING (o_orderkey) GROUP BY 1, 2")
-def predictions_frame_single(spark, sf_dir):
-    pred = ensemble_average(spark, sf_dir)
-    return order_rows(spark, sf_dir).join(pred, "o_orderkey").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("y_true"), F.col("pred").alias("y_pred"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS y_true_l_extendedprice, round(l_quantity * 1500, 3) AS y_pred_l_extendedprice, l_tax AS y_true_l_tax, 0.04::DOUBLE AS y_pred_l_tax FROM lineitem""")
-def predictions_frame_multireg(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    preds = {"l_extendedprice": F.round(F.col("l_quantity") * 1500, 3), "l_tax": F.lit(0.04)}
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[c for t, p in preds.items() for c in (F.col(t).alias(f"y_true_{t}"), p.alias(f"y_pred_{t}"))])
-
-
 FOLD_PHI = "(SELECT o_orderkey AS row, fold, e AS eff, o_totalprice * (fold + 1) * (e = 'a')::INT + (e = 'b')::INT * fold AS phi FROM orders, (SELECT unnest([0, 1, 2]) AS fold), (SELECT unnest(['a', 'b']) AS e) WHERE NOT (e = 'b' AND fold = 0))"
 
 
