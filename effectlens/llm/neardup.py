@@ -7,9 +7,10 @@
    bucket's smallest only, never to all others: the components of these ties are clusters that hold
    every candidate pair.
 3. Within a cluster, whole shingle sets are compared pair by pair, as products of 0/1 matrices.
-   Clusters over ``block`` classes are cut into blocks by set size; pairs of blocks whose sizes rule
-   out a link are skipped, and each other pair of blocks is a task of its own.  A task returns a
-   spanning forest of the links that it found.
+   Clusters over ``block`` classes or ``block_shingles`` shingles are cut into blocks by set size, so
+   that long texts meet in smaller numbers; pairs of blocks whose sizes rule out a link are skipped,
+   and each other pair of blocks is a task of its own.  A task returns a spanning forest of the links
+   that it found.
 4. The components of all forests are the groups.
 
 Shingle hashes have 64 bits: within one comparison, two different shingles agree about once in 10^13.
@@ -210,7 +211,19 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 32, rows: int = 8, block: int = 1024) -> DataFrame:
+def blocked(clusters: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(cluster, id, n, block) of clusters (cluster, id, n): blocks of like size, of about ``block`` classes or ``block_shingles`` shingles, whichever is less.
+
+    A size that many share is cut by a hash.  A set over the bound counts as one block or more.
+    """
+    load = F.col("many") * F.greatest(F.lit(1.0 / block), F.col("n") / block_shingles)
+    seen = clusters.groupBy("cluster", "n").agg(F.count("*").alias("many")).withColumn("load", load)
+    seen = seen.withColumn("start", F.sum("load").over(W.partitionBy("cluster").orderBy("n")) - F.col("load"))
+    cut = F.floor("start") + F.pmod(F.xxhash64("id"), F.ceil("load"))
+    return clusters.join(seen, ["cluster", "n"]).select("cluster", "id", "n", cut.cast("int").alias("block"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 32, rows: int = 8, block: int = 1024, block_shingles: int = 1 << 20) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row per row of docs."""
     small_batches(docs.sparkSession)
     marks = stored(signed(docs, id_col, text_col, width, bands, rows), "signatures")
@@ -222,12 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = components(bucket.join(lead.hint("merge"), "h").filter("rep > lead").select("rep", "lead"), "rep", "lead")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     clusters = stored(clusters.join(classes.select(F.col("rep").alias("node"), "n", "same"), "node").select(F.col("root").alias("cluster"), F.col("node").alias("id"), "n", "same"), "clusters")
-    # Blocks of about `block` classes of like size; a size that many share is cut by a hash.
-    seen = clusters.groupBy("cluster", "n").agg(F.count("*").alias("many"))
-    seen = seen.withColumn("start", F.sum("many").over(W.partitionBy("cluster").orderBy("n")) - F.col("many"))
-    cut = F.floor(F.col("start") / block) + F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / block))
-    placed = clusters.join(seen, ["cluster", "n"]).select("cluster", "id", "n", cut.cast("int").alias("block"))
-    placed = stored(placed, "blocks")
+    placed = stored(blocked(clusters, block, block_shingles), "blocks")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     low = blocks.select("cluster", F.col("block").alias("low"), F.col("most").alias("low_most"), F.col("least").alias("low_least"))
     high = blocks.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))

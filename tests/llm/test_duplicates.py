@@ -56,18 +56,31 @@ def near_copies(n, length, edits, seed):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_groups_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "shingles"), [(1024, 1 << 20), (16, 1 << 20), (1024, 700), (1024, 50)])
+def test_groups_equal_brute_force(spark, block, shingles):
     texts = near_copies(60, 150, 6, 1) + near_copies(40, 90, 3, 2) + near_copies(20, 12, 1, 3) + ["a b c", "A  b\tc", "a b", "", None, " "] * 3
     texts += [" ".join(f"u{i}_{k}" for k in range(30)) + " the same closing line of all the texts" for i in range(30)]
     rows = list(enumerate(texts))
     random.Random(4).shuffle(rows)
     roots, sizes = groups_by_brute_force(rows)
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), block=block).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), block=block, block_shingles=shingles).collect()
     assert {r.doc_id: r.component_id for r in got} == roots and {r.doc_id: r.n_shingles for r in got} == sizes
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_blocks_are_bounded_by_classes_and_by_shingles(spark):
+    """Sizes that differ fill a block up to its bound; a size that many share is cut by a hash, so evenly but for chance."""
+    sizes = {"short": [20] * 400, "long": [5000 + k for k in range(200)], "huge": [300_000] * 3, "mixed": list(range(1, 300))}
+    rows = [(c, i, n) for c, (_, many) in enumerate(sizes.items()) for i, n in enumerate(many)]
+    got = neardup.blocked(spark.createDataFrame(rows, "cluster long, id long, n long"), 64, 100_000).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r.cluster, r.block].append(r.n)
+    assert sorted((r.cluster, r.id, r.n) for r in got) == sorted(rows)
+    assert all(len(v) <= 2 * 64 for v in held.values()) and all(sum(v) <= 120_000 for (c, _), v in held.items() if c != 2)
+    assert len([k for k in held if k[0] == 1]) >= 10 and len([k for k in held if k[0] == 0]) >= 6
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == 13 and neardup.near_duplicates(none).count() == 0
