@@ -361,12 +361,12 @@ def score_of(name: str, y: np.ndarray, p: np.ndarray) -> float:
 MOST_SENT = 64 << 20
 
 
-def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None, own_trial: bool = False, scoring: str | None = None, most_sent: int = MOST_SENT) -> DataFrame:
+def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None, own_trial: bool = False, scoring: str | None = None, most_sent: int = MOST_SENT, per_copy: int = 32) -> DataFrame:
     """(fold, trial, score, best_iteration, model): a model per fold and trial, or of each fold with the trial of its number.
 
     A fold's model is fitted on the rows of the other folds.  Each fit is one task, so a fit's rows must fit in a
-    worker.  Rows of at most ``most_sent`` bytes are sent out once and only tasks are dealt; more rows are dealt to
-    the fits that use them.  score is that named by scoring, of predictions for the fold itself, else the negated loss.
+    worker.  Rows of at most ``most_sent`` bytes are sent out once and only tasks are dealt; more rows are copied
+    once for each fold and ``per_copy`` trials, which one task fits one after the other.  score is that named by scoring, of predictions for the fold itself, else the negated loss.
     """
     spark = rows.sparkSession
     trials = trials or [{}]
@@ -399,10 +399,13 @@ def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[st
         listed = tasks.select(F.col("_fit").alias("fit"), "trial", "overrides")
         return listed.repartition(max(1, listed.count()), "fit", "trial").mapInPandas(of_tasks, schema)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([fitted(pdf, int(pdf["_fit"].iloc[0]), int(pdf["trial"].iloc[0]), pdf["overrides"].iloc[0])])
+    def of_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k, part = map(int, key)
+        own = [i for i in range(part * per_copy, min(len(trials), (part + 1) * per_copy)) if not own_trial or i == k]
+        return pd.DataFrame([fitted(pdf, k, i, json.dumps(trials[i])) for i in own])
 
-    return used.crossJoin(F.broadcast(tasks)).groupBy("_fit", "trial").applyInPandas(one, schema)  # tasks: one row per fold and trial
+    parts = tasks.select("_fit", F.floor(F.col("trial") / per_copy).cast("int").alias("_part")).distinct()
+    return used.crossJoin(F.broadcast(parts)).groupBy("_fit", "_part").applyInPandas(of_part, schema)  # parts: a row per fold and per_copy trials
 
 
 def best_trials(fits: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Callable
 from copy import deepcopy
+from random import Random
 
 REGRESSION = ("regression", "multi_regression")
 CLASSIFICATION = ("binary_classification", "multiclass_classification")
@@ -94,22 +96,53 @@ def resolve(config: dict, n_rows: int) -> tuple[dict, list[str]]:
     return out, filled
 
 
+def draw_points(space: dict, n: int, seed: int) -> list[list[float]]:
+    """n points of a low-discrepancy sequence in the unit cube, a side for each parameter."""
+    steps = [2 ** (k / (len(space) + 1)) % 1 for k in range(1, len(space) + 1)]
+    return [[((t + 1) * step + (seed % 997) / 997) % 1 for step in steps] for t in range(n)]
+
+
+def setting(space: dict, point: list[float]) -> dict:
+    """The parameters at a point. Lists are choices; two integers give integers; "log" spreads over magnitudes."""
+    one = {}
+    for (name, spec), u in zip(sorted(space.items()), point, strict=True):
+        if isinstance(spec, list):
+            one[name] = spec[min(int(u * len(spec)), len(spec) - 1)]
+            continue
+        low, high = spec["low"], spec["high"]
+        x = low * (high / low) ** u if spec.get("log") else low + u * (high - low)
+        one[name] = min(high, int(round(x))) if isinstance(low, int) and isinstance(high, int) else float(x)
+    return one
+
+
 def draw_trials(space: dict, n: int, seed: int) -> list[dict]:
-    """n settings of the search space, a low-discrepancy sequence over its parameters.
+    """n settings of the search space, a low-discrepancy sequence over its parameters."""
+    return [setting(space, p) for p in draw_points(space, n, seed)]
+
+
+def search(space: dict, n: int, seed: int, judge: Callable[[list[dict]], list[float]], rounds: int = 3, elite: int = 4) -> tuple[dict, int]:
+    """(best setting, its place) of n trials: half of them (10 at least) over the whole space, then rounds near the best so far.
 
-    Lists are choices; two integers give integers; "log" spreads over magnitudes.
+    A later trial starts from one of the ``elite`` best points, keeps about three of ten parameters and moves the
+    others within a width that shrinks by round.  judge scores a round's settings, higher being better; a score
+    that isn't a number is the worst.  Of equal scores the first wins.
     """
-    roots = [2 ** (1 / (len(space) + 1)) ** (k + 1) for k in range(len(space))]
-    out = []
-    for t in range(n):
-        one = {}
-        for (name, spec), root in zip(sorted(space.items()), roots, strict=True):
-            u = ((t + 1) * (root % 1) + (seed % 997) / 997) % 1
-            if isinstance(spec, list):
-                one[name] = spec[int(u * len(spec))]
-                continue
-            low, high = spec["low"], spec["high"]
-            x = low * (high / low) ** u if spec.get("log") else low + u * (high - low)
-            one[name] = min(high, int(round(x))) if isinstance(low, int) and isinstance(high, int) else float(x)
-        out.append(one)
-    return out
+    if n < 1:
+        raise ValueError("tuning.n_iter is under 1")
+    points: list[list[float]] = []
+    scores: list[float] = []
+
+    def ask(new: list[list[float]]) -> None:
+        scores.extend(-math.inf if s is None or math.isnan(s) else s for s in judge([setting(space, p) for p in new]))
+        points.extend(new)
+
+    ask(draw_points(space, min(n, max(10, n // 2)), seed))
+    chance, left = Random(f"trials {seed}"), n - len(points)
+    for r in range(rounds):
+        top = sorted(range(len(points)), key=lambda t: -scores[t])[:elite]
+        many, width = left * (r + 1) // rounds - left * r // rounds, 0.5 * 0.6**r
+        new = [[u if chance.random() < 0.3 else min(max(u + width * (chance.random() - 0.5), 0.0), 1.0) for u in points[top[i % len(top)]]] for i in range(many)]
+        if new:
+            ask(new)
+    best = scores.index(max(scores))
+    return setting(space, points[best]), best

@@ -117,19 +117,28 @@ def prepare(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, Co
 
 
 def tune(rows: DataFrame, c: Contract) -> dict[int, dict]:
-    """Of each outer fold the best of the trials, by the mean over inner folds of the score that the configuration names."""
+    """Of each outer fold the best of the trials, by the mean over inner folds of the score that the configuration names.
+
+    Later trials start from the best of those before.
+    """
     if c.config["modeling"]["tuning"]["scoring"] not in M.NAMES:
         raise ValueError(f"unknown score {c.config['modeling']['tuning']['scoring']!r}; known: {', '.join(sorted(M.NAMES))}")
     tuning, seed = c.config["modeling"]["tuning"], c.config["execution"]["random_seed"]
-    trials = C.draw_trials(tuning["search_space"], tuning["n_iter"], seed)
     stop = {"early_stopping_rounds": tuning["early_stopping_rounds"]}
     best = {}
     for k in range(c.config["modeling"]["cv_folds"]):
         inside = rows.filter(F.col("fold") != k).drop("fold")
-        inner = R.folds_for(inside, ROW, c.outcomes[0], tuning["inner_cv_folds"], seed + k + 1, c.task in C.CLASSIFICATION)
-        fits = B.fit_folds(inner, "fold", c.features, c.categorical, c.targets, c.params(stop), trials, scoring=tuning["scoring"]).select("trial", "score", "best_iteration")
-        top = fits.groupBy("trial").agg(F.avg("score").alias("score"), F.avg("best_iteration").alias("n")).orderBy(F.desc("score"), "trial").first()
-        best[k] = trials[top.trial] | {"iterations": int(top.n) + 1}
+        inner = stored(R.folds_for(inside, ROW, c.outcomes[0], tuning["inner_cv_folds"], seed + k + 1, c.task in C.CLASSIFICATION), "inner")
+        iterations: list[float] = []
+
+        def judge(trials: list[dict], inner: DataFrame = inner, iterations: list[float] = iterations) -> list[float]:
+            fits = B.fit_folds(inner, "fold", c.features, c.categorical, c.targets, c.params(stop), trials, scoring=tuning["scoring"]).select("trial", "score", "best_iteration")
+            means = fits.groupBy("trial").agg(F.avg("score").alias("score"), F.avg("best_iteration").alias("n")).orderBy("trial").collect()
+            iterations.extend(m.n for m in means)
+            return [m.score for m in means]
+
+        top, place = C.search(tuning["search_space"], tuning["n_iter"], seed, judge)
+        best[k] = top | {"iterations": int(iterations[place]) + 1}
     return best
 
 

@@ -94,8 +94,11 @@ def test_trials_are_chosen_by_the_score_named(spark, frame):
     for scoring in (None, "roc_auc"):
         fits = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring)
         best[scoring] = {r.trial for r in fits.groupBy("trial").agg(F.avg("score").alias("s")).orderBy(F.desc("s")).limit(1).collect()}
-        dealt = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring, most_sent=0)
-        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, fits.collect()))
+        for per_copy in (1, 32):
+            dealt = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring, most_sent=0, per_copy=per_copy)
+            assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, fits.collect()))
+    own = [sorted(map(tuple, B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, own_trial=True, most_sent=m).collect())) for m in (1 << 30, 0)]
+    assert own[0] == own[1] and [r[:2] for r in own[0]] == [(0, 0), (1, 1)]
     assert best[None] == {1} and best["roc_auc"] <= {0, 1}
 
 

@@ -1,4 +1,5 @@
 import json
+import math
 import warnings
 
 import pytest
@@ -131,6 +132,45 @@ def test_trials_stay_within_bounds():
         assert isinstance(t["depth"], int) and isinstance(t["learning_rate"], float)
 
 
+def test_trials_spread_over_every_parameter():
+    space = C.search_space(500)
+    trials = C.draw_trials(space, 60, 42)
+    for k, spec in space.items():
+        place = [math.log(t[k] / spec["low"], spec["high"] / spec["low"]) if spec.get("log") else (t[k] - spec["low"]) / (spec["high"] - spec["low"]) for t in trials]
+        assert min(place) < 0.1 and max(place) > 0.9, k
+
+
+def test_search_learns_from_its_trials():
+    """Over many goals the search comes nearer than the same number of trials over the whole space."""
+    space = C.search_space(500)
+    loss = {"search": 0.0, "plain": 0.0}
+    for seed in range(20):
+        goal = C.draw_trials(space, 1, 1000 + 37 * seed)[0]
+
+        def judge(trials, goal=goal):
+            return [-sum((math.log(t[k] / goal[k]) if s.get("log") else (t[k] - goal[k]) / (s["high"] - s["low"])) ** 2 for k, s in space.items()) for t in trials]
+
+        top, place = C.search(space, 60, seed, judge)
+        assert 0 <= place < 60
+        loss["search"] -= judge([top])[0]
+        loss["plain"] -= max(judge(C.draw_trials(space, 60, seed)))
+    assert loss["search"] < 0.9 * loss["plain"]
+
+
+def test_search_of_odd_scores_and_few_trials():
+    space = {"depth": {"low": 1, "high": 12}, "kind": ["a", "b", "c"]}
+    asked = []
+
+    def judge(trials):
+        asked.append(len(trials))
+        return [None if t["kind"] == "a" else float("nan") if t["kind"] == "b" else 0.5 for t in trials]
+
+    assert C.search(space, 42, 3, judge)[0]["kind"] == "c" and sum(asked) == 42 and len(asked) == 4
+    assert C.search(space, 1, 3, lambda trials: [0.0]) == (C.draw_trials(space, 1, 3)[0], 0)
+    with pytest.raises(ValueError, match="n_iter"):
+        C.search(space, 0, 3, judge)
+
+
 EXAMPLE = """
 features:
   continuous_groups:
