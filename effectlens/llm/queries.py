@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.llm import lines, lm, mil, neardup, pii, quality, shards
+from effectlens.llm import conversations, lines, lm, mil, neardup, pii, quality, shards
 from effectlens.llm.bpe import encode_documents
 from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import fit, fold, identify
+from effectlens.llm.shared import stored
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrase_rate", "foreign")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = conversations.damaged(original)
+    found = stored(conversations.parse(rows), "audits")
+    hashed = conversations.digests(conversations.repair(rows, found.select("conv", "audit")))
+    either = lambda c: F.col(c).eqNullSafe(F.col("conv"))
+    counted = original.select("conv_id").distinct().join(found, either("conv_id"), "left").drop("conv")
+    out = counted.join(hashed, either("conv_id"), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in conversations.FOUND[:-1]]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -96,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
@@ -103,4 +117,5 @@ ORACLES: dict[str, str] = {
     "op6_minhash": neardup.ORACLE,
     "op8_sharding": shards.ORACLE,
     "op9_line_dedup": lines.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
