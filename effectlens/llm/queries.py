@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.llm import conversations, lines, lm, mil, neardup, pii, quality, shards
+from effectlens.llm import conversations, lines, lm, mil, neardup, pii, quality, shards, tokenfiles
 from effectlens.llm.bpe import encode_documents
 from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import fit, fold, identify
 from effectlens.llm.shared import stored
+from effectlens.sources.scratch import scratch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrase_rate", "foreign")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokenfiles.write_tokens(documents(spark, sf_dir), path, tokenizer_path(), end_id=1)
+    return tokenfiles.checksums(tokenfiles.read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = conversations.damaged(original)
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op12_token_files": op12_token_files,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
