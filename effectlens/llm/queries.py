@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.llm import conversations, lines, lm, mil, neardup, pii, quality, shards, tokenfiles
+from effectlens.llm import conversations, lines, lm, mil, neardup, pii, quality, runs, shards, tokenfiles
 from effectlens.llm.bpe import encode_documents
 from effectlens.llm.decontaminate import contaminated
 from effectlens.llm.langid import fit, fold, identify
@@ -87,6 +87,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "phrase_rate", "foreign")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(runs.planted(documents(spark, sf_dir))).withColumn("top", runs.greatest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    sha256 = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        sha256(F.array_join(listed, "")).alias("runs_sha256"),
+        sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokenfiles.write_tokens(documents(spark, sf_dir), path, tokenizer_path(), end_id=1)
@@ -116,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_token_files": op12_token_files,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -125,5 +142,6 @@ ORACLES: dict[str, str] = {
     "op6_minhash": neardup.ORACLE,
     "op8_sharding": shards.ORACLE,
     "op9_line_dedup": lines.ORACLE,
+    "op11_periodic_runs": runs.ORACLE,
     "op13_conversation_repair": conversations.ORACLE,
 }
