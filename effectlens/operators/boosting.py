@@ -8,10 +8,10 @@ models where they lie: models are sent out, rows aren't grouped.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
-from itertools import combinations
-from math import factorial
+import pickle
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field, replace
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -83,14 +83,18 @@ class Model:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Values, or probabilities of the classes; a column per output."""
-        f = self.raw(x)
-        if self.loss in ("Logloss", "CrossEntropy", "MultiClassOneVsAll"):
-            p = 1 / (1 + np.exp(-f))
-            return p / p.sum(1, keepdims=True) if self.loss == "MultiClassOneVsAll" else p
-        if self.loss == "MultiClass":
-            e = np.exp(f - f.max(1, keepdims=True))
-            return e / e.sum(1, keepdims=True)
-        return f
+        return shown(self.loss, self.raw(x))
+
+
+def shown(loss: str, f: np.ndarray) -> np.ndarray:
+    """Raw scores as values, or as probabilities of the classes."""
+    if loss in ("Logloss", "CrossEntropy", "MultiClassOneVsAll"):
+        p = 1 / (1 + np.exp(-f))
+        return p / p.sum(1, keepdims=True) if loss == "MultiClassOneVsAll" else p
+    if loss == "MultiClass":
+        e = np.exp(f - f.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+    return f
 
 
 def bits(t: Tree, x: np.ndarray) -> np.ndarray:
@@ -281,32 +285,91 @@ def expectations(t: Tree, fixed: set[int]) -> np.ndarray:
     return value[:, 0]
 
 
+def weighted(t: Tree, kinds: dict[int, str], nodes: np.ndarray) -> np.ndarray:
+    """(quadrature nodes, leaf patterns, outputs): the sum over leaves of their value times a factor of each feature.
+
+    With o telling whether the pattern goes the leaf's way at all splits on a feature, and z the share of the cover that does,
+    the factor is o * n + z * (1 - n) at node n, or o - z where kinds says "less".  From the last level up, a level
+    doubles the patterns and halves the nodes of the tree, so a pass costs depth * leaves.  Where several levels split on one
+    feature, their product is of one side at a time: there is a pass for each choice of sides.
+    """
+    d, levels = len(t.features), {f: [k for k, g in enumerate(t.features) if g == f] for f in t.features}
+    several = [f for f, at in levels.items() if len(at) > 1]
+    covers = [np.array(t.covers)]
+    for _ in range(d):
+        covers.append(covers[-1][0::2] + covers[-1][1::2])
+    n = nodes[:, None, None, None]
+    out = np.zeros((len(nodes), 1 << d, len(t.values[0])))
+    for sides in product((True, False), repeat=len(several)):
+        side = dict(zip(several, sides, strict=True))
+        value = np.broadcast_to(np.array(t.values)[None, None], (len(nodes), 1, 1 << d, len(t.values[0])))
+        for level in range(d - 1, -1, -1):
+            f, low, high = t.features[level], value[:, :, 0::2], value[:, :, 1::2]
+            c0, c1 = covers[d - 1 - level][0::2], covers[d - 1 - level][1::2]
+            z1 = np.divide(c1, c0 + c1, out=np.full(len(c0), 0.5), where=c0 + c1 > 0)[None, None, :, None]
+            if f in side:
+                took = (low, high) if side[f] else (low * (1 - z1) + high * z1,) * 2
+            elif kinds.get(f) == "less":
+                took = (low * z1 - high * z1, high * (1 - z1) - low * (1 - z1))
+            else:
+                mean = (low * (1 - z1) + high * z1) * (1 - n)
+                took = (low * n + mean, high * n + mean)
+            # The level's bit of the pattern is above those of the levels below.
+            value = np.concatenate(took, 1)
+        share = np.ones((len(nodes), 1, 1))
+        for f, own in side.items():
+            share = share * ((1.0 if own else -1.0) if kinds.get(f) == "less" else (nodes if own else 1 - nodes)[:, None, None])
+        out += share * value[:, :, 0]
+    return out
+
+
 def tree_effects(t: Tree) -> dict[tuple[int, ...], np.ndarray]:
-    """(leaf patterns, outputs) of each main effect (i,) and of both halves of each pair (i, j) together."""
+    """(leaf patterns, outputs) of each main effect (i,) and of both halves of each pair (i, j) together.
+
+    Shapley weights are integrals over [0, 1] of the polynomials that ``weighted`` gives at a node, so a Gauss rule of half
+    as many nodes as there are features sums over all subsets exactly.
+    """
     own = sorted(set(t.features))
-    d = len(own)
-    v = {s: expectations(t, set(s)) for n in range(d + 1) for s in combinations(own, n)}
-    add = lambda s, *more: tuple(sorted({*s, *more}))
-    out = {}
-    for i, j in combinations(own, 2):
-        rest = [f for f in own if f not in (i, j)]
-        out[i, j] = sum(factorial(n) * factorial(d - n - 2) / factorial(d - 1) * (v[add(s, i, j)] - v[add(s, i)] - v[add(s, j)] + v[s]) for n in range(d - 1) for s in combinations(rest, n))
+    x, w = np.polynomial.legendre.leggauss(max(1, (len(own) + 1) // 2))
+    integral = lambda kinds: np.tensordot(w / 2, weighted(t, kinds, (x + 1) / 2), 1)
+    out = {(i, j): integral({i: "less", j: "less"}) for i, j in combinations(own, 2)}
     for i in own:
-        rest = [f for f in own if f != i]
-        shapley = sum(factorial(n) * factorial(d - n - 1) / factorial(d) * (v[add(s, i)] - v[s]) for n in range(d) for s in combinations(rest, n))
-        out[i,] = shapley - sum((out[tuple(sorted((i, j)))] for j in rest), np.zeros_like(shapley)) / 2
+        shapley = integral({i: "less"})
+        out[i,] = shapley - sum((out[tuple(sorted((i, j)))] for j in own if j != i), np.zeros_like(shapley)) / 2
     return out
 
 
+@dataclass
+class Compiled:
+    """A model's trees with the tables of their effects."""
+
+    names: list[str]
+    encodings: dict[str, dict[str, float]]
+    keys: list[tuple[int, ...]]
+    trees: list[tuple[Tree, np.ndarray, np.ndarray]]  # splits, places of the keys, (key, leaf pattern, output) with the learning rate
+
+    matrix = Model.matrix
+
+    def effects(self, x: np.ndarray) -> dict[tuple[int, ...], np.ndarray]:
+        outputs = self.trees[0][2].shape[2] if self.trees else 1
+        total = np.zeros((len(self.keys), len(x), outputs))
+        for t, places, tables in self.trees:
+            total[places] += tables[:, leaves(t, x)]
+        return dict(zip(self.keys, total, strict=True))
+
+
+def compiled(model: Model) -> Compiled:
+    found = [(t, tree_effects(t)) for t in model.trees]
+    keys = sorted({k for _, tables in found for k in tables})
+    place = {k: i for i, k in enumerate(keys)}
+    bare = lambda t: Tree(t.features, t.thresholds, t.equal, [], [])
+    trees = [(bare(t), np.array([place[k] for k in tables], np.int64), model.learning_rate * np.stack(list(tables.values()))) for t, tables in found if tables]
+    return Compiled(model.names, model.encodings, keys, trees)
+
+
 def effects(model: Model, x: np.ndarray) -> dict[tuple[int, ...], np.ndarray]:
     """(rows, outputs) of every effect that any tree has; all of them and the expectation add up to the raw score."""
-    total: dict[tuple[int, ...], np.ndarray] = {}
-    for t in model.trees:
-        leaf = leaves(t, x)
-        for key, table in tree_effects(t).items():
-            part = model.learning_rate * table[leaf]
-            total[key] = total[key] + part if key in total else part
-    return total
+    return compiled(model).effects(x)
 
 
 def expectation(model: Model) -> np.ndarray:
@@ -357,27 +420,38 @@ def score_of(name: str, y: np.ndarray, p: np.ndarray) -> float:
     raise ValueError(f"unknown score {name!r}")
 
 
-#: Bytes of rows or models that are sent to every task; what is larger is dealt out by key.
+#: Bytes of rows or models that are sent to every task; more rows are fitted by histograms, more models are sent block by block.
 MOST_SENT = 64 << 20
 
 
-def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None, own_trial: bool = False, scoring: str | None = None, most_sent: int = MOST_SENT, per_copy: int = 32) -> DataFrame:
+def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[str], targets: list[str], params: Params, trials: list[dict] | None = None, own_trial: bool = False, scoring: str | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """(fold, trial, score, best_iteration, model): a model per fold and trial, or of each fold with the trial of its number.
 
-    A fold's model is fitted on the rows of the other folds.  Each fit is one task, so a fit's rows must fit in a
-    worker.  Rows of at most ``most_sent`` bytes are sent out once and only tasks are dealt; more rows are copied
-    once for each fold and ``per_copy`` trials, which one task fits one after the other.  score is that named by scoring, of predictions for the fold itself, else the negated loss.
+    A fold's model is fitted on the rows of the other folds.  score is that named by scoring, of predictions for the
+    fold itself, else the negated loss.  Rows of at most ``most_sent`` bytes are sent out once, and each fit is a task of its own;
+    more rows stay where they lie, and all folds' trees are grown side by side from aggregated histograms, trial by trial.
+    Fits run once, here; what is returned is a table.
     """
+    from effectlens.operators import histograms
+
     spark = rows.sparkSession
     trials = trials or [{}]
-    folds = rows.select(F.col(fold).alias("_fit")).distinct()
-    tasks = folds.crossJoin(spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trials)], "trial int, overrides string"))
-    if own_trial:
-        tasks = tasks.filter(F.col("_fit") == F.col("trial"))
-
-    def fitted(pdf: pd.DataFrame, k: int, trial: int, overrides: str) -> dict:
-        p = Params(**asdict(params) | json.loads(overrides) | {"seed": params.seed + k})
-        pdf = pdf.sort_values(names + targets, kind="stable")
+    folds = sorted(int(r[0]) for r in rows.select(fold).distinct().collect())
+    of = lambda k, i: Params(**asdict(params) | trials[i] | {"seed": params.seed + k})
+    used = rows.select(fold, *names, *targets)
+    size = used.agg(F.sum(sum((F.octet_length(c) + 16 if t == "string" else F.lit(8) for c, t in used.dtypes), F.lit(0)))).first()[0] or 0
+    if size > most_sent:
+        dealt = [{k: of(k, k) for k in folds if k < len(trials)}] if own_trial else [{k: of(k, i) for k in folds} for i in range(len(trials))]
+        found = [(k, k if own_trial else i, score, m) for i, each in enumerate(dealt) for k, score, m in histograms.fit_by_histograms(used, fold, names, categorical, targets, each, scoring)]
+        return stored(histograms.as_table(spark, found), "fits")
+    tasks = [(k, i) for i in range(len(trials)) for k in folds if not own_trial or i == k]
+    if not tasks:
+        return spark.createDataFrame([], FITS)
+    table = spark.sparkContext.broadcast(used.toPandas())
+
+    def fitted(k: int, trial: int) -> dict:
+        p = of(k, trial)
+        pdf = table.value.sort_values(names + targets, kind="stable")
         inside, outside = pdf[pdf[fold] != k], pdf[pdf[fold] == k]
         m = fit(inside, inside[targets].to_numpy(float), names, categorical, p, (outside, outside[targets].to_numpy(float)) if p.early_stopping_rounds else None)
         x = m.matrix(outside.assign(**{c: outside[c].astype(str) for c in categorical}))
@@ -385,27 +459,17 @@ def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[st
         score = score_of(scoring, y, m.predict(x)) if scoring else -loss_value(p.loss, y, m.raw(x), p.delta)
         return {"fold": k, "trial": trial, "score": score, "best_iteration": m.best_iteration, "model": m.to_json()}
 
-    schema = "fold int, trial int, score double, best_iteration int, model string"
-    used = rows.select(fold, *names, *targets)
-    size = used.agg(F.sum(sum((F.octet_length(c) + 16 if t == "string" else F.lit(8) for c, t in used.dtypes), F.lit(0)))).first()[0] or 0
-    if size <= most_sent:
-        table = spark.sparkContext.broadcast(used.toPandas())
-
-        def of_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for t in pdf.itertuples(index=False):
-                    yield pd.DataFrame([fitted(table.value, int(t.fit), int(t.trial), t.overrides)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                yield pd.DataFrame([fitted(int(t.fold), int(t.trial))])
 
-        listed = tasks.select(F.col("_fit").alias("fit"), "trial", "overrides")
-        return listed.repartition(max(1, listed.count()), "fit", "trial").mapInPandas(of_tasks, schema)
+    numbered = spark.createDataFrame([(n, k, i) for n, (k, i) in enumerate(tasks)], "n int, fold int, trial int")
+    # By range of their number every fit has a partition of its own; by hash some would share one.
+    return stored(numbered.repartitionByRange(len(tasks), "n").mapInPandas(run, FITS), "fits")
 
-    def of_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k, part = map(int, key)
-        own = [i for i in range(part * per_copy, min(len(trials), (part + 1) * per_copy)) if not own_trial or i == k]
-        return pd.DataFrame([fitted(pdf, k, i, json.dumps(trials[i])) for i in own])
 
-    parts = tasks.select("_fit", F.floor(F.col("trial") / per_copy).cast("int").alias("_part")).distinct()
-    return used.crossJoin(F.broadcast(parts)).groupBy("_fit", "_part").applyInPandas(of_part, schema)  # parts: a row per fold and per_copy trials
+FITS = "fold int, trial int, score double, best_iteration int, model string"
 
 
 def best_trials(fits: DataFrame) -> DataFrame:
@@ -415,73 +479,144 @@ def best_trials(fits: DataFrame) -> DataFrame:
     return mean.groupBy("fold").agg(best.alias("b")).select("fold", "b.trial", "b.score")
 
 
-def sent_models(models: DataFrame, most_sent: int):
-    """The models of all folds, broadcast as text, or None if they are over most_sent bytes."""
-    if (models.agg(F.sum(F.octet_length("model"))).first()[0] or 0) > most_sent:
-        return None
-    return models.sparkSession.sparkContext.broadcast({r.fold: r.model for r in models.select("fold", "model").collect()})
+def tree_blocks(models: DataFrame, most_sent: int) -> list[list[int]]:
+    """Numbers of the parts of ``split_models`` in blocks of at most most_sent bytes (or of one larger part)."""
+    blocks, size = [[]], 0
+    for r in models.select("part", "bytes").orderBy("part").collect():  # a row per part
+        if blocks[-1] and size + r["bytes"] > most_sent:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(r.part)
+        size += r["bytes"]
+    return blocks
 
 
-def by_model(sent, fold: str, of_batch, every: bool = False):
-    """A function of batches: of_batch(model, fold, rows) for the rows of each model's fold, or for all rows and every model."""
+def split_models(models: DataFrame, make: Callable[[Model], object], most_sent: int, per_tree: Callable[[Model], int]) -> DataFrame:
+    """(part, fold, first, bytes, body): models as a table of runs of trees, each pickled as ``make`` makes it of a model of these trees.
+
+    Parts are numbered by fold and place; per_tree estimates a tree's bytes, and a part has as many trees as an eighth of most_sent allows.
+    The first part of a fold has the model's base, the others none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = {k: Model.from_json(text) for k, text in sorted(sent.value.items())}
         for pdf in batches:
-            for k, m in own.items():
-                part = pdf if every else pdf[pdf[fold] == k]
-                if len(part):
-                    yield of_batch(m, k, part)
+            for r in pdf.itertuples(index=False):
+                m = Model.from_json(r.model)
+                many = max(1, most_sent // 8 // max(1, per_tree(m)))
+                for at in range(0, max(1, len(m.trees)), many):
+                    body = pickle.dumps(make(replace(m, trees=m.trees[at : at + many], base=m.base if at == 0 else [0.0] * len(m.base))))
+                    yield pd.DataFrame({"part": [(int(r.fold) << 32) + at], "fold": [int(r.fold)], "first": [at == 0], "bytes": [len(body)], "body": [body]})
 
-    return run
+    spread = models.select("fold", "model").repartitionByRange(max(1, models.count()), "fold")
+    return stored(spread.mapInPandas(run, "part long, fold int, first boolean, bytes long, body binary"), "model-parts")
 
 
-def predict_folds(rows: DataFrame, models: DataFrame, fold: str, key: str, categorical: list[str], every: bool = False, most_sent: int = MOST_SENT) -> DataFrame:
-    """(key, fold, pred): of each row by the model that hasn't seen it, or by every model."""
-    kind = dict(rows.dtypes)[key]
-    schema = f"{key} {kind}, fold int, pred array<double>"
+def send(parts: DataFrame, block: list[int]):
+    """The bodies of a block, broadcast by fold in order."""
+    bodies: dict[int, list[bytes]] = {}
+    for r in parts.filter(F.col("part").between(block[0], block[-1])).orderBy("part").collect() if block else []:  # at most a block's bytes
+        bodies.setdefault(r.fold, []).append(bytes(r.body))
+    return parts.sparkSession.sparkContext.broadcast(bodies)
+
+
+def opened(sent) -> dict[int, list]:
+    return {k: [pickle.loads(b) for b in bodies] for k, bodies in sorted(sent.value.items())}
+
+
+def leaf_bytes(m: Model) -> int:
+    return max((100 + 60 * len(t.features) + 40 * len(t.covers) * len(m.base) for t in m.trees), default=100)
 
-    def of_batch(m: Model, k: int, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = m.matrix(pdf.assign(**{c: pdf[c].astype(str) for c in categorical}))
-        return pd.DataFrame({key: pdf[key].to_numpy(), "fold": k, "pred": list(m.predict(x))})
 
-    if (sent := sent_models(models, most_sent)) is not None:
-        return rows.mapInPandas(by_model(sent, fold, of_batch, every), schema)
-    left = rows.crossJoin(F.broadcast(models.select(F.col("fold").alias("_fit")).distinct())) if every else rows.withColumn("_fit", F.col(fold))
+def table_bytes(m: Model) -> int:
+    deepest = max((len(t.features) for t in m.trees), default=1)
+    return 200 + 8 * (1 << deepest) * len(m.base) * (deepest * (deepest + 1) // 2 + 1)
 
-    def one(k, pdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(mdf):
-            return pd.DataFrame({key: [], "fold": [], "pred": []})
-        return of_batch(Model.from_json(mdf["model"].iloc[0]), int(k[0]), pdf)
 
-    right = models.select(F.col("fold").alias("_fit"), "model")
-    return left.groupBy("_fit").cogroup(right.groupBy("_fit")).applyInPandas(one, schema)
+def predict_folds(rows: DataFrame, models: DataFrame, fold: str, key: str, categorical: list[str], every: bool = False, most_sent: int = MOST_SENT) -> DataFrame:
+    """(key, fold, pred): of each row by the model that hasn't seen it, or by every model.
+
+    Rows stay where they lie: trees are sent to them in blocks of at most ``most_sent`` bytes.  One block is one pass; with more, each pass
+    adds its trees' part to the raw scores and writes them down, so that a worker holds one block at a time.
+    """
+    parts = split_models(models, lambda m: m, most_sent, leaf_bytes)
+    blocks = tree_blocks(parts, most_sent)
+    loss = {r.fold: r.loss for r in models.select("fold", F.get_json_object("model", "$.loss").alias("loss")).collect()}
+    kind = dict(rows.dtypes)[key]
+    names = [c for c in rows.columns if c not in (key, fold)]
+
+    def summed(sent, last: bool, carried: bool) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = opened(sent)
+            for pdf in batches:
+                if not carried:
+                    pdf = pd.concat([pdf.assign(_fold=k) for k in loss]) if every else pdf.assign(_fold=pdf[fold])
+                    pdf["_raw"] = None
+                for k, part in pdf.groupby("_fold", sort=True):
+                    if int(k) not in loss:
+                        continue
+                    raw = None if not carried else np.stack(part["_raw"].to_list())
+                    ready = part.assign(**{c: part[c].astype(str) for c in categorical}) if int(k) in own else None
+                    for m in own.get(int(k), []):
+                        more = m.raw(m.matrix(ready))
+                        raw = more if raw is None else raw + more
+                    if raw is None:  # no tree of this fold so far
+                        raw = np.zeros((len(part), 1))
+                    if last:
+                        yield pd.DataFrame({key: part[key].to_numpy(), "fold": int(k), "pred": list(shown(loss[int(k)], raw))})
+                    else:
+                        yield part.assign(_raw=list(raw))
+
+        return run
+
+    now, carried = rows, False
+    schema = f"{key} {kind}, fold int, pred array<double>"
+    for n, block in enumerate(blocks):
+        last, sent = n + 1 == len(blocks), send(parts, block)
+        if last:
+            return now.mapInPandas(summed(sent, True, carried), schema)
+        between = ", ".join(f"`{c}` {t}" for c, t in rows.select(key, fold, *names).dtypes)
+        shaped = f"{between}, _fold int, _raw array<double>"
+        step = summed(sent, False, carried)
+        order = [key, fold, *names, "_fold", "_raw"]
+        now = stored(now.mapInPandas(lambda batches, step=step: (out[order] for out in step(batches)), shaped), "raw-scores")
+        carried = True
+    return rows.sparkSession.createDataFrame([], schema)
 
 
 def effects_by_fold(rows: DataFrame, models: DataFrame, fold: str, key: str, categorical: list[str], most_sent: int = MOST_SENT) -> DataFrame:
-    """(row, fold, slice, eff, i, j, phi) of every row by its fold's model, of effects that aren't 0 in all of the fold's rows."""
+    """(row, fold, slice, eff, i, j, phi) of every row by its fold's model, of effects that aren't 0 in all of the fold's rows.
+
+    The tables of all trees' effects are made once, model by model, and sent to the rows in blocks of at most ``most_sent`` bytes; with several, their parts are added up.
+    """
     kind = dict(rows.dtypes)[key]
     columns = ["row", "fold", "slice", "eff", "i", "j", "phi"]
     schema = f"row {kind}, fold int, slice int, eff string, i string, j string, phi double"
+    parts = split_models(models, compiled, most_sent, table_bytes)
+    blocks = tree_blocks(parts, most_sent)
 
-    def of_batch(m: Model, k: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_batch(m: Compiled, k: int, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         x = m.matrix(pdf.assign(**{c: pdf[c].astype(str) for c in categorical}))
-        parts = []
-        for eff, phi in effects(m, x).items():
+        for eff, phi in m.effects(x).items():
             i, j = m.names[eff[0]], m.names[eff[1]] if len(eff) > 1 else None
             for s in range(phi.shape[1]):
-                parts.append(pd.DataFrame({"row": pdf[key].to_numpy(), "fold": k, "slice": s, "eff": i if j is None else f"{i} x {j}", "i": i, "j": j, "phi": phi[:, s]}))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
-
-    if (sent := sent_models(models, most_sent)) is not None:
-        found = rows.mapInPandas(by_model(sent, fold, of_batch), schema)
-    else:
-
-        def one(k, pdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
-            return of_batch(Model.from_json(mdf["model"].iloc[0]), int(k[0]), pdf) if len(pdf) and len(mdf) else pd.DataFrame({c: [] for c in columns})
+                yield pd.DataFrame({"row": pdf[key].to_numpy(), "fold": k, "slice": s, "eff": i if j is None else f"{i} x {j}", "i": i, "j": j, "phi": phi[:, s]})
 
-        right = models.select(F.col("fold").alias("_fit"), "model")
-        found = rows.withColumn("_fit", F.col(fold)).groupBy("_fit").cogroup(right.groupBy("_fit")).applyInPandas(one, schema)
+    def found_by(sent) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = opened(sent)
+            for pdf in batches:
+                made = [x for k, ms in own.items() if len(part := pdf[pdf[fold] == k]) for m in ms for x in of_batch(m, k, part)]
+                if made:
+                    yield pd.concat(made)
+
+        return run
+
+    found, several = None, len(blocks) > 1
+    for block in blocks:
+        one = rows.mapInPandas(found_by(send(parts, block)), schema)
+        found = one if found is None else found.unionByName(one)
+    if several or parts.groupBy("fold").count().filter("count > 1").take(1):
+        found = found.groupBy(*columns[:-1]).agg(F.sum("phi").alias("phi"))
     found = stored(found, "attributions")
     alive = found.groupBy("fold", "slice", "eff").agg(F.max(F.abs("phi")).alias("most")).filter("most > 0").drop("most")
     return found.join(alive, ["fold", "slice", "eff"], "left_semi").select(*columns)
