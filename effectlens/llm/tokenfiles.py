@@ -46,7 +46,7 @@ class Layout:
     page_rows: int = 2_000
     dictionary_bytes: int = 2 << 20
     check_rows: int = 16  # rows after which sizes are looked at: documents can be long
-    compression: str = "zstd"
+    compression: str = "snappy"  # bits of dictionary codes hardly compress further
 
     def options(self) -> dict[str, str]:
         """What Spark's Parquet writer is told; version 2 pages are those with delta encodings."""
@@ -87,18 +87,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What the tokenizer has seen stays for the worker's next task: partitions are small, and what is kept has a bound.
         bpe, before = tokenizer(tokenizer_path), 0
-        try:
-            for batch in batches:
-                for at, to in slices(batch.column(2), BATCH_BYTES):
-                    ids, counts = bpe.encode(batch.column(2).slice(at, to - at).to_pylist())
-                    flat, offsets = ended(ids, counts, end_id)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                    columns = [*(batch.column(k).slice(at, to - at) for k in (0, 1)), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), lists]
-                    yield pa.RecordBatch.from_arrays(columns, ["part", "id", "before", "n_tokens", "ids"])
-                    before += int(offsets[-1])
-        finally:
-            bpe.forget()
+        for batch in batches:
+            for at, to in slices(batch.column(2), BATCH_BYTES):
+                ids, counts = bpe.encode(batch.column(2).slice(at, to - at).to_pylist())
+                flat, offsets = ended(ids, counts, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                columns = [*(batch.column(k).slice(at, to - at) for k in (0, 1)), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "id", "before", "n_tokens", "ids"])
+                before += int(offsets[-1])
 
     kind = schema(docs.schema[id_col].dataType)
     dealt.mapInArrow(run, kind).write.options(**(layout or Layout()).options()).parquet(f"{path}/tokens")
