@@ -1,8 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 Labelled text of each language becomes a suffix automaton.  A document is parsed greedily into the
-longest phrases that occur in that text; the language that needs the fewest phrases for the
-document wins.
+longest phrases that occur in that text.  Phrases are shorter, and more of them are needed, where less text was learned or where a
+language is richer, so counts are normalised: they are divided by a rate of the language times the text's symbols.  Rates are
+such that between two languages the decision falls midway, in logarithms, between what unseen text of the one and of the other needs;
+of all pairs' conditions they are the least-squares solution, in which languages close to each other weigh most.
+The language that needs the fewest normalised phrases wins.
 
 Symbols are the UTF-8 bytes of lower-cased letters, so that no letter of any script is merged with
 another; every run of other characters counts as one space.  Documents are cut into segments of
@@ -14,8 +17,12 @@ Fitting takes whole labelled texts, at most ``docs_per_lang`` (expected) of at m
 ``max_doc_chars`` characters from each language and at most ``train_chars`` symbols in all of each:
 the only bounds, and they hold for fitting alone.  A language of which all texts are longer learns from
 their first ``max_doc_chars`` characters.  What is chosen beyond ``train_chars`` tells how many phrases
-unseen text of the language needs; a text that needs many more is ``foreign``.  Prediction covers every
-symbol of every text.  Automata are sent out for ``SHARD`` languages at a time, one pass for each.
+unseen text of the language needs; a text that needs many more is ``foreign``.  Where all that is chosen is learned, halves of it
+parse each other, and the rate is scaled by the logarithm of the length, as phrases are.  Prediction covers every
+symbol of every text.
+
+Automata are kept and sent out as lists of transitions, about 12 bytes for each of at most three per symbol learned, and laid out as tables only in a
+task: ``SHARD_BYTES`` of tables at a time, one pass over the documents for each.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0, and so does every text if
 no labelled row exists.  Ties go to the language that sorts first.  Rows are independent; repeated
@@ -28,7 +35,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +45,9 @@ from pyspark.sql import functions as F
 from effectlens.llm.shared import frugal, slices, small_batches, stored
 
 SEGMENT = 256
-SHARD = 64
+SHARD_BYTES = 128 << 20  # of tables that a task holds
 BATCH_BYTES = 1_500_000
+PROBE = 4_000  # symbols of a language that the others' automata parse
 SLACK = 6  # phrases that a text may need beyond its language's rate
 UNKNOWN = "und"
 NEW_PHRASE = 1 << 30
@@ -69,8 +77,27 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return table[raw], total[ends] - total[starts]
 
 
-def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings, a row for each state; -1: none."""
+@dataclass
+class Automaton:
+    """The automaton of all substrings of a text, by its transitions (from, symbol, to); state 0 is the first."""
+
+    states: int
+    rows: np.ndarray
+    symbols: np.ndarray
+    to: np.ndarray
+
+    def table(self, width: int) -> np.ndarray:
+        """Next state's offset for (state, symbol), NEW_PHRASE added where a phrase ends; the last symbol leaves all as it is."""
+        trans = np.full((self.states, width), -1, np.int32)
+        trans[self.rows, self.symbols] = self.to
+        root = np.where(trans[0] >= 0, trans[0], 0) * width + NEW_PHRASE
+        step = np.where(trans >= 0, trans * width, root)
+        step[0] = root  # the first state stands between phrases
+        step[:, -1] = np.arange(self.states) * width
+        return step.astype(np.int32).ravel()
+
+
+def suffix_automaton(text: list[int]) -> Automaton:
     trans: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in text:
@@ -96,24 +123,40 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.full((len(trans), width), -1, np.int32)
-    for s, row in enumerate(trans):
-        if row:
-            out[s, list(row)] = list(row.values())
-    return out
+    many = np.array([len(row) for row in trans])
+    flat = lambda some: np.fromiter(some, np.int32, int(many.sum()))
+    return Automaton(len(trans), np.repeat(np.arange(len(trans), dtype=np.int32), many), flat(c for row in trans for c in row), flat(to for row in trans for to in row.values()))
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
     table: np.ndarray  # symbol of each byte
-    steps: list[np.ndarray]  # of each language: next row's offset for (row, symbol), NEW_PHRASE added where a phrase ends
+    automata: list[Automaton]
     width: int
+    rate: list[float]  # of each language: phrases per symbol that counts are held against
     limit: list[float]  # of each language: phrases per symbol that its own unseen text stays under
 
-    def shard(self, k: int) -> LanguageModel:
-        at = slice(k * SHARD, (k + 1) * SHARD)
-        return LanguageModel(self.langs[at], self.table, self.steps[at], self.width, self.limit[at])
+    def shards(self, most: int) -> list[LanguageModel]:
+        """The languages in pieces whose tables have at most so many bytes, or of one language."""
+        pieces, size = [[]], 0
+        for k, a in enumerate(self.automata):
+            own = 4 * a.states * self.width
+            if pieces[-1] and size + own > most:
+                pieces.append([])
+                size = 0
+            pieces[-1].append(k)
+            size += own
+        part = lambda listed, ks: [listed[k] for k in ks]
+        return [LanguageModel(part(self.langs, ks), self.table, part(self.automata, ks), self.width, part(self.rate, ks), part(self.limit, ks)) for ks in pieces]
+
+    @cached_property
+    def steps(self) -> list[np.ndarray]:
+        return [a.table(self.width) for a in self.automata]
+
+    def close(self) -> None:
+        """Drop the tables: a worker that lives on holds only the automata."""
+        self.__dict__.pop("steps", None)
 
     def phrases(self, sym: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(texts, languages): phrases that each text needs."""
@@ -160,12 +203,22 @@ class LanguageModel:
         spoken = np.add.reduceat(np.r_[sym > 0, False].astype(np.int64), np.minimum(np.cumsum(counts) - counts, len(sym))) * (counts > 0) > 0
         n = np.where(spoken, counts, 0)
         if not self.langs or not len(sym):
-            return {"n": n, "best": np.zeros(len(n), np.int64), "least": n, "next": n, "foreign": np.zeros(len(n), bool)}
+            return {"n": n, "best": np.zeros(len(n), np.int64), "need": n, "least": n.astype(float), "next": n.astype(float), "foreign": np.zeros(len(n), bool)}
         need = self.phrases(sym, counts)
-        best = need.argmin(1)
-        ordered = np.sort(need, 1)
-        following = ordered[:, 1] if len(self.langs) > 1 else np.maximum(counts, ordered[:, 0])
-        return {"n": n, "best": best, "least": ordered[:, 0], "next": following, "foreign": ordered[:, 0] > np.array(self.limit)[best] * counts + SLACK}
+        usual = 1 + np.array(self.rate)[None] * counts[:, None]
+        share = need / usual
+        best = share.argmin(1)
+        own = np.arange(len(n)), best
+        ordered = np.sort(share, 1)
+        following = ordered[:, 1] if len(self.langs) > 1 else np.maximum(counts / usual[:, 0], ordered[:, 0])
+        return {"n": n, "best": best, "need": need[own], "least": ordered[:, 0], "next": following, "foreign": need[own] > np.array(self.limit)[best] * counts + SLACK}
+
+
+def rate_of(automaton: Automaton, width: int, sym: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
+    """Phrases per symbol that texts need beyond their first phrase: in all, and each."""
+    own = LanguageModel([""], np.empty(0), [automaton], width, [0.0], [0.0])
+    need = own.phrases(sym, counts)[:, 0]
+    return float(np.maximum(need - 1, 0).sum() / max(1, counts.sum())), np.maximum(need - SLACK, 0) / np.maximum(counts, 1)
 
 
 def build(samples: dict[str, list[str]], train_chars: int, margin: float = 2.25, unknown: float = 0.55) -> LanguageModel:
@@ -180,24 +233,45 @@ def build(samples: dict[str, list[str]], train_chars: int, margin: float = 2.25,
     table = np.full(256, width - 2, np.int32)
     table[alphabet] = np.arange(1, len(alphabet) + 1)
     table[32] = 0
-    steps, limit = [], []
+    automata, rates, limit, probes = [], [], [], []
     for lang in langs:
         sym, counts = symbols(samples[lang], table)
-        trans = suffix_automaton(sym[:train_chars].tolist(), width)
-        root = np.where(trans[0] >= 0, trans[0], 0)
-        step = np.where(trans >= 0, trans * width, root * width + NEW_PHRASE)
-        step[0] = root * width + NEW_PHRASE  # the first state stands between phrases
-        step[:, -1] = np.arange(len(trans)) * width
-        steps.append(step.astype(np.int32).ravel())
-        own = LanguageModel([lang], table, steps[-1:], width, [])
+        learned = sym[:train_chars].tolist()
+        automata.append(suffix_automaton(learned))
         unseen = np.cumsum(counts) - counts >= train_chars
         if unseen.any():
-            rest = sym[int(counts[~unseen].sum()) :]
-            rate = np.maximum(own.phrases(rest, counts[unseen])[:, 0] - SLACK, 0) / np.maximum(counts[unseen], 1)
-            limit.append(float(min(unknown, margin * np.quantile(rate, 0.95))))
+            rate, each = rate_of(automata[-1], width, sym[int(counts[~unseen].sum()) :], counts[unseen])
+            limit.append(float(min(unknown, margin * np.quantile(each, 0.95))))
         else:
+            half = len(learned) // 2
+            parts = (learned[:half], learned[half:])
+            halves = [rate_of(suffix_automaton(a), width, np.array(b, np.int64), np.array([len(b)]))[0] for a, b in (parts, parts[::-1]) if a and b]
+            rate = np.mean(halves) * np.log(max(2, half)) / np.log(max(2, len(learned))) if halves else 1.0
             limit.append(unknown)
-    return LanguageModel(langs, table, steps, width, limit)
+        rates.append(float(max(rate, 1 / 256)))
+        probes.append(sym[:PROBE])
+    return LanguageModel(langs, table, automata, width, balanced(automata, width, rates, probes), limit)
+
+
+def balanced(automata: list[Automaton], width: int, own: list[float], probes: list[np.ndarray]) -> list[float]:
+    """The rates that counts are held against, from those of unseen text of each language itself and some text of all others."""
+    n = len(own)
+    if n < 2:
+        return own
+    sym, counts = np.concatenate(probes), np.array([len(p) for p in probes])
+    logs = np.empty((n, n))  # of the parse by one language's automaton (row) of another one's text
+    for j, a in enumerate(automata):
+        need = LanguageModel([""], np.empty(0), [a], width, [0.0], [0.0]).phrases(sym, counts)[:, 0]
+        logs[j] = np.log(np.maximum(need - 1, 1) / np.maximum(counts, 1))
+        logs[j, j] = np.log(own[j])
+    j, k = np.triu_indices(n, 1)
+    on_first, on_second = logs[j, j] - logs[k, j], logs[j, k] - logs[k, k]
+    weight = 1 / np.maximum((on_second - on_first) / 2, 0.02)
+    rows = np.zeros((len(j) + 1, n))
+    rows[np.arange(len(j)), j], rows[np.arange(len(j)), k] = weight, -weight
+    rows[-1] = 1 / n
+    goal = np.r_[weight * (on_first + on_second) / 2, np.diag(logs).mean()]
+    return np.exp(np.linalg.lstsq(rows, goal, rcond=None)[0]).round(9).tolist()  # equal languages tie
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", docs_per_lang: int = 60, max_doc_chars: int = 8_000, train_chars: int = 30_000) -> LanguageModel:
@@ -225,38 +299,41 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("t"))
     names = out.columns
     kinds = ", ".join(f"{n} {t}" for n, t in out.dtypes)
-    found = "n long, lang string, least long, next long, foreign boolean"
-    shards = max(1, -(-len(model.langs) // SHARD))
-    for k in range(shards):
-        shared = spark.sparkContext.broadcast(model.shard(k))  # bounded: SHARD automata of train_chars symbols
+    found = "n long, lang string, need long, least double, next double, foreign boolean"
+    states = ["n", "lang", "need", "least", "next", "foreign"]
+    shards = model.shards(SHARD_BYTES)
+    for k, part_of_model in enumerate(shards):
+        shared = spark.sparkContext.broadcast(part_of_model)  # transitions: a fraction of SHARD_BYTES
 
         @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = not k) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for batch in batches:
-                for at, end in slices(batch.column(len(carry)), BATCH_BYTES):
-                    part = batch.slice(at, end - at)
-                    got = own.predict(part.column(len(carry)).to_pylist())
-                    lang = np.array(own.langs or [UNKNOWN], object)[got["best"]]
-                    if not first:
-                        old = {c: part.column(len(names) + i).to_numpy(zero_copy_only=False) for i, c in enumerate(("n", "lang", "least", "next", "foreign"))}
-                        won = got["least"] < old["least"]
-                        lang, foreign = np.where(won, lang, old["lang"]), np.where(won, got["foreign"], old["foreign"])
-                        following = np.where(won, np.minimum(got["next"], old["least"]), np.minimum(old["next"], got["least"]))
-                        got |= {"least": np.minimum(got["least"], old["least"]), "next": following, "foreign": foreign}
-                    columns = [pa.array(got["n"], pa.int64()), pa.array(lang, pa.string()), *[pa.array(got[c], pa.int64()) for c in ("least", "next")], pa.array(got["foreign"].astype(bool))]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], [*names, "n", "lang", "least", "next", "foreign"])
+            try:
+                for batch in batches:
+                    for at, end in slices(batch.column(len(carry)), BATCH_BYTES):
+                        part = batch.slice(at, end - at)
+                        got = own.predict(part.column(len(carry)).to_pylist())
+                        got["lang"] = np.array(own.langs or [UNKNOWN], object)[got["best"]]
+                        if not first:
+                            old = {c: part.column(len(names) + i).to_numpy(zero_copy_only=False) for i, c in enumerate(states)}
+                            won = got["least"] < old["least"]
+                            following = np.where(won, np.minimum(got["next"], old["least"]), np.minimum(old["next"], got["least"]))
+                            got = {c: np.where(won, got[c], old[c]) for c in states} | {"n": got["n"], "next": following}
+                        kinds_of = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+                        yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(got[c], t) for c, t in zip(states, kinds_of, strict=True))], [*names, *states])
+            finally:
+                own.close()
 
         out = out.mapInArrow(run, f"{kinds}, {found}")
-        if shards > 1:  # one shard's automata at a time
+        if len(shards) > 1:  # one shard's automata at a time
             out = stored(out, "languages")
             shared.unpersist()
     some = (F.col("n") > 0) & F.lit(bool(model.langs))
     return out.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
         F.when(some, F.col("lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(some, 1 - F.col("least") / F.greatest("next", F.lit(1))).otherwise(0.0).alias("score"),
-        F.when(some, F.col("least") / F.col("n")).alias("phrase_rate"),
+        F.when(some, F.coalesce(1 - F.try_divide(F.col("least"), F.col("next")), F.lit(0.0))).otherwise(0.0).alias("score"),
+        F.when(some, F.col("need") / F.col("n")).alias("phrase_rate"),
         (some & F.col("foreign")).alias("foreign"),
     )
 

@@ -70,7 +70,8 @@ def test_more_languages_than_a_shard(spark, model, monkeypatch):
     m = langid.build(samples, 500)
     df = spark.createDataFrame([(i, s[0][40:200]) for i, s in enumerate(samples.values())] + [(8, None), (9, "")], "doc_id int, text string")
     whole = sorted(map(str, langid.identify(df, m).collect()))
-    monkeypatch.setattr(langid, "SHARD", 3)
+    monkeypatch.setattr(langid, "SHARD_BYTES", 3 * 4 * m.automata[0].states * m.width)
+    assert 1 < len(m.shards(langid.SHARD_BYTES)) < 7
     assert sorted(map(str, langid.identify(df, m).collect())) == whole
 
 
@@ -91,7 +92,7 @@ def test_a_language_of_long_texts_only_is_learned(spark):
 
 
 def test_a_text_does_not_borrow_from_its_neighbours(model):
-    least = lambda texts: model.predict(texts)["least"].tolist()
+    least = lambda texts: model.predict(texts)["need"].tolist()
     assert least(["  the fox ", "der hund"]) == [least([t])[0] for t in ("  the fox ", "der hund")]
 
 
@@ -107,6 +108,58 @@ def test_language_of_held_out_rows(spark):
     assert got.filter("lang = lang_pred").count() >= 0.9 * got.count()
 
 
+def related(rng, n):
+    """Two vocabularies, the second made of the first by changing some letters."""
+    first = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(n)]
+    change = str.maketrans("aeikp", "oeyqb")
+    return first, [w.translate(change) if rng.random() < 0.7 else w for w in first]
+
+
+@pytest.mark.parametrize("words", [(6000, 300), (300, 6000), (6000, 6000), (300, 300), (2000, 100)])
+def test_languages_of_uneven_training_text(words):
+    rng = np.random.default_rng(12)
+    write = lambda vocabulary, n: " ".join(rng.choice(vocabulary, n))
+    aa, bb = related(rng, 400)
+    m = langid.build({"aa": [write(aa, 100) for _ in range(words[0] // 100)], "bb": [write(bb, 100) for _ in range(words[1] // 100)]}, 30_000)
+    texts = [write(v, 40) for v in (aa, bb) for _ in range(100)]
+    got = m.predict(texts)["best"]
+    assert (got[:100] == 0).sum() >= 97 and (got[100:] == 1).sum() >= 97
+
+
+def test_many_languages_are_kept_as_transitions():
+    rng = np.random.default_rng(13)
+    text = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 30_000))
+    m = langid.build({"xx": [text()]}, 30_000)
+    a = m.automata[0]
+    assert 100 * sum(x.nbytes for x in (a.rows, a.symbols, a.to)) < 256 << 20
+    many = langid.LanguageModel([f"l{k}" for k in range(100)], m.table, m.automata * 100, m.width, m.rate * 100, m.limit * 100)
+    shards = many.shards(langid.SHARD_BYTES)
+    assert sum(len(s.langs) for s in shards) == 100 and all(sum(4 * a.states * s.width for a in s.automata) <= langid.SHARD_BYTES for s in shards)
+
+
+def test_the_query_equals_plain_parses(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False))
+    m = langid.fit(docs.filter(~held_out))
+    got = {r.doc_id: r for r in op10_language_id(spark, SF).collect()}
+    for r in docs.filter(F.length("text") < 400).limit(40).collect():
+        sym, counts = langid.symbols([r.text or ""], m.table)
+        if not (sym > 0).any():
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        share = []
+        for a, rate in zip(m.automata, m.rate, strict=True):
+            go = dict(zip(zip(a.rows.tolist(), a.symbols.tolist(), strict=True), a.to.tolist(), strict=True))
+            state, need = 0, 0
+            for c in sym.tolist():
+                if state == 0 or (state, c) not in go:
+                    need, state = need + 1, go.get((0, c), 0)
+                else:
+                    state = go[state, c]
+            share.append(need / (1 + rate * int(counts[0])))
+        assert got[r.doc_id].lang_pred == m.langs[int(np.argmin(share))]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     x, pieces, y = rng.normal(size=(9, mil.FEATURES)), np.array([2, 3, 4]), np.array([1.0, 0, 1])
