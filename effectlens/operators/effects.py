@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from effectlens.operators.scans import least_from, scan
 from effectlens.sources.scratch import stored
 
 
@@ -113,12 +114,13 @@ def exceedance(value: str, n_boot: int) -> Column:
     return (F.sum(F.when(F.col(value) <= F.col(f"noise_{value}"), 1).otherwise(0)) + 1) / F.lit(n_boot + 1)
 
 
-def bh(df: DataFrame, p: str, q: str, tie: str) -> DataFrame:
-    """df with the Benjamini-Hochberg q of p.  One row per effect only: the windows have no key."""
-    m = F.count("*").over(W.partitionBy())
-    ranked = df.withColumn("_k", F.row_number().over(W.orderBy(p, tie))).withColumn("_m", m)
-    up = W.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_k")).over(up))).drop("_k", "_m")
+def bh(df: DataFrame, p: str, q: str) -> DataFrame:
+    """df with the Benjamini-Hochberg q of p: a scan over the distinct p, as equal p have equal q, and one back for the least of what follows."""
+    counts = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
+    many = counts.agg(F.sum("_n").alias("_m"))  # one row
+    ranked = scan(counts, ["_all"], ["_p"], "_n").crossJoin(F.broadcast(many))
+    least = least_from(ranked.select("_all", "_p", (F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_n"))).alias("_raw")), ["_all"], ["_p"], "_raw", "_q")
+    return df.join(least.select("_p", F.least(F.lit(1.0), "_q").alias(q)), F.col(p) == F.col("_p")).drop("_p")
 
 
 def statistics(boots: DataFrame, shadows: DataFrame, n_boot: int, alpha: float = 0.05, stab_thresh: float = 2.0, fdr: bool = True) -> DataFrame:
@@ -136,7 +138,7 @@ def statistics(boots: DataFrame, shadows: DataFrame, n_boot: int, alpha: float =
     )
     out = stored(out.select("eff", "stratum", *[f"{s}_p" for s in STATISTICS], "v_failure_rate", "calc_failed", *[x for s in STATISTICS for x in described(s)]), "statistics")
     for s in STATISTICS:
-        out = bh(out, f"{s}_p", f"{s}_q", "eff") if fdr else out.withColumn(f"{s}_q", F.col(f"{s}_p"))
+        out = bh(out, f"{s}_p", f"{s}_q") if fdr else out.withColumn(f"{s}_q", F.col(f"{s}_p"))
         out = out.withColumn(f"{s}_sig", F.coalesce((F.col(f"{s}_q") < alpha) & (F.col(f"{s}_stab") >= stab_thresh), F.lit(False)))
     return out
 

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from effectlens.operators.resampling import below
+from effectlens.operators.scans import scan
 
-RANGES = 256
 TINY = 2.220446049250313e-16  # spacing of doubles at 1
 NAMES = ("neg_mae", "neg_rmse", "r2", "roc_auc", "accuracy", "f1", "log_loss", "balanced_accuracy", "f1_weighted", "roc_auc_ovr")
 
@@ -72,22 +70,15 @@ def weight(times: str | None) -> Column:
 
 
 def auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] = (), times: str | None = None) -> DataFrame:
-    """(by, auc) by average ranks.  Rows are first counted per distinct score, and the ranks run over those.
-
-    Without groups, splitters cut the scores into ranges; a window runs within each, from the rows in the ranges before.
-    """
+    """(by, auc) by average ranks.  Rows are first counted per distinct score; a scan of these counts gives the ranks, group by group, with no window over a whole group."""
     t = weight(times)
-    counts = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, t).otherwise(0)).alias("pos"), F.sum(t).alias("n"))
-    if by:
-        under = F.sum("n").over(W.partitionBy(*by).orderBy(p)) - F.col("n")
-    else:
-        cuts = sorted(set(df.agg(F.percentile_approx(p, [i / RANGES for i in range(1, RANGES)], 20 * RANGES)).first()[0] or []))
-        counts = counts.withColumn("_part", below(cuts, F.col(p)) if cuts else F.lit(0))
-        sums = counts.groupBy("_part").agg(F.sum("n").alias("_n"))
-        starts = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
-        counts = counts.join(F.broadcast(starts), "_part")  # one row for each of at most RANGES ranges
-        under = F.col("_start") + F.sum("n").over(W.partitionBy("_part").orderBy(p)) - F.col("n")
-    ranked = counts.withColumn("rank", under + (F.col("n") + 1) / 2)
+    counts = df.withColumn("_one", F.lit(0)).groupBy(*by, "_one", p).agg(F.sum(F.when(F.col(y) == 1, t).otherwise(0)).alias("pos"), F.sum(t).alias("n"))
+    ranked = scan(counts, [*by, "_one"], [p], "n").withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2)
+    return area_under(ranked, by)
+
+
+def area_under(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auc) of counts (by, pos, n, rank)."""
     n1, n = F.sum("pos"), F.sum("n")
     value = F.try_divide(F.sum(F.col("rank") * F.col("pos")) - n1 * (n1 + 1) / 2, n1 * (n - n1))
     return ranked.groupBy(*by).agg(value.alias("auc"))

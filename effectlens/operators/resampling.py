@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from effectlens.functions.columns import hash_index, hashed, let
+from effectlens.operators.permuting import ROUNDS, key_columns, round_keys, with_place
 from effectlens.sources.scratch import stored
 
 
@@ -82,34 +83,32 @@ def folds_for(df: DataFrame, key: str, label: str, folds: int, seed: int, classi
 
 
 def shadow(df: DataFrame, key: str, columns: list[str], seed: int, fold: int = 0) -> DataFrame:
-    """(key, shadow_<c>...): each column's values permuted on their own, by equal places in two orders."""
+    """(key, shadow_<c>...): each column's values permuted on their own.  Rows are numbered once, by key; where a value comes from is computed."""
     n = df.count()
-    out = dense_index(df.select(key), [F.col(key)], "k", rows=n)
+    placed = stored(dense_index(df.select(key, *columns), [F.col(key)], "k", None if dict(df.dtypes)[key] != "string" else hash_free_lead(key), rows=n), "places")
+    out = placed.select(key, "k")
     for c in columns:
-        h = hashed(seed, fold, c, F.col(key))
-        moved = dense_index(df.select(key, c).withColumn("_h", h), [F.col("_h"), F.col(key)], "k", hash_lead(F.col("_h")), rows=n)
-        out = out.join(moved.select("k", F.col(c).alias(f"shadow_{c}")), "k")
+        moved = with_place(out, "k", n, round_keys(seed, fold, c), "_from")
+        out = moved.join(placed.select(F.col("k").alias("_from"), F.col(c).alias(f"shadow_{c}")), "_from").drop("_from")
     return out.drop("k")
 
 
 def shadow_by_fold(df: DataFrame, key: str, columns: list[str], fold: str, seed: int) -> DataFrame:
     """(key, shadow_<c>...): values permuted within each fold, all folds at once.
 
-    Both orders start with the fold, so equal places lie in one fold.
+    Rows are numbered by fold and a hash of the key, so a fold's places follow each other.
     """
-
-    def order(salt: str) -> tuple[DataFrame, list[Column], Column]:
-        marked = df.withColumn("_h", hashed(seed, salt, F.col(fold), F.col(key)))
-        return marked, [F.col(fold), F.col("_h"), F.col(key)], F.col(fold).cast("long") * F.lit(1 << 48) + hash_lead(F.col("_h"))
-
     n = df.count()
-    marked, by, lead = order("place")
-    out = dense_index(marked.select(key, fold, "_h"), by, "k", lead, rows=n).select(key, "k")
+    marked = df.select(key, fold, *columns).withColumn("_h", hashed(seed, "place", F.col(fold), F.col(key)))
+    by, lead = [F.col(fold), F.col("_h"), F.col(key)], F.col(fold).cast("long") * F.lit(1 << 48) + hash_lead(F.col("_h"))
+    placed = stored(dense_index(marked, by, "k", lead, rows=n).drop("_h"), "places")
+    # One row for each fold.
+    sizes = placed.groupBy(fold).agg(F.min("k").alias("_start"), F.count("*").alias("_size"))
+    out = placed.join(F.broadcast(sizes), fold).select(key, fold, "_start", "_size", (F.col("k") - F.col("_start")).alias("_place"))
     for c in columns:
-        marked, by, lead = order(c)
-        moved = dense_index(marked.select(key, fold, "_h", F.col(c).alias("_c")), by, "k", lead, rows=n)
-        out = out.join(moved.select("k", F.col("_c").alias(f"shadow_{c}")), "k")
-    return out.drop("k")
+        moved = with_place(out, "_place", F.col("_size"), key_columns(seed, F.col(fold), c), "_to").withColumn("_from", F.col("_start") + F.col("_to"))
+        out = moved.join(placed.select(F.col("k").alias("_from"), F.col(c).alias(f"shadow_{c}")), "_from").drop("_from", "_to")
+    return out.drop(fold, "_start", "_size", "_place")
 
 
 def bootstrap_indices(spark, n: int, n_boot: int, seed: int) -> DataFrame:
@@ -181,19 +180,16 @@ def hash_free_lead(key: str) -> Column:
 def permuted(pairs: DataFrame, key: str, n_perm: int, seed: int) -> DataFrame:
     """(b, y, *rest): y permuted against everything else, once for each b.
 
-    Rows are numbered once in the order of their keys, and all permutations together in the order of (b, hash):
-    n places for each b, so that equal places meet.
+    Rows are numbered once in the order of their keys; the place that each row's y comes from is computed for each b.
     """
     rest = [c for c in pairs.columns if c not in (key, "y")]
     n = pairs.count()
-    runs = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("b")
-    placed = dense_index(pairs.select(key, *rest), [F.col(key)], "_r", None if dict(pairs.dtypes)[key] != "string" else hash_free_lead(key), rows=n)
-    left = placed.select(*rest, "_r", runs)
-    drawn = pairs.select(key, "y", runs).withColumn("_h", hashed(seed, "perm", F.col("b"), F.col(key)))
-    lead = F.col("b").cast("long") * F.lit(1 << 48) + hash_lead(F.col("_h"))
-    right = dense_index(drawn, [F.col("b"), F.col("_h"), F.col(key)], "_g", lead, rows=n * n_perm)
-    right = right.select("b", "y", (F.col("_g") - F.col("b").cast("long") * n).alias("_r"))
-    return left.join(right, ["b", "_r"]).drop("_r")
+    placed = stored(dense_index(pairs.select(key, "y", *rest), [F.col(key)], "_r", None if dict(pairs.dtypes)[key] != "string" else hash_free_lead(key), rows=n), "places")
+    # One row for each permutation.
+    runs = pairs.sparkSession.range(n_perm).select(F.col("id").cast("int").alias("b"), F.array(*key_columns(seed, "perm", F.col("id"))).alias("_keys"))
+    every = placed.select(*rest, "_r", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("b")).join(F.broadcast(runs), "b")
+    moved = with_place(every, "_r", n, [F.get("_keys", r) for r in range(ROUNDS)], "_from")
+    return moved.join(placed.select(F.col("_r").alias("_from"), "y"), "_from").select("b", "y", *rest)
 
 
 def permutation_null(pairs: DataFrame, key: str, metric, n_perm: int, seed: int) -> DataFrame:

@@ -209,7 +209,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS k, count(*) OVER ()
 SELECT c_custkey, round(least(1.0, min(p * n / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r""")
 def bh_fdr(spark, sf_dir):
     p = (F.conv(F.substring(F.md5(F.concat(F.lit("p|"), F.col("c_custkey").cast("string"))), 1, 6), 16, 10).cast("long") + 1) / 16777217.0
-    return rounded(X.bh(table(spark, sf_dir, "customer").select("c_custkey", p.alias("p")), "p", "q", "c_custkey").select("c_custkey", "q"), 6)
+    return rounded(X.bh(table(spark, sf_dir, "customer").select("c_custkey", p.alias("p")), "p", "q").select("c_custkey", "q"), 6)
 
 
 @query(f"{STATS} SELECT eff, m_sig, v_sig, gii_sig FROM stats")
@@ -313,22 +313,63 @@ def effect_nature(spark, sf_dir):
     return one.select("feature", X.nature(F.col("n"), role).alias("nature"))
 
 
-def spline_rows(spark, sf_dir, second) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.select("l_linestatus", F.col("l_quantity").alias("x1"), second.cast("double").alias("x2"), F.lit(False).alias("nominal1"), F.lit(False).alias("nominal2"), F.lit(True).alias("paired"), (F.col("l_extendedprice") / 1000).alias("phi"), F.lit(1).alias("times"))
+SPLINE = {"n_knots": 3, "degree": 3}  # curves of three inner knots are made of lines
 
 
-@query()
+def spline_rows(spark, sf_dir, second) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_linestatus", F.col("l_quantity").cast("double").alias("x1"), second.cast("double").alias("x2"), F.lit(False).alias("nominal1"), F.lit(False).alias("nominal2"), F.lit(True).alias("paired"), (F.col("l_extendedprice") / 1000).cast("double").alias("phi"), F.lit(1).alias("times"))
+
+
+def least_squares_sql(rows: str, axes: list[str]) -> str:
+    """Tables of least-squares fits of y on hat functions, by g: c (cells), w (g, n, mean), f (cells with their fitted value f), u (total variations)."""
+    x = ", ".join(axes)
+    hat = lambda a: f"greatest(0, least(CASE WHEN i{a} = 1 THEN 1 ELSE ({a} - t{a}[i{a} - 1]) / (t{a}[i{a}] - t{a}[i{a} - 1]) END, CASE WHEN i{a} = len(t{a}) THEN 1 ELSE (t{a}[i{a} + 1] - {a}) / (t{a}[i{a} + 1] - t{a}[i{a}]) END))"
+    nodes = ", ".join(f"list_sort(list_distinct(list_concat([min({a}), max({a})], quantile_cont({a}, [0.25, 0.5, 0.75])))) AS t{a}" for a in axes)
+    place = " + ".join([f"i{axes[-1]}", *[f"(i{a} - 1) * len(t{axes[-1]})" for a in axes[:-1]]])
+    each = " ".join(f", unnest(range(1, len(t{a}) + 1)) AS u{a}(i{a})" for a in axes)
+    along = " UNION ALL ".join(
+        f"SELECT g, mx - mn + coalesce(abs(mn - lag(mx) OVER (PARTITION BY g ORDER BY {o})), 0) AS raw, coalesce(abs(f - lag(f) OVER (PARTITION BY g ORDER BY {o})), 0) AS fitted FROM f"
+        for o in ([x] if len(axes) == 1 else [x, ", ".join(axes[::-1])])
+    )
+    return f"""{rows},
+w AS (SELECT g, count(*) AS n, avg(y) AS mean, {nodes} FROM r GROUP BY g),
+c AS (SELECT g, {x}, count(*) AS n, sum(y) AS s, min(y) AS mn, max(y) AS mx FROM r GROUP BY g, {x}),
+h AS (SELECT g, {x}, n, s, i, b FROM (SELECT c.g, {x}, c.n, s, {place} AS i, {" * ".join(map(hat, axes))} AS b FROM c JOIN w USING (g){each}) WHERE b > 0),
+p AS (SELECT a.g, a.i, b.i AS j, sum(a.b * b.b * a.n) AS v FROM h a JOIN h b USING (g, {x}) GROUP BY ALL UNION ALL SELECT g, i, 1000000, sum(b * s) FROM h GROUP BY ALL),
+d AS (SELECT a.g, a.i, b.j FROM (SELECT DISTINCT g, i FROM p) a JOIN (SELECT DISTINCT g, j FROM p) b USING (g)),
+l AS (SELECT g, i, list(coalesce(v, 0) ORDER BY j) AS line FROM d LEFT JOIN p USING (g, i, j) GROUP BY g, i),
+z AS (
+  SELECT g, 1 AS k, list(line ORDER BY i) AS m FROM l GROUP BY g
+  UNION ALL
+  SELECT g, k + 1, list_transform(range(1, len(m) + 1), lambda r: CASE WHEN r = k THEN list_transform(m[k], lambda v: v / m[k][k]) ELSE list_transform(range(1, len(m) + 2), lambda q: m[r][q] - m[r][k] * m[k][q] / m[k][k]) END)
+  FROM z WHERE k <= len(m)
+),
+o AS (SELECT g, i, m[row_number() OVER (PARTITION BY g ORDER BY i)][len(m) + 1] AS coefficient FROM (SELECT DISTINCT g, i FROM p) JOIN (FROM z WHERE k = len(m) + 1) USING (g)),
+f AS (SELECT c.*, f FROM c JOIN (SELECT g, {x}, sum(b * coefficient) AS f FROM h JOIN o USING (g, i) GROUP BY ALL) USING (g, {x})),
+u AS (SELECT g, sum(raw) AS raw, sum(fitted) AS fitted FROM ({along}) GROUP BY g),
+e AS (SELECT g, sum(n * (f - mean) ** 2) AS ss, sum(c.n * (s / c.n - mean) ** 2) AS by_cell FROM (SELECT f.*, mean FROM f JOIN w USING (g)) c GROUP BY g),
+k AS (SELECT g, n, mean, CASE WHEN raw = 0 THEN fitted < 1e-9 ELSE fitted <= 1.001 * raw END AS calm, ss, by_cell FROM w JOIN u USING (g) JOIN e USING (g))"""
+
+
+ENDED = "SELECT l_linestatus, round(m::DOUBLE, 4) AS m, round(v::DOUBLE, 4) AS v, round(sqrt(m * v)::DOUBLE, 4) AS gii FROM (SELECT l_linestatus, avg(abs(l_extendedprice / 1000)) AS m FROM lineitem GROUP BY 1) JOIN"
+
+
+@query(f"""WITH RECURSIVE {least_squares_sql("r AS (SELECT l_linestatus AS g, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem)", ["x"])}
+{ENDED} (SELECT g AS l_linestatus, sqrt(CASE WHEN calm THEN ss ELSE by_cell END / n) AS v FROM k) USING (l_linestatus)""")
 def spline_v_1d(spark, sf_dir):
     rows = spline_rows(spark, sf_dir, F.lit(0)).withColumn("paired", F.lit(False))
-    return rounded(S.variability_by(rows, ["l_linestatus"]))
+    return rounded(S.variability_by(rows, ["l_linestatus"], **SPLINE))
 
 
-@query()
+@query(f"""WITH RECURSIVE {least_squares_sql("r AS (SELECT l_linestatus AS g, l_quantity::DOUBLE AS x1, l_partkey::DOUBLE AS x2, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem)", ["x1", "x2"])}
+{ENDED} (SELECT g AS l_linestatus, sqrt(CASE WHEN calm THEN ss ELSE by_cell END / n) AS v FROM k) USING (l_linestatus)""")
 def spline_v_2d(spark, sf_dir):
-    return rounded(S.variability_by(spline_rows(spark, sf_dir, F.col("l_suppkey")), ["l_linestatus"]))
+    return rounded(S.variability_by(spline_rows(spark, sf_dir, F.col("l_partkey")), ["l_linestatus"], **SPLINE))
 
 
-@query()
+@query(f"""WITH RECURSIVE {least_squares_sql("r AS (SELECT {'g': l_linestatus, 'd': l_discount::DOUBLE} AS g, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem)", ["x"])},
+j AS (SELECT g.g AS l_linestatus, n, mean, CASE WHEN calm THEN ss ELSE 0 END AS ss FROM k)
+{ENDED} (SELECT l_linestatus, sqrt((sum(ss) + sum(n * mean * mean)) / sum(n) - (sum(n * mean) / sum(n)) ** 2) AS v FROM j GROUP BY 1) USING (l_linestatus)""")
 def spline_v_stacked(spark, sf_dir):
-    return rounded(S.variability_by(spline_rows(spark, sf_dir, F.col("l_discount")), ["l_linestatus"]))
+    return rounded(S.variability_by(spline_rows(spark, sf_dir, F.col("l_discount")), ["l_linestatus"], **SPLINE))

@@ -12,6 +12,7 @@ from effectlens.operators import effects as X
 from effectlens.operators import metrics as M
 from effectlens.operators import resampling as R
 from effectlens.operators import splines as S
+from effectlens.operators.scans import variation
 from effectlens.plans import training as T
 from effectlens.plans.cleaning import PRIORITIES
 from effectlens.plans.registry import SEED, query, rounded, table
@@ -156,13 +157,19 @@ d AS (SELECT l_suppkey, abs(y - lag(y) OVER (PARTITION BY l_suppkey ORDER BY x))
 s AS (SELECT l_suppkey, coalesce(sum(dy), 0) AS raw, coalesce(sum(df), 0) AS fitted FROM d GROUP BY 1)
 SELECT l_suppkey::BIGINT AS l_suppkey, round(raw::DOUBLE, 1) AS raw, round(fitted::DOUBLE, 1) AS fitted, CASE WHEN raw = 0 THEN fitted < 1e-9 ELSE fitted <= 1.001 * raw END AS holds FROM s""")
 def total_variation_gate(spark, sf_dir):
-    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        raw, fitted = S.variation(pdf["y"].to_numpy(float)), S.variation(pdf["x"].to_numpy(float) * 50000)
-        return pd.DataFrame({"l_suppkey": [pdf["l_suppkey"].iloc[0]], "raw": [raw], "fitted": [fitted], "holds": [bool(S.within_energy(raw, fitted))]})
-
-    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("l_suppkey"), F.col("l_quantity").alias("x")).agg(F.avg("l_extendedprice").alias("y"))
-    return rounded(points.groupBy("l_suppkey").applyInPandas(of_group, "l_suppkey long, raw double, fitted double, holds boolean"), 1)
+    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("l_suppkey"), F.col("l_quantity").cast("double").alias("x")).agg(F.avg("l_extendedprice").cast("double").alias("raw"))
+    found = variation(points.withColumn("fitted", F.col("x") * 50000), ["l_suppkey"], ["x"], ["raw", "fitted"])
+    return rounded(found.select("*", S.smooth_enough(F.col("raw"), F.col("fitted")).alias("holds")), 1)
+
+
+@query("""WITH p AS (SELECT l_linestatus, l_quantity::DOUBLE AS x1, l_partkey::DOUBLE AS x2, avg(l_extendedprice)::DOUBLE AS y FROM lineitem GROUP BY 1, 2, 3),
+d AS (SELECT l_linestatus, abs(y - lag(y) OVER (PARTITION BY l_linestatus ORDER BY x1, x2)) AS d1, abs(y - lag(y) OVER (PARTITION BY l_linestatus ORDER BY x2, x1)) AS d2 FROM p)
+SELECT l_linestatus, round(sum(d1)::DOUBLE, 1) AS along_quantity, round(sum(d2)::DOUBLE, 1) AS along_part, round((sum(d1) + sum(d2))::DOUBLE, 1) AS both FROM d GROUP BY 1""")
+def total_variation_2d(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", F.col("l_quantity").cast("double").alias("x1"), F.col("l_partkey").cast("double").alias("x2"))
+    points = rows.agg(F.avg("l_extendedprice").cast("double").alias("y"))
+    one, two = (variation(points, ["l_linestatus"], order, ["y"]).withColumnRenamed("y", name) for order, name in ((["x1", "x2"], "along_quantity"), (["x2", "x1"], "along_part")))
+    return rounded(one.join(two, "l_linestatus").withColumn("both", F.col("along_quantity") + F.col("along_part")), 1)
 
 
 @query("""WITH h AS (SELECT l_suppkey, CASE WHEN l_linenumber <> 7 THEN l_tax END AS a, CASE WHEN l_discount > 0.02 THEN l_linenumber END AS b, l_extendedprice / 1000 AS y FROM lineitem),

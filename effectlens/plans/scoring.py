@@ -8,6 +8,7 @@ from effectlens.operators import boosting as B
 from effectlens.operators import metrics as M
 from effectlens.operators import resampling as R
 from effectlens.operators.effects import fold_average
+from effectlens.operators.permuting import place_sql
 from effectlens.plans.registry import SEED, query, rounded, table
 
 N_BOOT = 20
@@ -58,8 +59,10 @@ def nested_inner_folds(spark, sf_dir):
 
 
 PLACED = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)"
-MOVED = f"(SELECT {{c}} AS shadow_{{c}}, row_number() OVER (ORDER BY md5('{SEED}|0|{{c}}|' || o_orderkey), o_orderkey) - 1 AS k FROM orders)"
-SHADOW = f"SELECT o.o_orderkey, o.o_orderpriority, a.shadow_o_orderpriority, b.shadow_o_orderstatus, o.o_totalprice, o.k FROM {PLACED} o JOIN {MOVED.format(c='o_orderpriority')} a USING (k) JOIN {MOVED.format(c='o_orderstatus')} b USING (k)"
+SHADOW = f"""WITH RECURSIVE names AS (SELECT unnest(['o_orderpriority', 'o_orderstatus']) AS c), whole AS (SELECT count(*) AS n FROM orders),
+which AS (SELECT c, n, '{SEED}|0|' || c AS name FROM names, whole), {place_sql("which", "c")}
+SELECT o.o_orderkey, o.o_orderpriority, a.o_orderpriority AS shadow_o_orderpriority, b.o_orderstatus AS shadow_o_orderstatus, o.o_totalprice, o.k
+FROM {PLACED} o JOIN moved p ON p.c = 'o_orderpriority' AND p.k = o.k JOIN {PLACED} a ON a.k = p.dest JOIN moved s ON s.c = 'o_orderstatus' AND s.k = o.k JOIN {PLACED} b ON b.k = s.dest"""
 
 
 @query(f"SELECT o_orderkey, shadow_o_orderpriority, shadow_o_orderstatus FROM ({SHADOW})")
@@ -228,10 +231,9 @@ def bootstrap_metric_ci(spark, sf_dir):
     return rounded(one.select(F.lit(name).alias("metric"), score.alias("score"), low.alias("ci_low"), high.alias("ci_high"), "n_used"), 3)
 
 
-@query(f"""WITH p AS ({PAIRS}), x AS (SELECT * FROM p, {RUNS.format(b=N_BOOT)}),
-l AS (SELECT b, p, row_number() OVER (PARTITION BY b ORDER BY o_orderkey) AS r FROM x),
-h AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY md5('{SEED}|perm|' || b || '|' || o_orderkey), o_orderkey) AS r FROM x),
-m AS (SELECT b, -avg(abs(y - p)) AS m FROM l JOIN h USING (b, r) GROUP BY b), o AS (SELECT -avg(abs(y - p)) AS o FROM p)
+@query(f"""WITH RECURSIVE p AS ({PAIRS}), whole AS (SELECT count(*) AS n FROM p), which AS (SELECT b, n, '{SEED}|perm|' || b AS name FROM {RUNS.format(b=N_BOOT)}, whole),
+{place_sql("which", "b")},
+m AS (SELECT m.b, -avg(abs(y.y - x.p)) AS m FROM moved m JOIN p x ON x.k = m.k JOIN p y ON y.k = m.dest GROUP BY m.b), o AS (SELECT -avg(abs(y - p)) AS o FROM p)
 SELECT 'neg_mae' AS metric, round(any_value(o), 3) AS observed, round(avg(m), 3) AS null_mean, round(stddev_pop(m), 3) AS null_std,
 round((count(*) FILTER (m >= o) + 1) / (count(*) + 1), 6) AS p_value FROM m, o""")
 def permutation_test(spark, sf_dir):

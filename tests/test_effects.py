@@ -11,7 +11,7 @@ from effectlens.operators import splines as S
 
 def test_bh_equals_numpy(spark):
     p = np.random.default_rng(1).random(40) ** 3
-    got = {r.e: r.q for r in X.bh(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "e int, p double"), "p", "q", "e").collect()}
+    got = {r.e: r.q for r in X.bh(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "e int, p double"), "p", "q").collect()}
     order = np.argsort(p)
     q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
     for i, x in zip(order, np.minimum(q, 1), strict=True):
