@@ -24,10 +24,11 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +38,13 @@ NONE = np.int64(1 << 40)
 LONG_WORD = 400
 CACHE_LETTERS = 16_000_000
 LENGTH_BITS = 20  # of a token's length, beside its id
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 4_000_000
 
 # Fixed values of the file format: Unicode White_Space, and the bytes that byte-level BPE shows as themselves.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SHOWN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
 BREAK = "\n"
-SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split parts words at these too, the file format does not
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -87,6 +87,24 @@ class Seen(dict):
         return self.flat[np.arange(int(size.sum())) + np.repeat(self.first[places] - skip, size)]
 
 
+class SeenChunks(Seen):
+    """The same of strings in Arrow: those known are looked up there, and only new ones become Python's."""
+
+    def __init__(self):
+        super().__init__()
+        self.known = pa.array([], pa.string())
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """words are distinct."""
+        at = pc.index_in(words, value_set=self.known)
+        fresh = words.filter(pc.is_null(at))
+        out = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[out < 0] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.new = fresh.to_pylist()
+        return out
+
+
 def in_order(tok: list[np.ndarray], word: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of several lists by their word; those of one word are in one list, in order."""
     if not tok:
@@ -124,7 +142,8 @@ class WordBPE:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE)
         self.pieces = regex.compile(f"{pattern}|{BREAK}").findall
-        self.cut = regex.compile(f"[^{WHITE}]+").findall
+        if self.pieces("ab") != ["ab"]:
+            raise ValueError(f"{path}: letters that follow each other must be one piece")
         alphabet = byte_alphabet()
         self.first, self.last = (np.full(max(map(ord, alphabet.values())) + 1, -1, np.int64) for _ in range(2))
         for c in alphabet.values():
@@ -152,7 +171,7 @@ class WordBPE:
 
     def forget(self) -> None:
         """Drop the chunks and pieces seen: a worker that lives on holds only the tokenizer."""
-        self.chunks, self.parts = Seen(), Seen()
+        self.chunks, self.parts = SeenChunks(), Seen()
         self.parts.places([BREAK, *self.special])
         self.parts.fresh()
         self.parts.extend(np.array([*self.special.values()], np.int64), np.array([0] + [1] * len(self.special), np.int64))
@@ -287,14 +306,12 @@ class WordBPE:
 
     def pieces_of(self, chunks: list[str]) -> list[str]:
         """Pieces of each chunk in order, with BREAK after each chunk; special tokens are pieces."""
-        if self.at_special is not None and any(s in c for s in self.special for c in chunks):
-            out = []
-            for c in chunks:
-                for k, part in enumerate(self.at_special.split(c)):
-                    out += [part] if k % 2 else self.pieces(self.normal(part))
-                out.append(BREAK)
-            return out
-        return self.pieces(self.normal(BREAK.join([*chunks, ""])))
+        out = []
+        for c in chunks:
+            for k, part in enumerate(self.at_special.split(c)):
+                out += [part] if k % 2 else self.pieces(self.normal(part))
+            out.append(BREAK)
+        return out
 
     @staticmethod
     def normal(text: str) -> str:
@@ -305,23 +322,41 @@ class WordBPE:
         return BREAK.join(words).encode().decode("latin-1").translate(self.by_byte).split(self.by_byte[ord(BREAK)])
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode chunks that weren't seen before, by their pieces that weren't."""
-        pieces = self.pieces_of(chunks)
-        part = self.parts.places(pieces)
+        """Encode chunks that weren't seen before, by their pieces that weren't.  A chunk of letters alone is one piece; others are cut."""
+        joined = BREAK.join(chunks)
+        if any(s in joined for s in self.special):
+            plain, rest = np.empty(0, np.int64), np.arange(len(chunks))
+            whole, cut = [], self.pieces_of(chunks)
+        else:
+            normal = self.normal(joined).split(BREAK)
+            letters = np.fromiter(map(str.isalpha, normal), bool, len(normal))
+            plain, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
+            whole = list(compress(normal, letters.tolist()))
+            cut = self.pieces(BREAK.join([*map(normal.__getitem__, rest.tolist()), ""])) if len(rest) else []
+        part_whole, part_cut = self.parts.places(whole), self.parts.places(cut)
         if fresh := self.parts.fresh():
             self.parts.extend(*self.encode_words(self.by_bytes(fresh)))
-        size = np.bincount(np.cumsum(part == 0) - (part == 0), self.parts.size[part], len(chunks)).astype(np.int64)
-        self.chunks.extend(self.parts.gather(part), size)
+        ends = part_cut == 0
+        of_cut = rest[(np.cumsum(ends) - ends)[~ends]] if len(rest) else rest
+        part, chunk = np.r_[part_whole, part_cut[~ends]], np.r_[plain, of_cut]
+        order = np.argsort(chunk, kind="stable")
+        size = np.bincount(chunk, self.parts.size[part], len(chunks)).astype(np.int64)
+        self.chunks.extend(self.parts.gather(part[order]), size)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each text has."""
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has.
+
+        Texts are cut at ASCII white space, and equal chunks found, in Arrow; white space of other kinds stays within chunks, and no piece has any.
+        """
         if self.chunks.letters + self.parts.letters > CACHE_LETTERS:
             self.forget()
-        split = [self.cut(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        chunk = self.chunks.places(list(chain.from_iterable(split)))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        chunk = self.chunks.places(coded.dictionary)[coded.indices.to_numpy()]
         if fresh := self.chunks.fresh():
             self.learn(fresh)
-        text_of = np.repeat(np.arange(len(texts)), list(map(len, split)))
+        text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
         return self.chunks.gather(chunk), np.bincount(text_of, self.chunks.size[chunk], len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -360,7 +395,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         try:
             for batch in batches:
                 for at, end in slices(batch.column(1), BATCH_BYTES):
-                    ids, counts = bpe.encode([t or "" for t in batch.column(1).slice(at, end - at).to_pylist()])
+                    ids, counts = bpe.encode(batch.column(1).slice(at, end - at))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), packed(ids, counts), bpe.decode(ids, counts)], ["id", "ids", "decoded"])
         finally:
             bpe.forget()

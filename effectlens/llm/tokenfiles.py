@@ -91,7 +91,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         try:
             for batch in batches:
                 for at, to in slices(batch.column(2), BATCH_BYTES):
-                    ids, counts = bpe.encode(batch.column(2).slice(at, to - at).to_pylist())
+                    ids, counts = bpe.encode(batch.column(2).slice(at, to - at))
                     flat, offsets = ended(ids, counts, end_id)
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                     columns = [*(batch.column(k).slice(at, to - at) for k in (0, 1)), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), lists]
