@@ -469,6 +469,54 @@ def fit_folds(rows: DataFrame, fold: str, names: list[str], categorical: list[st
     return stored(numbered.repartitionByRange(len(tasks), "n").mapInPandas(run, FITS), "fits")
 
 
+def trial_judge(rows: DataFrame, folds: dict[int, str], names: list[str], categorical: list[str], targets: list[str], params: Params, scoring: str, most_sent: int = MOST_SENT) -> Callable[[dict[int, list[dict]]], dict[int, list[tuple[float, float]]]]:
+    """A function from trials, listed for each of several searches, to (mean score, mean best iteration) over the folds of the search.
+
+    folds names each search's column of folds; rows without a fold there are not the search's.  Rows of at most ``most_sent`` bytes are sent out once, for all
+    calls, and all fits of a call, of every search, trial and fold, are tasks of one job; more rows are fitted by histograms.
+    """
+    from effectlens.operators import histograms
+
+    spark = rows.sparkSession
+    used = rows.select(*names, *targets, *folds.values())
+    size = used.agg(F.sum(sum((F.octet_length(c) + 16 if t == "string" else F.lit(8) for c, t in used.dtypes), F.lit(0)))).first()[0] or 0
+    parts = {k: sorted(int(r[0]) for r in rows.select(c).distinct().collect() if r[0] is not None) for k, c in folds.items()}
+    of = lambda f, trial: Params(**asdict(params) | trial | {"seed": params.seed + f})
+    if size > most_sent:
+
+        def by_histograms(trials: dict[int, list[dict]]) -> dict[int, list[tuple[float, float]]]:
+            out = {}
+            for k, listed in trials.items():
+                mine = stored(used.filter(F.col(folds[k]).isNotNull()), "search-rows")
+                found = [histograms.fit_by_histograms(mine, folds[k], names, categorical, targets, {f: of(f, t) for f in parts[k]}, scoring) for t in listed]
+                out[k] = [(float(np.mean([s for _, s, _ in fits])), float(np.mean([m.best_iteration for _, _, m in fits]))) for fits in found]
+            return out
+
+        return by_histograms
+    table = spark.sparkContext.broadcast(used.toPandas().sort_values(names + targets, kind="stable"))
+
+    def judge(trials: dict[int, list[dict]]) -> dict[int, list[tuple[float, float]]]:
+        tasks = [(k, i, f, json.dumps(t)) for k, listed in trials.items() for i, t in enumerate(listed) for f in parts[k]]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for t in pdf.itertuples(index=False):
+                    p, at = of(int(t.fold), json.loads(t.setting)), table.value[folds[int(t.search)]]
+                    inside, outside = table.value[at.notna() & (at != t.fold)], table.value[at == t.fold]
+                    y = outside[targets].to_numpy(float)
+                    m = fit(inside, inside[targets].to_numpy(float), names, categorical, p, (outside, y) if p.early_stopping_rounds else None)
+                    x = m.matrix(outside.assign(**{c: outside[c].astype(str) for c in categorical}))
+                    yield pd.DataFrame([{"search": t.search, "trial": t.trial, "score": score_of(scoring, y, m.predict(x)), "best_iteration": m.best_iteration}])
+
+        numbered = spark.createDataFrame([(n, *t) for n, t in enumerate(tasks)], "n int, search int, trial int, fold int, setting string")
+        fits = numbered.repartitionByRange(max(1, len(tasks)), "n").mapInPandas(run, "search int, trial int, score double, best_iteration int")
+        means = fits.groupBy("search", "trial").agg(F.avg("score").alias("score"), F.avg("best_iteration").alias("n")).collect()  # a row per trial
+        by = {(r.search, r.trial): (r.score, r.n) for r in means}
+        return {k: [by[k, i] for i in range(len(listed))] for k, listed in trials.items()}
+
+    return judge
+
+
 FITS = "fold int, trial int, score double, best_iteration int, model string"
 
 

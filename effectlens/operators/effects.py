@@ -160,8 +160,13 @@ def ranked_significant(stats: DataFrame) -> DataFrame:
 
 
 def microdata(effects: DataFrame, values: DataFrame) -> DataFrame:
-    """Attributions (row, eff, i, j, phi), and their slice if they have one, with the value of each feature; values is (row, feature, value)."""
-    main = values.select("row", F.col("feature").alias("i"), F.col("value").alias("feature_value"))
-    partner = values.select("row", F.col("feature").alias("j"), F.col("value").alias("partner_value"))
+    """Attributions (row, eff, i, j, phi), and their slice if they have one, with what is known of each feature's value.
+
+    values is (row, feature, value, code, raw, type): the value as the model saw it, a number that orders it, as it stood in the data, and the feature's type.
+    """
+    side = lambda k, names: values.select("row", F.col("feature").alias(k), *[F.col(c).alias(n) for c, n in names.items()])
+    main = side("i", {"value": "feature_value", "code": "feature_code", "raw": "main_feature_raw", "type": "main_feature_type"})
+    partner = side("j", {"value": "partner_value", "code": "partner_code", "raw": "partner_feature_raw", "type": "partner_feature_type"})
     out = effects.join(main, ["row", "i"]).join(partner, ["row", "j"], "left")
-    return out.select(*(["slice"] if "slice" in effects.columns else []), "row", "eff", "phi", F.col("i").alias("main_feature"), F.col("j").alias("interaction_partner"), "feature_value", "partner_value")
+    known = ["feature_value", "partner_value", "feature_code", "partner_code", "main_feature_raw", "main_feature_type", "partner_feature_raw", "partner_feature_type"]
+    return out.select(*(["slice"] if "slice" in effects.columns else []), "row", "eff", "phi", F.col("i").alias("main_feature"), F.col("j").alias("interaction_partner"), *known)

@@ -6,7 +6,8 @@ import math
 import os
 from collections.abc import Callable
 from copy import deepcopy
-from random import Random
+
+from effectlens.plans.sampler import Sampler
 
 REGRESSION = ("regression", "multi_regression")
 CLASSIFICATION = ("binary_classification", "multiclass_classification")
@@ -120,29 +121,26 @@ def draw_trials(space: dict, n: int, seed: int) -> list[dict]:
     return [setting(space, p) for p in draw_points(space, n, seed)]
 
 
-def search(space: dict, n: int, seed: int, judge: Callable[[list[dict]], list[float]], rounds: int = 3, elite: int = 4) -> tuple[dict, int]:
-    """(best setting, its place) of n trials: half of them (10 at least) over the whole space, then rounds near the best so far.
+def search(space: dict, n: int, seeds: dict[int, int], judge: Callable[[dict[int, list[dict]]], dict[int, list[float]]], rounds: int = 12) -> dict[int, tuple[dict, int]]:
+    """(best setting, its place) of n trials for each of several searches, named by number, which go on side by side.
 
-    A later trial starts from one of the ``elite`` best points, keeps about three of ten parameters and moves the
-    others within a width that shrinks by round.  judge scores a round's settings, higher being better; a score
-    that isn't a number is the worst.  Of equal scores the first wins.
+    The first trials, 10 at least, spread over the whole space; then in each round every search asks for its next from
+    densities of its good and its bad trials.  judge scores the settings of a round of all searches at once, higher being
+    better; a score that isn't a number is the worst.  Of equal scores the first wins.
     """
     if n < 1:
         raise ValueError("tuning.n_iter is under 1")
-    points: list[list[float]] = []
-    scores: list[float] = []
-
-    def ask(new: list[list[float]]) -> None:
-        scores.extend(-math.inf if s is None or math.isnan(s) else s for s in judge([setting(space, p) for p in new]))
-        points.extend(new)
-
-    ask(draw_points(space, min(n, max(10, n // 2)), seed))
-    chance, left = Random(f"trials {seed}"), n - len(points)
-    for r in range(rounds):
-        top = sorted(range(len(points)), key=lambda t: -scores[t])[:elite]
-        many, width = left * (r + 1) // rounds - left * r // rounds, 0.5 * 0.6**r
-        new = [[u if chance.random() < 0.3 else min(max(u + width * (chance.random() - 0.5), 0.0), 1.0) for u in points[top[i % len(top)]]] for i in range(many)]
-        if new:
-            ask(new)
-    best = scores.index(max(scores))
-    return setting(space, points[best]), best
+    samplers = {k: Sampler(len(space), seed) for k, seed in seeds.items()}
+    first = min(n, max(10, n // rounds))
+    asked = {k: draw_points(space, first, seed) for k, seed in seeds.items()}
+    done = 0
+    while True:
+        found = judge({k: [setting(space, p) for p in points] for k, points in asked.items()})
+        for k, points in asked.items():
+            samplers[k].tell(points, found[k])
+        done += len(next(iter(asked.values())))
+        if done >= n:
+            break
+        asked = {k: s.ask(min(max(1, n // rounds), n - done)) for k, s in samplers.items()}
+    best = {k: max(range(n), key=lambda t, s=s: (s.scores[t], -t)) for k, s in samplers.items()}
+    return {k: (setting(space, samplers[k].points[t]), t) for k, t in best.items()}

@@ -10,6 +10,8 @@ from effectlens.operators import effects as X
 from effectlens.operators import presentation as P
 from effectlens.operators import resampling as R
 from effectlens.operators import splines as S
+from effectlens.operators.encoding import encode
+from effectlens.plans import training as T
 from effectlens.plans.cleaning import LEVELS_SQL, PRIORITIES
 from effectlens.plans.registry import SEED, query, rounded, table
 from effectlens.plans.scoring import DRAW, RUNS, SHADOW, order_rows
@@ -244,12 +246,20 @@ def rank_significant(spark, sf_dir):
     return X.ranked_significant(stats(spark, sf_dir)).select("eff", "rank")
 
 
-@query(f"""{WITH_LONG} SELECT l.row, eff, round(phi, 3) AS phi, i AS main_feature, j AS interaction_partner,
-CASE i WHEN 'o_orderpriority' THEN o_orderpriority ELSE o_orderstatus END AS feature_value, CASE WHEN j IS NOT NULL THEN o_orderstatus END AS partner_value
-FROM long l JOIN orders ON o_orderkey = l.row""")
+PRIORITY_CODE = "substr(o_orderpriority, 1, 1)::DOUBLE - 1"
+STATUS_CODE = "dense_rank() OVER (ORDER BY o_orderstatus)::DOUBLE - 1"
+
+
+@query(f"""{WITH_LONG}, coded AS (SELECT *, {PRIORITY_CODE} AS pc, {STATUS_CODE} AS sc FROM orders),
+shown AS (SELECT o_orderkey, 'o_orderpriority' AS f, pc::INTEGER::VARCHAR AS value, pc AS code, o_orderpriority AS raw, 'ordinal' AS type FROM coded UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, sc, o_orderstatus, 'nominal' FROM coded)
+SELECT l.row, eff, round(phi, 3) AS phi, i AS main_feature, j AS interaction_partner, a.value AS feature_value, a.code AS feature_code, a.raw AS main_feature_raw, a.type AS main_feature_type,
+b.value AS partner_value, b.code AS partner_code, b.raw AS partner_feature_raw, b.type AS partner_feature_type
+FROM long l JOIN shown a ON a.o_orderkey = l.row AND a.f = l.i LEFT JOIN shown b ON b.o_orderkey = l.row AND b.f = l.j""")
 def microdata_long(spark, sf_dir):
-    values = planted(spark, sf_dir).unpivot("o_orderkey", [A, B], "feature", "value").withColumnRenamed("o_orderkey", "row")
-    return rounded(X.microdata(effects_long(spark, sf_dir), values), 3)
+    raw = planted(spark, sf_dir).withColumn(T.ROW, F.col("o_orderkey"))
+    roles = {A: "ordinal", B: "nominal"}
+    rows = encode(raw, roles, {A: PRIORITIES}, keep=[T.ROW])
+    return rounded(X.microdata(effects_long(spark, sf_dir), T.shown_values(rows, T.as_written(raw, [A, B]), T.Contract({}, "regression", [], roles))), 3)
 
 
 @query(f"{WITH_LONG} PIVOT (SELECT row, eff, round(phi, 3) AS phi FROM long) ON eff IN ('o_orderpriority', 'o_orderstatus', 'o_orderpriority x o_orderstatus') USING first(phi) GROUP BY row".replace("PIVOT (SELECT", "SELECT * FROM (PIVOT (SELECT", 1) + ")")

@@ -11,11 +11,12 @@ from effectlens.operators import presentation as P
 from effectlens.operators.splines import trend
 from effectlens.plans.training import Contract, load, slice_names
 from effectlens.sources.files import read_csv, write_csv, write_parquet
+from effectlens.sources.scratch import stored
 
 
 def report(spark: SparkSession, run: str, negate: bool = False) -> None:
     """Under run/report: the performance panel and its nulls, and for each class or target in a folder of its own the significant effects by rank, and for each of their
-    features the level means, crossings, most frequent levels, and trends, in percent of the outcome's range."""
+    features the level means in the order of the levels, as they are called in the data, their crossings and most frequent levels, and the trends and their first zeros, in percent of the outcome's range."""
     c, _, _ = load(spark, run)
     performance, tests = (read_csv(spark, f"{run}/{n}").withColumn("metric", F.concat_ws(" ", "target", "metric")).drop("target") for n in ("performance", "permutation_test"))
     write_csv(P.performance_panel(performance, tests), f"{run}/report/performance")
@@ -39,11 +40,14 @@ def one_slice(spark: SparkSession, run: str, out: str, c: Contract, stats: DataF
     if c.task in ("regression", "multi_regression"):
         span = rows.agg((F.max(f"_y{k}") - F.min(f"_y{k}")).alias("s")).first().s or 1.0
     micro = spark.read.parquet(f"{run}/microdata").filter(F.col("slice") == k).withColumn("percent", P.rescaled(F.col("phi"), F.lit(float(span)), negate))
-    single = micro.filter("interaction_partner IS NULL")
-    means = single.groupBy("eff", recode_missing(F.col("feature_value").cast("string")).alias("level")).agg(F.avg("percent").alias("mean"), F.count("*").alias("n"))
-    write_csv(means, f"{out}/level_means")
-    smooth = trend(single.filter("feature_value IS NOT NULL").select("eff", F.col("feature_value").cast("double").alias("value"), "percent"), ["eff"], "value", "percent")
+    single = micro.filter("interaction_partner IS NULL").withColumn("level", recode_missing(F.col("main_feature_raw")))
+    levels = single.filter("main_feature_type <> 'continuous'")
+    # Missing levels have no code and come last.
+    ordered = P.level_order(levels.withColumn("_code", F.coalesce("feature_code", F.lit(float("inf")))), "level", "_code", ["eff"])
+    means = levels.groupBy("eff", "level").agg(F.avg("percent").alias("mean"), F.count("*").alias("n")).join(ordered, ["eff", "level"])
+    write_csv(means.orderBy("eff", "place"), f"{out}/level_means")
+    write_csv(P.mean_crossings(means, "place", "mean", ["eff"]), f"{out}/level_crossings")
+    write_csv(P.top_levels(levels.filter("main_feature_type = 'nominal'"), "level", by=["eff"]), f"{out}/top_levels")
+    smooth = stored(trend(single.filter("main_feature_type = 'continuous' AND feature_code IS NOT NULL").select("eff", F.col("feature_code").alias("value"), "percent"), ["eff"], "value", "percent"), "trends")
     write_csv(smooth, f"{out}/trends")
-    for eff in [r.eff for r in ranked.filter("NOT contains(eff, ' x ')").select("eff").collect()]:
-        write_csv(P.first_zero(smooth.filter(F.col("eff") == eff), "x", "fit"), f"{out}/zero_{plain(eff)}")
-        write_csv(P.top_levels(single.filter(F.col("eff") == eff).withColumn("level", F.col("feature_value").cast("string")), "level"), f"{out}/top_{plain(eff)}")
+    write_csv(P.first_zero(smooth, "x", "fit", ["eff"]), f"{out}/trend_zeros")

@@ -81,8 +81,13 @@ def with_targets(df: DataFrame, c: Contract) -> DataFrame:
     return df.withColumns({t: (F.col(o).cast("double") - scale(o)[0]) / scale(o)[1] for t, o in zip(c.targets, c.outcomes, strict=True)})
 
 
-def prepare(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, Contract, DataFrame]:
-    """Read, clean, select, resolve and encode: (rows, contract, missingness)."""
+def as_written(raw: DataFrame, features: list[str]) -> DataFrame:
+    """(row id, features) as text, as they stand in the data once blanks are missing."""
+    return raw.select(ROW, *[F.col(f).cast("string").alias(f) for f in features])
+
+
+def prepare(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, Contract, DataFrame, DataFrame]:
+    """Read, clean, select, resolve and encode: (rows, contract, missingness, the features as written)."""
     model = config["modeling"]
     outcomes = model["outcome"] if isinstance(model["outcome"], list) else [model["outcome"]]
     id_col = (config.get("data") or {}).get("id") or model.get("id")
@@ -113,33 +118,35 @@ def prepare(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, Co
         c.scales = {r.target: [r["mean"], r.scale] for r in E.zscore(raw, outcomes).collect()}
     rows = with_targets(E.encode(raw, roles, c.levels, keep=[ROW, *outcomes]), c)
     rows = R.folds_for(rows, ROW, outcomes[0], folds, resolved["execution"]["random_seed"], task in C.CLASSIFICATION) if task in C.CLASSIFICATION else R.kfold(rows, ROW, folds, resolved["execution"]["random_seed"])
-    return stored(rows, "encoded"), c, missing
+    return stored(rows, "encoded"), c, missing, as_written(raw, c.features)
 
 
 def tune(rows: DataFrame, c: Contract) -> dict[int, dict]:
     """Of each outer fold the best of the trials, by the mean over inner folds of the score that the configuration names.
 
-    Later trials start from the best of those before.
+    All outer folds are searched side by side: a round's fits, of every outer fold, trial and inner fold, are one job.
     """
     if c.config["modeling"]["tuning"]["scoring"] not in M.NAMES:
         raise ValueError(f"unknown score {c.config['modeling']['tuning']['scoring']!r}; known: {', '.join(sorted(M.NAMES))}")
     tuning, seed = c.config["modeling"]["tuning"], c.config["execution"]["random_seed"]
-    stop = {"early_stopping_rounds": tuning["early_stopping_rounds"]}
-    best = {}
-    for k in range(c.config["modeling"]["cv_folds"]):
-        inside = rows.filter(F.col("fold") != k).drop("fold")
-        inner = stored(R.folds_for(inside, ROW, c.outcomes[0], tuning["inner_cv_folds"], seed + k + 1, c.task in C.CLASSIFICATION), "inner")
-        iterations: list[float] = []
-
-        def judge(trials: list[dict], inner: DataFrame = inner, iterations: list[float] = iterations) -> list[float]:
-            fits = B.fit_folds(inner, "fold", c.features, c.categorical, c.targets, c.params(stop), trials, scoring=tuning["scoring"]).select("trial", "score", "best_iteration")
-            means = fits.groupBy("trial").agg(F.avg("score").alias("score"), F.avg("best_iteration").alias("n")).orderBy("trial").collect()
-            iterations.extend(m.n for m in means)
-            return [m.score for m in means]
-
-        top, place = C.search(tuning["search_space"], tuning["n_iter"], seed, judge)
-        best[k] = top | {"iterations": int(iterations[place]) + 1}
-    return best
+    outer = range(c.config["modeling"]["cv_folds"])
+    both = rows
+    for k in outer:
+        inside = rows.filter(F.col("fold") != k).select(ROW, c.outcomes[0])
+        inner = R.folds_for(inside, ROW, c.outcomes[0], tuning["inner_cv_folds"], seed + k + 1, c.task in C.CLASSIFICATION)
+        both = both.join(inner.select(ROW, F.col("fold").alias(f"_inner{k}")), ROW, "left")
+    params = c.params({"early_stopping_rounds": tuning["early_stopping_rounds"]})
+    fitted = B.trial_judge(stored(both, "inner"), {k: f"_inner{k}" for k in outer}, c.features, c.categorical, c.targets, params, tuning["scoring"])
+    iterations: dict[int, list[float]] = {k: [] for k in outer}
+
+    def judge(trials: dict[int, list[dict]]) -> dict[int, list[float]]:
+        found = fitted(trials)
+        for k, listed in found.items():
+            iterations[k] += [n for _, n in listed]
+        return {k: [score for score, _ in listed] for k, listed in found.items()}
+
+    best = C.search(tuning["search_space"], tuning["n_iter"], {k: seed + k + 1 for k in outer}, judge)
+    return {k: top | {"iterations": int(iterations[k][place]) + 1} for k, (top, place) in best.items()}
 
 
 def fit_all(rows: DataFrame, c: Contract, trials: dict[int, dict], features: list[str], categorical: list[str], stretch: int = 1, stop: int = 0) -> DataFrame:
@@ -154,9 +161,10 @@ def with_shadows(rows: DataFrame, c: Contract, salt: int = 0) -> DataFrame:
 
 
 def train(spark: SparkSession, path: str, config: dict, out: str) -> Contract:
-    rows, c, missing = prepare(spark, path, config)
+    rows, c, missing, written = prepare(spark, path, config)
     write_csv(missing.orderBy(F.desc("missing_rate"), "feature"), f"{out}/missingness_report")
     write_parquet(rows, f"{out}/train_matrix")
+    write_parquet(written, f"{out}/raw_matrix")
     trials = tune(rows, c)
     models = stored(fit_all(rows, c, trials, c.features, c.categorical), "models")
     write_parquet(models, f"{out}/models")
@@ -207,6 +215,9 @@ def fold_metrics(rows: DataFrame, preds: DataFrame, c: Contract) -> DataFrame:
             name, score, _, _ = M.displayed(label, "value", "value", "value")
             one = metric(judged, ["fold"]).toDF("fold", "value").select("fold", F.lit(f"{name}_{target}" if len(c.outcomes) > 1 else name).alias("metric"), score.alias("score"))
             out = one if out is None else out.unionByName(one)
+    if c.task == "multi_regression":
+        mean = out.filter(F.col("metric").isin([f"RMSE_{o}" for o in c.outcomes])).groupBy("fold").agg(F.avg("score").alias("score"))
+        out = out.unionByName(mean.select("fold", F.lit("RMSE_mean").alias("metric"), "score"))
     return M.with_mean_and_std(out, "fold", "metric", "score")
 
 
@@ -286,6 +297,16 @@ def numeric_values(rows: DataFrame, c: Contract, names: list[str]) -> DataFrame:
     return out
 
 
+def shown_values(rows: DataFrame, written: DataFrame, c: Contract) -> DataFrame:
+    """(row, feature, value, code, raw, type): each value as the model saw it (a nominal level by its name), as a number, as it stands in the data, and its feature's type."""
+    text = written.unpivot(ROW, c.features, "feature", "raw").withColumnRenamed(ROW, "row")
+    nominal = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("label")) for f in c.features])).alias("e")
+    seen = rows.select(F.col(ROW).alias("row"), nominal).select("row", "e.*")
+    kind = F.create_map(*[F.lit(x) for f in c.features for x in (f, c.roles[f])])[F.col("feature")]
+    codes = numeric_values(rows, c, c.features).withColumnRenamed("x", "code")
+    return seen.join(codes, ["row", "feature"], "left").join(text, ["row", "feature"], "left").select("row", "feature", F.col("label").alias("value"), "code", "raw", kind.alias("type"))
+
+
 def every_fold(rows: DataFrame, models: DataFrame) -> DataFrame:
     """rows once for each model, their names marked with its fold."""
     folds = models.select("fold").distinct()
@@ -370,7 +391,7 @@ def predict(spark: SparkSession, run: str) -> None:
     save_performance(rows, preds, c, max(c.config["shap"]["bootstrapping"]["n_boot"], 1000), run)
     stats, real, boots = importance(rows, shadow_models, c)
     keep = save_importance(stats, boots, c, run)
-    values = numeric_values(rows, c, c.features).withColumnRenamed("x", "value")
+    values = shown_values(rows, spark.read.parquet(f"{run}/raw_matrix"), c)
     write_parquet(named_slices(X.microdata(real.join(keep, ["slice", "eff"]), values), c), f"{run}/microdata")
 
 
@@ -409,6 +430,6 @@ def infer(spark: SparkSession, run: str, path: str, out: str) -> None:
     averaged = stored(reduce(DataFrame.unionByName, each_slice), "averaged")
     write_parquet(named_slices(averaged, c), f"{out}/effects")
     sides = real.select("eff", "i", "j").distinct()
-    values = numeric_values(rows, c, c.features).withColumnRenamed("x", "value")
+    values = shown_values(rows, as_written(raw, c.features), c)
     write_parquet(named_slices(X.microdata(averaged.join(keep, ["slice", "eff"]).join(sides, "eff"), values), c), f"{out}/microdata")
     save_json(spark, {"run": run, "data": path, "supervised": bool(known)}, f"{out}/inference_metadata.json")

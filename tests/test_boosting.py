@@ -94,11 +94,10 @@ def test_trials_are_chosen_by_the_score_named(spark, frame):
     for scoring in (None, "roc_auc"):
         fits = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring)
         best[scoring] = {r.trial for r in fits.groupBy("trial").agg(F.avg("score").alias("s")).orderBy(F.desc("s")).limit(1).collect()}
-        for per_copy in (1, 32):
-            dealt = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring, most_sent=0, per_copy=per_copy)
-            assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, fits.collect()))
-    own = [sorted(map(tuple, B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, own_trial=True, most_sent=m).collect())) for m in (1 << 30, 0)]
-    assert own[0] == own[1] and [r[:2] for r in own[0]] == [(0, 0), (1, 1)]
+        large = {(r.fold, r.trial): r.score for r in B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, scoring=scoring, most_sent=0).collect()}
+        assert large == pytest.approx({(r.fold, r.trial): r.score for r in fits.collect()})
+    own = [{(r.fold, r.trial): r.score for r in B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(loss="Logloss"), trials, own_trial=True, most_sent=m).collect()} for m in (1 << 30, 0)]
+    assert own[0] == pytest.approx(own[1]) and list(own[0]) == [(0, 0), (1, 1)]
     assert best[None] == {1} and best["roc_auc"] <= {0, 1}
 
 
@@ -106,17 +105,50 @@ def test_rows_meet_models_alike_sent_or_dealt(spark, frame):
     df, y = frame
     rows = spark.createDataFrame(df.assign(y=y, key=[f"r{i}" for i in range(len(df))], fold=np.arange(len(df)) % 3, a=df.a.fillna(0.0))).repartition(5)
     fits = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(iterations=8))
+    sizes = (1 << 30, 8000)
+    assert len(B.tree_blocks(B.split_models(fits, lambda m: m, 8000, B.leaf_bytes), 8000)) > 2
     for every in (False, True):
-        both = [sorted((r.key, r.fold, tuple(r.pred)) for r in B.predict_folds(rows, fits, "fold", "key", ["c"], every, most_sent=m).collect()) for m in (1 << 30, 0)]
-        assert both[0] == both[1] and len(both[0]) == len(df) * (3 if every else 1)
-    found = [B.effects_by_fold(rows, fits, "fold", "key", ["c"], most_sent=m) for m in (1 << 30, 0)]
-    assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
+        both = [{(r.key, r.fold): r.pred[0] for r in B.predict_folds(rows, fits, "fold", "key", ["c"], every, most_sent=m).collect()} for m in sizes]
+        assert both[0] == pytest.approx(both[1]) and len(both[0]) == len(df) * (3 if every else 1)
+    found = [B.effects_by_fold(rows, fits, "fold", "key", ["c"], most_sent=m) for m in sizes]
+    parts = [{(r.row, r.fold, r.slice, r.eff, r.i, r.j): r.phi for r in f.collect()} for f in found]
+    assert parts[0] == pytest.approx(parts[1])
     # Of every row all effects and the expectation add up to the prediction.
     base = {r.fold: float(B.expectation(B.Model.from_json(r.model))[0]) for r in fits.collect()}
     summed = {r.row: base[r.fold] + r.s for r in found[0].groupBy("row", "fold").agg(F.sum("phi").alias("s")).collect()}
     assert all(summed[r.key] == pytest.approx(r.pred[0]) for r in B.predict_folds(rows, fits, "fold", "key", ["c"]).collect())
 
 
+def test_fits_run_once(spark, frame):
+    df, y = frame
+    rows = spark.createDataFrame(df.assign(y=y, key=range(len(df)), fold=np.arange(len(df)) % 3, a=df.a.fillna(0.0)))
+    fits = B.fit_folds(rows, "fold", ["a", "b", "c"], ["c"], ["y"], B.Params(iterations=3))
+    assert B.predict_folds(rows, fits, "fold", "key", ["c"]).count() == len(df) and B.effects_by_fold(rows, fits, "fold", "key", ["c"]).count() > 0
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan or "Scan parquet" in plan
+    assert "MapInPandas" not in plan and "Python" not in plan
+
+
+def test_effects_of_deep_trees_equal_enumeration():
+    rng = np.random.default_rng(5)
+    for features in ([0, 1, 2, 3, 4, 5], [0, 1, 0, 2, 1, 0], [3, 3, 3, 3], [2], [4, 4, 1, 0, 4, 2, 1]):
+        d = len(features)
+        covers = rng.integers(0, 5, 1 << d).astype(float)
+        t = B.Tree(features, [0.0] * d, [False] * d, rng.normal(size=(1 << d, 2)).tolist(), covers.tolist())
+        got, own = B.tree_effects(t), sorted(set(features))
+        v = {s: B.expectations(t, set(s)) for n in range(len(own) + 1) for s in combinations(own, n)}
+        up = lambda *s: v[tuple(sorted(set(s)))]
+        u = len(own)
+        for i, j in combinations(own, 2):
+            rest = [f for f in own if f not in (i, j)]
+            expected = sum(factorial(n) * factorial(u - n - 2) / factorial(u - 1) * (up(i, j, *s) - up(i, *s) - up(j, *s) + up(*s)) for n in range(u - 1) for s in combinations(rest, n))
+            assert np.allclose(got[i, j], expected)
+        for i in own:
+            rest = [f for f in own if f != i]
+            phi = sum(factorial(n) * factorial(u - n - 1) / factorial(u) * (up(i, *s) - up(*s)) for n in range(u) for s in combinations(rest, n))
+            assert np.allclose(got[i,], phi - sum((got[tuple(sorted((i, j)))] for j in rest), np.zeros_like(phi)) / 2)
+
+
 def test_model_queries(spark):
     oof = QUERIES["booster_oof"](spark, SF).toPandas()
     assert len(oof) == modelling.FOLDS and (oof.rmse >= oof.mae).all()
@@ -171,9 +203,18 @@ def test_train_predict_infer(spark, tmp_path, outcome, task):
             saved = spark.read.parquet(f"{run}/bootstraps_{statistic}")
             assert saved.groupBy("slice", "eff").count().filter("count <> 4").count() == 0 and saved.select("slice").distinct().count() == (3 if outcome == "c" else 1)
         micro = spark.read.parquet(f"{run}/microdata")
+        named = {(r.main_feature, r.main_feature_type, r.main_feature_raw) for r in micro.filter("main_feature <> 'age'").select("main_feature", "main_feature_type", "main_feature_raw").distinct().collect()}
+        assert named >= {("level", "ordinal", "high")} or named >= {("group", "nominal", "a")} or not named
+        assert {r.feature_value for r in micro.filter("main_feature = 'group'").select("feature_value").distinct().collect()} <= {"a", "b"}
+        levels = spark.read.csv(f"{run}/report{'/p' if outcome == 'c' else ''}/level_means", header=True).filter("eff = 'level'").collect()
+        assert [(r.level, r.place) for r in levels] in ([], [("low", "1"), ("mid", "2"), ("high", "3")])
         assert {r.slice_name for r in micro.select("slice_name").distinct().collect()} == ({"p", "q", "r"} if outcome == "c" else {None})
         if outcome == "c":
             assert spark.read.csv(f"{run}/report/q/trends", header=True).count() > 0
+    if isinstance(outcome, list):
+        metrics = spark.read.csv(f"{run}/metrics_oof", header=True).toPandas()
+        first = metrics[metrics.fold == "0"].set_index("metric").score.astype(float)
+        assert first["RMSE_mean"] == pytest.approx((first["RMSE_y"] + first["RMSE_z"]) / 2) and set(metrics[metrics.metric == "RMSE_mean"].fold) == {"0", "1", "mean", "std"}
     if outcome in ("y", "c"):
         training.infer(spark, run, str(tmp_path / "new.csv"), f"{run}/new")
         assert spark.read.csv(f"{run}/new/predictions", header=True).count() == n

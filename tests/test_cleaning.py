@@ -150,11 +150,23 @@ def test_search_learns_from_its_trials():
         def judge(trials, goal=goal):
             return [-sum((math.log(t[k] / goal[k]) if s.get("log") else (t[k] - goal[k]) / (s["high"] - s["low"])) ** 2 for k, s in space.items()) for t in trials]
 
-        top, place = C.search(space, 60, seed, judge)
+        ((top, place),) = C.search(space, 60, {4: seed}, lambda asked: {4: judge(asked[4])}).values()
         assert 0 <= place < 60
         loss["search"] -= judge([top])[0]
         loss["plain"] -= max(judge(C.draw_trials(space, 60, seed)))
-    assert loss["search"] < 0.9 * loss["plain"]
+    assert loss["search"] < 0.5 * loss["plain"]
+
+
+def test_searches_go_on_side_by_side():
+    space, asked = C.search_space(500), []
+
+    def judge(trials):
+        asked.append({k: len(t) for k, t in trials.items()})
+        return {k: [-abs(x["depth"] - 3 - k) for x in t] for k, t in trials.items()}
+
+    both = C.search(space, 50, {0: 1, 1: 2}, judge)
+    assert [b[0]["depth"] for b in both.values()] == [3, 4] and all(a[0] == a[1] for a in asked) and sum(a[0] for a in asked) == 50
+    assert both[1] == C.search(space, 50, {1: 2}, judge)[1]
 
 
 def test_search_of_odd_scores_and_few_trials():
@@ -162,13 +174,14 @@ def test_search_of_odd_scores_and_few_trials():
     asked = []
 
     def judge(trials):
-        asked.append(len(trials))
-        return [None if t["kind"] == "a" else float("nan") if t["kind"] == "b" else 0.5 for t in trials]
+        asked.append(len(trials[0]))
+        return {0: [None if t["kind"] == "a" else float("nan") if t["kind"] == "b" else 0.5 for t in trials[0]]}
 
-    assert C.search(space, 42, 3, judge)[0]["kind"] == "c" and sum(asked) == 42 and len(asked) == 4
-    assert C.search(space, 1, 3, lambda trials: [0.0]) == (C.draw_trials(space, 1, 3)[0], 0)
+    assert C.search(space, 42, {0: 3}, judge)[0][0]["kind"] == "c" and sum(asked) == 42 and asked[0] == 10
+    assert C.search(space, 1, {0: 3}, lambda trials: {0: [0.0]}) == {0: (C.draw_trials(space, 1, 3)[0], 0)}
+    assert C.search({}, 12, {0: 3}, lambda trials: {0: [float(k) for k in range(len(trials[0]))]})[0][0] == {}
     with pytest.raises(ValueError, match="n_iter"):
-        C.search(space, 0, 3, judge)
+        C.search(space, 0, {0: 3}, judge)
 
 
 EXAMPLE = """
