@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from effectlens.sources.scratch import stored
+
 ROWS = 500_000
 PIECES = 256
 
@@ -45,7 +47,7 @@ def scan(df: DataFrame, by: list[str], order: list[str], weight: str | None = No
 
     Order columns must tell a group's rows apart.
     """
-    cut = with_pieces(df, by, order, rows)
+    cut = stored(with_pieces(df, by, order, rows), "pieces")  # read twice: rows, and what pieces hand on
     inside = W.partitionBy(*by, "_piece").orderBy(*order)
     own = F.struct(*order, *keep)
     w = F.col(weight) if weight else F.lit(1)
@@ -59,7 +61,7 @@ def scan(df: DataFrame, by: list[str], order: list[str], weight: str | None = No
 
 def least_from(df: DataFrame, by: list[str], order: list[str], value: str, name: str, rows: int = ROWS) -> DataFrame:
     """df with the least value of each row and all that come after it in its group."""
-    cut = with_pieces(df, by, order, rows)
+    cut = stored(with_pieces(df, by, order, rows), "pieces")  # read twice: rows, and what pieces hand on
     back = lambda keys, last: W.partitionBy(*by, *keys).orderBy(*[F.desc(c) for c in last])
     own = cut.withColumn("_own", F.min(value).over(back(["_piece"], order).rowsBetween(W.unboundedPreceding, 0)))
     ends = cut.groupBy(*by, "_piece").agg(F.min(value).alias("_least"))
