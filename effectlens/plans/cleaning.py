@@ -188,15 +188,20 @@ def level_order(spark, sf_dir):
     return order_levels(coded, "level", "code")
 
 
-@query("""SELECT * FROM (VALUES
-(50, 'regression', 'RMSE', 'neg_rmse', 3, 3, 3, 2, 2000), (150, 'multi_regression', 'MultiRMSE', 'neg_rmse', 5, 5, 4, 3, 5000),
-(300, 'binary_classification', 'Logloss', 'roc_auc', 10, 10, 5, 6, 5000), (100000, 'regression', 'RMSE', 'r2', 10, 10, 10, 200, 10000))
-t(n_rows, task_type, loss_function, scoring, cv_folds, inner_cv_folds, depth_high, min_leaf_high, n_boot)""")
+FOLDS_SQL = "CASE WHEN {n} // {per} >= 10 THEN 10 WHEN {n} // {per} >= 5 THEN 5 ELSE 3 END"
+
+
+@query(f"""WITH g AS (SELECT 'line ' || l_linenumber AS name, count(*)::INTEGER AS n_rows FROM lineitem GROUP BY 1 UNION ALL SELECT 'nation ' || c_nationkey, count(*)::INTEGER FROM customer GROUP BY 1),
+o AS (SELECT *, {FOLDS_SQL.format(n='n_rows', per=30)} AS cv_folds FROM g)
+SELECT name, n_rows, 'regression' AS task_type, 'RMSE' AS loss_function, cv_folds, {FOLDS_SQL.format(n='(n_rows - n_rows // cv_folds)', per=20)} AS inner_cv_folds,
+greatest(3, least(10, floor(log2(greatest(n_rows / 5, 4)))::INTEGER)) AS depth_high, greatest(2, least(200, n_rows // 50)) AS min_leaf_high, CASE WHEN n_rows < 100 THEN 2000 WHEN n_rows < 500 THEN 5000 ELSE 10000 END AS n_boot FROM o""")
 def config_defaults(spark, sf_dir):
-    given = [(50, {"outcome": "y"}), (150, {"outcome": ["y", "z"]}), (300, {"outcome": "y", "tuning": {"scoring": "roc_auc"}}), (100000, {"outcome": "y", "tuning": {"scoring": "r2"}})]
+    """Defaults for tables of the sizes that groups of the data have."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("name")).agg(F.count("*").alias("n"))
+    nations = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("name")).agg(F.count("*").alias("n"))
     rows = []
-    for n, model in given:
-        c, _ = C.resolve({"modeling": model}, n)
+    for r in lines.unionByName(nations).collect():  # a row per line number and nation
+        c, _ = C.resolve({"modeling": {"outcome": "y"}}, r.n)
         m, space = c["modeling"], c["modeling"]["tuning"]["search_space"]
-        rows.append((n, m["task_type"], m["loss_function"], m["tuning"]["scoring"], m["cv_folds"], m["tuning"]["inner_cv_folds"], space["depth"]["high"], space["min_data_in_leaf"]["high"], c["shap"]["bootstrapping"]["n_boot"]))
-    return spark.createDataFrame(rows, "n_rows int, task_type string, loss_function string, scoring string, cv_folds int, inner_cv_folds int, depth_high int, min_leaf_high int, n_boot int")
+        rows.append((r.name, r.n, m["task_type"], m["loss_function"], m["cv_folds"], m["tuning"]["inner_cv_folds"], space["depth"]["high"], space["min_data_in_leaf"]["high"], c["shap"]["bootstrapping"]["n_boot"]))
+    return spark.createDataFrame(rows, "name string, n_rows int, task_type string, loss_function string, cv_folds int, inner_cv_folds int, depth_high int, min_leaf_high int, n_boot int")

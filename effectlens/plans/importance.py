@@ -130,13 +130,22 @@ def effect_interactions_2way(spark, sf_dir):
     return rounded(wide.join(kept, (kept["i"] == A) & (kept["j"] == B), "left_semi").select(A, B, "phi_a", "phi_b", "phi_ab"))
 
 
-@query("""SELECT * FROM (VALUES ('a', NULL, 'singleton_continuous'), ('b', NULL, 'singleton_ordinal'), ('c', NULL, 'singleton_continuous'),
-('a', 'b', 'interaction_continuous_ordinal'), ('d', 'b', 'interaction_nominal_ordinal'), ('d', 'a', 'interaction_continuous_nominal')) t(i, j, stratum)""")
+TYPE_I = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'ordinal' WHEN '2' THEN 'nominal' WHEN '3' THEN 'continuous' END"
+TYPE_J = "CASE o_orderstatus WHEN 'F' THEN 'nominal' WHEN 'O' THEN 'continuous' END"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT o_orderpriority AS i, o_orderstatus AS j, coalesce({TYPE_I}, 'continuous') AS a, coalesce({TYPE_J}, 'continuous') AS b FROM orders
+UNION ALL SELECT DISTINCT o_orderpriority, NULL, coalesce({TYPE_I}, 'continuous'), NULL FROM orders)
+SELECT i, j, CASE WHEN j IS NULL THEN 'singleton_' || a ELSE 'interaction_' || least(a, b) || '_' || greatest(a, b) END AS stratum FROM e""")
 def effect_stratum(spark, sf_dir):
-    types = spark.createDataFrame([("a", "continuous"), ("b", "ordinal"), ("d", "nominal")], "name string, kind string")
-    effs = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("a", "b"), ("d", "b"), ("d", "a")], "i string, j string")
-    left, right = types.toDF("i", "type_i"), types.toDF("j", "type_j")
-    return effs.join(left, "i", "left").join(right, "j", "left").select("i", "j", stratum(F.col("type_i"), F.col("type_j")).alias("stratum"))
+    """Strata of effects whose features are named by the levels in the data; the types of some aren't known."""
+    rows = order_rows(spark, sf_dir)
+    left = rows.select(F.col("o_orderpriority").alias("i"), F.expr(TYPE_I).alias("type_i")).distinct().filter("type_i IS NOT NULL")
+    right = rows.select(F.col("o_orderstatus").alias("j"), F.expr(TYPE_J).alias("type_j")).distinct().filter("type_j IS NOT NULL")
+    pairs = rows.select(F.col("o_orderpriority").alias("i"), F.col("o_orderstatus").alias("j")).distinct()
+    effs = pairs.unionByName(pairs.select("i", F.lit(None).cast("string").alias("j")).distinct())
+    kind = F.when(F.col("j").isNotNull(), F.coalesce("type_j", F.lit("continuous")))
+    return effs.join(left, "i", "left").join(right, "j", "left").select("i", "j", stratum(F.col("type_i"), kind).alias("stratum"))
 
 
 @query(f"{WITH_LONG} SELECT eff, round(avg(abs(phi)), 4) AS m FROM long GROUP BY eff")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from effectlens.functions.columns import ordinal_code
 from effectlens.operators import boosting as B
 from effectlens.operators import effects as X
+from effectlens.operators import histograms as H
 from effectlens.operators import metrics as M
 from effectlens.operators import resampling as R
 from effectlens.operators import splines as S
@@ -16,7 +17,8 @@ from effectlens.operators.scans import variation
 from effectlens.plans import training as T
 from effectlens.plans.cleaning import PRIORITIES
 from effectlens.plans.registry import SEED, query, rounded, table
-from effectlens.plans.scoring import ORDER_FOLDS
+from effectlens.plans.scoring import KFOLD, ORDER_FOLDS
+from effectlens.sources.scratch import stored
 
 FOLDS, N_BOOT = 3, 8
 FEATURES = ["month", "priority", "status"]
@@ -50,6 +52,25 @@ def booster_oof(spark, sf_dir):
     return rounded(both.groupBy("fold").agg(M.rmse(y, p, t).alias("rmse"), M.mae(y, p, t).alias("mae"), F.count("*").alias("n")), 2)
 
 
+GAINS = """WITH f AS (SELECT o_orderkey, o_totalprice AS y, month(o_orderdate) AS month, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS status, fold FROM {folds}),
+k AS (SELECT unnest([0, 1, 2]) AS fit), i AS (SELECT k.fit, f.*, avg(y) OVER (PARTITION BY k.fit) AS base FROM k JOIN f ON f.fold <> k.fit),
+g AS (SELECT *, base - y AS g FROM i), w AS (SELECT fit, count(*) AS n, sum(g) AS g FROM g GROUP BY fit),
+c AS (SELECT fit, 'month' AS feature, m + 0.5 AS cut, count(*) FILTER (month > m) AS n, coalesce(sum(g) FILTER (month > m), 0) AS g FROM g, (SELECT unnest(range(1, 12)) AS m) GROUP BY fit, m
+UNION ALL SELECT fit, 'status', s, count(*) FILTER (status = s), coalesce(sum(g) FILTER (status = s), 0) FROM g, (SELECT unnest([0, 1, 2]) AS s) GROUP BY fit, s)
+SELECT c.fit::INTEGER AS fit, feature, cut::DOUBLE AS cut, round((c.g * c.g / (c.n + 3) + (w.g - c.g) * (w.g - c.g) / (w.n - c.n + 3))::DOUBLE / 1e9, 4) AS gain FROM c JOIN w USING (fit)"""
+
+
+@query(GAINS.format(folds=KFOLD.format(seed=SEED, src="orders", f=3)))
+def histogram_gains(spark, sf_dir):
+    """The gains of all first splits of every fold's first tree, from histograms."""
+    rows, names = stored(order_matrix(spark, sf_dir).select("fold", "month", "status", "_y0"), "rows"), ["month", "status"]
+    fits = H.prepared(rows, "fold", names, ["status"], ["_y0"], {k: PARAMS for k in range(FOLDS)})
+    state = H.state_of(rows, "fold", names, ["status"], ["_y0"], fits)
+    found = H.gains(H.summed(state, fits, 1, 0, False, False), fits, 1)
+    cuts = spark.createDataFrame([(f.number, c, i, names[c], v) for f in fits for c, i, v, _ in f.candidates()], "fit int, feature int, place int, name string, cut double")
+    return rounded(found.join(cuts, ["fit", "feature", "place"]).select("fit", F.col("name").alias("feature"), "cut", (F.col("gain") / 1e9).alias("gain")))
+
+
 @query()
 def tree_shap_values(spark, sf_dir):
     rows = order_matrix(spark, sf_dir)

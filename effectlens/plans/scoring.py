@@ -247,10 +247,19 @@ def oof_coverage(spark, sf_dir):
     return order_rows(spark, sf_dir).select("o_orderkey").join(seen, "o_orderkey", "left").groupBy(F.coalesce("times", F.lit(0)).cast("long").alias("times")).agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT * FROM (VALUES (0, 1, 0.75), (1, 0, 0.5)) t(fold, trial, score)")
+@query("""WITH m AS (SELECT (o_orderkey % 5)::INTEGER AS fold, (o_custkey % 40)::INTEGER AS trial, avg(o_totalprice) AS score FROM orders GROUP BY 1, 2)
+SELECT fold, trial, round(score::DOUBLE, 3) AS score FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC, trial) = 1""")
 def best_trial(spark, sf_dir):
-    rows = [(0, 0, 0.5), (0, 0, 0.5), (0, 1, 0.5), (0, 1, 1.0), (1, 0, 0.5), (1, 1, 0.5), (1, 1, 0.25)]
-    return B.best_trials(spark.createDataFrame(rows, "fold int, trial int, score double"))
+    fits = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).cast("int").alias("fold"), (F.col("o_custkey") % 40).cast("int").alias("trial"), F.col("o_totalprice").cast("double").alias("score"))
+    return rounded(B.best_trials(fits), 3)
+
+
+@query("""WITH p AS (SELECT doc_id, [n_chars % 7, n_chars % 5, n_chars % 11]::DOUBLE[] AS probs FROM documents)
+SELECT doc_id, (list_position(probs, list_max(probs)) - 1)::INTEGER AS label FROM p""")
+def class_argmax(spark, sf_dir):
+    n = F.col("n_chars")
+    probs = table(spark, sf_dir, "documents").select("doc_id", F.array(*[(n % k).cast("double") for k in (7, 5, 11)]).alias("probs"))
+    return probs.select("doc_id", M.argmax("probs").alias("label"))
 
 
 FOLD_PHI = "(SELECT o_orderkey AS row, fold, e AS eff, o_totalprice * (fold + 1) * (e = 'a')::INT + (e = 'b')::INT * fold AS phi FROM orders, (SELECT unnest([0, 1, 2]) AS fold), (SELECT unnest(['a', 'b']) AS e) WHERE NOT (e = 'b' AND fold = 0))"
