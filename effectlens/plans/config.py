@@ -59,6 +59,7 @@ def search_space(n: int) -> dict[str, dict]:
 def defaults(n: int, task: str) -> dict:
     outer = fold_count(n, 30)
     loss, score = LOSS_AND_SCORE[task]
+    # Numbers of trials, rounds, resamples, knots and outputs, and their thresholds.
     return {
         "execution": {"n_jobs": os.cpu_count(), "random_seed": 42},
         "modeling": {"task_type": task, "loss_function": loss, "cv_folds": outer, "tuning": {"scoring": score, "n_iter": 300, "early_stopping_rounds": 250, "search_space": search_space(n)}},
