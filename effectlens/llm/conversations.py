@@ -195,24 +195,32 @@ def ordered(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
     return rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.md5(text).alias("digest"))
 
 
+TEXTS = {"audit", "edit", "role", "text", "repaired_sha256"}
+
+
 def by_conversation(run: Callable[[Iterator[tuple]], Iterator[tuple]], names: list[str]) -> Callable:
     """A function on a partition's batches from one on its rows; ``names`` are the columns that it yields."""
 
     @frugal
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            for one in batches:
+                yield from zip(*[c.to_pylist() for c in one.columns], strict=True)
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            # Types are named: a batch may have no value in a column.
+            kinds = [None if n == "conv" else pa.string() if n in TEXTS else pa.int64() for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         out, size = [], 0
         for row in run(rows()):
             out.append(row)
             size += 64 + sum(len(x) for x in row if isinstance(x, str))
             if size > 1 << 22:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out, strict=True), strict=True)))
+                yield batch(out)
                 out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+            yield batch(out)
 
     return wrapped
 
@@ -382,7 +390,9 @@ c AS (SELECT rid, xor(list_reduce(list_prepend(4294967295::BIGINT, half), lambda
 d AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE way WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS nth FROM t JOIN c USING (rid)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), nth) AS n FROM d),
 e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS two FROM o),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM e),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault FROM e),
 g AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal, list(role ORDER BY n) AS roles, list(text ORDER BY n) AS texts,

@@ -140,6 +140,15 @@ def test_repaired_rows_are_legal_and_say_what_was_done(spark):
     assert [(r.place, r.edit, r.role) for r in got] == [(0, "K", "system"), (1, "R", "user"), (2, "K", "assistant"), (None, "D", "user"), (None, "D", "tool")]
 
 
+def test_batches_without_a_place_or_an_id(spark):
+    long = "x" * 3_000_000
+    rows = [(c, k, "tool", "") for c in (None, 1) for k in range(3)] + [(c, 3 + k, "user", f"{k}{long}") for c in (None, 1) for k in range(2)] + [(2, k, r, f"{r}{k}{long}.") for k, r in enumerate(["user", "assistant"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = C.repair(df, C.parse(df)).select("conv", "place", "edit").collect()
+    assert sorted((r.edit, r.place) for r in got if r.conv == 2) == [("K", 0), ("K", 1)]
+    assert all(r.edit == "D" and r.place is None for r in got if r.conv != 2) and len(got) == 12
+
+
 def test_dropped_conversations_stay_in_the_query(spark, tmp_path):
     folder = tmp_path / "in"
     ways = {k: zlib.crc32(f"{k}:0".encode()) % 20 for k in range(60)}
