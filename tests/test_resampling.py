@@ -1,8 +1,12 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from effectlens.operators import metrics as M
 from effectlens.operators import resampling as R
+from effectlens.plans import importance
+from tests.against import SF
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +106,17 @@ def test_interval_and_test_of_an_area(spark):
     got = R.bootstrap_ci_of_table(df, "key", area, 30, 1).first()
     assert 0.5 < got.ci_low <= got.score <= got.ci_high <= 1 and got.n_used == 30
     assert R.permutation_test_of_table(df, "key", area, "AUC", 40, 1).first().p_value < 0.1
+
+
+def test_draws_and_rows_are_dealt_out_by_place_not_sent_through_the_driver(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.col("id").cast("double").alias("y"), F.lit(1.0).alias("p"))
+    for df in (importance.boots(spark, SF), R.with_drawn(R.bootstrap_indices(spark, 2000, 64, 1), rows.withColumn("k", F.col("key")))):
+        lines = plan(df).splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                under = list(itertools.takewhile(lambda x, line=line: depth(x) > depth(line), lines[at + 1 :]))
+                assert not any("Range (" in x for x in under), "\n".join([line, *under])
+    shadows = R.shadow(rows, "key", ["y", "p"], 1)
+    assert "BroadcastExchange" not in plan(shadows.select("key", "shadow_y", "shadow_p"))
