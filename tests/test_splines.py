@@ -91,3 +91,14 @@ def test_scans_hand_on_over_pieces(spark):
         assert mine["_before"].tolist() == (part["w"].cumsum() - part["w"]).tolist()
         before = [None, *part[["x", "z", "w"]].itertuples(index=False, name=None)][:-1]
         assert [None if p is None else tuple(p) for p in mine["_prev"]] == before
+
+
+def test_cuts_are_sent_to_the_rows_and_looked_up_by_halving(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 613).cast("double").alias("z"))
+    pieces = scans.with_pieces(df, ["g"], ["x", "z"], 100)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "lambda" not in plan
+    cuts = np.sort(np.random.default_rng(1).integers(0, 90, scans.PIECES - 1)).astype(float)
+    points = spark.createDataFrame([(float(x), cuts.tolist() if x < 95 else None) for x in range(-2, 100)], "x double, cuts array<double>")
+    for r in scans.with_under(points, "cuts", "x", "n").collect():
+        assert r.n == (np.searchsorted(cuts, r.x, "left") if r.cuts else 0)
