@@ -116,3 +116,20 @@ def test_large_tables_take_this_way(spark, frame):
         assert all(len(t.features) == 1 for t in large[k, 1].trees)
     own = B.fit_folds(rows, "fold", NAMES, CATEGORICAL, ["y0"], p, [{"depth": k + 1} for k in range(3)], own_trial=True, most_sent=0)
     assert sorted((r.fold, r.trial) for r in own.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("targets", [["y0"], ["y0", "y1"]])
+def test_rows_of_the_same_bins_count_as_one(spark, frame, targets, monkeypatch):
+    df = frame.assign(y1=frame.y0 * 2 + (frame.c == "w"))[["a", "c", "fold", *targets]]
+    seen, grown = [], H.grown
+    monkeypatch.setattr(H, "grown", lambda state, *rest: (seen.append(state.count()), grown(state, *rest)))
+    p = B.Params(iterations=6, depth=2, learning_rate=0.7, loss="RMSE" if len(targets) == 1 else "MultiRMSE", border_count=8, early_stopping_rounds=2, min_data_in_leaf=3)
+    rows = spark.createDataFrame([tuple(None if isinstance(x, float) and np.isnan(x) else x for x in r) for r in df.itertuples(index=False)], "a double, c string, fold int, " + ", ".join(f"{t} double" for t in targets))
+    found = H.fit_by_histograms(rows, "fold", ["a", "c"], ["c"], targets, {k: p for k in range(3)}, rewrite=2)
+    assert seen[0] < len(df)
+    for k, score, m in found:
+        inside, outside = df[df.fold != k], df[df.fold == k]
+        y = outside[targets].to_numpy(float)
+        n = B.fit(inside, inside[targets].to_numpy(float), ["a", "c"], ["c"], p, (outside, y))
+        assert_same_trees(m, n)
+        assert score == pytest.approx(-B.loss_value(p.loss, y, n.raw(n.matrix(outside)), p.delta))
