@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from effectlens.operators import metrics as M
 from effectlens.operators import resampling as R
-from effectlens.plans import importance
+from effectlens.plans import importance, modelling, scoring
 from tests.against import SF
 
 
@@ -120,3 +120,14 @@ def test_draws_and_rows_are_dealt_out_by_place_not_sent_through_the_driver(spark
                 assert not any("Range (" in x for x in under), "\n".join([line, *under])
     shadows = R.shadow(rows, "key", ["y", "p"], 1)
     assert "BroadcastExchange" not in plan(shadows.select("key", "shadow_y", "shadow_p"))
+
+
+def test_folds_that_are_read_many_times_are_made_once(spark):
+    for made in (scoring.nested_inner_folds(spark, SF), modelling.order_matrix(spark, SF)):
+        files = made.inputFiles()
+        assert files and not any("orders.parquet" in f for f in files)
+
+
+def test_cells_are_sent_to_the_rows(spark):
+    plan = importance.with_cells(importance.planted(spark, SF))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.splitlines()[1].strip(" :+-").startswith("BroadcastHashJoin") or "BroadcastHashJoin" in "\n".join(plan.splitlines()[:3])
