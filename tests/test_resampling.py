@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,15 @@ def test_folds_that_are_read_many_times_are_made_once(spark):
 def test_cells_are_sent_to_the_rows(spark):
     plan = importance.with_cells(importance.planted(spark, SF))._jdf.queryExecution().sparkPlan().toString()
     assert plan.splitlines()[1].strip(" :+-").startswith("BroadcastHashJoin") or "BroadcastHashJoin" in "\n".join(plan.splitlines()[:3])
+
+
+def test_draws_are_made_once_and_dealt_out_once(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pairs = spark.range(2000).select(F.col("id").alias("key"), F.col("id").cast("double").alias("y"), F.lit(1.0).alias("p"))
+    one = plan(R.bootstrap_ci(pairs, "key", M.scorer("neg_mae"), 8, 1))
+    assert one.count("Range (") == 1 and not re.search(r"keys=\[b#\d+L?, k#\d+L?\]", one)
+
+
+def test_more_draws_are_made_by_more_tasks(spark):
+    tasks = lambda n: R.bootstrap_indices(spark, n, 64, 1)._jdf.queryExecution().toRdd().getNumPartitions()
+    assert tasks(10) == spark.sparkContext.defaultParallelism and tasks(9_000_000) == 144
