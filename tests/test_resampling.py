@@ -136,6 +136,7 @@ def test_cells_are_sent_to_the_rows(spark):
 
 def test_draws_are_made_once_and_dealt_out_once(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(importance.gii_stability(spark, SF)).count("Range (") == 1
     pairs = spark.range(2000).select(F.col("id").alias("key"), F.col("id").cast("double").alias("y"), F.lit(1.0).alias("p"))
     one = plan(R.bootstrap_ci(pairs, "key", M.scorer("neg_mae"), 8, 1))
     assert one.count("Range (") == 1 and not re.search(r"keys=\[b#\d+L?, k#\d+L?\]", one)
