@@ -134,6 +134,16 @@ def test_cells_are_sent_to_the_rows(spark):
     assert plan.splitlines()[1].strip(" :+-").startswith("BroadcastHashJoin") or "BroadcastHashJoin" in "\n".join(plan.splitlines()[:3])
 
 
+def test_rows_are_numbered_once_for_shadows_and_draws(spark, rows, monkeypatch):
+    calls, real = [], R.dense_index
+    monkeypatch.setattr(R, "dense_index", lambda *a, **b: calls.append(a) or real(*a, **b))
+    importance.both_boots(spark, SF)
+    assert len(calls) == 1
+    both = {r.key: r for r in R.with_shadow(rows, "key", ["x", "y"], 3).collect()}
+    assert {k: (r.k, r.y) for k, r in both.items()} == {i: (i, "common" if i % 10 else "rare") for i in range(1000)}
+    assert {k: (r.shadow_x, r.shadow_y) for k, r in both.items()} == {r.key: (r.shadow_x, r.shadow_y) for r in R.shadow(rows, "key", ["x", "y"], 3).collect()}
+
+
 def test_draws_are_made_once_and_dealt_out_once(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert plan(importance.gii_stability(spark, SF)).count("Range (") == 1
