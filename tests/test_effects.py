@@ -49,6 +49,23 @@ def test_missing_stratum_falls_back_to_all_noise_and_no_shadow_is_an_error(spark
         X.statistics(real, fake.limit(0), 1)
 
 
+def test_all_statistics_are_corrected_in_one_scan(spark, monkeypatch):
+    kinds = "b int, eff string, stratum string, m double, v double, gii double"
+    rng = np.random.default_rng(5)
+    real = [(b, e, "s", *map(float, rng.random(3) * (k + 1))) for b in range(12) for k, e in enumerate("abcdef")]
+    calls, scan = [], X.scan
+    monkeypatch.setattr(X, "scan", lambda *a, **b: calls.append(a) or scan(*a, **b))
+    fake = spark.createDataFrame([(b, "z", "s", 0.9, 0.8, 1.1) for b in range(12)], kinds)
+    got = sorted(X.statistics(spark.createDataFrame(real, kinds), fake, 12).collect(), key=lambda r: r.eff)
+    assert len(calls) == 1
+    for s in X.STATISTICS:
+        p = np.array([r[f"{s}_p"] for r in got])
+        order = np.argsort(-p, kind="stable")
+        q = np.empty(6)
+        q[order] = np.minimum.accumulate(np.minimum(p[order] * 6 / np.arange(6, 0, -1), 1))
+        assert [r[f"{s}_q"] for r in got] == pytest.approx(q)
+
+
 def test_fold_averages(spark):
     df = spark.createDataFrame([(1, "a", 3.0), (1, "a", 6.0)], "row int, eff string, phi double")
     assert X.fold_average(df, 3, True).first().phi == 3.0 and X.fold_average(df, 3, False).first().phi == 4.5
